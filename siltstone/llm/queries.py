@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.decontaminate import decontaminate
 from siltstone.llm.line_dedup import line_dedup
+from siltstone.llm.quality_classifier import fit_quality, quality_scores
 from siltstone.llm.token_counts import token_counts
 
 MAX_TOKENS = 4096
+KEEP_SCORE = 0.3
 #: At most so many rows go to a Python worker at once.
 ARROW_ROWS = 2000
 
@@ -20,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    out = decontaminate(documents.select("doc_id", "text"), benchmark, window=10)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,12 +42,49 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def held_out(column: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = fit_quality(documents, labels.where(~held_out()))
+    scored = quality_scores(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= KEEP_SCORE, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+        WITH item_words AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark),
+        cut AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS size,
+                   array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS key
+            FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+        doc_words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+        doc_cut AS (
+            SELECT doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS key
+            FROM (SELECT d.*, s.size, unnest(range(1, len(w) - s.size + 2)) AS i
+                  FROM doc_words d CROSS JOIN (SELECT DISTINCT size FROM cut) s)),
+        found AS (SELECT doc_id, i, size, item_id FROM doc_cut JOIN cut USING (size, key)),
+        hits AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op6_line_dedup": r"""
         WITH pieces AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
