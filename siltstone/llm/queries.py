@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.decontaminate import decontaminate
 from siltstone.llm.line_dedup import line_dedup
+from siltstone.llm.license_scan import license_scan
+from siltstone.llm.mixing import Target, count_words, mix
 from siltstone.llm.quality_classifier import fit_quality, quality_scores
+from siltstone.llm.quality_rules import quality_rules
 from siltstone.llm.token_counts import token_counts
+from siltstone.llm.url_filter import UrlRule, url_filter
 
 MAX_TOKENS = 4096
 KEEP_SCORE = 0.3
+URL_RULES = [UrlRule("block", "net"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
+MIX = Target(entropy=0.95, repeats=4.0)
 #: At most so many rows go to a Python worker at once.
 ARROW_ROWS = 2000
 
@@ -30,6 +36,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +53,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", *joined, "score")
+
+
 def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
 
@@ -53,11 +70,25 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= KEEP_SCORE, 1).otherwise(0).alias("predicted"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", count_words(F.col("text")).alias("n_tokens"))
+    return mix(documents, MIX)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op6_line_dedup": op6_line_dedup,
+    "op7_license_scans": op7_license_scans,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_url_filters": op9_url_filters,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,6 +116,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op3_quality_rules": r"""
+        WITH split AS (
+            SELECT doc_id, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents),
+        grams AS (
+            SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split WHERE len(w) >= 3)),
+        again AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) >= 2),
+        covered AS (
+            SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+            FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+        m AS (
+            SELECT doc_id, t, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                   CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM split LEFT JOIN covered USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
+                    OR n_symbols * 10 > n_words
+                    OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+                    OR 10 * n_dup_lines > 3 * len(regexp_extract_all(t, chr(10))) + 3
+                    OR len(regexp_extract_all(t, '!')) * 10 > n_words
+                    OR len(regexp_extract_all(t, '[A-Z]')) * 2 > word_chars
+                    OR len(regexp_extract_all(t, '\pL')) * 2 < word_chars) AS kept
+        FROM m""",
     "op6_line_dedup": r"""
         WITH pieces AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
