@@ -85,7 +85,7 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     return [
         Rule("symbols", F.col("n_symbols") * 10 > words_),
         Rule("word_length", (F.col("word_chars") < 2 * words_) | (F.col("word_chars") > 20 * words_)),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.regexp_count(text, F.lit("\n")) + 3),
+        Rule("duplicate_lines", (F.col("n_dup_lines") >= 3) & (2 * F.col("n_dup_lines") > F.regexp_count(text, F.lit("\n")) + 1)),
         Rule("shouting", F.regexp_count(text, F.lit("!")) * 10 > words_),
         Rule("capitals", F.regexp_count(text, F.lit("[A-Z]")) * 2 > F.col("word_chars")),
         Rule("no_letters", F.regexp_count(text, F.lit(r"\p{L}")) * 2 < F.col("word_chars")),

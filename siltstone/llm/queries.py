@@ -140,7 +140,7 @@ ORACLE_SQL: dict[str, str] = {
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
                     OR n_symbols * 10 > n_words
                     OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-                    OR 10 * n_dup_lines > 3 * len(regexp_extract_all(t, chr(10))) + 3
+                    OR (n_dup_lines >= 3 AND 2 * n_dup_lines > len(regexp_extract_all(t, chr(10))) + 1)
                     OR len(regexp_extract_all(t, '!')) * 10 > n_words
                     OR len(regexp_extract_all(t, '[A-Z]')) * 2 > word_chars
                     OR len(regexp_extract_all(t, '\pL')) * 2 < word_chars) AS kept
