@@ -13,6 +13,7 @@ from siltstone.llm.license_scan import license_scan
 from siltstone.llm.mixing import Target, count_words, mix
 from siltstone.llm.quality_classifier import fit_quality, quality_scores
 from siltstone.llm.quality_rules import quality_rules
+from siltstone.llm.suffix_dedup import suffix_dedup
 from siltstone.llm.token_counts import token_counts
 from siltstone.llm.url_filter import UrlRule, url_filter
 
@@ -48,6 +49,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_license_scans": op7_license_scans,
     "op8_quality_classifier": op8_quality_classifier,
