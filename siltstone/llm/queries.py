@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.decontaminate import decontaminate
 from siltstone.llm.line_dedup import line_dedup
+from siltstone.llm.jaccard_join import jaccard_components
 from siltstone.llm.license_scan import license_scan
 from siltstone.llm.mixing import Target, count_words, mix
 from siltstone.llm.quality_classifier import fit_quality, quality_scores
@@ -30,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, numerator=90, denominator=100)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     out = decontaminate(documents.select("doc_id", "text"), benchmark, window=10)
@@ -87,6 +92,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
@@ -102,6 +108,28 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        grams AS (
+            SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM split WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        overlap AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+            FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM overlap JOIN sizes s ON x = s.doc_id JOIN sizes t ON y = t.doc_id
+            WHERE 100 * k >= 90 * (s.n + t.n - k)),
+        reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION
+            SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+        SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.y) AS component_id
+        FROM documents d JOIN reach r ON d.doc_id = r.x LEFT JOIN sizes ON d.doc_id = sizes.doc_id
+        GROUP BY d.doc_id""",
     "op2_decontamination": f"""
         WITH item_words AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark),
         cut AS (
@@ -152,6 +180,27 @@ ORACLE_SQL: dict[str, str] = {
                     OR len(regexp_extract_all(t, '[A-Z]')) * 2 > word_chars
                     OR len(regexp_extract_all(t, '\pL')) * 2 < word_chars) AS kept
         FROM m""",
+    "op5_suffix_dedup": """
+        WITH raw AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        starts AS (
+            SELECT doc_id, s, md5(substring(h, 2 * s + 1, 200)) AS k
+            FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM raw)),
+        again AS (SELECT doc_id, s FROM starts QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+        bytes AS (
+            SELECT b.doc_id, b.p, b.x,
+                   max(a.s) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+            FROM (SELECT doc_id, p, substring(h, 2 * p + 1, 2) AS x
+                  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM raw)) b
+            LEFT JOIN again a ON a.doc_id = b.doc_id AND a.s = b.p),
+        turned AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS turn FROM bytes),
+        cut AS (
+            SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE turn) AS n_spans,
+                   string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept
+            FROM turned GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM raw LEFT JOIN cut USING (doc_id)""",
     "op6_line_dedup": r"""
         WITH pieces AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
