@@ -1,0 +1,123 @@
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from siltstone.functions import patterns, text
+from siltstone.functions import paths as P
+from siltstone.operators import evaluation, grep, judge, listing, metrics, outline, retrieval, shell
+from siltstone.plans import samples
+
+
+def values(df, *columns):
+    return [tuple(r) for r in (df.select(*columns) if columns else df).collect()]
+
+
+def test_logical_lines(spark):
+    df = spark.createDataFrame([("",), ("a",), ("a\n",), ("a\nb",), ("a\n\n",), ("\n",), ("a\r\nb",)], "t string")
+    got = values(df.select(text.lines(F.col("t")), text.line_count(F.col("t"))))
+    assert [g[0] for g in got] == [[], ["a"], ["a"], ["a", "b"], ["a", ""], [""], ["a\r", "b"]]
+    assert [g[1] for g in got] == [len(g[0]) for g in got]
+
+
+@pytest.mark.parametrize("glob,want", [("**/*.md", "*.md"), ("src/**/*.ts", "src/*.ts"), ("docs/**", "docs/*"), ("a/**/b/**/c", "a/b/c"), ("a**b", "a*b"), ("", "")])
+def test_normalize_glob(glob, want):
+    assert patterns.normalize_glob(glob) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab/.[]*?", max_size=8), st.text("ab/.[]", max_size=8))
+def test_glob_regex_is_a_pattern(glob, path):
+    import re
+
+    pattern = re.compile(patterns.glob_regex(glob)) if not re.search(r"\[[^\]]*$", glob) else None
+    if pattern and not set(glob) & set("*?["):
+        assert bool(pattern.match(path)) == (glob == path)
+
+
+def test_terms(spark):
+    df = spark.createDataFrame([("const parseConfig = (max_lines) => the httpServer 42",)], "t string")
+    got = values(df.select(text.terms(F.col("t"))))[0][0]
+    assert got == ["parseconfig", "parse", "config", "max_lines", "max", "lines", "httpserver", "http", "server", "42"]
+
+
+def test_paths(spark):
+    paths = ["docs/fr/a.md", "README.zh-CN.md", "i18n/de/x.txt", "a.b/c", ".env", "x/lib.test.ts", "node_modules/a.js", "yarn.lock", "a.PNG"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    c = F.col("path")
+    got = values(df.select(P.canonical_docs(c), P.extension(c), P.language(c), P.is_test(c), P.skip_reason(c, F.lit(1))))
+    assert [g[0] for g in got] == ["docs/a.md", "README.md", "x.txt", "a.b/c", ".env", "x/lib.test.ts", "node_modules/a.js", "yarn.lock", "a.PNG"]
+    assert [g[1] for g in got] == ["md", "md", "txt", "", "", "ts", "js", "lock", "png"]
+    assert got[5][2:4] == ("typescript", True)
+    assert [g[4] for g in got][-3:] == ["skip-dir", "skip-file", "skip-binary"]
+
+
+def test_outline_spans(spark):
+    got = {(r[0], r[1]): (r[2], r[3], r[4]) for r in values(outline.outline(samples.sources(spark)), "path", "name", "kind", "line", "end_line")}
+    assert got[("src/box.ts", "Box")] == ("class", 4, 9)
+    assert got[("src/box.ts", "make")] == ("function", 11, 16)
+    assert got[("src/box.ts", "LIMIT")] == ("const", 18, None)
+    assert got[("lib/tool.py", "Tool")] == ("class", 5, 7)
+    assert got[("lib/tool.py", "main")] == ("function", 10, 13)
+    assert got[("cmd/main.go", "Point")] == ("class", 5, 7)
+    assert got[("cmd/main.go", "Show")] == ("function", 9, 11)
+    assert got[("src/util.c", "twice")] == ("function", 8, 11)
+    assert not [k for k in got if k[0] == "lib/empty.rb"]
+    assert dict(values(outline.imports(samples.sources(spark))))["src/box.ts"] == ["./a", "./side"]
+
+
+def test_enclosing_symbol(spark):
+    code = samples.sources(spark)
+    got = {(r.path, r.line): r.symbol for r in grep.enclosing_symbols(grep.grep(code, "return"), outline.outline(code)).collect()}
+    assert got[("src/box.ts", 13)] == "make"
+    assert got[("lib/tool.py", 13)] == "main"
+
+
+def test_windows_cover_all_lines(spark):
+    df = spark.createDataFrame([(f"f{n}", "\n".join(f"line {i}" for i in range(n))) for n in (1, 40, 60, 61, 70, 71, 300)], "path string, text string")
+    for path, in values(df, "path"):
+        own = sorted(values(retrieval.windows(df).where(F.col("path") == path), "start", "end"))
+        covered = {i for a, b in own for i in range(a, b + 1)}
+        assert covered == set(range(1, int(path[1:]) + 1))
+        assert all(b - a < 60 for a, b in own)
+
+
+def test_shell(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(["b", "b", "10 x", "a", "9 y", "b"])], "ord long, line string")
+    assert [r[1] for r in values(shell.uniq(df).orderBy("ord"), "ord", "line")] == ["b", "10 x", "a", "9 y", "b"]
+    assert [r[0] for r in values(shell.sort_lines(df, numeric=True), "line")] == ["b", "b", "a", "b", "9 y", "10 x"]
+    assert [r[0] for r in values(shell.sort_lines(df, unique=True), "line")] == ["10 x", "9 y", "a", "b"]
+    assert [r[0] for r in values(shell.tail(df, 2), "line")] == ["9 y", "b"]
+    assert values(shell.wc(df)) == [(6, 8, 18)]
+    numbered = df.withColumn("line_no", F.col("ord") + 1)
+    assert [r[0] for r in values(shell.sed_print(numbered, 4), "line")] == ["a"]
+    assert [r[0] for r in values(shell.sed_print(numbered, 5, to_end=True), "line")] == ["9 y", "b"]
+
+
+def test_line_slice_limits(spark):
+    df = spark.createDataFrame([("p", "a\nb\nc")], "path string, text string")
+    assert [r[1] for r in values(listing.line_slice(df, "p", 2, 99), "line", "text")] == ["b", "c"]
+    assert values(listing.line_slice(df, "p", 7, 9)) == []
+    with pytest.raises(ValueError):
+        listing.line_slice(df, "p", 3, 2)
+    assert values(listing.path_kind(df, "p")) == [("file",)]
+    assert values(listing.path_kind(df, "q")) == [("none",)]
+
+
+def test_choice_sums_to_one(spark):
+    df = spark.createDataFrame([(k, float(x)) for k in (1, 2) for x in (-1000, 0, 3, 1000)], "k int, logit double")
+    got = judge.choice(df, ["k"]).groupBy("k").agg(F.sum("p")).collect()
+    assert all(abs(r[1] - 1) < 1e-9 for r in got)
+
+
+def test_per_file_cap(spark):
+    hits = spark.createDataFrame([("a.md", "a.md:1", 1, 9.0), ("a.md", "a.md:41", 41, 8.0), ("docs/fr/b.md", "1", 1, 7.0), ("docs/b.md", "2", 1, 6.0), ("docs/b.md", "3", 50, 5.0)], "path string, id string, start long, score double")
+    assert [r[0] for r in values(retrieval.diverse_code(hits, 1, 10), "id")] == ["a.md:1", "1", "2"]
+    assert [r[0] for r in values(retrieval.diverse_docs(hits, 2, 10), "id")] == ["a.md:1", "a.md:41", "1", "3"]
+
+
+def test_grading_and_reasons(spark):
+    df = spark.createDataFrame([("It is 42.", ("exact", "42", None, None)), ("x9", ("regex", None, "^x[0-9]$", None)), ("a and b", ("all", None, None, ["A", "c"]))], "answer string, expected struct<type string, value string, pattern string, values array<string>>")
+    assert [r.passed for r in evaluation.graded(df).collect()] == [True, True, False]
+    e = spark.createDataFrame([("403", "API rate limit"), ("403", "no"), ("404", ""), ("503", ""), ("200", "")], "s string, b string")
+    assert [r[0] for r in values(e.select(metrics.error_reason(F.col("s"), F.col("b"))))] == ["rate_limited", "forbidden", "not_found", "upstream_down", None]
