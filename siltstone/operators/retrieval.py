@@ -26,21 +26,39 @@ def windows(files: DataFrame) -> DataFrame:
     return each.select("path", "start", end.alias("end"), F.when(whole, "file").otherwise("window").alias("kind"))
 
 
+def _regions(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``(path, start, end, kind, symbol)``: symbol spans, each up to where the next begins, and the gaps between."""
+    n = files.select("path", line_count(F.col("text")).alias("_n")).where("_n > 0")
+    w = Window.partitionBy("path").orderBy("start")
+    spans = symbols.where(F.col("end_line").isNotNull()).groupBy("path", F.col("line").cast("long").alias("start")).agg(F.max(F.col("end_line").cast("long")).alias("end"), F.first("name").alias("symbol"))
+    spans = spans.join(n.select("path"), "path", "left_semi").withColumn("end", F.least("end", F.coalesce(F.lead("start").over(w) - 1, F.col("end"))))
+    before = spans.select("path", (F.coalesce(F.lag("end").over(w), F.lit(0)) + 1).alias("start"), (F.col("start") - 1).alias("end"), F.lit(False).alias("_whole"))
+    after = n.join(spans.groupBy("path").agg(F.max("end").alias("_last")), "path", "left").select("path", (F.coalesce("_last", F.lit(0)) + 1).alias("start"), F.col("_n").alias("end"), F.col("_last").isNull().alias("_whole"))
+    file = F.col("_whole") & (F.col("end") <= V.CHUNK_LINES)
+    gaps = before.unionByName(after).where(F.col("start") <= F.col("end")).select("path", "start", "end", F.when(file, "file").otherwise("window").alias("kind"), F.lit(None).cast("string").alias("symbol"))
+    return spans.select("path", "start", "end", F.lit("symbol").alias("kind"), "symbol").unionByName(gaps)
+
+
 def chunks(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
-    """Chunks with text. With an outline, each symbol's span is a chunk, and lines outside all spans stay in windows.
+    """Chunks with text. With an outline, each symbol's span is a chunk, and so are the gaps between; what is over 60
+    lines is cut into windows, and a file of up to 60 lines without spans is one chunk.
 
     Blank bodies are dropped; the text begins with the path and is cut to 2400 characters.
     """
-    cut = windows(files).withColumn("symbol", F.lit(None).cast("string"))
-    if symbols is not None:
-        own = symbols.where(F.col("end_line").isNotNull() & (F.col("end_line") - F.col("line") < V.CHUNK_LINES))
-        spans = own.select("path", F.col("line").cast("long").alias("start"), F.col("end_line").cast("long").alias("end"), F.lit("symbol").alias("kind"), F.col("name").alias("symbol"))
-        covered = spans.select(F.col("path").alias("_p"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-        inside = (F.col("path") == F.col("_p")) & (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e"))
-        cut = cut.join(covered, inside, "left_anti").unionByName(spans)
+    if symbols is None:
+        cut = windows(files).withColumn("symbol", F.lit(None).cast("string"))
+    else:
+        regions = _regions(files, symbols)
+        size = F.col("end") - F.col("start") + 1
+        more = F.ceil((size - V.CHUNK_WINDOW) / V.CHUNK_STRIDE)
+        offsets = F.when(size <= V.CHUNK_LINES, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), (more * V.CHUNK_STRIDE).cast("long"), F.lit(V.CHUNK_STRIDE).cast("long")))
+        each = regions.select("path", "kind", "symbol", F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(offsets).alias("_o"))
+        start = F.col("_s") + F.col("_o")
+        end = F.when(F.col("_e") - F.col("_s") < V.CHUNK_LINES, F.col("_e")).otherwise(F.least(F.col("_e"), start + V.CHUNK_WINDOW - 1))
+        cut = each.select("path", start.alias("start"), end.alias("end"), "kind", "symbol")
     texts = files.select("path", lines(F.col("text")).alias("_all"))
     body = F.array_join(F.slice("_all", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int")), "\n")
-    out = cut.join(texts, "path").withColumn("_body", body).where(F.trim("_body") != "")
+    out = cut.join(texts, "path").withColumn("_body", body).where(F.trim(F.translate("_body", "\n\t", "  ")) != "")
     return out.select("path", "start", "end", "kind", "symbol", F.substring(F.concat_ws("\n", "path", "symbol", "_body"), 1, MAX_CHUNK_CHARS).alias("text"))
 
 

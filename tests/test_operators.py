@@ -88,7 +88,7 @@ def test_shell(spark):
     assert [r[0] for r in values(shell.sort_lines(df, numeric=True), "line")] == ["b", "b", "a", "b", "9 y", "10 x"]
     assert [r[0] for r in values(shell.sort_lines(df, unique=True), "line")] == ["10 x", "9 y", "a", "b"]
     assert [r[0] for r in values(shell.tail(df, 2), "line")] == ["9 y", "b"]
-    assert values(shell.wc(df)) == [(6, 8, 18)]
+    assert values(shell.wc(df)) == [(6, 8, 17)]
     numbered = df.withColumn("line_no", F.col("ord") + 1)
     assert [r[0] for r in values(shell.sed_print(numbered, 4), "line")] == ["a"]
     assert [r[0] for r in values(shell.sed_print(numbered, 5, to_end=True), "line")] == ["9 y", "b"]
@@ -121,3 +121,47 @@ def test_grading_and_reasons(spark):
     assert [r.passed for r in evaluation.graded(df).collect()] == [True, True, False]
     e = spark.createDataFrame([("403", "API rate limit"), ("403", "no"), ("404", ""), ("503", ""), ("200", "")], "s string, b string")
     assert [r[0] for r in values(e.select(metrics.error_reason(F.col("s"), F.col("b"))))] == ["rate_limited", "forbidden", "not_found", "upstream_down", None]
+
+
+def test_snapshot_reader(spark, tmp_path):
+    from siltstone.sources import snapshots
+
+    for name, body in {"src/a.py": "x\ny\n", "node_modules/b.js": "no", "logo.png": "no", "README": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    got = {r.path: (r.size, r.mime, r.lines) for r in snapshots.read_tree(spark, str(tmp_path)).collect()}
+    assert got == {"src/a.py": (4, "text/x-python", 2), "README": (0, "text/plain", 0)}
+
+
+def test_embedding(spark):
+    import numpy as np
+
+    from siltstone.functions import embedding
+
+    vocabulary = {w: i for i, w in enumerate(["const", "a", "##b", "=", "cafe", "日"])}
+    assert embedding.pieces("Const ab= café 日 zzz", vocabulary) == [0, 1, 2, 3, 4, 5]
+    model = embedding.StaticModel.quantized(vocabulary, np.eye(6))
+    df = spark.createDataFrame([("const ab",), ("",), (None,)], "text string")
+    got = [r.embedding for r in embedding.embedded(df, model).collect()]
+    assert abs(sum(x * x for x in got[0]) - 1) < 1e-5 and not any(got[1]) and not any(got[2])
+
+
+def test_stream_equals_batch(spark):
+    from siltstone.streaming import metrics as stream
+
+    d = "/root/testdata/sf0.001"
+    live = stream.replayed(stream.windowed(stream.event_stream(spark, d), "1 hour"), "append")
+    batch = stream.windowed(spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour")
+    assert set(map(tuple, live.collect())) < set(map(tuple, batch.collect()))
+
+
+def test_symbol_chunks_cover_each_line_once(spark):
+    code = samples.sources(spark)
+    got = retrieval.chunks(code, outline.outline(code)).collect()
+    for path, body in samples.SOURCES.items():
+        own = sorted((r.start, r.end) for r in got if r.path == path)
+        covered = [i for a, b in own for i in range(a, b + 1)]
+        assert len(covered) == len(set(covered))
+        assert {i for i, x in enumerate(body.split("\n"), 1) if x.strip()} <= set(covered)
+    assert [r.kind for r in got if r.path == "lib/empty.rb"] == ["file"]
+    assert all(r.text.startswith(r.path) for r in got)
