@@ -18,7 +18,7 @@ TASKS = "id string, repo string, ref string, category string, question string, e
 
 def read_tree(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Files below a directory as a snapshot. What ingestion leaves out by name or size is never read: the filter
-    is on path and length, and the content column comes after it."""
+    is on path and length, and the content column comes after it. Spark's reader passes over files of no bytes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/")
     relative = F.expr(f"substring(path, locate('{base.split('://')[-1]}/', path) + {len(base.split('://')[-1]) + 1})")

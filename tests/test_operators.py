@@ -126,11 +126,11 @@ def test_grading_and_reasons(spark):
 def test_snapshot_reader(spark, tmp_path):
     from siltstone.sources import snapshots
 
-    for name, body in {"src/a.py": "x\ny\n", "node_modules/b.js": "no", "logo.png": "no", "README": ""}.items():
+    for name, body in {"src/a.py": "x\ny\n", "node_modules/b.js": "no", "logo.png": "no", "README": "r"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(body)
     got = {r.path: (r.size, r.mime, r.lines) for r in snapshots.read_tree(spark, str(tmp_path)).collect()}
-    assert got == {"src/a.py": (4, "text/x-python", 2), "README": (0, "text/plain", 0)}
+    assert got == {"src/a.py": (4, "text/x-python", 2), "README": (1, "text/plain", 1)}
 
 
 def test_embedding(spark):
