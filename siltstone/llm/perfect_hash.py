@@ -82,6 +82,8 @@ class Shards:
     def count(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Counts of keys; 0 for what no shard here has."""
         out = np.zeros(len(h1), np.int64)
+        if not len(h1):
+            return out
         shard = shard_of(h1, self.n_shards)
         order = np.argsort(shard, kind="stable")
         found, first = np.unique(shard[order], return_index=True)

@@ -33,6 +33,8 @@ class RepeatFilter:
 
 def dealt(rows: np.ndarray, bucket: np.ndarray, kind: int) -> list[tuple[int, int, bytes]]:
     """The rows of each bucket as one blob."""
+    if not len(rows):
+        return []
     order = np.argsort(bucket, kind="stable")
     rows, bucket = rows[order], bucket[order]
     found, first = np.unique(bucket, return_index=True)
