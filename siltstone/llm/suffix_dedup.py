@@ -224,7 +224,7 @@ def _flag_lists(flags: DataFrame, name: str) -> DataFrame:
             rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), _FLAG)
             rows = rows[np.lexsort((rows["run"], rows["sum"], rows["doc"]))]
             first = np.flatnonzero(_starts(rows, "doc", "sum"))
-            each = [rows["run"][a:b].tobytes() for a, b in zip(first, [*first[1:], len(rows)], strict=True)]
+            each = [x.tobytes() for x in np.split(rows["run"], first[1:])] if len(rows) else []
             yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][first]), pa.array(rows["sum"][first]), pa.array(each, pa.binary())], names=["_doc", "_sum", name])
 
     parts = flags.select("rows").mapInArrow(lists, f"_doc long, _sum int, {name} binary")
@@ -245,7 +245,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         raise ValueError("length must be at least 64 bytes")
     spark = docs.sparkSession
     own_id, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(own_id.alias("_doc"), F.hash(text).alias("_sum"), text.alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_id"), own_id.alias("_doc"), F.hash(text).alias("_sum"), text.alias("_text"))
     _, n_bytes = text_size(docs, text_col)
     expected = max(1, n_bytes * 2 // (length - GRAM + 2))
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected * _ROW.itemsize // BUCKET_BYTES))
@@ -275,10 +275,11 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         blobs = dealt(flags, _bucket_of_doc(flags["doc"], n_buckets), 0)
         return pa.table({"rows": pa.array([b[2] for b in blobs], pa.binary())})
 
-    checked = texts.join(on, ["_doc", "_sum"]).mapInArrow(cores, DEALT).groupBy("bucket").applyInArrow(windows, "rows binary")
+    # Both joins ask for the same columns of the texts, so that one shuffle of them serves both.
+    open_ = texts.join(on, ["_doc", "_sum"]).select("_doc", "_sum", "_text", "_check", "_id")
+    checked = open_.mapInArrow(cores, DEALT).groupBy("bucket").applyInArrow(windows, "rows binary")
     singles = _flag_lists(checked, "_windows")
-    rows = docs.select(F.col(id_col).alias("_id"), own_id.alias("_doc"), F.hash(text).alias("_sum"), text.alias("_text"))
-    rows = rows.join(later, ["_doc", "_sum"], "left").join(singles, ["_doc", "_sum"], "left").select("_id", "_text", "_later", "_windows")
+    rows = texts.join(later, ["_doc", "_sum"], "left").join(singles, ["_doc", "_sum"], "left").select("_id", "_text", "_later", "_windows")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
