@@ -66,3 +66,17 @@ CHUNK_LINES, CHUNK_WINDOW, CHUNK_STRIDE = 60, 40, 30
 # fixed values: request metrics
 SLOW_MS = 5000
 LATENCY_EDGES = [50, 100, 250, 500, 1000, 2500, 5000]
+
+# fixed values: words of a question that say nothing about where its answer is
+QUESTION_STOP_WORDS = (
+    "the a an of in on at to for from with and or not is are was were be been being this that these those it its which what where when who whom whose how why does do did "
+    "file files function functions class classes method methods define defined defines definition declare declared declares export exported exports import imports implement implements implemented "
+    "implementation contains contain containing has have had use uses used using set sets get gets returns return returning called call calls name named line lines path repo repository code source "
+    "main root inside under near top bottom string literal value values field fields type types there here into onto via by as if then else than also just only any all some each every one two "
+    "exact exactly full relative answer question about find where's whats what's i we you they them their handles handle handling logic responsible config configuration middleware component module package "
+    "directory folder dir list listing"
+).split()
+
+# fixed values: seconds that a resolved reference stays fresh, and may then be served stale, by kind
+FRESHNESS = {"sha": (31_536_000, 0), "tag": (86_400, 604_800), "branch": (300, 3_600), "default": (300, 3_600)}
+INGEST_STALE_SECONDS = 180

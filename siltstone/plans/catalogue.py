@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import paths as P
+from siltstone.functions.questions import question_parts, repository_parts
 from siltstone.functions.text import line_count
 from siltstone.functions.values import STOP_WORDS
 from siltstone.operators import evaluation as E
@@ -22,6 +23,7 @@ from siltstone.operators import shell as S
 from siltstone.plans import samples
 from siltstone.plans.fixtures import FILES_SQL, REQUESTS_SQL, files, requests, table
 from siltstone.streaming import metrics as K
+from siltstone.streaming.throttle import throttled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -710,3 +712,19 @@ def stream_session(spark, d):
 def stream_late(spark, d):
     """Append mode: a window comes out once the watermark has passed it, later rows for it are dropped."""
     return K.replayed(K.windowed(K.event_stream(spark, d), "1 hour"), "append")
+
+
+@query()
+def stream_throttle(spark, d):
+    return K.replayed(throttled(K.event_stream(spark, d), "user_id", seconds=3600, limit=2), "append")
+
+
+@query()
+def questions(spark, d):
+    return samples.asked(spark).select("question", question_parts(F.col("question")).alias("q")).select("question", "q.*")
+
+
+@query(r"""SELECT page_id, CASE WHEN h <> '' AND n <> '' THEN h ELSE '-' END AS owner, CASE WHEN h <> '' AND n <> '' THEN n ELSE '-' END AS repo
+    FROM (SELECT page_id, regexp_extract(p, '^([A-Za-z0-9_.-]+)/', 1) AS h, regexp_replace(regexp_extract(p, '^[^/]+/([A-Za-z0-9_.-]+)', 1), '\.git$', '') AS n FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]+/', '') AS p FROM pages))""")
+def repository_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", repository_parts(F.col("url")).alias("r")).select("page_id", "r.owner", "r.repo")

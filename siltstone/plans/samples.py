@@ -25,3 +25,10 @@ def sources(spark: SparkSession) -> DataFrame:
 
 def agents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(AGENTS, "agent string, ref string, query string")
+
+
+QUESTIONS = ["Where is `max_retries = 3` set in parseConfig?", 'which file has "hello world" and src/util/math.ts', "how are snapshots evicted after seven days", "", "MAX_SIZE of HttpClient's buffer_pool"]
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(q,) for q in QUESTIONS], "question string")

@@ -165,3 +165,36 @@ def test_symbol_chunks_cover_each_line_once(spark):
         assert {i for i, x in enumerate(body.split("\n"), 1) if x.strip()} <= set(covered)
     assert [r.kind for r in got if r.path == "lib/empty.rb"] == ["file"]
     assert all(r.text.startswith(r.path) for r in got)
+
+
+def test_question_parts(spark):
+    from siltstone.functions.questions import question_parts
+
+    got = [r[0] for r in samples.asked(spark).select(question_parts(F.col("question"))).collect()]
+    assert (got[0].literals, got[0].identifiers, got[0].words) == (["max_retries = 3"], ["parseConfig"], [])
+    assert (got[1].literals, got[1].identifiers) == (["hello world"], ["src/util/math.ts"])
+    assert got[2].words == ["snapshots", "evicted", "after", "seven", "days"]
+    assert got[3] == ([], [], [])
+
+
+def test_repository_parts(spark):
+    from siltstone.functions.questions import freshness, repository_parts
+
+    paths = ["/o/r", "/o/r.git@v1.2/file/x", "https://host.com/o/r/tree/main/src", "/only", "/o/b@d!x"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = [tuple(r[0]) for r in df.select(repository_parts(F.col("p"))).collect()]
+    assert got[:3] == [("o", "r", None, ""), ("o", "r", "v1.2", "file/x"), ("o", "r", "main", "src")]
+    assert got[3][:2] == ("-", "-")
+    ages = spark.createDataFrame([("tag", 10), ("branch", 301), ("branch", 4000), ("sha", 9999)], "k string, a long")
+    assert [r[0] for r in ages.select(freshness(F.col("k"), F.col("a"))).collect()] == ["fresh", "stale", "expired", "fresh"]
+
+
+def test_stream_throttle(spark):
+    from siltstone.plans.catalogue import QUERIES
+
+    got = QUERIES["stream_throttle"](spark, "/root/testdata/sf0.001").toPandas()
+    assert len(got) == 1000
+    for _, own in got[got.allowed].groupby("user_id"):
+        times = sorted(own.ts.astype("int64") // 1000)
+        assert all(c - a >= 3_600_000_000 for a, c in zip(times, times[2:]))
+    assert (got[~got.allowed].retry_after > 0).all()
