@@ -23,7 +23,7 @@ KEEP_SCORE = 0.3
 URL_RULES = [UrlRule("block", "net"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
 MIX = Target(entropy=0.95, repeats=4.0)
 #: At most so many rows go to a Python worker at once.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
