@@ -9,6 +9,7 @@ discarded. Equal sets are one row of the matrix from the start.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ COUNTERS = 1 << 18
 #: Rows of the matrix in a block.
 BLOCK_ROWS = 512
 COLUMNS = 4096
+#: Columns of the coarse product: n-grams by the first eight bits of their hash.
+COARSE = 256
 #: Rounds in which documents take the smallest label of those they share a prefix n-gram with.
-LABEL_ROUNDS = 2
+LABEL_ROUNDS = 3
 BUCKET_BYTES = 32 << 20
 
 
@@ -51,31 +54,54 @@ def _counter(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(23)).astype(np.int64) & (COUNTERS - 1)
 
 
+def _bins(s: np.ndarray) -> bytes:
+    """How many of a set's n-grams fall into each of the coarse columns."""
+    n = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=COARSE)
+    return n.astype(np.uint16 if n.max() < 1 << 16 else np.uint32).tobytes()
+
+
 def least_overlap(size: np.ndarray | int, numerator: int, denominator: int):
     """The smallest overlap that a set of this size needs with any set at all."""
     return -(-numerator * size // denominator)
 
 
+def size_class(size: int, numerator: int, denominator: int) -> int:
+    """Sets of similar size, as a link needs, are of one class or of neighbouring ones."""
+    width = math.log(denominator / numerator) * 1.000001
+    return int(math.log(size) / width) if width else size
+
+
+def _keys(prefixes: list[np.ndarray], owners: list[tuple[int, int, int]], numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where links can be found: each prefix n-gram with the set's size class, and with the next; and whose it is."""
+    if not prefixes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    n = [len(x) for x in prefixes]
+    gram, owner = np.concatenate(prefixes), np.repeat(np.arange(len(owners)), n)
+    own = np.repeat(np.array([size_class(o[2], numerator, denominator) for o in owners], np.uint64), n)
+    return np.concatenate([kernels.mix(gram + kernels.mix(own + np.uint64(k))) for k in (1, 2)]), np.concatenate([owner, owner])
+
+
 def document_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc, size, h1, h2)`` for every row, and rows ``(buckets, counts)`` with each task's n-gram counts."""
+    """``(doc, size, h1, h2, bins)`` for every row, and rows ``(buckets, counts)`` with each task's n-gram counts."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            sizes, h1, h2 = [], [], []
+            sizes, h1, h2, bins = [], [], [], []
             for s in _sets(batch.column(1), n):
                 np.add.at(counts, _counter(s), 1)
                 a, b = _signature(s)
                 sizes.append(len(s))
                 h1.append(a)
                 h2.append(b)
+                bins.append(_bins(s))
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bins, pa.binary()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int64()))], names=names)
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(),) * 4] + [pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[some]], pa.list_(pa.int64()))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(),) * 4 + (pa.binary(),)] + [pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[some]], pa.list_(pa.int64()))], names=names)
 
-    names = ["doc", "size", "h1", "h2", "buckets", "counts"]
-    return docs.mapInArrow(measure, "doc long, size long, h1 long, h2 long, buckets array<int>, counts array<long>")
+    names = ["doc", "size", "h1", "h2", "bins", "buckets", "counts"]
+    return docs.mapInArrow(measure, "doc long, size long, h1 long, h2 long, bins binary, buckets array<int>, counts array<long>")
 
 
 def n_gram_counts(measured: DataFrame) -> np.ndarray:
@@ -112,21 +138,19 @@ def _prefixes(batch: pa.RecordBatch, n: int, counts: np.ndarray, numerator: int,
 
 
 def postings(docs: DataFrame, n: int, counts: np.ndarray, numerator: int, denominator: int, expected: int, n_buckets: int) -> DataFrame:
-    """``(h, doc)``: prefix n-grams that different sets share; ``doc`` is the smallest document of a set."""
+    """``(h, doc)``: keys of prefix n-gram and size class that different sets share; ``doc`` is the smallest document of a set."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def keys(batch: pa.RecordBatch) -> np.ndarray:
-        found, _ = _prefixes(batch, n, sent.value, numerator, denominator)
-        return kernels.mix(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        return _keys(*_prefixes(batch, n, sent.value, numerator, denominator), numerator, denominator)[0]
 
-    repeated = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, keys, expected, n_buckets))
+    repeated = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, keys, 2 * expected, n_buckets))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, owners = _prefixes(batch, n, sent.value, numerator, denominator)
-            h = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(owners)), [len(x) for x in found])
-            some = np.flatnonzero(repeated.value.passes(kernels.mix(h)))
+            h, owner = _keys(found, owners, numerator, denominator)
+            some = np.flatnonzero(repeated.value.passes(h))
             doc, signature = (np.array([o[k] for o in owners], np.int64)[owner[some]] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(signature), pa.array(doc)], names=["h", "sig", "doc"])
 
@@ -210,22 +234,66 @@ def block_links(docs: np.ndarray, sets: list[np.ndarray], numerator: int, denomi
     return [(int(docs[r]), int(docs[i])) for i in range(len(docs)) if (r := forest.root(i)) != i]
 
 
-def _tile_links(tiles: DataFrame, numerator: int, denominator: int, n_buckets: int) -> DataFrame:
-    """``tiles`` has ``(tile, doc, grams)``; a tile is small, and many share a task."""
+def may_link(bins: np.ndarray, numerator: int, denominator: int) -> np.ndarray:
+    """Which rows have a partner whose overlap, bounded by the coarse columns, is enough for their sizes."""
+    size, out = bins.sum(axis=1), np.zeros(len(bins), bool)
+    for i in range(len(bins) - 1):
+        near = i + 1 + np.flatnonzero((denominator * size[i + 1 :] >= numerator * size[i]) & (denominator * size[i] >= numerator * size[i + 1 :]))
+        most = np.minimum(bins[near], bins[i]).sum(axis=1)
+        found = near[denominator * most >= numerator * (size[near] + size[i] - most)]
+        out[found] = True
+        out[i] |= len(found) > 0
+    return out
+
+
+def _runs(tile: np.ndarray) -> list[tuple[int, int]]:
+    first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1])) if len(tile) else np.zeros(0, np.int64)
+    return list(zip(first.tolist(), [*first[1:].tolist(), len(tile)][: len(first)], strict=True))
+
+
+def _coarse(tiles: DataFrame, bins: DataFrame, numerator: int, denominator: int, n_buckets: int) -> DataFrame:
+    """Of the ``(tile, doc)`` rows those that the coarse product can't discard."""
+
+    def keep(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("tile")
+        tile, doc, raw = table["tile"].to_numpy(), table["doc"].to_numpy(), table["bins"]
+        kept = np.zeros(len(tile), bool)
+        for a, b in _runs(tile):
+            if b - a > 1:
+                own = [x.as_py() for x in raw[a:b]]
+                kept[a:b] = may_link(np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * COARSE else np.uint32) for x in own]).astype(np.int64), numerator, denominator)
+        return pa.table({"tile": tile[kept], "doc": doc[kept]})
+
+    rows = tiles.join(bins, "doc").select("tile", "doc", "bins").withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(n_buckets)))
+    return rows.groupBy("bucket").applyInArrow(keep, "tile long, doc long")
+
+
+def _tile_links(tiles: DataFrame, texts: DataFrame, n: int, numerator: int, denominator: int, n_buckets: int) -> DataFrame:
+    """Links in tiles of ``(tile, doc)``. A text goes over the network once, its set to each of its tiles; tiles are
+    small, and many share a task."""
+
+    def dealt_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tile, grams = [], [], []
+            for d, tiles_, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _sets(batch.column(1), n), strict=True):
+                doc += [d] * len(tiles_)
+                tile += tiles_
+                grams += [s.tobytes()] * len(tiles_)
+            yield pa.RecordBatch.from_arrays([pa.array(tile, pa.int64()), pa.array(doc, pa.int64()), pa.array(grams, pa.binary())], names=["tile", "doc", "grams"])
 
     def link(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("tile")
-        tile, doc = table["tile"].to_numpy(), table["doc"].to_numpy()
-        grams = table["grams"]
-        first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        tile, doc, grams = table["tile"].to_numpy(), table["doc"].to_numpy(), table["grams"]
         found: list[tuple[int, int]] = []
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(tile)], strict=True):
+        for a, b in _runs(tile):
             if b - a > 1:
                 found += block_links(doc[a:b], [np.frombuffer(x.as_buffer(), np.uint64) for x in grams[a:b]], numerator, denominator)
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return tiles.withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(n_buckets))).groupBy("bucket").applyInArrow(link, "a long, b long")
+    of_doc = tiles.groupBy("doc").agg(F.collect_set("tile").alias("tiles"))
+    dealt = texts.join(of_doc, "doc").select("doc", "text", "tiles").mapInArrow(dealt_sets, "tile long, doc long, grams binary")
+    return dealt.withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(n_buckets))).groupBy("bucket").applyInArrow(link, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,29 +323,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denomin
     nodes = labels.join(size, "label").select("doc", "label", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), "parts")
     nodes = written(nodes.withColumn("block", F.xxhash64("label", "part")), "nodes")
 
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = pa.array([s.tobytes() for s in _sets(batch.column(1), n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], grams], names=["doc", "label", "part", "parts", "block", "grams"])
+    bins = measured.where("size > 0").select("doc", "bins")
+
+    def found(tiles: DataFrame, name: str) -> DataFrame:
+        near = written(_coarse(tiles, bins, numerator, denominator, n_buckets), f"near-{name}")
+        return written(_tile_links(near, rows, n, numerator, denominator, n_buckets), f"links-{name}")
 
-    sets = rows.join(nodes, "doc").select("doc", "text", "label", "part", "parts", "block")
-    sets = written(sets.mapInArrow(with_sets, "doc long, label long, part long, parts long, block long, grams binary"), "matrix")
     # A label's own document goes into each of its blocks, and so ties together what is like it.
-    hub = sets.where((F.col("doc") == F.col("label")) & (F.col("parts") > 1))
-    hub = hub.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.xxhash64("label", "part").alias("tile"), "doc", "grams")
-    inside = sets.select(F.col("block").alias("tile"), "doc", "grams").unionByName(hub)
-    links = written(_tile_links(inside, numerator, denominator, n_buckets), "links-inside")
+    hub = nodes.where((F.col("doc") == F.col("label")) & (F.col("parts") > 1))
+    hub = hub.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.xxhash64("label", "part").alias("tile"), "doc")
+    links = found(nodes.select(F.col("block").alias("tile"), "doc").unionByName(hub).distinct(), "inside")
     joined = written(components(links), "components-inside")
 
-    # Across blocks, only n-grams that more than one component and block still share can bring a new link.
-    placed = shared.join(nodes.select("doc", "block"), "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("h", "block", F.coalesce("component", "doc").alias("component"))
+    # Across blocks, only keys that more than one component and block still share can bring a new link, and only
+    # between the documents that share them.
+    placed = shared.join(nodes.select("doc", "block"), "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "block", F.coalesce("component", "doc").alias("component"))
     open_ = placed.groupBy("h").agg(F.min("block").alias("b0"), F.max("block").alias("b1"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("b0 <> b1 AND c0 <> c1").select("h")
-    left = written(placed.join(open_, "h").groupBy("h", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1")), "blocks-open")
+    placed = written(placed.join(open_, "h"), "open")
+    left = placed.groupBy("h", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     right = left.select("h", F.col("block").alias("other"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     # two blocks that hold one component, the same, have nothing left to find
-    meet = left.join(right, "h").where("block < other AND NOT (c0 = c1 AND d0 = d1 AND c0 = d0)").select("block", "other").distinct()
-    ends = meet.select(F.xxhash64("block", "other").alias("tile"), F.explode(F.array("block", "other")).alias("block"))
-    across = written(_tile_links(ends.join(sets.select("block", "doc", "grams"), "block").select("tile", "doc", "grams"), numerator, denominator, n_buckets), "links-across")
+    meet = left.join(right, "h").where("block < other AND NOT (c0 = c1 AND d0 = d1 AND c0 = d0)")
+    ends = meet.select("h", F.xxhash64("block", "other").alias("tile"), F.explode(F.array("block", "other")).alias("block"))
+    tiles = ends.join(placed.select("h", "block", "doc"), ["h", "block"]).select("tile", "doc").distinct()
+    across = found(tiles, "across")
     final = components(links.unionByName(across)) if across.limit(1).count() else joined
 
     members = measured.where("buckets IS NULL").select("doc", "size", "h1", "h2")
