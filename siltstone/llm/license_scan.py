@@ -172,7 +172,8 @@ def license_scan(docs: DataFrame, text_col: str = "text", rules: list[Signature]
     rows = docs.select(*names, F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), words.alias("_words"))
     places = F.when(F.col("_words").isNotNull(), _let(F.col("_words"), lambda w: F.array(*[_places(w, p) for p in PHRASES])))
     rows = rows.select(*names, "n_words", places.alias("_places"), F.when(F.col("_words").isNotNull(), F.concat(F.lit(" "), F.concat_ws(" ", "_words"), F.lit(" "))).alias("_joined"))
-    rows = rows.withColumn("_key", F.sha2("_joined", 256))
+    # A row that the gate stops has a key of its own, so that such rows don't meet in one task of the join.
+    rows = rows.withColumn("_key", F.coalesce(F.sha2("_joined", 256), F.concat(F.lit("-"), F.monotonically_increasing_id())))
     texts = rows.where(F.col("_joined").isNotNull()).select("_key", "_joined").dropDuplicates(["_key"])
     of_text = detections(texts, rules).groupBy("_key").agg(F.collect_set("label").alias("_found"), F.max(_confidence()).alias("_score"))
 

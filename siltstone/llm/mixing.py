@@ -14,7 +14,7 @@ from siltstone.llm.storage import written
 #: Halvings that one pass over the source table settles, and passes.
 HALVINGS, PASSES = 4, 8
 #: A source is dealt into blocks of about so many tokens, and into so many blocks at most.
-BLOCK_TOKENS, MOST_BLOCKS = 1 << 20, 1 << 16
+BLOCK_TOKENS, MOST_BLOCKS = 1 << 18, 1 << 16
 
 
 @dataclass(frozen=True)

@@ -92,31 +92,46 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     ]
 
 
-def ordered_rules(docs: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejected share per second of work, both estimated on at most ``sample_rows`` rows a partition.
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` rows for estimates; each partition is read until it has given as many."""
+    return docs.sample(fraction=0.1, seed=11).limit(rows)
 
-    Only the order, and so the work, depends on the sample; the verdicts do not.
+
+def ordered_rules(sample: DataFrame, rules: list[Rule], repeats: int = 50) -> list[Rule]:
+    """The rules by rejected share per second of work, both estimated on the sample.
+
+    A rule is timed on ``repeats`` copies of each row, less the time that the copies alone take. Only the
+    order, and so the work, depends on the estimates; the verdicts do not.
     """
-    sample = docs.sample(fraction=0.1, seed=11).limit(sample_rows).cache()
+    sample = sample.cache()
     try:
-        n = max(1, sample.count())
+        n = max(1, sample.count()) * repeats
+        copies = sample.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+
+        def timed(test: Column) -> tuple[float, int]:
+            began = time.perf_counter()
+            rejected = copies.agg(F.coalesce(F.sum(F.when(test & (F.col("_copy") > 0), 1)), F.lit(0))).first()[0]
+            return time.perf_counter() - began, rejected
+
+        timed(F.lit(True))
+        idle, _ = timed(F.lit(True))
         rates = []
         for rule in rules:
-            began = time.perf_counter()
-            rejected = sample.agg(F.coalesce(F.sum(F.when(rule.fails, 1)), F.lit(0))).first()[0]
-            rates.append((rejected / n + 1e-9) / (time.perf_counter() - began))
+            seconds, rejected = timed(rule.fails)
+            rates.append((rejected / n + 1e-9) / max(seconds - idle, 1e-4))
     finally:
         sample.unpersist()
     return [rule for _, rule in sorted(zip(rates, rules, strict=True), key=lambda x: -x[0])]
 
 
-def quality_cascade(docs: DataFrame, rules: list[Rule], first: Rule | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_cascade(docs: DataFrame, rules: list[Rule], first: Rule | None = None, sample: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``failed_rule``: the first rule in the cascade's order that a row fails, else null.
 
     ``first``, if given, goes before the others. A later rule isn't evaluated for a row that has failed.
-    A row is kept where ``failed_rule`` is null, which doesn't depend on the order. An empty table stays empty.
+    ``sample`` has the columns that the rules read; without it, one is taken from ``docs``. A row is kept where
+    ``failed_rule`` is null, which doesn't depend on the order. An empty table stays empty.
     """
-    order = ([first] if first else []) + ordered_rules(docs, rules, sample_rows)
+    order = ([first] if first else []) + ordered_rules(sampled(docs) if sample is None else sample, rules)
     verdict = F.lit(None).cast("string")
     for rule in reversed(order):
         verdict = F.when(F.coalesce(rule.fails, F.lit(False)), F.lit(rule.name)).otherwise(verdict)
@@ -125,6 +140,6 @@ def quality_cascade(docs: DataFrame, rules: list[Rule], first: Rule | None = Non
 
 def quality_rules(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with the measures, ``failed_rule`` and ``base_failed, kept`` (boolean); equal names are replaced."""
-    rows = measured(docs, text_col)
-    out = quality_cascade(rows, default_rules(text_col), Rule("base", base_rule()), sample_rows)
+    sample = measured(sampled(docs, sample_rows), text_col)
+    out = quality_cascade(measured(docs, text_col), default_rules(text_col), Rule("base", base_rule()), sample)
     return out.withColumns({"base_failed": F.coalesce(base_rule(), F.lit(False)), "kept": F.col("failed_rule").isNull()})

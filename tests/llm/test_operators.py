@@ -17,7 +17,7 @@ from siltstone.llm.license_scan import Signature, license_scan, signatures  # no
 from siltstone.llm.line_dedup import line_dedup  # noqa: E402
 from siltstone.llm.mixing import Target, mix, mixing_weights  # noqa: E402
 from siltstone.llm.perfect_hash import Shards, shard_arrays  # noqa: E402
-from siltstone.llm.quality_rules import Rule, quality_cascade, quality_rules  # noqa: E402
+from siltstone.llm.quality_rules import Rule, ordered_rules, quality_cascade, quality_rules  # noqa: E402
 from siltstone.llm.suffix_dedup import suffix_dedup  # noqa: E402
 from siltstone.llm.token_counts import token_counts  # noqa: E402
 from siltstone.llm.url_filter import UrlRule, url_filter  # noqa: E402
@@ -81,14 +81,20 @@ def test_quality_rules(spark):
 
 def test_cascade_stops_at_the_first_failure(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 10)
-    rules = [Rule("boom", F.raise_error("evaluated").isNull() & F.lit(False))]
-    got = quality_cascade(df.where("v > 0"), [Rule("all", F.col("v") > 0)], sample_rows=10)
+    got = quality_cascade(df.where("v > 0"), [Rule("all", F.col("v") > 0)])
     assert {r.failed_rule for r in got.collect()} == {"all"}
-    first = Rule("first", F.lit(True))
-    lazy = df.withColumn("failed_rule", F.when(first.fails, first.name).when(rules[0].fails, "boom"))
+    boom = Rule("boom", F.raise_error("evaluated").isNotNull())
+    lazy = quality_cascade(df, [boom], first=Rule("first", F.col("v") >= 0), sample=df.limit(0))
     assert {r.failed_rule for r in lazy.collect()} == {"first"}
 
 
+def test_cascade_puts_cheap_strict_rules_first(spark):
+    df = spark.range(400).withColumn("text", F.repeat(F.lit("word "), 400))
+    slow = Rule("slow", F.size(F.filter(F.split("text", " "), lambda w: w.rlike("x.*y"))) > 0)
+    order = ordered_rules(df, [slow, Rule("never", F.col("id") < 0), Rule("strict", F.col("id") >= 0)])
+    assert order[0].name == "strict"
+
+
 def test_token_counts(spark):
     tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
