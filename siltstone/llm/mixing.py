@@ -30,11 +30,16 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def _sum(x: Column) -> Column:
+    """A sum that doesn't depend on the order of rows, for values relative to a largest one of 1."""
+    return F.sum(x.cast("decimal(38, 18)")).cast("double")
+
+
 def _measures(sources: DataFrame, exponents: list[float], budget: float) -> dict[float, tuple[float, float]]:
     """Entropy and most repeats of the weights for each exponent; ``share`` is relative to the largest source."""
     each = sources.select("tokens", "share", F.explode(F.array(*[F.lit(float(x)) for x in exponents])).alias("x"))
     power = F.pow("share", F.col("x"))
-    sums = each.groupBy("x").agg(F.sum(power).alias("z"), F.sum(power * F.log(power)).alias("s"), F.max(power / F.col("tokens")).alias("m"))
+    sums = each.groupBy("x").agg(_sum(power).alias("z"), _sum(power * F.log(power)).alias("s"), F.max(power / F.col("tokens")).alias("m"))
     return {r["x"]: (math.log(r["z"]) - r["s"] / r["z"], r["m"] / r["z"] * budget) for r in sums.collect()}
 
 
@@ -83,7 +88,7 @@ def mixing_weights(docs: DataFrame, target: Target, budget: int | None, source_c
     sources = sources.withColumn("share", F.col("tokens") / F.lit(float(top["most"])))
     exponent = find_exponent(sources, target, float(budget))
     power = F.pow("share", F.lit(exponent))
-    z = sources.agg(F.sum(power)).first()[0]
+    z = sources.agg(_sum(power)).first()[0]
     out = sources.withColumn("weight", power / F.lit(z)).withColumn("source_budget", F.col("weight") * F.lit(float(budget)))
     out = out.withColumn("passes", F.floor(F.col("source_budget") / F.col("tokens")))
     return out.withColumn("rest", F.col("source_budget") - F.col("passes") * F.col("tokens")).drop("share")

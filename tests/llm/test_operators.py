@@ -224,6 +224,12 @@ def test_mixing_weights(spark):
     assert max(r.source_budget / r.tokens for r in limited) == pytest.approx(2.0, rel=1e-6)
 
 
+def test_mixing_weights_do_not_depend_on_the_order_of_rows(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 97) AS source", "(id * id) % 1013 + 1 AS n_tokens")
+    plans = [{r.source: r.asDict() for r in mixing_weights(d, Target(entropy=0.999, repeats=None), None, "source", "n_tokens").collect()} for d in (docs, docs.repartition(13), docs.orderBy(F.desc("doc_id")))]
+    assert plans[0] == plans[1] == plans[2] and len(plans[0]) == 97
+
+
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_mix_is_whole_passes_and_a_part(spark, block):
     data = [(i, "big" if i < 600 else "small" if i < 650 else None, 5 + i % 7) for i in range(700)] + [(800, "small", 0), (801, "small", None)]
