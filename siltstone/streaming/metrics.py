@@ -7,12 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.storage import is_folder
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Watermarks need a timestamp with a zone; the session's is UTC by contract."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    """Watermarks need a timestamp with a zone; the session's is UTC by contract.
+
+    A table of part files is a folder and streamed as one. A stream's source can't be a single file, so that is
+    picked by name out of its own folder, not out of those below.
+    """
+    source, table = spark.readStream.schema(EVENTS), f"{sf_dir}/events.parquet"
+    raw = source.parquet(table) if is_folder(spark, table) else source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

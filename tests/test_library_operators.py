@@ -198,3 +198,20 @@ def test_stream_throttle(spark):
         times = sorted(own.ts.astype("int64") // 1000)
         assert all(c - a >= 3_600_000_000 for a, c in zip(times, times[2:]))
     assert (got[~got.allowed].retry_after > 0).all()
+
+
+def test_streams_read_the_whole_table(spark, tmp_path):
+    from siltstone.plans.catalogue import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{d}/events.parquet")
+    events.repartition(5).write.parquet(f"{tmp_path}/parts/events.parquet")
+    (tmp_path / "single").mkdir()
+    (tmp_path / "single/events.parquet").write_bytes(open(f"{d}/events.parquet", "rb").read())
+    events.write.parquet(f"{tmp_path}/single/older/events.parquet")
+    (tmp_path / "single/copy").mkdir()
+    (tmp_path / "single/copy/events.parquet").write_bytes(open(f"{d}/events.parquet", "rb").read())
+    for name, column, own in (("stream_tumbling", "n", 1), ("stream_sliding", "n", 4), ("stream_throttle", None, 1)):
+        for folder in ("parts", "single"):
+            got = QUERIES[name](spark, str(tmp_path / folder))
+            assert (got.agg(F.sum(column)).first()[0] if column else got.count()) == own * events.count(), (name, folder)
