@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (as in local tests) a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}").rstrip("/")
+from siltstone.sources.storage import shared_folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,11 +1,34 @@
-"""Paths as Spark's own readers see them."""
+"""Paths as Spark's own readers see them, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only where that is unset (as in local tests) a folder of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}").rstrip("/")
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is a folder; an error where there is nothing."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    store, at = _at(spark, path)
+    return store.getFileStatus(at).isDirectory()
+
+
+def new_folder(spark: SparkSession, name: str, below: str | None = None) -> str:
+    """An empty folder below ``below``, else below ``siltstone/`` in the shared folder."""
+    path = f"{below or f'{shared_folder(spark)}/siltstone'}/{name}-{uuid.uuid4().hex}"
+    store, at = _at(spark, path)
+    store.mkdirs(at)
+    return path

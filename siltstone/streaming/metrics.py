@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.sources.storage import is_folder
+from siltstone.sources.storage import is_folder, new_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -24,11 +22,16 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replayed(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all there is now; the result is a small aggregate, so it's kept as a table in memory."""
-    name = f"replay_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all there is now, into a Parquet table in the shared folder, with its checkpoint beside it."""
+    spark = stream.sparkSession
+    folder = new_folder(spark, "replay")
+    rows = new_folder(spark, "rows", folder)  # a stream without any file writes nothing
+    if mode == "append":
+        appended_log(stream, rows, f"{folder}/checkpoint")
+    else:
+        whole = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
+        whole.option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(rows)
 
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

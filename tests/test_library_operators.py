@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -215,3 +217,19 @@ def test_streams_read_the_whole_table(spark, tmp_path):
         for folder in ("parts", "single"):
             got = QUERIES[name](spark, str(tmp_path / folder))
             assert (got.agg(F.sum(column)).first()[0] if column else got.count()) == own * events.count(), (name, folder)
+
+
+def test_replays_stay_off_the_driver(spark, tmp_path):
+    from siltstone.sources.storage import shared_folder
+    from siltstone.streaming import metrics as stream
+
+    own = f"{shared_folder(spark)}/siltstone/replay-".removeprefix("file://")
+    events = stream.event_stream(spark, "/root/testdata/sf0.001")
+    for live, mode in ((stream.sessions(events), "append"), (stream.windowed(events, "1 hour"), "complete")):
+        got = stream.replayed(live, mode)
+        parts = [f.removeprefix("file://") for f in got.inputFiles()]
+        assert parts and all(f.startswith(own) for f in parts) and got.dtypes == live.dtypes
+        assert os.path.isdir(f"{os.path.dirname(os.path.dirname(parts[0]))}/checkpoint/state")
+    (tmp_path / "events.parquet").mkdir()
+    none = stream.sessions(stream.event_stream(spark, str(tmp_path)))
+    assert stream.replayed(none, "append").count() == 0
