@@ -55,10 +55,10 @@ def choice(rows: DataFrame, keys: list[str], logit: str = "logit") -> DataFrame:
     return rows.withColumn("_e", e).withColumn("p", F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
-def rerank(matches: DataFrame, scorer: Scorer, text_col: str = "text", most: int = 160) -> DataFrame:
-    """The first matches by relevance, then path and line."""
-    first = matches.orderBy("path", "line").limit(most)
-    return first.withColumn("relevance", F.round(probability(scorer(F.col(text_col))), 3)).orderBy(F.desc("relevance"), "path", "line")
+def rerank(matches: DataFrame, scorer: Scorer, text_col: str = "text", most: int | None = None) -> DataFrame:
+    """All matches by relevance, then path and line; of a short report the best ``most``, once all are scored."""
+    ranked = matches.withColumn("relevance", F.round(probability(scorer(F.col(text_col))), 3)).orderBy(F.desc("relevance"), "path", "line")
+    return ranked if most is None else ranked.limit(most)
 
 
 def classify(rows: DataFrame, labels: dict[str, Scorer], id_col: str, text_col: str = "text") -> DataFrame:

@@ -233,3 +233,12 @@ def test_replays_stay_off_the_driver(spark, tmp_path):
     (tmp_path / "events.parquet").mkdir()
     none = stream.sessions(stream.event_stream(spark, str(tmp_path)))
     assert stream.replayed(none, "append").count() == 0
+
+
+def test_rerank_judges_all_matches(spark):
+    rows = [(f"f{i:03}", 1, "license") for i in range(300)] + [("z", 7, "apache public license")]
+    df = spark.createDataFrame(rows, "path string, line int, text string")
+    ranked = judge.rerank(df, judge.word_scorer("apache public license"))
+    got = values(ranked, "path", "line")
+    assert got == [("z", 7)] + [(p, n) for p, n, _ in rows[:-1]]
+    assert values(judge.rerank(df, judge.word_scorer("apache public license"), most=2), "path", "line") == got[:2]
