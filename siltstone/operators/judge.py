@@ -71,9 +71,9 @@ def classify(rows: DataFrame, labels: dict[str, Scorer], id_col: str, text_col:
     return rows.withColumn("_all", logits).withColumns({"label": best["label"], "confidence": 1 / total}).drop("_all")
 
 
-def locate(files: DataFrame, scorer: Scorer, window: int = 150, max_lines: int = 4000, per_window: int = 5) -> DataFrame:
-    """Lines by ``P(window) * P(line in window)``, the best five of each window."""
-    each = files.select("path", F.posexplode(F.slice(lines(F.col("text")), 1, max_lines)).alias("pos", "text"))
+def locate(files: DataFrame, scorer: Scorer, window: int = 150, per_window: int = 5) -> DataFrame:
+    """Lines by ``P(window) * P(line in window)``, the best five of each window of the whole text."""
+    each = files.select("path", F.posexplode(lines(F.col("text"))).alias("pos", "text"))
     each = each.select("path", (F.col("pos") + 1).alias("line"), F.floor(F.col("pos") / window).alias("window"), "text").withColumn("logit", scorer(F.col("text")))
     inside = choice(each, ["path", "window"]).withColumnRenamed("p", "_in")
     of_window = choice(inside.groupBy("path", "window").agg(F.max("logit").alias("logit")), ["path"]).select("path", "window", F.col("p").alias("_w"))

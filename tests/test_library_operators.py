@@ -1,3 +1,4 @@
+import math
 import os
 
 import pytest
@@ -242,3 +243,14 @@ def test_rerank_judges_all_matches(spark):
     got = values(ranked, "path", "line")
     assert got == [("z", 7)] + [(p, n) for p, n, _ in rows[:-1]]
     assert values(judge.rerank(df, judge.word_scorer("apache public license"), most=2), "path", "line") == got[:2]
+
+
+def test_locate_sees_whole_texts(spark):
+    body = ["x"] * 6000
+    body[5899] = "public license"
+    df = spark.createDataFrame([("long", "\n".join(body)), ("short", "x")], "path string, text string")
+    got = {(r.path, r.line): r.score for r in judge.locate(df, judge.word_scorer("public license")).collect()}
+    assert len(got) == 40 * 5 + 1 and got[("short", 1)] == 1
+    e = math.exp(4)
+    assert abs(got[("long", 5900)] - e / (e + 39) * e / (e + 149)) < 1e-6
+    assert abs(got[("long", 1)] - 1 / (e + 39) / 150) < 1e-6
