@@ -50,3 +50,10 @@ def test_stages(spark):
     whole = corpus_pipeline.run(spark, DATA)
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, mixed.collect()))
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_duplicates_goes_by_rows(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    docs = [(1, a), (1, a), (None, a), (0, c), (2, b), (2, c), (None, d), (None, d), (None, ""), (3, None)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), DATA)
+    assert sorted(map(repr, pairs(got))) == sorted(map(repr, [(1, a), (0, c), (2, b), (None, d), (None, ""), (3, None)]))
