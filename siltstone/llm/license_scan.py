@@ -61,7 +61,7 @@ _NAMED = [
     ("unlicense", r"this is free and unencumbered software released into the public domain"), ("wtfpl", r"do what the fuck you want to public licen[sc]e"), ("cc0", r"cc0 1 0 universal"), ("cc0", r"creative commons zero"),
     ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"), ("all-rights-reserved", r"all rights reserved"), ("psf", r"python software foundation licen[sc]e"), ("ncsa", r"university of illinois ncsa open source licen[sc]e"),
     ("beerware", r"beer ware licen[sc]e"), ("openssl", r"openssl licen[sc]e"), ("ruby", r"ruby licen[sc]e"), ("postgresql", r"postgresql licen[sc]e"), ("vim", r"vim licen[sc]e"), ("json", r"the software shall be used for good not evil"),
-    ("proprietary", r"proprietary and confidential"), ("licensed", r"licen[sc]ed under (?:the )?(?:terms of )?"), ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
+    ("proprietary", r"proprietary and confidential"), ("licensed", r"licen[sc]ed under(?: the)?(?: terms of)?"), ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
 ]
 _SPDX = "mit isc zlib unlicense wtfpl ncsa 0bsd bsd-1-clause bsd-2-clause bsd-3-clause bsd-4-clause cc0-1.0 bsl-1.0 apache-1.0 apache-1.1 apache-2.0 mpl-1.0 mpl-1.1 mpl-2.0 epl-1.0 epl-2.0 cddl-1.0 cddl-1.1 artistic-1.0 artistic-2.0 ofl-1.1 afl-3.0 osl-3.0 eupl-1.1 eupl-1.2 ms-pl ms-rl psf-2.0 postgresql python-2.0 ruby x11 odbl-1.0 odc-by-1.0 pddl-1.0 upl-1.0 vim w3c zpl-2.1 openssl php-3.01".split()
 

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import re
 import sys
 
 import numpy as np
@@ -13,7 +14,7 @@ from siltstone.llm import jaccard_join, quality_classifier  # noqa: E402
 from siltstone.llm.components import components  # noqa: E402
 from siltstone.llm.decontaminate import decontaminate  # noqa: E402
 from siltstone.llm.jaccard_join import jaccard_components  # noqa: E402
-from siltstone.llm.license_scan import Signature, license_scan, signatures  # noqa: E402
+from siltstone.llm.license_scan import GATE, GATE_PAIR, Signature, license_scan, signatures  # noqa: E402
 from siltstone.llm.line_dedup import line_dedup  # noqa: E402
 from siltstone.llm.mixing import Target, mix, mixing_weights  # noqa: E402
 from siltstone.llm.perfect_hash import Shards, shard_arrays  # noqa: E402
@@ -248,3 +249,33 @@ def test_mix_is_whole_passes_and_a_part(spark, block):
         total = sum(x.n_tokens for x in own)
         assert r.source_budget - 12 <= total <= r.source_budget + 1e-6
     assert mix(docs.limit(0), target).count() == 0
+
+
+def example(parsed):
+    """The shortest text that a parsed pattern matches, with the first of its alternatives."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "ANY":
+            out += "x"
+        elif name == "IN":
+            out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+        elif name == "BRANCH":
+            out += example(arg[1][0])
+        elif name == "SUBPATTERN":
+            out += example(arg[-1])
+        else:
+            out += example(arg[2]) * arg[0]
+    return out
+
+
+def test_every_signature_can_match(spark):
+    for rule in signatures():
+        joined = f" {' '.join(example(re._parser.parse(rule.pattern)).split())} x "
+        assert re.search(rf"(?<= ){rule.pattern}(?= )", joined), rule
+        assert (rule.keyword if rule.keyword[0] == "l" else f" {rule.keyword}") in joined, rule
+        assert any(g in joined for g in GATE) or re.search(GATE_PAIR, joined), rule
+    got = license_scan(H.frame(spark, [(1, "Licensed under the terms of Foo"), (2, "licenced under Foo"), (3, "licensed under the Foo")])).collect()
+    assert [(r.labels, r.score) for r in got] == [(["licensed"], 0.6)] * 3
