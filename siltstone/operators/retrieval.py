@@ -142,8 +142,8 @@ def diverse_code(hits: DataFrame, per_file: int = 2, k: int = 10) -> DataFrame:
 def diverse_docs(hits: DataFrame, per_file: int = 2, k: int = 10) -> DataFrame:
     """As above, and each 40-line region of a page counts once over all its translations.
 
-    A file past its quota doesn't claim a region, so the rule is greedy: it runs over one page's hits, of which
-    fusion leaves two hundred at most.
+    A file past its quota doesn't claim a region, so the rule is greedy: it runs over one page's hits. A page's
+    best hit always stays, so the best ``k`` rows lie in the ``k`` pages of the best first hits.
     """
 
     def greedy(pdf):
@@ -157,7 +157,9 @@ def diverse_docs(hits: DataFrame, per_file: int = 2, k: int = 10) -> DataFrame:
                 seen.add(region)
         return pdf.loc[[i for i, ok in keep if ok]]
 
-    best = hits.orderBy(F.desc("score"), "id").limit(2 * V.RRF_DEPTH).withColumn("canonical", P.canonical_docs(F.col("path")))
+    own = hits.withColumn("canonical", P.canonical_docs(F.col("path")))
+    pages = own.groupBy("canonical").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("_first")).orderBy("_first").limit(k).select("canonical")
+    best = own.join(F.broadcast(pages), "canonical", "left_semi").select(own.columns)
     return best.groupBy("canonical").applyInPandas(greedy, best.schema).orderBy(F.desc("score"), "id").limit(k)
 
 

@@ -254,3 +254,9 @@ def test_locate_sees_whole_texts(spark):
     e = math.exp(4)
     assert abs(got[("long", 5900)] - e / (e + 39) * e / (e + 149)) < 1e-6
     assert abs(got[("long", 1)] - 1 / (e + 39) / 150) < 1e-6
+
+
+def test_diverse_docs_looks_past_long_files(spark):
+    rows = [("long.md", f"long.md:{i:04}", i * 40, 10.0 - i / 1000) for i in range(1000)] + [(f"d{i:02}.md", f"d{i:02}.md:1", 1, 1.0 - i / 100) for i in range(30)]
+    hits = spark.createDataFrame(rows, "path string, id string, start long, score double")
+    assert [r[0] for r in values(retrieval.diverse_docs(hits, 2, 20), "id")] == ["long.md:0000", "long.md:0001"] + [f"d{i:02}.md:1" for i in range(18)]
