@@ -33,9 +33,11 @@ NEIGHBOURS = 8
 BUCKET_BYTES = 16 << 20
 BLOCK = 1 << 17
 _PLACE = np.uint64((1 << 21) - 1)
-_ROW = np.dtype([("ga", np.uint64), ("hs", np.uint64), ("doc", np.int64), ("sum", np.int32), ("run", np.int32)])
-_FLAG = np.dtype([("doc", np.int64), ("sum", np.int32), ("run", np.int32)])
-_CORE = np.dtype([("core", np.uint64), ("doc", np.int64), ("sum", np.int32), ("at", np.int32), ("mask", np.uint8), ("near", np.uint8, 2 * (NEIGHBOURS - 1))])
+_ROW = np.dtype([("ga", np.uint64), ("hs", np.uint64), ("doc", np.int64), ("row", np.int64), ("run", np.int32)])
+_FLAG = np.dtype([("row", np.int64), ("run", np.int32)])
+_CORE = np.dtype([("core", np.uint64), ("doc", np.int64), ("row", np.int64), ("at", np.int32), ("mask", np.uint8), ("near", np.uint8, 2 * (NEIGHBOURS - 1))])
+#: Rows that a task brings together before it sends on the first of equal ones.
+COMBINED = 1 << 18
 LAST_ID = 2**63 - 1
 
 
@@ -91,19 +93,23 @@ def _block_runs(data: np.ndarray, at: np.ndarray, length: int, first_text: int,
 
 
 def sorted_runs(texts: DataFrame, length: int, n_buckets: int, repeated: RepeatFilter) -> DataFrame:
-    """``kind`` 0: blobs of runs that a smaller document has; else a row ``(ga, doc, sum, run)`` for a first run."""
+    """``kind`` 0: blobs of runs that a smaller document has; else a row ``(ga, row, run)`` for a first run."""
     sent = texts.sparkSession.sparkContext.broadcast(repeated)
-    schema = "kind int, bucket int, rows binary, ga long, doc long, sum int, run int"
+    schema = "kind int, bucket int, rows binary, ga long, row long, run int"
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             r = Runs.of(*kernels.laid_out(batch.column(2)), length)
             some = np.flatnonzero(sent.value.passes(r.ga))
             rows = np.zeros(len(some), _ROW)
             rows["ga"], rows["hs"], rows["run"] = r.ga[some], r.hs[some], r.number[some]
-            rows["doc"], rows["sum"] = batch.column(0).to_numpy()[r.text[some]], batch.column(1).to_numpy()[r.text[some]]
-            rows = rows[np.lexsort((rows["run"], rows["sum"], rows["doc"], rows["hs"], rows["ga"]))]
-            rows = rows[_starts(rows, "ga", "hs", "doc", "sum")]  # a text's later equal runs are its own affair
+            rows["doc"], rows["row"] = batch.column(0).to_numpy()[r.text[some]], batch.column(1).to_numpy()[r.text[some]]
+            yield rows
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _together(own_runs(batches)):
+            rows = rows[np.lexsort((rows["run"], rows["row"], rows["doc"], rows["hs"], rows["ga"]))]
+            rows = rows[_starts(rows, "ga", "hs", "doc", "row")]  # a text's later equal runs are its own affair
             yield blob_batch(_split_first(rows, n_buckets))
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -112,7 +118,7 @@ def sorted_runs(texts: DataFrame, length: int, n_buckets: int, repeated: RepeatF
         least = rows["doc"][_group_start(_starts(rows, "ga", "hs"))]
         first, later = rows[rows["doc"] == least], rows[rows["doc"] > least]
         flags = np.concatenate([read_blobs(table, _FLAG, 0), _flags(later)])
-        blobs = dealt(flags, _bucket_of_doc(flags["doc"], n_buckets), 0)
+        blobs = dealt(flags, _bucket_of_row(flags["row"], n_buckets), 0)
         n = len(blobs)
         empty = lambda t, k: pa.nulls(k, t)
         return pa.table(
@@ -121,13 +127,24 @@ def sorted_runs(texts: DataFrame, length: int, n_buckets: int, repeated: RepeatF
                 "bucket": pa.concat_arrays([pa.array([b[0] for b in blobs], pa.int32()), empty(pa.int32(), len(first))]),
                 "rows": pa.concat_arrays([pa.array([b[2] for b in blobs], pa.binary()), empty(pa.binary(), len(first))]),
                 "ga": pa.concat_arrays([empty(pa.int64(), n), pa.array(first["ga"].view(np.int64) if len(first) else [], pa.int64())]),
-                "doc": pa.concat_arrays([empty(pa.int64(), n), pa.array(first["doc"], pa.int64())]),
-                "sum": pa.concat_arrays([empty(pa.int32(), n), pa.array(first["sum"], pa.int32())]),
+                "row": pa.concat_arrays([empty(pa.int64(), n), pa.array(first["row"], pa.int64())]),
                 "run": pa.concat_arrays([empty(pa.int32(), n), pa.array(first["run"], pa.int32())]),
             }
         )
 
-    return texts.select("_doc", "_sum", "_text").mapInArrow(runs, DEALT).groupBy("bucket").applyInArrow(compare, schema)
+    return texts.select("_doc", "_row", "_text").mapInArrow(runs, DEALT).groupBy("bucket").applyInArrow(compare, schema)
+
+
+def _together(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The same rows in arrays of about ``COMBINED``."""
+    held: list[np.ndarray] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(x) for x in held) >= COMBINED:
+            yield np.concatenate(held)
+            held = []
+    if held:
+        yield np.concatenate(held)
 
 
 def _starts(rows: np.ndarray, *keys: str) -> np.ndarray:
@@ -150,26 +167,26 @@ def _flags(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bucket_of_doc(doc: np.ndarray, n_buckets: int) -> np.ndarray:
-    return (kernels.mix(doc.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+def _bucket_of_row(row: np.ndarray, n_buckets: int) -> np.ndarray:
+    return (kernels.mix(row.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
 
 
 def _split_first(rows: np.ndarray, n_buckets: int) -> list[tuple[int, int, bytes]]:
-    """Of a batch's equal runs the smallest document's go on; the others are repeats already."""
+    """Of a task's equal runs the smallest document's go on; the others are repeats already."""
     least = rows["doc"][_group_start(_starts(rows, "ga", "hs"))]
     on, later = rows[rows["doc"] == least], _flags(rows[rows["doc"] > least])
     key = kernels.mix(on["ga"] + kernels.mix(on["hs"]))
-    return dealt(on, (key % np.uint64(n_buckets)).astype(np.int64), 1) + dealt(later, _bucket_of_doc(later["doc"], n_buckets), 0)
+    return dealt(on, (key % np.uint64(n_buckets)).astype(np.int64), 1) + dealt(later, _bucket_of_row(later["row"], n_buckets), 0)
 
 
-def _cores(r: Runs, chosen: np.ndarray, data: np.ndarray, at: np.ndarray, doc: np.ndarray, check: np.ndarray, length: int) -> np.ndarray:
+def _cores(r: Runs, chosen: np.ndarray, data: np.ndarray, at: np.ndarray, doc: np.ndarray, row: np.ndarray, length: int) -> np.ndarray:
     """For the chosen runs: a row for each aligned group of neighbouring windows."""
     far, near = r.anchor[chosen] - r.lo[chosen], r.anchor[chosen] - r.hi[chosen]
     n = far // NEIGHBOURS - near // NEIGHBOURS + 1
     run = np.repeat(chosen, n)
     j = np.repeat(near // NEIGHBOURS, n) + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
     rows = np.zeros(len(run), _CORE)
-    rows["doc"], rows["sum"] = doc[r.text[run]], check[r.text[run]]
+    rows["doc"], rows["row"] = doc[r.text[run]], row[r.text[run]]
     begin = r.anchor[run] - j * NEIGHBOURS  # the core's first byte in its text; it is length - NEIGHBOURS + 1 bytes long
     rows["at"] = begin
     offsets = r.anchor[run][:, None] - begin[:, None] + np.arange(NEIGHBOURS)
@@ -201,34 +218,34 @@ def _later_windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = rows[own]
         # i bytes before the core, and the rest behind it
         key = kernels.mix(_hash_rows(part["near"][:, side - i : 2 * side - i]) + part["core"])
-        order = np.lexsort((part["at"], part["sum"], part["doc"], key))
-        key, doc, check = key[order], part["doc"][order], part["sum"][order]
+        order = np.lexsort((part["at"], part["row"], part["doc"], key))
+        key, doc, row = key[order], part["doc"][order], part["row"][order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (part["core"][order][1:] != part["core"][order][:-1])
         own_first = new.copy()
-        own_first[1:] |= (doc[1:] != doc[:-1]) | (check[1:] != check[:-1])
+        own_first[1:] |= row[1:] != row[:-1]
         later = (doc > doc[_group_start(new)]) | ~own_first
         at = own[order[later]]
         left[at] &= np.uint8(0xFF ^ (1 << i))
         flags = np.zeros(len(at), _FLAG)
-        flags["doc"], flags["sum"], flags["run"] = rows["doc"][at], rows["sum"][at], rows["at"][at] - i
+        flags["row"], flags["run"] = rows["row"][at], rows["at"][at] - i
         found.append(flags)
     return np.concatenate(found) if found else np.zeros(0, _FLAG), left
 
 
 def _flag_lists(flags: DataFrame, name: str) -> DataFrame:
-    """Blobs of flags, each of one bucket of documents, as a list of runs or window starts for each document."""
+    """Blobs of flags, each of one bucket of rows, as a list of runs or window starts for each row."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), _FLAG)
-            rows = rows[np.lexsort((rows["run"], rows["sum"], rows["doc"]))]
-            first = np.flatnonzero(_starts(rows, "doc", "sum"))
+            rows = rows[np.lexsort((rows["run"], rows["row"]))]
+            first = np.flatnonzero(_starts(rows, "row"))
             each = [x.tobytes() for x in np.split(rows["run"], first[1:])] if len(rows) else []
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc"][first]), pa.array(rows["sum"][first]), pa.array(each, pa.binary())], names=["_doc", "_sum", name])
+            yield pa.RecordBatch.from_arrays([pa.array(rows["row"][first]), pa.array(each, pa.binary())], names=["_row", name])
 
-    parts = flags.select("rows").mapInArrow(lists, f"_doc long, _sum int, {name} binary")
-    return parts.groupBy("_doc", "_sum").agg(F.collect_list(name).alias(name))
+    parts = flags.select("rows").mapInArrow(lists, f"_row long, {name} binary")
+    return parts.groupBy("_row").agg(F.collect_list(name).alias(name))
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,41 +262,46 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         raise ValueError("length must be at least 64 bytes")
     spark = docs.sparkSession
     own_id, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("_id"), own_id.alias("_doc"), F.hash(text).alias("_sum"), text.alias("_text"))
-    _, n_bytes = text_size(docs, text_col)
+    # A number of its own for each row, fixed by the table that it is written to; ids may be null or repeated.
+    texts = docs.select(F.col(id_col).alias("_id"), own_id.alias("_doc"), F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
+    texts = written(texts, "suffix-texts")
+    _, n_bytes = text_size(texts, "_text")
     expected = max(1, n_bytes * 2 // (length - GRAM + 2))
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected * _ROW.itemsize // BUCKET_BYTES))
 
     repeated = repeat_filter(texts.select("_text"), lambda batch: Runs.of(*kernels.laid_out(batch.column(0)), length).ga, expected, n_buckets)
     runs = written(sorted_runs(texts, length, n_buckets, repeated), "runs")
-    firsts = runs.where("kind = 1").select("ga", "doc", "sum", "run")
+    firsts = runs.where("kind = 1").select("ga", F.col("row").alias("_row"), "run")
     several = firsts.groupBy("ga").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ga")
-    on = firsts.join(several, "ga").groupBy(F.col("doc").alias("_doc"), F.col("sum").alias("_sum")).agg(F.collect_list("run").alias("_check"))
+    on = firsts.join(several, "ga").groupBy("_row").agg(F.collect_list("run").alias("_check"))
     later = _flag_lists(runs.where("kind = 0"), "_later")
 
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             data, at = kernels.laid_out(batch.column(2))
             r = Runs.of(data, at, length)
             first = np.searchsorted(r.text, np.arange(len(batch)))
             chosen = np.concatenate([first[i] + np.array(c, np.int64) for i, c in enumerate(batch.column(3).to_pylist())]) if len(batch) else np.zeros(0, np.int64)
-            rows = _cores(r, np.sort(chosen), data, at, batch.column(0).to_numpy(), batch.column(1).to_numpy(), length)
+            yield _cores(r, np.sort(chosen), data, at, batch.column(0).to_numpy(), batch.column(1).to_numpy(), length)
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _together(own_cores(batches)):
             flags, rows["mask"] = _later_windows(rows)
             rows = rows[rows["mask"] != 0]
-            yield blob_batch(dealt(rows, (rows["core"] % np.uint64(n_buckets)).astype(np.int64), 1) + dealt(flags, _bucket_of_doc(flags["doc"], n_buckets), 0))
+            yield blob_batch(dealt(rows, (rows["core"] % np.uint64(n_buckets)).astype(np.int64), 1) + dealt(flags, _bucket_of_row(flags["row"], n_buckets), 0))
 
     def windows(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = read_blobs(table, _CORE, 1)
         _, group, n = np.unique(rows["core"], return_inverse=True, return_counts=True)
         flags = np.concatenate([read_blobs(table, _FLAG, 0), _later_windows(rows[n[group] > 1])[0]])
-        blobs = dealt(flags, _bucket_of_doc(flags["doc"], n_buckets), 0)
+        blobs = dealt(flags, _bucket_of_row(flags["row"], n_buckets), 0)
         return pa.table({"rows": pa.array([b[2] for b in blobs], pa.binary())})
 
     # Both joins ask for the same columns of the texts, so that one shuffle of them serves both.
-    open_ = texts.join(on, ["_doc", "_sum"]).select("_doc", "_sum", "_text", "_check", "_id")
+    open_ = texts.join(on, "_row").select("_doc", "_row", "_text", "_check", "_id")
     checked = open_.mapInArrow(cores, DEALT).groupBy("bucket").applyInArrow(windows, "rows binary")
     singles = _flag_lists(checked, "_windows")
-    rows = texts.join(later, ["_doc", "_sum"], "left").join(singles, ["_doc", "_sum"], "left").select("_id", "_text", "_later", "_windows")
+    rows = texts.join(later, "_row", "left").join(singles, "_row", "left").select("_id", "_text", "_later", "_windows", "_doc")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
