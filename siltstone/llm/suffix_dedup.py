@@ -297,7 +297,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
         blobs = dealt(flags, _bucket_of_row(flags["row"], n_buckets), 0)
         return pa.table({"rows": pa.array([b[2] for b in blobs], pa.binary())})
 
-    # Both joins ask for the same columns of the texts, so that one shuffle of them serves both.
+    # Both joins ask for the same columns and rows of the texts, so that one shuffle of them serves both.
+    texts = texts.where(F.col("_row").isNotNull())
     open_ = texts.join(on, "_row").select("_doc", "_row", "_text", "_check", "_id")
     checked = open_.mapInArrow(cores, DEALT).groupBy("bucket").applyInArrow(windows, "rows binary")
     singles = _flag_lists(checked, "_windows")
