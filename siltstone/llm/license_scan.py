@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.llm.columns import kept_names, quoted, spare
+
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Of a rule: how sure its detection is, and which detection suppresses those inside it.
@@ -131,25 +133,36 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), here)).otherwise(F.array().cast("array<int>"))
 
 
+def _rule_table(rules: list[Signature]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(f" {r.keyword}" if r.keyword[0] != "l" else r.keyword).alias("keyword"), F.lit(rf"(?<= ){r.pattern}(?= )").alias("pattern")) for i, r in enumerate(rules)])
+
+
 def detections(texts: DataFrame, rules: list[Signature]) -> DataFrame:
-    """``(_key, label, priority, start, end)``: what stands after suppression, as places in ``_joined``.
+    """``(key, label, priority, start, end)`` of ``(key, joined)``: what stands after suppression, as places in ``joined``.
 
-    A detection inside another of equal or higher priority goes; of equal ones, the later rule's.
+    A detection inside another of equal or higher priority goes; of equal ones, the later rule's. Patterns run
+    where the texts are read; only the lengths of what they found go over the network, once for equal keys
+    of a task.
     """
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(f" {r.keyword}" if r.keyword[0] != "l" else r.keyword).alias("keyword"), F.lit(rf"(?<= ){r.pattern}(?= )").alias("pattern")) for i, r in enumerate(rules)])
-    gated = texts.select("_key", "_joined", F.explode(F.filter(table, lambda r: F.contains("_joined", r["keyword"]))).alias("r")).select("_key", "_joined", "r.*")
-    found = gated.select("_key", "rule", "label", "priority", F.expr("split(_joined, pattern, -1)").alias("gaps"), F.expr("regexp_extract_all(_joined, pattern, 0)").alias("hits")).where(F.size("hits") > 0)
-    each = found.select("_key", "rule", "label", "priority", F.posexplode(F.arrays_zip("gaps", "hits"))).where(F.col("col.hits").isNotNull())
-    each = each.select("_key", "rule", "label", "priority", "pos", F.length("col.gaps").alias("gap"), F.length("col.hits").alias("hit"))
-    upto = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("_key", "rule").orderBy("pos"))
+    gated = texts.select("key", "joined", F.explode(F.filter(_rule_table(rules), lambda r: F.contains("joined", r["keyword"]))).alias("r")).select("key", "joined", "r.*")
+    sizes = lambda c: F.transform(c, F.length)
+    hits = gated.withColumn("hits", sizes(F.expr("regexp_extract_all(joined, pattern, 0)"))).where(F.size("hits") > 0)
+    found = hits.select("key", "rule", "label", "priority", sizes(F.expr("split(joined, pattern, -1)")).alias("gaps"), "hits")
+    once = found.groupBy("key", "rule").agg(*[F.first(c).alias(c) for c in ("label", "priority", "gaps", "hits")])
+    each = once.select("key", "rule", "label", "priority", F.posexplode(F.arrays_zip("gaps", "hits"))).where(F.col("col.hits").isNotNull())
+    each = each.select("key", "rule", "label", "priority", "pos", F.col("col.gaps").alias("gap"), F.col("col.hits").alias("hit"))
+    upto = F.sum(F.col("gap") + F.col("hit")).over(Window.partitionBy("key", "rule").orderBy("pos"))
     each = each.withColumn("end", upto).withColumn("start", F.col("end") - F.col("hit"))
-    before = Window.partitionBy("_key").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("key").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
     reach = {p: F.max(F.when(F.col("priority") >= p, F.col("end"))).over(before) for p in CONFIDENCE}
     each = each.withColumns({f"reach_{p}": c for p, c in reach.items()})
     inside = F.lit(False)
     for p in CONFIDENCE:
         inside = F.when(F.col("priority") == p, F.coalesce(F.col(f"reach_{p}") >= F.col("end"), F.lit(False))).otherwise(inside)
-    return each.where(~inside).select("_key", "label", "priority", "start", "end")
+    return each.where(~inside).select("key", "label", "priority", "start", "end")
+
+
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def license_scan(docs: DataFrame, text_col: str = "text", rules: list[Signature] | None = None) -> DataFrame:
@@ -158,38 +171,40 @@ def license_scan(docs: DataFrame, text_col: str = "text", rules: list[Signature]
     Words are runs of ASCII letters, digits and non-ASCII text with A-Z lower-cased; a null text is empty.
     Places of PHRASES give ``n_base``, the first and last word index (null without places) and ``base_labels``
     (sorted array); ``labels`` adds those of the signature rules that are left after suppression; ``score`` is
-    the confidence of the surest of them, 0 without labels. Equal texts are scanned once.
+    the confidence of the surest of them, 0 without labels. Rows are judged by their texts alone: repeated rows
+    and null ids get what their text gets. All other columns stay, whatever their names.
     """
     rules = signatures() if rules is None else rules
-    names = [c for c in docs.columns if c not in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    names = kept_names(docs, RESULTS)
+    words_, joined_, key_, places_, found_, score_ = spare(docs, "words", "joined", "key", "places", "found", "score")
+    text = F.coalesce(quoted([text_col])[0].cast("string"), F.lit(""))
     lower = F.lower(text)
     gate = lower.rlike(GATE_PAIR)
     for part in GATE:
         gate = F.contains(lower, F.lit(part)) | gate
     ascii_lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.when(gate, F.filter(F.split(ascii_lower, NOT_WORD), lambda w: w != ""))
-    rows = docs.select(*names, F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), words.alias("_words"))
-    places = F.when(F.col("_words").isNotNull(), _let(F.col("_words"), lambda w: F.array(*[_places(w, p) for p in PHRASES])))
-    rows = rows.select(*names, "n_words", places.alias("_places"), F.when(F.col("_words").isNotNull(), F.concat(F.lit(" "), F.concat_ws(" ", "_words"), F.lit(" "))).alias("_joined"))
+    rows = docs.select(*quoted(names), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), words.alias(words_))
+    places = F.when(F.col(words_).isNotNull(), _let(F.col(words_), lambda w: F.array(*[_places(w, p) for p in PHRASES])))
+    rows = rows.withColumns({places_: places, joined_: F.when(F.col(words_).isNotNull(), F.concat(F.lit(" "), F.concat_ws(" ", words_), F.lit(" ")))}).drop(words_)
     # A row that the gate stops has a key of its own, so that such rows don't meet in one task of the join.
-    rows = rows.withColumn("_key", F.coalesce(F.sha2("_joined", 256), F.concat(F.lit("-"), F.monotonically_increasing_id())))
-    texts = rows.where(F.col("_joined").isNotNull()).select("_key", "_joined").dropDuplicates(["_key"])
-    of_text = detections(texts, rules).groupBy("_key").agg(F.collect_set("label").alias("_found"), F.max(_confidence()).alias("_score"))
+    rows = rows.withColumn(key_, F.coalesce(F.sha2(joined_, 256), F.concat(F.lit("-"), F.monotonically_increasing_id())))
+    texts = rows.where(F.col(joined_).isNotNull()).select(F.col(key_).alias("key"), F.col(joined_).alias("joined"))
+    of_text = detections(texts, rules).groupBy(F.col("key").alias(key_)).agg(F.collect_set("label").alias(found_), F.max(_confidence()).alias(score_))
 
-    every = F.flatten("_places")
-    own = F.array_compact(F.array(*[F.when(F.size(F.get("_places", F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]))
-    out = rows.join(of_text, "_key", "left")
+    every = F.flatten(places_)
+    own = F.array_compact(F.array(*[F.when(F.size(F.get(places_, F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]))
+    out = rows.drop(joined_).join(of_text, key_, "left")
     none = F.array().cast("array<string>")
     return out.select(
-        *names,
+        *quoted(names),
         "n_words",
         F.size(F.coalesce(every, F.array().cast("array<int>"))).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
         F.coalesce(F.sort_array(own), none).alias("base_labels"),
-        F.sort_array(F.array_union(F.coalesce(own, none), F.coalesce("_found", none))).alias("labels"),
-        F.greatest(F.coalesce("_score", F.lit(0.0)), F.when(F.size(F.coalesce(own, none)) > 0, PHRASE_CONFIDENCE).otherwise(0.0)).alias("score"),
+        F.sort_array(F.array_union(F.coalesce(own, none), F.coalesce(found_, none))).alias("labels"),
+        F.greatest(F.coalesce(score_, F.lit(0.0)), F.when(F.size(F.coalesce(own, none)) > 0, PHRASE_CONFIDENCE).otherwise(0.0)).alias("score"),
     )
 
 

@@ -1,4 +1,9 @@
-"""URL filters: host rules, and for what they leave open a character language-model ratio."""
+"""URL filters: host rules, and for what they leave open a character language-model ratio.
+
+URLs are folded to an alphabet of 36 symbols, so a table with the log-odds of every symbol behind every three
+others has 36 ** 4 cells, whatever the input. It is computed once, smoothed over orders, and each URL is scored
+by looking its symbols up within its own row: no join and no shuffle of URLs.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +12,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.columns import kept_names, quoted, spare
 from siltstone.llm.storage import written
 
-#: A gram is a character behind up to so many others.
-ORDER = 3
-#: Up to so many grams (about 40 bytes each) go to every executor; a larger table is joined by shuffle.
-BROADCAST_GRAMS = 200_000
-EDGE = "\x02"
+#: A gram is a symbol behind ``ORDER - 1`` others.
+ORDER = 4
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Symbols: a letter of either case, any digit, these characters, what queries are made of, all else, both ends.
+DIGIT, MARKS, QUERY, OTHER, EDGE, END, SYMBOLS = 26, {".": 27, "/": 28, "-": 29, "_": 30, "%": 31}, 32, 33, 34, 35, 36
+#: What the final table is cut into, so that no task holds all of it before it is put together.
+BLOCK = SYMBOLS**2
+
+
+def symbol(character: str) -> int:
+    if character.lower() in LETTERS and character.isascii():
+        return LETTERS.index(character.lower())
+    if character in "0123456789":
+        return DIGIT
+    return QUERY if character in "?=&#;+" else MARKS.get(character, OTHER)
 
 
 @dataclass(frozen=True)
@@ -44,65 +60,81 @@ def matching_rule(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Col
     return name, verdict
 
 
-def _characters(url: Column) -> Column:
-    """Padded at both ends; digits count as one character, so that running numbers don't become grams."""
-    folded = F.regexp_replace(F.lower(F.coalesce(url.cast("string"), F.lit(""))), r"\p{Nd}", "0")
-    return F.concat(F.lit(EDGE * ORDER), folded, F.lit("\x03"))
+def grams(url: Column) -> Column:
+    """The URL's grams, one for each character and one for its end, as numbers of ``ORDER`` digits to base ``SYMBOLS``."""
+    characters = F.filter(F.split(F.coalesce(url.cast("string"), F.lit("")), ""), lambda c: c != "")
+    table = F.array(*[F.lit(symbol(chr(i))) for i in range(128)])
+    codes = F.transform(characters, lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(OTHER)))
+    padded = F.concat(F.array(*[F.lit(EDGE)] * (ORDER - 1)), codes, F.array(F.lit(END)))
+
+    def of(p: Column) -> Column:
+        gram = lambda i: sum((F.get(p, i + k) * SYMBOLS ** (ORDER - 1 - k) for k in range(ORDER)), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.size(p) - ORDER), gram)
+
+    return F.element_at(F.transform(F.array(padded), of), 1)
+
+
+def fold(url: Column) -> Column:
+    """0 or 1, by the URL itself, so that equal URLs are never on both sides of a calibration."""
+    return F.crc32(F.coalesce(url.cast("string"), F.lit("")).cast("binary")) % 2
 
 
-def _grams(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each character and length of context: ``at``, ``size`` (1: no context) and ``gram``."""
-    at = F.explode(F.sequence(F.lit(ORDER + 1), F.length("_chars"))).alias("at")
-    each = rows.select(*keep, "_chars", at)
-    sizes = F.explode(F.array(*[F.lit(n) for n in range(1, ORDER + 2)])).alias("size")
-    return each.select(*keep, "_chars", "at", sizes).select(*keep, "at", "size", F.expr("substring(_chars, at - size + 1, size)").alias("gram"))
+#: Models: of all taught URLs, and of those outside each fold.
+MODELS = ("all", "0", "1")
+_COUNTS = [f"{c}_{m}" for c in ("allow", "block") for m in MODELS]
 
 
-def gram_model(labelled: DataFrame) -> DataFrame:
-    """``(size, gram, ratio)``: log-odds of a gram's last character behind its others, accepted against blocked.
+def gram_counts(taught: DataFrame) -> DataFrame:
+    """``(g, allow_all, ..., block_1)`` of ``(verdict, fold, grams)``: at most ``SYMBOLS ** ORDER`` rows, combined where the URLs are read."""
+    each = taught.select("verdict", "fold", F.explode("grams").alias("g"))
+    n = {f"{c}_{m}": (F.col("verdict") == c) & (F.lit(True) if m == "all" else F.col("fold") != int(m)) for c in ("allow", "block") for m in MODELS}
+    return each.groupBy("g").agg(*[F.count_if(test).alias(name) for name, test in n.items()])
 
-    ``labelled`` has ``_chars`` and ``_verdict``. In each class, orders are interpolated: a context seen n
-    times with t distinct next characters lends ``t / (n + t)`` to the order below it (at the bottom, an
-    even spread over the characters seen in either class).
+
+def smoothed(counts: DataFrame) -> DataFrame:
+    """``(g, q_allow_all, ..., q_block_1)`` for every possible gram: Witten-Bell probabilities of its last symbol.
+
+    A context seen n times with t distinct symbols behind it gives ``t / (n + t)`` to the order below, one not
+    seen gives all; below the first order all symbols are alike.
     """
-    counts = _grams(labelled, ["_verdict"]).groupBy("size", "gram").agg(
-        F.sum(F.when(F.col("_verdict") == "allow", 1).otherwise(0)).alias("allow"), F.sum(F.when(F.col("_verdict") == "block", 1).otherwise(0)).alias("block")
-    )
-    counts = written(counts, "url-grams")
-    contexts = counts.groupBy("size", F.expr("substring(gram, 1, size - 1)").alias("context")).agg(
-        *[f(c).alias(f"{k}_{c}") for c in ("allow", "block") for k, f in (("n", F.sum), ("t", lambda c: F.sum((F.col(c) > 0).cast("long"))))], F.count(F.lit(1)).alias("kinds")
-    )
-    known = counts.withColumn("context", F.expr("substring(gram, 1, size - 1)")).join(contexts, ["size", "context"])
-    below = None
-    for size in range(1, ORDER + 2):
-        own = known.where(F.col("size") == size)
+    spark, below = counts.sparkSession, None
+    for size in range(1, ORDER + 1):
+        own = counts.groupBy((F.col("g") % SYMBOLS**size).alias("g")).agg(*[F.sum(c).alias(c) for c in _COUNTS])
+        contexts = own.groupBy(F.expr(f"g div {SYMBOLS}").alias("h")).agg(*[F.sum(c).alias(f"n_{c}") for c in _COUNTS], *[F.count_if(F.col(c) > 0).alias(f"t_{c}") for c in _COUNTS])
+        cells = spark.range(SYMBOLS**size).select(F.col("id").alias("g"), F.expr(f"id div {SYMBOLS}").alias("h"), (F.col("id") % SYMBOLS ** (size - 1)).alias("s"))
+        cells = cells.join(own, "g", "left").join(contexts, "h", "left")
         if below is None:
-            own = own.withColumns({f"p_{c}": 1 / (F.col("kinds") + 1) for c in ("allow", "block")})
+            cells = cells.select("*", *[F.lit(1 / SYMBOLS).alias(f"p_{c}") for c in _COUNTS])
         else:
-            lower = below.select(F.col("gram").alias("_lower"), F.col("q_allow").alias("p_allow"), F.col("q_block").alias("p_block"))
-            own = own.withColumn("_lower", F.expr("substring(gram, 2)")).join(lower, "_lower")
-        q = {f"q_{c}": (F.col(c) + F.greatest(F.col(f"t_{c}"), F.lit(1)) * F.col(f"p_{c}")) / (F.col(f"n_{c}") + F.greatest(F.col(f"t_{c}"), F.lit(1))) for c in ("allow", "block")}
-        own = own.withColumns(q).select("size", "gram", "q_allow", "q_block")
-        below = own = written(own, f"url-order-{size}")
-        out = own if size == 1 else out.unionByName(own)
-    return out.select("size", "gram", (F.log("q_allow") - F.log("q_block")).alias("ratio"))
+            cells = cells.join(below.select(F.col("g").alias("s"), *[F.col(f"q_{c}").alias(f"p_{c}") for c in _COUNTS]), "s")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        q = lambda c: F.when(zero(f"n_{c}") == 0, F.col(f"p_{c}")).otherwise((zero(c) + F.col(f"t_{c}") * F.col(f"p_{c}")) / (F.col(f"n_{c}") + F.col(f"t_{c}")))
+        below = written(cells.select("g", *[q(c).alias(f"q_{c}") for c in _COUNTS]), f"url-order-{size}")
+    return below
+
 
+def ratio_tables(probabilities: DataFrame) -> DataFrame:
+    """One row: for each model, the log-odds of all grams as arrays of blocks, ``SYMBOLS ** ORDER`` numbers in all."""
+    ratio = [(F.log(f"q_allow_{m}") - F.log(f"q_block_{m}")).cast("float").alias(m) for m in MODELS]
+    sorted_ = lambda key: F.sort_array(F.collect_list(F.struct(key, *MODELS)))
+    blocks = probabilities.select("g", *ratio).groupBy(F.expr(f"g div {BLOCK}").alias("b")).agg(sorted_("g").alias("x"))
+    blocks = blocks.select("b", *[F.col("x")[m].alias(m) for m in MODELS])
+    return blocks.agg(sorted_("b").alias("x")).select(*[F.col("x")[m].alias(m) for m in MODELS])
 
-def url_scores(rows: DataFrame, model: DataFrame, id_col: str) -> DataFrame:
-    """``(id_col, llr)``: mean over the characters of the log-odds behind the longest context that was seen."""
-    small = model.count() <= BROADCAST_GRAMS
-    found = _grams(rows, [id_col]).join(F.broadcast(model) if small else model, ["size", "gram"])
-    longest = found.groupBy(id_col, "at").agg(F.max_by("ratio", "size").alias("ratio"))
-    return longest.groupBy(id_col).agg((F.sum("ratio") / F.count(F.lit(1))).alias("llr"))
+
+def score(grams_: str, table: str) -> Column:
+    """Mean log-odds over the grams, both columns by name."""
+    at = lambda g: F.get(F.get(F.col(table), F.floor(g / BLOCK).cast("int")), g % BLOCK)
+    return F.aggregate(grams_, F.lit(0.0), lambda s, g: s + at(g)) / F.size(grams_)
 
 
 def calibrated_threshold(scored: DataFrame) -> float:
-    """The cut between blocked (below) and accepted with the best balanced accuracy on labelled rows, from a 200-step histogram."""
+    """The cut between blocked (below) and accepted with the best balanced accuracy on ``(verdict, llr)``, from a 200-step histogram."""
     span = scored.agg(F.min("llr").alias("lo"), F.max("llr").alias("hi")).first()
     if span["lo"] is None or span["lo"] == span["hi"]:
         return 0.0
     step = (span["hi"] - span["lo"]) / 200
-    bins = scored.groupBy(F.floor((F.col("llr") - span["lo"]) / step).alias("bin")).agg(F.sum((F.col("_verdict") == "allow").cast("long")).alias("a"), F.sum((F.col("_verdict") == "block").cast("long")).alias("b"))
+    bins = scored.groupBy(F.floor((F.col("llr") - span["lo"]) / step).alias("bin")).agg(F.sum((F.col("verdict") == "allow").cast("long")).alias("a"), F.sum((F.col("verdict") == "block").cast("long")).alias("b"))
     rows = sorted((r["bin"], r["a"], r["b"]) for r in bins.collect())  # 201 at most
     n_allow, n_block = max(1, sum(r[1] for r in rows)), max(1, sum(r[2] for r in rows))
     best, cut, allow_below, block_below = -1.0, 0.0, 0, 0
@@ -113,29 +145,39 @@ def calibrated_threshold(scored: DataFrame) -> float:
     return cut
 
 
+RESULTS = ("host", "path", "rule", "llr", "verdict")
+
+
 def url_filter(pages: DataFrame, rules: list[UrlRule], url_col: str = "url") -> DataFrame:
-    """``pages`` with ``host, path, rule, llr, verdict``; equal names are replaced.
+    """``pages`` with ``host, path, rule, llr, verdict``; equal names are replaced, all other columns stay.
 
     A rule fits its host and all subdomains of it where the path starts with the rule's; the longest that
-    fits decides. URLs that a rule decides teach the two models, all of them; the others are blocked where
-    the length-normalised log-likelihood ratio is under the calibrated cut. Without URLs of both verdicts to
-    learn from, the others are allowed. Null and empty URLs have an empty host and path and are judged by
-    their (empty) characters. Repeated rows get equal verdicts; an empty table stays empty.
+    fits decides. URLs that a rule decides teach the two models, all of them, each as often as it stands
+    there; the others are blocked where the length-normalised log-likelihood ratio ``llr`` is under the cut.
+    The cut is calibrated on the taught URLs, each scored by a model of the other half of them. A symbol that
+    no taught URL has counts with the weight that the models give to the unseen. Without URLs of both
+    verdicts to learn from, ``llr`` is null and the others are allowed. Null and empty URLs have an empty host
+    and path and are judged by their end alone. Repeated rows get equal verdicts; an empty table stays empty.
     """
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "llr", "verdict")]
-    host, path = split_url(F.col(url_col))
-    ruled = pages.select(*names, host.alias("host"), path.alias("path"), _characters(F.col(url_col)).alias("_chars"))
-    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    ruled = ruled.withColumns({"rule": rule, "_verdict": verdict})
-    taught = ruled.where(F.col("_verdict").isNotNull()).select("_chars", "_verdict")
-    seen = {r["_verdict"] for r in taught.groupBy("_verdict").count().collect()}
-    if seen != {"allow", "block"}:
-        return ruled.select(*names, "host", "path", "rule", F.lit(None).cast("double").alias("llr"), F.coalesce("_verdict", F.lit("allow")).alias("verdict"))
-    model = written(gram_model(taught), "url-model")
-    # equal strings get equal scores, so each is scored once
-    urls = written(ruled.groupBy("_chars").agg(F.max("_verdict").alias("_verdict")).withColumn("_key", F.sha2("_chars", 256)), "urls")
-    scores = written(url_scores(urls, model, "_key").join(urls, "_key").select("_chars", "llr", "_verdict"), "url-scores")
-    cut = calibrated_threshold(scores.where(F.col("_verdict").isNotNull()))
-    out = ruled.join(scores.select("_chars", "llr"), "_chars", "left")
-    judged = F.coalesce("_verdict", F.when(F.col("llr") < cut, "block").otherwise("allow"))
-    return out.select(*names, "host", "path", "rule", "llr", judged.alias("verdict"))
+    names = kept_names(pages, RESULTS)
+    judged_, grams_, table_ = spare(pages, "judged", "grams", "table")
+    url = quoted([url_col])[0]
+    host, path = split_url(url)
+    rule, verdict = matching_rule(F.col(f"{judged_}.host"), F.col(f"{judged_}.path"), rules)
+    ruled = pages.select(*quoted(names), F.struct(host.alias("host"), path.alias("path"), url.cast("string").alias("url")).alias(judged_))
+    own = ruled.select(rule.alias("rule"), verdict.alias("verdict"), F.col(judged_)["url"].alias("url"))
+    taught = own.where(F.col("verdict").isNotNull()).select("verdict", fold(F.col("url")).alias("fold"), grams(F.col("url")).alias("grams"))
+    counts = written(gram_counts(taught), "url-grams")
+    seen = counts.agg(F.coalesce(F.sum("allow_all"), F.lit(0)).alias("a"), F.coalesce(F.sum("block_all"), F.lit(0)).alias("b")).first()
+    out = [*quoted(names), F.col(judged_)["host"].alias("host"), F.col(judged_)["path"].alias("path"), rule.alias("rule")]
+    if not (seen["a"] and seen["b"]):
+        return ruled.select(*out, F.lit(None).cast("double").alias("llr"), F.coalesce(verdict, F.lit("allow")).alias("verdict"))
+    tables = written(ratio_tables(smoothed(counts)), "url-model")
+    # The table is a scalar that the optimizer puts into the expression that reads it, so no row carries it.
+    of = {m: tables.select(m).scalar().alias(f"{table_}{m}") for m in MODELS}
+    by_fold = F.when(F.col("fold") == 0, score("grams", f"{table_}0")).otherwise(score("grams", f"{table_}1"))
+    held_out = taught.select("verdict", "fold", "grams", of["0"], of["1"]).select("verdict", by_fold.alias("llr"))
+    cut = calibrated_threshold(written(held_out, "url-held-out"))
+    scored = ruled.select("*", grams(F.col(judged_)["url"]).alias(grams_), of["all"])
+    scored = scored.select(*quoted(names), judged_, score(grams_, f"{table_}all").alias("llr"))
+    return scored.select(*out, "llr", F.coalesce(verdict, F.when(F.col("llr") < cut, "block").otherwise("allow")).alias("verdict"))

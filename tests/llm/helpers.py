@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -127,3 +129,115 @@ def rules(text):
     repeated = {p for i in range(len(w) - 2) if count[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
     own = [x for x in (text or "").split("\n") if SPACED.search(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(own) - len(set(own)), len(repeated)
+
+
+CLASH = ["_words", "_joined", "_key", "_places", "_found", "_score", "_judged", "_grams", "_table", "_chars", "_verdict", "_lines", "_flags", "_hit", "_text", "_row", "_id", "_label", "_rest", "_pass", "a.b", "N_Words", "Labels", "Verdict", "LLR", "Failed_Rule", "Items"]
+
+
+def clashing(df, key, leave=()):
+    """``df`` with a column for each name that an operator may use itself; each holds its name and the row's key."""
+    from pyspark.sql import functions as F
+
+    extra = {c: F.concat(F.lit(f"{c} "), F.coalesce(F.col(key).cast("string"), F.lit("-"))) for c in CLASH if c.lower() not in {x.lower() for x in leave}}
+    return df.withColumns(extra)
+
+
+def assert_clashing_came_back(out, key, leave=()):
+    """Columns whose names no result has hold what they held; the others are replaced, not doubled."""
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    own = [c for c in CLASH if c.lower() not in {x.lower() for x in leave}]
+    assert set(own) <= set(out.columns)
+    for r in out.collect():
+        d = r.asDict()
+        assert all(d[c] == f"{c} {'-' if d[key] is None else d[key]}" for c in own)
+
+
+MARKS = {".": 27, "/": 28, "-": 29, "_": 30, "%": 31}
+
+
+def url_verdicts(urls, rules):
+    """``(host, path, rule, llr, verdict)`` of each URL, model and cut included."""
+
+    def codes(url):
+        out = []
+        for c in url or "":
+            low = c.lower()
+            out.append(ord(low) - 97 if c.isascii() and "a" <= low <= "z" else 26 if c in "0123456789" else 32 if c in "?=&#;+" else MARKS.get(c, 33))
+        return [34, 34, 34, *out, 35]
+
+    def split(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        return lower(host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    def ruled(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.name), default=None)
+
+    parts = [split(u) for u in urls]
+    found = [ruled(*p) for p in parts]
+    side = lambda u: zlib.crc32((u or "").encode()) % 2
+
+    def model(out):
+        """Counts by class of every gram of one to four symbols, without those of the fold ``out``."""
+        n = {c: Counter() for c in ("allow", "block")}
+        for u, r in zip(urls, found, strict=True):
+            if r and side(u) != out:
+                x = codes(u)
+                for i in range(3, len(x)):
+                    for size in range(1, 5):
+                        n[r.verdict][tuple(x[i - size + 1 : i + 1])] += 1
+        context = {c: (Counter(), Counter()) for c in n}
+        for c, counts in n.items():
+            for g, k in counts.items():
+                context[c][0][g[:-1]] += k
+                context[c][1][g[:-1]] += 1
+
+        def p(c, g):
+            below = p(c, g[1:]) if len(g) > 1 else 1 / 36
+            seen, kinds = context[c][0][g[:-1]], context[c][1][g[:-1]]
+            return (n[c][g] + kinds * below) / (seen + kinds) if seen else below
+
+        def llr(u):
+            x = codes(u)
+            return sum(math.log(p("allow", tuple(x[i - 3 : i + 1])) / p("block", tuple(x[i - 3 : i + 1]))) for i in range(3, len(x))) / (len(x) - 3)
+
+        return llr
+
+    if {r.verdict for r in found if r} != {"allow", "block"}:
+        return [(*p, r and r.name, None, r.verdict if r else "allow") for p, r in zip(parts, found, strict=True)]
+    halves, whole = (model(0), model(1)), model(None)
+    taught = [(r.verdict, halves[side(u)](u)) for u, r in zip(urls, found, strict=True) if r]
+    low, high = min(x for _, x in taught), max(x for _, x in taught)
+    cut, best = 0.0, -1.0
+    if low < high:
+        step = (high - low) / 200
+        total = Counter(v for v, _ in taught)
+        below = Counter()
+        for k in sorted({math.floor((x - low) / step) for _, x in taught}):
+            below += Counter(v for v, x in taught if math.floor((x - low) / step) == k)
+            if (balance := below["block"] / total["block"] - below["allow"] / total["allow"]) > best:
+                best, cut = balance, low + (k + 1) * step
+    out = []
+    for p, r, u in zip(parts, found, urls, strict=True):
+        x = whole(u)
+        out.append((*p, r and r.name, x, r.verdict if r else "block" if x < cut else "allow"))
+    return out
+
+
+def license_rows(text, rules, phrases, confidence, phrase_confidence):
+    """``(n_words, n_base, first_word, last_word, base_labels, labels, score)``, all rules tried on every text."""
+    w = ALNUM.findall(lower(text))
+    places, base = [], set()
+    for phrase, label in phrases.items():
+        p = phrase.split()
+        own = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+        places += own
+        base |= {label} if own else set()
+    joined = f" {' '.join(w)} "
+    hits = [(m.start(), m.end(), r.priority, i) for i, r in enumerate(rules) for m in re.finditer(rf"(?<= ){r.pattern}(?= )", joined)]
+    hits.sort(key=lambda h: (h[0], -h[1], -h[2], h[3]))
+    left = [h for k, h in enumerate(hits) if not any(o[0] <= h[0] and o[1] >= h[1] and o[2] >= h[2] for o in hits[:k])]
+    labels = base | {rules[h[3]].label for h in left}
+    score = max([confidence[h[2]] for h in left] + ([phrase_confidence] if base else []) + [0.0])
+    return len(w), len(places), min(places, default=None), max(places, default=None), sorted(base), sorted(labels), score

@@ -2,6 +2,7 @@ import hashlib
 import os
 import re
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,13 +15,15 @@ from siltstone.llm import jaccard_join, quality_classifier  # noqa: E402
 from siltstone.llm.components import components  # noqa: E402
 from siltstone.llm.decontaminate import decontaminate  # noqa: E402
 from siltstone.llm.jaccard_join import jaccard_components  # noqa: E402
-from siltstone.llm.license_scan import GATE, GATE_PAIR, Signature, license_scan, signatures  # noqa: E402
+from siltstone.llm.license_scan import CONFIDENCE, GATE, GATE_PAIR, PHRASE_CONFIDENCE, PHRASES, Signature, license_scan, signatures  # noqa: E402
+from siltstone.llm.license_scan import RESULTS as license_results  # noqa: E402
 from siltstone.llm.line_dedup import line_dedup  # noqa: E402
 from siltstone.llm.mixing import Target, mix, mixing_weights  # noqa: E402
 from siltstone.llm.perfect_hash import Shards, shard_arrays  # noqa: E402
 from siltstone.llm.quality_rules import Rule, ordered_rules, quality_cascade, quality_rules  # noqa: E402
 from siltstone.llm.suffix_dedup import suffix_dedup  # noqa: E402
 from siltstone.llm.token_counts import token_counts  # noqa: E402
+from siltstone.llm.url_filter import RESULTS as url_filter_results  # noqa: E402
 from siltstone.llm.url_filter import UrlRule, url_filter  # noqa: E402
 
 
@@ -224,6 +227,37 @@ def test_url_filter(spark):
     assert url_filter(pages.limit(0), rules).count() == 0
 
 
+def test_url_filter_against_brute_force(spark):
+    rules = [UrlRule("block", "net"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
+    r = np.random.default_rng(4)
+    made = [f"http{'s' * (i % 2)}://{'www.' * (i % 3 == 0)}{r.choice(['a', 'b9', 'ex-ample', 'É'])}.{r.choice(['net', 'org', 'com', 'example.net', 'example.com'])}/{r.choice(['en', 'fr', 'de', ''])}/{r.choice(['p', 'Q=1', 'x_y', '日本'])}{i % 17}{r.choice(['', '?k=v', '#z', '%20'])}" for i in range(150)]
+    urls = URLS + made + made[:20] + ["http://a.net/" + "long/" * 3000]
+    pages = H.clashing(spark.createDataFrame([(i if i % 9 else None, u) for i, u in enumerate(urls)], "page_id long, url string"), "page_id", url_filter_results)
+    got = url_filter(pages, rules)
+    H.assert_clashing_came_back(got, "page_id", url_filter_results)
+    want = Counter((i if i % 9 else None, u, *x[:3], x[4]) for i, (u, x) in enumerate(zip(urls, H.url_verdicts(urls, rules), strict=True)))
+    assert Counter(tuple(x) for x in got.select("page_id", "url", "host", "path", "rule", "verdict").collect()) == want
+    llr = {u: x[3] for u, x in zip(urls, H.url_verdicts(urls, rules), strict=True)}
+    assert all(abs(x.llr - llr[x.url]) < 1e-4 for x in got.select("url", "llr").collect())
+    one_sided = [u for u in urls if u and ".net/" in u and "example" not in u]
+    assert {x.llr for x in url_filter(spark.createDataFrame(list(enumerate(one_sided)), "page_id long, url string"), rules).collect()} == {None}
+
+
+def test_license_scan_against_brute_force(spark):
+    phrases = ["Licensed under the {}", "SPDX-License-Identifier: {}", "{} or any later version", "see the {} license", "{}"]
+    names = ["GNU General Public License version 2", "GNU Lesser General Public License, v2.1", "MIT License", "Apache License, Version 2.0", "MIT", "apache-2.0", "CC BY-SA 4.0", "gplv3", "BSD", "3-clause BSD", "mozilla public license 2.0", "Redistribution and use in source and binary forms", "all rights reserved", "Copyright (c) 2019"]
+    made = [f"Ünder {p.format(n)}; {q.format(m)}." for p in phrases for q in phrases[:3] for n, m in zip(names, names[3:] + names[:3], strict=True)]
+    data = H.edge_texts() + [(1000 + i if i % 7 else None, t) for i, t in enumerate(made + made[:40])] + [(5000, "gnu general public license version 2 or later " * 2000)]
+    docs = H.clashing(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", license_results)
+    got = license_scan(docs)
+    H.assert_clashing_came_back(got, "doc_id", license_results)
+    rules = signatures()
+    brute = {t: H.license_rows(t, rules, PHRASES, CONFIDENCE, PHRASE_CONFIDENCE) for t in {t for d, t in data if d != 5000}}
+    brute[data[-1][1]] = (16000, 2000, 0, 15992, ["gpl"], ["gpl", "gpl-2.0-or-later"], 1.0)
+    columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    assert rows(got, "doc_id", "text", *columns) == sorted(((d, t, *brute[t]) for d, t in data), key=repr)
+
+
 def test_url_model_learns(spark):
     pages = spark.createDataFrame([(i, f"http://{'spam' if i % 2 else 'good'}-site{i}.{'net' if i % 2 else 'org'}/{'pills' if i % 2 else 'fr'}/{i}") for i in range(200)] + [(1000, "http://spam-pills.com/pills/9"), (1001, "http://good-site.com/fr/9")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter(pages, [UrlRule("block", "net"), UrlRule("allow", "org", "/fr/")]).where("page_id >= 1000").collect()}
