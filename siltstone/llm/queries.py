@@ -164,12 +164,13 @@ ORACLE_SQL: dict[str, str] = {
         covered AS (
             SELECT doc_id, count(DISTINCT p) AS n_repeat_words
             FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+        often AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM split) GROUP BY ALL) GROUP BY doc_id),
         m AS (
-            SELECT doc_id, t, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+            SELECT doc_id, t, lines, coalesce(most, 0) AS most, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
                    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
                    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
                    coalesce(n_repeat_words, 0) AS n_repeat_words
-            FROM split LEFT JOIN covered USING (doc_id))
+            FROM split LEFT JOIN covered USING (doc_id) LEFT JOIN often USING (doc_id))
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words
@@ -177,6 +178,9 @@ ORACLE_SQL: dict[str, str] = {
                     OR word_chars < 2 * n_words OR word_chars > 20 * n_words
                     OR (n_dup_lines >= 3 AND 2 * n_dup_lines > len(regexp_extract_all(t, chr(10))) + 1)
                     OR len(regexp_extract_all(t, '!')) * 10 > n_words
+                    OR (len(lines) >= 5 AND len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•] '))) * 10 > len(lines) * 9)
+                    OR (len(lines) >= 5 AND len(list_filter(lines, lambda x: regexp_matches(x, '(?:\.\.\.|…)[ \t]*$'))) * 10 > len(lines) * 5)
+                    OR most * 5 > n_words * 2
                     OR len(regexp_extract_all(t, '[A-Z]')) * 2 > word_chars
                     OR len(regexp_extract_all(t, '\pL')) * 2 < word_chars) AS kept
         FROM m""",

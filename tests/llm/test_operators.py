@@ -20,6 +20,7 @@ from siltstone.llm.license_scan import RESULTS as license_results  # noqa: E402
 from siltstone.llm.line_dedup import line_dedup  # noqa: E402
 from siltstone.llm.mixing import Target, mix, mixing_weights  # noqa: E402
 from siltstone.llm.perfect_hash import Shards, shard_arrays  # noqa: E402
+from siltstone.llm.quality_rules import RESULTS as quality_results  # noqa: E402
 from siltstone.llm.quality_rules import Rule, ordered_rules, quality_cascade, quality_rules  # noqa: E402
 from siltstone.llm.suffix_dedup import suffix_dedup  # noqa: E402
 from siltstone.llm.token_counts import token_counts  # noqa: E402
@@ -73,8 +74,13 @@ def test_decontaminate(spark, a_round):
 
 
 def test_quality_rules(spark):
-    data = [(d, t) for d, t in H.edge_texts() if d != 208] + [(300, "a b c a b c x a b c\n" * 30), (301, "w " * 400), (302, "!! ## " * 60)]
-    got = quality_rules(H.frame(spark, data))
+    filler = lambda k: " ".join(f"word{i}of{k}" for i in range(60))
+    junk = {400: "\n".join(f"- {filler(k)}" for k in range(5)), 401: "\n".join(f"{filler(k)} ..." for k in range(6)), 402: " ".join(f"same w{i}" for i in range(80)), 403: filler(3)}
+    data = H.edge_texts() + [(300, "a b c a b c x a b c\n" * 30), (301, "w " * 400), (302, "!! ## " * 60), (None, "null id"), *junk.items()]
+    own = H.clashing(H.frame(spark, data), "doc_id", quality_results)
+    got = quality_rules(own)
+    H.assert_clashing_came_back(got, "doc_id", quality_results)
+    assert {r.doc_id: r.failed_rule for r in got.where("doc_id BETWEEN 400 AND 403").collect()} == {400: "bullets", 401: "ellipses", 402: "one_word", 403: None}
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     assert rows(got, "doc_id", *measures) == sorted([(d, *H.rules(t)) for d, t in data], key=repr)
     for r in got.collect():
