@@ -22,8 +22,8 @@ from siltstone.llm.components import components
 from siltstone.llm.repeats import repeat_filter
 from siltstone.llm.storage import text_size, written
 
-#: Counters for the order of n-grams: a table of fixed size. Any order is correct; this one is nearly by rarity.
-COUNTERS = 1 << 18
+#: Counters for the order of n-grams, as bits: at least and at most. Any order is correct; this one is nearly by rarity.
+LEAST_COUNTERS, MOST_COUNTERS = 18, 22
 #: Rows of the matrix in a block.
 BLOCK_ROWS = 512
 COLUMNS = 4096
@@ -50,8 +50,13 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return h1 - (h1 >> 63 << 64), h2 - (h2 >> 63 << 64)
 
 
-def _counter(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(23)).astype(np.int64) & (COUNTERS - 1)
+def counter_bits(n_bytes: int) -> int:
+    """A table of counters that grows with the input, up to 4 million (32 MB in a worker)."""
+    return min(max((n_bytes // 512).bit_length(), LEAST_COUNTERS), MOST_COUNTERS)
+
+
+def _counter(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(23)).astype(np.int64) & ((1 << bits) - 1)
 
 
 def _bins(s: np.ndarray) -> bytes:
@@ -81,15 +86,15 @@ def _keys(prefixes: list[np.ndarray], owners: list[tuple[int, int, int]], numera
     return np.concatenate([kernels.mix(gram + kernels.mix(own + np.uint64(k))) for k in (1, 2)]), np.concatenate([owner, owner])
 
 
-def document_sets(docs: DataFrame, n: int) -> DataFrame:
+def document_sets(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """``(doc, size, h1, h2, bins)`` for every row, and rows ``(buckets, counts)`` with each task's n-gram counts."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
             sizes, h1, h2, bins = [], [], [], []
             for s in _sets(batch.column(1), n):
-                np.add.at(counts, _counter(s), 1)
+                np.add.at(counts, _counter(s, bits), 1)
                 a, b = _signature(s)
                 sizes.append(len(s))
                 h1.append(a)
@@ -104,10 +109,10 @@ def document_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(measure, "doc long, size long, h1 long, h2 long, bins binary, buckets array<int>, counts array<long>")
 
 
-def n_gram_counts(measured: DataFrame) -> np.ndarray:
+def n_gram_counts(measured: DataFrame, bits: int) -> np.ndarray:
     each = measured.where("buckets IS NOT NULL").select(F.inline(F.arrays_zip("buckets", "counts")))
-    out = np.zeros(COUNTERS, np.int64)
-    summed = each.groupBy("buckets").agg(F.sum("counts").alias("counts")).toPandas()  # COUNTERS rows at most
+    out = np.zeros(1 << bits, np.int64)
+    summed = each.groupBy("buckets").agg(F.sum("counts").alias("counts")).toPandas()  # a row for each counter at most
     out[summed["buckets"].to_numpy()] = summed["counts"].to_numpy()
     return out
 
@@ -126,7 +131,7 @@ def _prefixes(batch: pa.RecordBatch, n: int, counts: np.ndarray, numerator: int,
             continue
         known[signature] = len(owners)
         p = len(s) - least_overlap(len(s), numerator, denominator) + 1
-        rank = counts[_counter(s)]
+        rank = counts[_counter(s, len(counts).bit_length() - 1)]
         if p < len(s):
             some = np.flatnonzero(rank <= np.partition(rank, p - 1)[p - 1])
             some = some[np.lexsort((s[some], rank[some]))[:p]]
@@ -317,8 +322,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denomin
     expected = max(1, n_bytes // 6 * (denominator - numerator) // denominator)
     n_buckets = max(least_buckets, -(-expected * 8 // BUCKET_BYTES))
 
-    measured = written(document_sets(rows, n), "sets")
-    counts = n_gram_counts(measured)
+    bits = counter_bits(n_bytes)
+    measured = written(document_sets(rows, n, bits), "sets")
+    counts = n_gram_counts(measured, bits)
     shared = written(postings(rows, n, counts, numerator, denominator, expected, n_buckets), "shared")
     labels = labelled(shared)
     size = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("parts"))
