@@ -24,6 +24,8 @@ from siltstone.llm.storage import text_size, written
 
 #: Counters for the order of n-grams, as bits: at least and at most. Any order is correct; this one is nearly by rarity.
 LEAST_COUNTERS, MOST_COUNTERS = 18, 22
+#: Counters are summed in parts of so many bits.
+COUNTER_PART = 15
 #: Rows of the matrix in a block.
 BLOCK_ROWS = 512
 COLUMNS = 4096
@@ -51,7 +53,7 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def counter_bits(n_bytes: int) -> int:
-    """A table of counters that grows with the input, up to 4 million (32 MB in a worker)."""
+    """A table of counters that grows with the input, up to 4 million (16 MB in a worker that counts, 4 MB in one that reads)."""
     return min(max((n_bytes // 512).bit_length(), LEAST_COUNTERS), MOST_COUNTERS)
 
 
@@ -87,10 +89,10 @@ def _keys(prefixes: list[np.ndarray], owners: list[tuple[int, int, int]], numera
 
 
 def document_sets(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """``(doc, size, h1, h2, bins)`` for every row, and rows ``(buckets, counts)`` with each task's n-gram counts."""
+    """``(doc, size, h1, h2, bins)`` for every row, and rows ``(part, counts)`` with each task's n-gram counts."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
             sizes, h1, h2, bins = [], [], [], []
             for s in _sets(batch.column(1), n):
@@ -101,19 +103,28 @@ def document_sets(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 h2.append(b)
                 bins.append(_bins(s))
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bins, pa.binary()), pa.nulls(k, pa.list_(pa.int32())), pa.nulls(k, pa.list_(pa.int64()))], names=names)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(),) * 4 + (pa.binary(),)] + [pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([counts[some]], pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bins, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+        parts = counts.reshape(-1, 1 << COUNTER_PART)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), t) for t in (pa.int64(),) * 4 + (pa.binary(),)] + [pa.array(some, pa.int32()), pa.array([x.tobytes() for x in parts[some]], pa.binary())], names=names)
 
-    names = ["doc", "size", "h1", "h2", "bins", "buckets", "counts"]
-    return docs.mapInArrow(measure, "doc long, size long, h1 long, h2 long, bins binary, buckets array<int>, counts array<long>")
+    names = ["doc", "size", "h1", "h2", "bins", "part", "counts"]
+    return docs.mapInArrow(measure, "doc long, size long, h1 long, h2 long, bins binary, part int, counts binary")
 
 
-def n_gram_counts(measured: DataFrame, bits: int) -> np.ndarray:
-    each = measured.where("buckets IS NOT NULL").select(F.inline(F.arrays_zip("buckets", "counts")))
-    out = np.zeros(1 << bits, np.int64)
-    summed = each.groupBy("buckets").agg(F.sum("counts").alias("counts")).toPandas()  # a row for each counter at most
-    out[summed["buckets"].to_numpy()] = summed["counts"].to_numpy()
+def n_gram_ranks(measured: DataFrame, bits: int) -> np.ndarray:
+    """A byte for each counter: the logarithm of its count over all documents."""
+
+    def summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << COUNTER_PART, np.int64)
+        for blob in table["counts"].to_pylist():
+            total += np.frombuffer(blob, np.int32)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "ranks": pa.array([np.minimum(np.log2(total + 1) * 8, 255).astype(np.uint8).tobytes()], pa.binary())})
+
+    out = np.zeros(1 << bits, np.uint8)
+    each = measured.where("part IS NOT NULL").select("part", "counts")
+    for r in each.groupBy("part").applyInArrow(summed, "part int, ranks binary").collect():  # a byte for each counter
+        out[r["part"] << COUNTER_PART : (r["part"] + 1) << COUNTER_PART] = np.frombuffer(r["ranks"], np.uint8)
     return out
 
 
@@ -324,7 +335,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denomin
 
     bits = counter_bits(n_bytes)
     measured = written(document_sets(rows, n, bits), "sets")
-    counts = n_gram_counts(measured, bits)
+    counts = n_gram_ranks(measured, bits)
     shared = written(postings(rows, n, counts, numerator, denominator, expected, n_buckets), "shared")
     labels = labelled(shared)
     size = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("parts"))
@@ -357,7 +368,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denomin
     across = found(tiles, "across")
     final = components(links.unionByName(across)) if across.limit(1).count() else joined
 
-    members = measured.where("buckets IS NULL").select("doc", "size", "h1", "h2")
+    members = measured.where("part IS NULL").select("doc", "size", "h1", "h2")
     # equal sets are one node under their smallest document; rows of equal id tie their sets together
     representative = members.where("size > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"))
     placed = members.join(representative, ["h1", "h2"], "left").join(final, "node", "left")
