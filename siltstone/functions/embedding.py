@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_PIECES, MAX_WORD = 512, 100
+# fixed value: how a model file begins
+MODEL_MAGIC = b"M2V1"
 
 
 @dataclass(frozen=True)
@@ -29,6 +32,26 @@ class StaticModel:
         return cls(vocabulary, scales, np.floor(vectors / scales[:, None] + 0.5).astype(np.int8))
 
 
+def read_model(spark: SparkSession, path: str) -> StaticModel:
+    """A model file: the magic, the header's length (32 bits, little-endian), a JSON header with ``vocab`` (pieces in order of their
+    rows) and ``dim``, a scale for each row as 32-bit floats, and eight-bit weights. It is read once, on the driver."""
+    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
+    if data[:4] != MODEL_MAGIC:
+        raise ValueError(f"{path} is no model file")
+    size = int.from_bytes(data[4:8], "little")
+    header, at = json.loads(data[8 : 8 + size]), 8 + size
+    n, dim = len(header["vocab"]), header["dim"]
+    scales = np.frombuffer(data, "<f4", n, at)
+    weights = np.frombuffer(data, np.int8, n * dim, at + 4 * n).reshape(n, dim)
+    return StaticModel({piece: i for i, piece in enumerate(header["vocab"])}, scales, weights)
+
+
+def model_bytes(model: StaticModel) -> bytes:
+    """What ``read_model`` reads."""
+    header = json.dumps({"vocab": sorted(model.vocabulary, key=model.vocabulary.get), "dim": int(model.weights.shape[1])}).encode()
+    return MODEL_MAGIC + len(header).to_bytes(4, "little") + header + model.scales.astype("<f4").tobytes() + model.weights.astype(np.int8).tobytes()
+
+
 def words(text: str) -> list[str]:
     """Without accents and case; marks and punctuation, and each ideograph, stand alone."""
     out, word = [], ""

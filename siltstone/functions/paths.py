@@ -47,6 +47,7 @@ def is_test(path: Column) -> Column:
 
 def canonical_docs(path: Column) -> Column:
     """Translations of a page share one path."""
+    # fixed value: a language tag
     tag = r"[a-z]{2}(?:[-_][A-Za-z]{2,4})?"
     path = F.regexp_replace(path, rf"^((?:(?!(?:^|/)(?:docs?|documentation)/{tag}/).)*?)(^|/)(docs?|documentation)/{tag}/", "$1$2$3/")
     path = F.regexp_replace(path, rf"\.{tag}\.(md|mdx|rst)$", ".$1")
@@ -79,6 +80,18 @@ def path_bucket(path: Column, query: Column) -> Column:
     return F.when(F.length(whole) > 120, F.concat(F.substring(whole, 1, 117), F.lit("..."))).otherwise(whole)
 
 
+def normalized(path: Column) -> Column:
+    """Without empty and ``.`` segments; ``..`` takes the segment before it, and nothing above the root."""
+    start = F.array().cast("array<string>")
+    kept = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    return F.array_join(F.aggregate(kept, start, lambda done, s: F.when(s == "..", up(done)).otherwise(F.concat(done, F.array(s)))), "/")
+
+
+def is_short_sha(ref: Column) -> Column:
+    return ref.rlike(r"(?i)^[0-9a-f]{7,39}$")
+
+
 def is_valid_path(path: Column) -> Column:
     """No empty, ``.`` or ``..`` segments; at most 48 segments, 255 characters in one and 2048 in all."""
     parts = F.split(path, "/", -1)

@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltstone.functions.values import FRESHNESS, INGEST_STALE_SECONDS, QUESTION_STOP_WORDS
+from siltstone.functions.values import FRESHNESS, INGEST_STALE_SECONDS, LONGEST_LITERAL, MOST_IDENTIFIERS, MOST_WORDS, QUESTION_SEPARATORS, QUESTION_STOP_WORDS, QUOTES
+
+_QUOTED = "|".join(f"{q}[^{q}]{{{least},{LONGEST_LITERAL}}}{q}" for q, least in QUOTES.items())
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def shape(word: Column) -> Column:
+    """Letters of either case and digits as one of their kind: ``A``, ``a`` and ``0``."""
+    return F.translate(word, _UPPER + _LOWER + _DIGITS, "A" * 26 + "a" * 26 + "0" * 10)
 
-QUOTED = r"`[^`]{2,200}`|\"[^\"]{2,200}\"|'[^']{3,200}'"
-CODE = r"[a-z][A-Z]|^[A-Z][a-z]+[A-Z]|_|\.[a-z]{1,5}$|/|^[A-Z][A-Z0-9_]{2,}$|^[a-z]+[A-Z0-9][A-Za-z0-9]*$"
-MOST_IDENTIFIERS, MOST_WORDS = 8, 12
+
+def _like_code(word: Column) -> Column:
+    """Written as code is: joined by case, ``_`` or ``/``, a file name, a constant, or letters and then a digit."""
+    s = shape(word)
+    return (F.length(word) >= 3) & (s.contains("aA") | s.contains("_") | s.contains("/") | s.rlike(r"\.a{1,5}$|^A[A0]{2,}$|^a+0[aA0]*$"))
 
 
 def question_parts(question: Column) -> Column:
-    """``struct(literals, identifiers, words)``; identifiers and words once each, in order, eight and twelve at most."""
-    quoted = F.transform(F.regexp_extract_all(question, F.lit(QUOTED), 0), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
-    rest = F.regexp_replace(question, QUOTED, " ")
-    bare = F.transform(F.split(rest, r"[\s,;:()\[\]{}<>?!]+"), lambda t: F.regexp_replace(t, r"^[^A-Za-z0-9_$@./-]+|[^A-Za-z0-9_$]+$", ""))
-    coded = lambda t: t.rlike(CODE) & (F.length(t) >= 3)
-    plain = lambda t: ~coded(t) & ~F.lower(t).isin(QUESTION_STOP_WORDS) & (F.length(t) >= 4) & ~t.rlike(r"^[0-9]+$")
+    """``struct(literals, identifiers, words)``; identifiers and words once each, in order, eight and twelve at most.
+
+    What is quoted is a literal, verbatim. The rest is cut at blanks and separators; what is written as code is an
+    identifier, what else has four characters or more and says something is a word, in lower case.
+    """
+    quoted = F.transform(F.regexp_extract_all(question, F.lit(_QUOTED), 0), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+    rest = F.translate(F.regexp_replace(question, _QUOTED, " "), QUESTION_SEPARATORS, " " * len(QUESTION_SEPARATORS))
+    names = F.transform(F.split(rest, " +"), lambda t: F.regexp_extract(t, r"[A-Za-z0-9_$@./-].*[A-Za-z0-9_$]|[A-Za-z0-9_$]", 0))
+    says = lambda t: (F.length(t) >= 4) & ~F.lower(t).isin(QUESTION_STOP_WORDS) & ~t.rlike("^[0-9]+$")
     return F.struct(
         F.filter(quoted, lambda q: F.length(F.trim(q)) >= 2).alias("literals"),
-        F.slice(F.array_distinct(F.filter(bare, coded)), 1, MOST_IDENTIFIERS).alias("identifiers"),
-        F.slice(F.array_distinct(F.transform(F.filter(bare, plain), F.lower)), 1, MOST_WORDS).alias("words"),
+        F.slice(F.array_distinct(F.filter(names, _like_code)), 1, MOST_IDENTIFIERS).alias("identifiers"),
+        F.slice(F.array_distinct(F.transform(F.filter(names, lambda t: ~_like_code(t) & says(t)), F.lower)), 1, MOST_WORDS).alias("words"),
     )
 
 
+def like_symbol(query: str) -> bool:
+    """Whether a query looks like a name in code, so that ranking leans on words: one token with case, ``_`` or a dot inside."""
+    return bool(re.fullmatch(r"[A-Za-z_$][\w$.]*", query.strip())) and bool(re.search(r"[a-z][A-Z]|_|\.|^[A-Z]", query.strip()))
+
+
 def repository_parts(path: Column) -> Column:
     """``struct(owner, repo, ref, rest)`` of ``/owner/repo[.git][@ref][/rest]``; ``-`` where it isn't one."""
     bare = F.regexp_replace(path, r"^(?:[a-z]+://)?(?:[^/]+\.[a-z]+)?/", "")

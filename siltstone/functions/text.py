@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.values import STOP_WORDS
 
+# fixed values: what a term is, and where compound ones are cut
 IDENTIFIER = r"[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+"
 CAMEL = r"_+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
@@ -38,6 +39,15 @@ def terms(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(IDENTIFIER), 0), of_token))
 
 
+def each_term(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``(*keys, term)``, a row for each term of ``terms()``. Tokens become rows first; only compound ones are cut up."""
+    tokens = rows.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(IDENTIFIER), 0)).alias("_token"))
+    token, whole = F.col("_token"), F.lower("_token")
+    parts = F.filter(F.transform(F.split(token, CAMEL), F.lower), lambda p: (p != whole) & (F.length(p) >= 3))
+    every = F.when(token.rlike(r"[a-z][A-Z]|_"), F.concat(F.filter(F.array(whole), lambda w: F.length(w) >= 2), parts)).when(F.length(token) >= 2, F.array(whole))
+    return tokens.select(*keys, F.explode(every).alias("term")).where(~F.col("term").isin(STOP_WORDS))
+
+
 def half_up(x: Column, digits: int) -> Column:
     scale = 10**digits
     return F.floor(x * scale + 0.5) / scale
@@ -53,11 +63,16 @@ def compact_number(x: Column) -> Column:
     return F.when(x >= 1_000_000, scaled(1_000_000, "M")).when(x >= 1_000, scaled(1_000, "k")).otherwise(x.cast("string"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def quantized(vector: Column) -> Column:
     """``struct(q array<tinyint>, scale double)``: eight bits a component, scaled by the largest."""
     top = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
     scale = F.when(top > 0, top / 127).otherwise(F.lit(1.0))
-    return F.struct(F.transform(vector, lambda x: F.floor(x.cast("double") / scale + 0.5).cast("tinyint")).alias("q"), scale.alias("scale"))
+    return _let(scale, lambda k: F.struct(F.transform(vector, lambda x: F.floor(x.cast("double") / k + 0.5).cast("tinyint")).alias("q"), k.alias("scale")))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -66,5 +81,10 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector at length one; a zero vector stays."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    return _let(F.sqrt(dot(vector, vector)), lambda n: F.transform(vector, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """0 where either is a zero vector."""
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))

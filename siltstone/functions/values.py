@@ -77,6 +77,15 @@ QUESTION_STOP_WORDS = (
     "directory folder dir list listing"
 ).split()
 
+# fixed values: quotes and the least length of what stands in them; separators of words; how many are kept
+QUOTES, LONGEST_LITERAL = {"`": 2, '"': 2, "'": 3}, 200
+QUESTION_SEPARATORS = ",;:()[]{}<>?!\t\n\r\f\v"
+MOST_IDENTIFIERS, MOST_WORDS = 8, 12
+
+# fixed values: windows of the rate limits as (seconds, requests), for an address and for all ingests
+ADDRESS_LIMITS, INGEST_LIMIT = [(10, 30), (10, 100), (60, 200)], (60, 30)
+EVICT_AFTER_DAYS = 7
+
 # fixed values: seconds that a resolved reference stays fresh, and may then be served stale, by kind
 FRESHNESS = {"sha": (31_536_000, 0), "tag": (86_400, 604_800), "branch": (300, 3_600), "default": (300, 3_600)}
 INGEST_STALE_SECONDS = 180

@@ -28,11 +28,16 @@ def nearest_rank(rows: DataFrame, key: str, value: str, shares: tuple[float, ...
     return rows.groupBy(key).agg(*at, F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
+def _as_words(text: Column, value: Column) -> Column:
+    """Whether the value stands in the text with no word character on either side; its own marks are literal."""
+    return F.contains(text, value) & F.rlike(text, F.concat(F.lit(r"(?<![A-Za-z0-9_])"), F.lit(r"\Q"), value, F.lit(r"\E"), F.lit(r"(?![A-Za-z0-9_])")))
+
+
 def graded(answers: DataFrame) -> DataFrame:
-    """``expected`` is ``struct(type, value, pattern, values)``; exact means contained, ``all`` asks for every value."""
+    """``expected`` is ``struct(type, value, pattern, values)``; exact means contained, ``all`` asks for every value as whole words."""
     text, e = F.lower("answer"), F.col("expected")
     hit = F.when(e["type"] == "exact", F.contains(text, F.lower(e["value"]))).when(e["type"] == "regex", F.expr("answer RLIKE expected.pattern"))
-    return answers.withColumn("passed", hit.when(e["type"] == "all", F.forall(e["values"], lambda v: F.contains(text, F.lower(v)))).otherwise(F.lit(False)))
+    return answers.withColumn("passed", hit.when(e["type"] == "all", F.forall(e["values"], lambda v: _as_words(text, F.lower(v)))).otherwise(F.lit(False)))
 
 
 def cost(input_tokens: Column, output_tokens: Column, per_input: float, per_output: float) -> Column:
@@ -47,4 +52,6 @@ def latest_runs(runs: DataFrame, run_id: str, n: int = 2) -> DataFrame:
 
 
 def labels_by_condition(calls: DataFrame, conditions: list[str]) -> DataFrame:
-    return calls.groupBy("label").pivot("condition", conditions).agg(F.count(F.lit(1))).fillna(0)
+    """A row for each label with its number of calls under each condition, and ``total``."""
+    counted = calls.groupBy("label").pivot("condition", conditions).agg(F.count(F.lit(1))).fillna(0)
+    return counted.withColumn("total", sum((F.col(c) for c in conditions), F.lit(0)).cast("long"))

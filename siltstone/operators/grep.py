@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,17 +27,34 @@ def grep(files: DataFrame, needle: str, *, regex: bool = False, word: bool = Fal
     """
     own = _candidates(scoped(files, glob, scope, exclude), needle, regex, word, ignore_case)
     split = own.select("path", lines(F.col("text")).alias("_all"))
-    each = split.select("path", *(["_all"] if context else []), F.posexplode("_all").alias("pos", "text"))
     plain = not (regex or word or ignore_case)
-    hit = F.contains("text", F.lit(needle)) if plain else F.col("text").rlike(line_pattern(needle, regex, word, ignore_case))
+    test = lambda text: F.contains(text, F.lit(needle)) if plain else text.rlike(line_pattern(needle, regex, word, ignore_case))
     cut = lambda c: F.substring(c, 1, MAX_TEXT)
-    columns = ["path", (F.col("pos") + 1).alias("line"), cut("text").alias("text")]
     if context:
+        # hits are found and cut out within the row, so that no line carries all others along
         n = min(max(context, 0), MAX_CONTEXT)
-        first = F.greatest(F.col("pos") - n, F.lit(0))
-        columns += [F.transform(F.slice("_all", first + 1, F.col("pos") - first), cut).alias("before"), F.transform(F.slice("_all", F.col("pos") + 2, n), cut).alias("after")]
-    found = each.where(hit).select(*columns)
-    return found.orderBy("path", "line").limit(min(max(limit, 1), MAX_LIMIT)) if limit is not None else found
+
+        def hits(all_: Column) -> Column:
+            places = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: test(F.get(all_, i)))
+            around = lambda i, first, size: F.transform(F.slice(all_, first, size), cut)
+            begin = lambda i: F.greatest(i - n, F.lit(0))
+            return F.transform(places, lambda i: F.struct((i + 1).alias("line"), cut(F.get(all_, i)).alias("text"), around(i, begin(i) + 1, i - begin(i)).alias("before"), around(i, i + 2, F.lit(n)).alias("after")))
+
+        found = split.where(F.size("_all") > 0).select("path", F.inline(hits(F.col("_all"))))
+    else:
+        each = split.select("path", F.posexplode("_all").alias("pos", "text"))
+        found = each.where(test(F.col("text"))).select("path", (F.col("pos") + 1).alias("line"), cut(F.col("text")).alias("text"))
+    return found.orderBy("path", "line").limit(clamped(limit)) if limit is not None else found
+
+
+def clamped(limit: int) -> int:
+    return min(max(limit, 1), MAX_LIMIT)
+
+
+def grep_page(files: DataFrame, needle: str, limit: int = 200, **options) -> DataFrame:
+    """The first matches with ``truncated``, which says that the limit was reached."""
+    found = grep(files, needle, limit=limit, **options)
+    return found.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) >= clamped(limit))  # MAX_LIMIT rows at most
 
 
 def files_with_matches(files: DataFrame, needle: str, **options) -> DataFrame:
@@ -66,6 +83,30 @@ def enclosing_symbols(matches: DataFrame, symbols: DataFrame) -> DataFrame:
     return matches.join(spans, inside, "left").groupBy("path", "line", "text").agg(F.max_by("name", "_from").alias("symbol"))
 
 
+#: A line that defines a name: a keyword of some language before it, or an assignment behind it.
+DEFINES = r"^\s*(?:[a-z]+\s+){0,3}(?:function|class|interface|type|enum|struct|trait|impl|def|fn|func|const|let|var|module|package)\b|^\s*[A-Za-z_$][\w$]*\s*(?::[^=]+)?=(?!=)"
+
+
+def defines(line: Column) -> Column:
+    return line.rlike(DEFINES)
+
+
+def weighted_files(files: DataFrame, literals: list[str], identifiers: list[str], words: list[str], per_file: int = 3, limit: int = 14) -> DataFrame:
+    """``(path, score, lines)``: a literal counts 3, an identifier 2 where the file's first line with it defines something
+    and else 1; a line with two of the words counts 1, with three or more 2. The first lines are named."""
+    each = files.select("path", F.posexplode(lines(F.col("text"))).alias("pos", "t"))
+    own = [(F.contains("t", F.lit(x)), F.lit(3)) for x in literals] + [(F.contains("t", F.lit(x)), F.when(defines(F.col("t")), 2).otherwise(1)) for x in identifiers]
+    n = sum((F.contains(F.lower("t"), F.lit(w.lower())).cast("int") for w in words), F.lit(0))
+    of_words = F.when(n >= 3, 2).when(n >= 2, 1)
+    hits = [F.when(test, F.struct(F.lit(i).alias("token"), points.alias("points"))) for i, (test, points) in enumerate(own)]
+    hits.append(F.when(of_words.isNotNull(), F.struct((F.lit(len(own)) + F.col("pos")).alias("token"), of_words.alias("points"))))
+    found = each.select("path", "pos", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "pos", "h.*")
+    first = found.groupBy("path", "token").agg(F.min(F.struct("pos", "points")).alias("f"))
+    shown = F.transform(F.slice(F.sort_array(F.collect_set(F.col("f")["pos"])), 1, per_file), lambda p: p + 1)
+    scored = first.groupBy("path").agg(F.sum(F.col("f")["points"]).cast("long").alias("score"), shown.alias("lines"))
+    return scored.orderBy(F.desc("score"), "path").limit(limit)
+
+
 def ranked_files(files: DataFrame, tokens: dict[str, int], per_file: int = 3, limit: int = 14) -> DataFrame:
     """Files by the weights of the tokens they hold, with their first matching lines."""
     weight = sum((F.when(F.contains("text", F.lit(t)), w).otherwise(0) for t, w in tokens.items()), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.functions.text import lines, terms
+from siltstone.functions.text import line_count, lines, terms
 
 Scorer = Callable[[Column], Column]
 
@@ -104,12 +104,66 @@ def path_hits(files: DataFrame, question: list[str], limit: int = 12) -> DataFra
 
 
 def candidates(sources: dict[str, DataFrame]) -> DataFrame:
-    """``(path, via, score)`` of the union of several ``(path, score)`` frames, each path once with where it came from."""
-    named = [df.select("path", "score", F.lit(name).alias("via")) for name, df in sources.items()]
-    out = named[0]
-    for df in named[1:]:
-        out = out.unionByName(df)
-    return out.groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("via")), ",").alias("via"), F.sum("score").alias("score"))
+    """``(path, via, score)`` of the union of several ``(path, score)`` frames: each path once, with the score of the first
+    source that has it and the names of all that do."""
+    out = None
+    for i, (name, df) in enumerate(sources.items()):
+        own = df.select("path", "score", F.lit(name).alias("via"), F.lit(i).alias("_at"))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("path").agg(F.array_join(F.sort_array(F.collect_set("via")), ",").alias("via"), F.min_by("score", F.struct("_at", -F.col("score"))).alias("score"))
+
+
+def assembled(symbols: DataFrame, chunks: DataFrame, matches: DataFrame, per_file: int = 40, most: int = 255) -> DataFrame:
+    """``(path, line, end, kind, text, priority, ord)``: what may answer a question, each place once.
+
+    ``symbols`` has ``path, line, end_line, signature``, ``chunks`` ``path, start, end, kind, text``, ``matches``
+    ``path, line, text``. A match on a symbol's line makes that symbol surer (priority 0) and goes, a symbol's
+    chunk that begins where the symbol does goes. Symbols come first, the first ``per_file`` of a file, then
+    chunks, then matches; ``most`` of them stay.
+    """
+    places = symbols.select("path", "line").distinct()
+    hit = matches.join(places, ["path", "line"], "left_semi").select("path", "line", F.lit(True).alias("_hit")).distinct()
+    rank = F.row_number().over(Window.partitionBy("path").orderBy("line"))
+    own = symbols.join(hit, ["path", "line"], "left").withColumn("_n", rank).where(F.col("_n") <= per_file)
+    rows = own.select("path", "line", F.col("end_line").alias("end"), F.lit("symbol").alias("kind"), F.col("signature").alias("text"), F.when(F.col("_hit"), 0).otherwise(1).alias("priority"))
+    begins = places.withColumnRenamed("line", "start")
+    others = chunks.where("kind <> 'symbol'").unionByName(chunks.where("kind = 'symbol'").join(begins, ["path", "start"], "left_anti"))
+    rows = rows.unionByName(others.select("path", F.col("start").alias("line"), "end", "kind", "text", F.lit(2).alias("priority")))
+    lone = matches.join(places, ["path", "line"], "left_anti")
+    rows = rows.unionByName(lone.select("path", "line", F.col("line").alias("end"), F.lit("match").alias("kind"), "text", F.lit(3).alias("priority")))
+    return best_candidates(rows.withColumn("ord", F.struct("path", "line", "kind")), most)
+
+
+def judged(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """Candidates with ``p``, the softmax over all of them; there are few."""
+    return choice(rows.withColumn("logit", scorer(F.col("text"))).withColumn("_q", F.lit(1)), ["_q"]).drop("_q", "logit")
+
+
+def deepened(rows: DataFrame, files: DataFrame, scorer: Scorer, sure: float = 0.75, least: float = 0.3, most_files: int = 3, most_lines: int = 1200, read: float = 0.8) -> DataFrame:
+    """``(path, line, end, kind, text, p, read)``: judged candidates, and where none is sure but some may be, with located lines
+    of the best files as further ones, judged again. ``read`` marks what is sure enough to be read at once.
+
+    Files over ``most_lines`` aren't looked into. ``rows`` are bounded (``assembled``), so one row with the best
+    ``p`` decides on the driver.
+    """
+    first = judged(rows, scorer)
+    top = first.agg(F.max("p")).first()[0]
+    if top is not None and least <= top < sure:
+        paths = first.groupBy("path").agg(F.max("p").alias("p")).orderBy(F.desc("p"), "path").limit(most_files).select("path")
+        own = files.join(F.broadcast(paths), "path", "left_semi").where(line_count(F.col("text")) <= most_lines)
+        known = first.where("kind <> 'file'").select("path", "line").distinct()
+        each = own.select("path", F.posexplode(lines(F.col("text"))).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line"), "text")
+        new = locate(own, scorer).join(known, ["path", "line"], "left_anti").join(each, ["path", "line"])
+        more = new.select("path", "line", F.col("line").alias("end"), F.lit("located").alias("kind"), "text")
+        first = judged(first.select("path", "line", "end", "kind", "text").unionByName(more), scorer)
+    return first.select("path", "line", "end", "kind", "text", "p", (F.col("p") >= read).alias("read"))
+
+
+def reranked(hits: DataFrame, texts: DataFrame, scorer: Scorer, k: int = 10) -> DataFrame:
+    """The best ``k`` of ``max(k, 30)`` hits by the scorer's relevance; ``hits`` has ``id, score``, ``texts`` ``id, text``."""
+    best = hits.orderBy(F.desc("score"), "id").limit(max(k, 30))
+    own = texts.join(F.broadcast(best.select("id", "score")), "id").withColumn("relevance", F.round(probability(scorer(F.col("text"))), 3))
+    return own.select("id", "score", "relevance").orderBy(F.desc("relevance"), F.desc("score"), "id").limit(k)
 
 
 def best_candidates(rows: DataFrame, most: int = 255) -> DataFrame:

@@ -10,6 +10,9 @@ from siltstone.functions.patterns import matches_glob, under
 from siltstone.functions.text import line_count, lines
 
 
+MOST_OUTLINED = 2000
+
+
 def scoped(files: DataFrame, glob: str | None = None, scope: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
     path = F.col("path")
     if scope:
@@ -27,6 +30,18 @@ def tree(files: DataFrame, glob: str | None = None, scope: str | None = None, si
     return scoped(files, glob, scope).select("path", *extra).orderBy("path")
 
 
+def tree_with_outlines(files: DataFrame, outline, most: int = 500, glob: str | None = None, scope: str | None = None) -> DataFrame:
+    """``(path, n_symbols, symbols, truncated)`` of the first files in path order. ``outline`` makes symbols of files and sees
+    only these; one path more is looked for, so ``truncated`` is exact."""
+    most = min(max(most, 1), MOST_OUTLINED)
+    first = scoped(files, glob, scope).orderBy("path").limit(most + 1)
+    paths = [r["path"] for r in first.select("path").collect()]  # most + 1 rows
+    own = files.where(F.col("path").isin(paths[:most])) if paths else files.limit(0)
+    named = outline(own).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "kind", "name"))).alias("symbols"))
+    out = own.select("path").join(named, "path", "left").select("path", F.coalesce(F.size("symbols"), F.lit(0)).alias("n_symbols"), "symbols")
+    return out.withColumn("n_symbols", F.greatest("n_symbols", F.lit(0))).withColumn("truncated", F.lit(len(paths) > most)).orderBy("path")
+
+
 def tree_count(files: DataFrame, glob: str | None = None, scope: str | None = None) -> DataFrame:
     return scoped(files, glob, scope).agg(F.count(F.lit(1)).alias("n"))
 

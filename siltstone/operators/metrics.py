@@ -139,10 +139,71 @@ def error_reason(status: Column, body: Column) -> Column:
     return out.when(status == "451", "unavailable_legal").when(status.isin("502", "503", "504"), "upstream_down").when(status >= "400", "upstream_error")
 
 
-def throttle(log: DataFrame, key: str, seconds: int = 60, limit: int = 60) -> DataFrame:
-    """Requests of the same key in the last seconds, the row's own included, and whether the limit is exceeded."""
+def repo_series(log: DataFrame, owner: str, repo: str, minutes: int = 60) -> DataFrame:
+    return time_series(of_repo(log, owner, repo), minutes)
+
+
+DETAIL_LIMITS = {"action": 30, "status": 20, "source": 10, "ref_kind": 10}
+
+
+def repo_detail(log: DataFrame, owner: str, repo: str) -> DataFrame:
+    """``(dimension, value, requests)`` of one repository, the most frequent values of each; one pass over its rows.
+
+    An empty client or kind is ``(none)``, a missing value ``(unknown)``.
+    """
+    from pyspark.sql.window import Window
+
+    own = by_dimension(of_repo(log, owner, repo))
+    named = own.withColumn("value", F.when(F.col("value") == "", "(none)").otherwise(F.coalesce("value", F.lit("(unknown)"))))
+    limit = F.create_map(*[F.lit(x) for kv in DETAIL_LIMITS.items() for x in kv])
+    best = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("requests"), "value"))
+    return named.withColumn("_n", best).where(F.col("_n") <= F.element_at(limit, F.col("dimension"))).drop("_n")
+
+
+def overview(log: DataFrame) -> dict[str, DataFrame]:
+    """The parts of the overview page over one log, which the caller may persist."""
+    parts = {"ratios": bundle, "top_repos": top_repos, "by_action": by_action, "by_status": by_status, "by_client": by_client, "top_errors": top_errors, "unique_repos": unique_repos, "slow_requests": slow_requests, "recent_failures": recent_failures, "ingest_failures": ingest_failures, "latency": latency_histogram}
+    return {name: f(log) for name, f in parts.items()} | {"series": time_series(log, 60)}
+
+
+def overview_counts(log: DataFrame) -> DataFrame:
+    """``(part, label, requests)``: the counted parts of the overview in one table."""
+    label = {"by_action": ["action"], "by_status": ["status"], "by_client": ["client"], "latency": ["bucket"], "top_repos": ["owner", "repo"]}
+    parts, out = overview(log), None
+    for part, keys in label.items():
+        own = parts[part].select(F.lit(part).alias("part"), F.concat_ws("/", *keys).alias("label"), "requests")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def throttle(log: DataFrame, key: str, seconds: int = 60, limit: int = 60, stretch: int = 20) -> DataFrame:
+    """Requests of the same key in the last seconds, the row's own included, and whether the limit is exceeded.
+
+    A key's time is cut into stretches of ``stretch * seconds``; a row near the end of one goes into the next as
+    well, where it only counts. So a key with many rows is many tasks' work.
+    """
     from pyspark.sql.window import Window
 
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return log.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("throttled", F.col("in_window") > limit)
+    width = seconds * stretch
+    at, own = F.unix_micros(F.col("ts").cast("timestamp")), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (width * 1_000_000))
+    near = F.floor((at + seconds * 1_000_000) / (width * 1_000_000)) > own
+    both = log.withColumn("_at", at).withColumn("_in", F.explode(F.when(near, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("_own", own)
+    w = Window.partitionBy(key, "_in").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    counted = both.withColumn("in_window", F.count(F.lit(1)).over(w)).where(F.col("_in") == F.col("_own")).drop("_at", "_in", "_own")
+    return counted.withColumn("throttled", F.col("in_window") > limit)
+
+
+def rate_limited(log: DataFrame, key: str, limits: list[tuple[int, int]]) -> DataFrame:
+    """``(key, seconds, window_start, requests)`` of tumbling windows in which a key had more than it may; each limit is
+    ``(seconds, requests)``. All limits in one pass over the log."""
+    starts = F.array(*[F.struct(F.lit(s).alias("seconds"), F.lit(n).alias("most"), (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / s) * s).alias("start")) for s, n in limits])
+    each = log.select(F.col(key).alias("key"), F.explode(starts).alias("w")).select("key", "w.*")
+    counted = each.groupBy("key", "seconds", "most", "start").agg(F.count(F.lit(1)).alias("requests")).where(F.col("requests") > F.col("most"))
+    return counted.select("key", "seconds", "most", F.timestamp_seconds("start").cast("timestamp_ntz").alias("window_start"), "requests")
+
+
+def evicted(accesses: DataFrame, keys: list[str], days: int = V.EVICT_AFTER_DAYS) -> DataFrame:
+    """Snapshots not used for ``days`` before the newest access; the newest time is one scalar."""
+    newest = accesses.agg(F.max("ts")).first()[0]
+    last = accesses.groupBy(*keys).agg(F.max("ts").alias("last_access"))
+    return last.where(F.col("last_access") <= F.lit(newest) - F.expr(f"INTERVAL {days} DAYS"))

@@ -61,50 +61,119 @@ IMPORTS = [
 ]
 
 
+#: What isn't code: comments of several lines and of one, strings that may go on over lines and those that may not.
+_NOT_CODE = r"""/\*(?s:.*?)\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*+`"""
+
+
+def bare(text: Column) -> Column:
+    """The text with comments and strings blanked, and all its line feeds."""
+    gaps, found = F.split(text, _NOT_CODE, -1), F.regexp_extract_all(text, F.lit(_NOT_CODE), 0)
+    return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.regexp_replace(m, r"[^\n]", ""), F.lit("")))), "")
+
+
 def code_lines(files: DataFrame) -> DataFrame:
-    """``(path, language, line, text, code)``: lines from 1, and each without strings and comments that end in it."""
-    each = files.select("path", language(F.col("path")).alias("language"), F.posexplode(lines(F.col("text"))).alias("pos", "text"))
-    bare = F.regexp_replace("text", r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\])*'|`[^`]*`|/\*.*?\*/", "")
-    bare = F.regexp_replace(bare, r"//.*$", "")
-    return each.select("path", "language", (F.col("pos") + 1).alias("line"), "text", bare.alias("code"))
+    """``(path, language, line, text, code)``: lines from 1, and each without strings and comments, also those that go on over lines."""
+    both = F.arrays_zip(lines(F.col("text")).alias("text"), lines(bare(F.col("text"))).alias("code"))
+    each = files.select("path", language(F.col("path")).alias("language"), F.posexplode(both).alias("pos", "l"))
+    return each.where(F.col("l")["text"].isNotNull()).select("path", "language", (F.col("pos") + 1).alias("line"), F.col("l")["text"].alias("text"), F.coalesce(F.col("l")["code"], F.lit("")).alias("code"))
 
 
 def _first(pattern: str, text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
+def _measured(files: DataFrame) -> DataFrame:
+    """Lines with the symbol that each begins, its depth before and after, and its indentation."""
+    form = F.lit(None)
+    for f in reversed(FORMS):
+        found = _first(f.pattern, F.col("text"))
+        form = F.when(F.col("language").isin(*f.languages) & found.isNotNull(), F.struct(F.lit(f.kind).alias("kind"), found.alias("name"), F.lit(f.span).alias("span"))).otherwise(form)
+    all_ = code_lines(files).withColumn("_form", form).select("*", "_form.*").drop("_form")
+    count = lambda c: F.length("code") - F.length(F.replace("code", F.lit(c), F.lit("")))
+    rows = all_.withColumns({"open": count("{"), "step": count("{") - count("}"), "indent": F.length(F.regexp_extract("text", r"^[ \t]*", 0)), "blank": F.trim("text") == ""})
+    after = F.sum("step").over(Window.partitionBy("path").orderBy("line"))
+    return rows.withColumn("after", after).withColumn("before", F.col("after") - F.col("step"))
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``end_line`` for those that have a ``span``; a window over the lines of a file and, at each level, over what
+    begins and ends there, so the work is in proportion to the lines.
+
+    Braces end on the first line from the one that opens them on which the depth is back. Indentation ends on the
+    last line that isn't blank before one that is as little indented.
+    """
+    file, back = Window.partitionBy("path").orderBy("line"), Window.partitionBy("path").orderBy(F.desc("line"))
+    solid = rows.withColumns({"opened": F.min(F.when(F.col("open") > 0, F.col("line"))).over(back), "_solid": F.when(~F.col("blank"), F.struct("line", "indent"))})
+    solid = solid.withColumns({"_prior": F.last("_solid", True).over(file.rowsBetween(Window.unboundedPreceding, -1)), "_end": F.max(F.when(~F.col("blank"), F.col("line"))).over(Window.partitionBy("path"))})
+    begins = solid.where(F.col("span").isin("braces", "indent"))
+    level = F.when(F.col("span") == "braces", F.col("before")).otherwise(F.col("indent"))
+    begins = begins.select("path", "span", "line", level.alias("level"), F.when(F.col("span") == "braces", F.col("opened")).otherwise(F.col("line") + 1).alias("at"), F.lit(None).cast("int").alias("stop"), "_end")
+    none = F.array().cast("array<int>")
+    closed = F.when(F.col("before") + F.col("open") > F.col("after"), F.sequence(F.col("after").cast("int"), (F.col("before") + F.col("open") - 1).cast("int"))).otherwise(none)
+    left = F.when(~F.col("blank") & (F.col("_prior")["indent"] >= F.col("indent")), F.sequence(F.col("indent"), F.col("_prior")["indent"])).otherwise(none)
+    braces = solid.select("path", F.lit("braces").alias("span"), "line", F.explode(closed).alias("level"), F.col("line").alias("at"), F.col("line").cast("int").alias("stop"), "_end")
+    indents = solid.select("path", F.lit("indent").alias("span"), "line", F.explode(left).alias("level"), F.col("line").alias("at"), F.col("_prior")["line"].cast("int").alias("stop"), "_end")
+    events = begins.unionByName(braces).unionByName(indents)
+    # from the end of the file backwards; of equal places the ends come first, so a line can close what it opens
+    next_ = Window.partitionBy("path", "span", "level").orderBy(F.desc("at"), F.col("stop").isNull())
+    found = events.withColumn("_stop", F.last("stop", True).over(next_)).where(F.col("stop").isNull())
+    ends = found.select("path", "line", F.when(F.col("span") == "braces", F.col("_stop")).otherwise(F.coalesce("_stop", F.when(F.col("_end") > F.col("line"), F.col("_end")))).alias("end_line"))
+    return rows.where(F.col("name").isNotNull()).join(ends, ["path", "line"], "left")
+
+
+def _signature() -> Column:
+    return F.substring(F.trim("text"), 1, MAX_SIGNATURE).alias("signature")
+
+
 def outline(files: DataFrame) -> DataFrame:
     """``(path, language, kind, name, line, end_line, signature)``, one row a symbol.
 
-    A span by braces ends on the first line from the start where the depth, having risen, is back; it is null
-    for unbalanced code and for kinds without a body. A span by indentation ends on the last deeper line that is
-    not blank. Windows go over one file's lines, so a file is the largest unit a task sees.
+    ``end_line`` is null for unbalanced code and for kinds without a body.
     """
-    all_ = code_lines(files)
-    kind, name, span = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for form in reversed(FORMS):
-        found = _first(form.pattern, F.col("text"))
-        here = F.col("language").isin(*form.languages) & found.isNotNull()
-        kind, name, span = F.when(here, form.kind).otherwise(kind), F.when(here, found).otherwise(name), F.when(here, form.span).otherwise(span)
-    count = lambda c: F.length("code") - F.length(F.replace("code", F.lit(c), F.lit("")))
-    w = Window.partitionBy("path").orderBy("line")
-    rows = all_.withColumns({"kind": kind, "name": name, "span": span, "_open": count("{"), "_step": count("{") - count("}"), "_indent": F.length(F.regexp_extract("text", r"^[ \t]*", 0)), "_blank": F.trim("text") == ""})
-    rows = rows.withColumn("_depth", F.sum("_step").over(w))
-    starts = rows.where(F.col("name").isNotNull()).select("path", "language", "kind", "name", "span", "line", "text", (F.col("_depth") - F.col("_step")).alias("_base"), F.col("_indent").alias("_own"))
-    # A start meets the later lines of its own file that could end it, each at its own depth or indentation.
-    marks = rows.select("path", F.col("line").alias("_l"), "_depth", "_open", "_indent", "_blank")
-    after = starts.join(marks, "path").where(F.col("_l") >= F.col("line"))
-    opened = F.min(F.when(F.col("_open") > 0, F.col("_l"))).over(Window.partitionBy("path", "line"))
-    after = after.withColumn("_opened", opened)
-    closed = F.min(F.when((F.col("_l") >= F.col("_opened")) & (F.col("_depth") <= F.col("_base")), F.col("_l")))
-    stop = F.min(F.when(~F.col("_blank") & (F.col("_indent") <= F.col("_own")) & (F.col("_l") > F.col("line")), F.col("_l")))
-    keys = ["path", "language", "kind", "name", "span", "line", "text"]
-    ends = after.groupBy(*keys).agg(closed.alias("_closed"), F.coalesce(stop, F.lit(2**31 - 1)).alias("_stop"))
-    body = rows.where(~F.col("_blank")).select(F.col("path").alias("_p"), F.col("line").alias("_l"))
-    deepest = ends.where("span = 'indent'").join(body, (F.col("path") == F.col("_p")) & (F.col("_l") >= F.col("line")) & (F.col("_l") < F.col("_stop"))).groupBy("path", "line").agg(F.max("_l").alias("_last"))
-    out = ends.join(deepest, ["path", "line"], "left")
-    end = F.when(F.col("span") == "braces", F.col("_closed")).when(F.col("span") == "indent", F.col("_last"))
-    return out.select("path", "language", "kind", "name", "line", end.alias("end_line"), F.substring(F.trim("text"), 1, MAX_SIGNATURE).alias("signature"))
+    return _spans(_measured(files)).select("path", "language", "kind", "name", "line", F.col("end_line").cast("int").alias("end_line"), _signature())
+
+
+_NO_METHODS = ["if", "for", "while", "switch", "catch", "return", "function", "new", "throw", "typeof", "await", "do", "else", "with"]
+_MEMBER = r"^\s*(?:(?:public|private|protected|static|async|readonly|override|abstract|declare|get|set)\s+)*\*?\s*(#?[A-Za-z_$][\w$]*)"
+
+
+def members(files: DataFrame) -> DataFrame:
+    """``(path, parent, kind, name, line, end_line, signature)``: methods and properties of classes and interfaces, one level down.
+
+    In languages with braces a member's line begins at the depth of the body; in Python it is any ``def`` in the
+    span of the class, however deep.
+    """
+    rows = _measured(files)
+    text, js, py = F.col("text"), F.col("language").isin(*_JS), F.col("language") == "python"
+    method = F.nullif(F.regexp_extract(text, _MEMBER + r"\s*(?:<[^>]*>)?\(", 1), F.lit(""))
+    method = F.when(~method.isin(_NO_METHODS), method)
+    field = F.nullif(F.regexp_extract(text, _MEMBER + r"\s*[?!]?\s*(?::|=(?!>|=)|;)", 1), F.lit(""))
+    inner = F.nullif(F.regexp_extract(text, r"^\s+(?:async\s+)?def\s+([A-Za-z_]\w*)", 1), F.lit(""))
+    name = F.when(js & F.col("kind").isNull(), F.coalesce(method, field)).when(py, inner)
+    kind = F.when(py | method.isNotNull(), "method").otherwise("property")
+    span = F.when(py, "indent").when(method.isNotNull() & (F.col("open") > 0), "braces").otherwise("none")
+    owners = _spans(rows).where(F.col("kind").isin("class", "interface") & F.col("end_line").isNotNull())
+    owners = owners.select("path", "line", F.when(py, F.lit(0)).otherwise(F.col("before")).alias("level"), F.struct(F.col("name").alias("parent"), F.col("end_line").alias("to")).alias("_owner"))
+    own = _spans(rows.withColumns({"_name": name, "_kind": kind, "_span": span}).withColumns({"kind": F.when(F.col("_name").isNotNull(), F.col("_kind")), "name": F.col("_name"), "span": F.col("_span")}))
+    own = own.withColumn("level", F.when(py, F.lit(0)).otherwise(F.col("before") - 1))
+    last = F.last("_owner", True).over(Window.partitionBy("path", "level").orderBy("line"))
+    both = own.unionByName(owners, allowMissingColumns=True).withColumn("_owner", last)
+    inside = both.where(F.col("name").isNotNull() & (F.col("line") <= F.col("_owner")["to"]))
+    return inside.select("path", F.col("_owner")["parent"].alias("parent"), "kind", "name", "line", F.col("end_line").cast("int").alias("end_line"), _signature())
+
+
+def leading_comments(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``symbols`` with ``comment``: the block of comment lines above, from which one blank line may part it; null without."""
+    numbered = files.select("path", F.posexplode(lines(F.col("text"))).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line"), F.trim(F.translate("text", "\t", " ")).alias("text"))
+    text = F.col("text")
+    is_comment = text.rlike(r"^(?://|#(?!\[|include|define)|/\*|\*(?:$|[ /])|\*/)")
+    file = Window.partitionBy("path").orderBy("line")
+    marked = numbered.withColumns({"_c": is_comment, "_block": F.sum((~is_comment).cast("int")).over(file), "_blank": text == ""})
+    clean = F.trim(F.regexp_replace(F.regexp_replace(text, r"^(?://+!?|#+|/\*+|\*+/?)", ""), r"\*+/$", ""))
+    blocks = marked.where("_c").groupBy("path", "_block").agg(F.max("line").alias("last"), F.array_join(F.filter(F.sort_array(F.collect_list(F.struct("line", clean.alias("t"))))["t"], lambda t: t != ""), "\n").alias("comment"))
+    next_ = marked.select("path", (F.col("line") - 1).alias("last"), F.col("_blank"))
+    above = blocks.join(next_, ["path", "last"], "left").select("path", "comment", F.explode(F.when(F.col("_blank"), F.array(F.col("last") + 1, F.col("last") + 2)).otherwise(F.array(F.col("last") + 1))).alias("line"))
+    return symbols.join(above, ["path", "line"], "left").select(*symbols.columns, "comment")
 
 
 def imports(files: DataFrame, most: int = 200) -> DataFrame:

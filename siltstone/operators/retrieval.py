@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import paths as P
 from siltstone.functions import values as V
-from siltstone.functions.text import dot, half_up, line_count, lines, quantized, terms, unit
+from siltstone.functions.text import cosine, dot, each_term, half_up, line_count, lines, quantized
 
 MAX_CHUNK_CHARS = 2400
 
@@ -26,6 +26,23 @@ def windows(files: DataFrame) -> DataFrame:
     return each.select("path", "start", end.alias("end"), F.when(whole, "file").otherwise("window").alias("kind"))
 
 
+def _window_chunks(files: DataFrame) -> DataFrame:
+    """``windows()`` with text, cut within the row, so that texts aren't joined and no window carries the whole file."""
+    all_, n = F.col("_all"), F.size("_all")
+    last = 1 + V.CHUNK_STRIDE * F.ceil((n - V.CHUNK_WINDOW) / V.CHUNK_STRIDE)
+    whole = n <= V.CHUNK_LINES
+    starts = F.when(whole, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), last.cast("int"), F.lit(V.CHUNK_STRIDE)))
+
+    def window(start: Column) -> Column:
+        end = F.when(whole, n).otherwise(F.least(start + V.CHUNK_WINDOW - 1, n))
+        return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.array_join(F.slice(all_, start, end - start + 1), "\n").alias("body"))
+
+    cut = files.select("path", lines(F.col("text")).alias("_all")).where(n > 0)
+    each = cut.select("path", F.when(whole, "file").otherwise("window").alias("kind"), F.explode(F.transform(starts, window)).alias("w"))
+    full = each.where(F.trim(F.translate(F.col("w")["body"], "\n\t", "  ")) != "")
+    return full.select("path", F.col("w")["start"].alias("start"), F.col("w")["end"].alias("end"), "kind", F.lit(None).cast("string").alias("symbol"), F.substring(F.concat_ws("\n", "path", F.col("w")["body"]), 1, MAX_CHUNK_CHARS).alias("text"))
+
+
 def _regions(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """``(path, start, end, kind, symbol)``: symbol spans, each up to where the next begins, and the gaps between."""
     n = files.select("path", line_count(F.col("text")).alias("_n")).where("_n > 0")
@@ -46,7 +63,7 @@ def chunks(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     Blank bodies are dropped; the text begins with the path and is cut to 2400 characters.
     """
     if symbols is None:
-        cut = windows(files).withColumn("symbol", F.lit(None).cast("string"))
+        return _window_chunks(files)
     else:
         regions = _regions(files, symbols)
         size = F.col("end") - F.col("start") + 1
@@ -63,44 +80,23 @@ def chunks(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
 
 
 def postings(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """``(id, term, tf)``."""
-    return rows.select(F.col(id_col).alias("id"), F.explode(terms(text)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``(id, term, tf)``; texts go over the network once, by id."""
+    own = rows.select(F.col(id_col).alias("id"), text.alias("_t")).repartition("id")
+    return each_term(own, ["id"], "_t").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(posts: DataFrame, n_docs: int, avg_terms: float, query: list[str]) -> DataFrame:
-    """``(id, score)`` of documents with a query term. A document's length is its number of distinct terms.
-
-    Only the query's postings reach the sum; lengths are counted where such a posting is.
-    """
-    wanted = sorted(set(query))
-    hits = posts.where(F.col("term").isin(wanted))
-    df = {r["term"]: r["df"] for r in document_frequencies(hits).collect()}  # one row a query term
-    idf = F.lit(0.0)
-    for term, n in df.items():
-        idf = F.when(F.col("term") == term, math.log(1 + (n_docs - n + 0.5) / (n + 0.5))).otherwise(idf)
-    length = posts.groupBy("id").agg(F.count(F.lit(1)).alias("len"), F.max(F.col("term").isin(wanted)).alias("_hit")).where("_hit")
-    norm = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / avg_terms)
-    part = idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + norm)
-    return hits.join(length, "id").groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def corpus_statistics(posts: DataFrame) -> tuple[int, float]:
-    """Documents and their mean number of distinct terms."""
-    row = posts.agg(F.countDistinct("id").alias("n"), F.count(F.lit(1)).alias("pairs")).first()
-    return row["n"], row["pairs"] / max(1, row["n"])
-
-
 def dense(rows: DataFrame, query: list[float], id_col: str, vector_col: str = "embedding", eight_bit: bool = False) -> DataFrame:
     """``(id, score)``: cosine by brute force, on eight-bit rows if asked for."""
-    q = unit(F.array(*[F.lit(float(x)) for x in query]))
+    size = math.sqrt(sum(float(x) ** 2 for x in query)) or 1.0
+    q = F.array(*[F.lit(float(x) / size) for x in query])
     if eight_bit:
         packed = rows.select(F.col(id_col).alias("id"), quantized(F.col(vector_col)).alias("p"))
         return packed.select("id", F.round(dot(F.col("p")["q"], q) * F.col("p")["scale"], 4).alias("score"))
-    return rows.select(F.col(id_col).alias("id"), F.round(dot(unit(F.col(vector_col)), q), 4).alias("score"))
+    return rows.select(F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), q), 4).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -164,10 +160,11 @@ def diverse_docs(hits: DataFrame, per_file: int = 2, k: int = 10) -> DataFrame:
 
 
 def across_repos(hits: DataFrame, k: int, repo: str = "source") -> DataFrame:
-    """Best hits over all repositories with a cap on each, ``max(2, ceil(k / 2))``; the overflow comes last."""
-    cap = max(2, math.ceil(k / 2))
+    """Best hits over all repositories; with three or more of them each is capped at ``max(2, ceil(k / 2))`` and the overflow comes last."""
     w = Window.partitionBy(repo).orderBy(F.desc("score"), "id")
     ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    several = ranked.select(repo).distinct().limit(3).count() >= 3
+    cap = max(2, math.ceil(k / 2)) if several else k
     return ranked.withColumn("overflow", F.col("rank") > cap).orderBy("overflow", F.desc("score"), "id").limit(k)
 
 

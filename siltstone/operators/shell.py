@@ -11,7 +11,9 @@ from pyspark.sql.window import Window
 
 from siltstone.functions.patterns import glob_regex, line_pattern
 from siltstone.functions.text import lines
+from siltstone.operators.grep import grep as grep_files
 from siltstone.operators.listing import scoped, tree_level
+from siltstone.sources.storage import written
 
 
 def echo(spark, *words: str) -> DataFrame:
@@ -52,6 +54,34 @@ def grep(rows: DataFrame, needle: str, *, regex: bool = False, ignore_case: bool
     return rows.where(~hit if invert else hit)
 
 
+def ls_long(files: DataFrame, scope: str = "") -> DataFrame:
+    """``(kind, size, name)``: directories with what lies below them, files with their bytes."""
+    scope = scope.strip("/")
+    own = files.where(F.col("path").startswith(f"{scope}/")) if scope else files
+    rest = F.substring(F.col("path"), len(scope) + 2, 1 << 20) if scope else F.col("path")
+    is_dir = F.contains("_rest", F.lit("/"))
+    return own.select(rest.alias("_rest"), F.octet_length("text").cast("long").alias("_size")).groupBy(F.when(is_dir, "d").otherwise("-").alias("kind"), F.substring_index("_rest", "/", 1).alias("name")).agg(F.sum("_size").alias("size")).orderBy("name")
+
+
+def grep_paths(files: DataFrame, needle: str, *, scope: str = "", show: str = "lines", **options) -> DataFrame:
+    """Over paths: ``lines`` as ``path:line:text``, ``counts`` as ``path:n`` of files with a match, or the ``files`` alone."""
+    found = grep_files(files, needle, scope=scope or None, **options)
+    if show == "files":
+        return found.select(F.col("path").alias("line")).distinct().orderBy("line")
+    if show == "counts":
+        counts = found.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+        return counts.orderBy("path").select(F.concat_ws(":", "path", F.col("n").cast("string")).alias("line"))
+    return found.orderBy("path", "line").select(F.concat_ws(":", "path", F.col("line").cast("string"), "text").alias("line"))
+
+
+def sed_replace(rows: DataFrame, pattern: str, replacement: str, every: bool = True) -> DataFrame:
+    """``s/pattern/replacement/`` on each line, with ``g`` as ``every``; ``&`` is the match."""
+    java = replacement.replace("\\", r"\\").replace("$", r"\$").replace("&", "$0")
+    if every:
+        return rows.withColumn("line", F.regexp_replace("line", pattern, java))
+    return rows.withColumn("line", F.regexp_replace("line", rf"(?s)^(.*?)(?:{pattern})", "$1" + java.replace("$0", "")))
+
+
 def find(files: DataFrame, scope: str = "", name: str | None = None, kind: str | None = None) -> DataFrame:
     """Files and all directories above them, strictly below the scope, in byte order."""
     segments = F.split("path", "/")
@@ -77,13 +107,31 @@ def sort_lines(rows: DataFrame, *, numeric: bool = False, reverse: bool = False,
     return rows.orderBy(*order)
 
 
-def uniq(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Runs of equal neighbours, as ``(ord, line, n)``; with ``by``, separately in each group."""
-    by = by or []
+def _runs(rows: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("ord")
     new = F.coalesce((F.col("line") != F.lag("line").over(w)).cast("int"), F.lit(1))
     runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
-    return runs.groupBy(*by, "_run", "line").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n")).select(*by, "ord", "line", "n")
+    return runs.groupBy(*by, "_run", "line").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+
+
+def uniq(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Runs of equal neighbours, as ``(ord, line, n)``; with ``by``, separately in each group.
+
+    Without it, rows are sorted into ranges and each range finds its own runs; only the first and last run of
+    every range, which may go on in the next, meet in one task.
+    """
+    if by:
+        return _runs(rows, by).select(*by, "ord", "line", "n")
+    ranges = written(rows.repartitionByRange("ord").withColumn("_part", F.spark_partition_id()), "ranges")
+    own = _runs(ranges, ["_part"])
+    last = F.max("_run").over(Window.partitionBy("_part"))
+    own = written(own.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == last)), "runs")
+    border = own.where("_edge")
+    chain = Window.orderBy("_part", "_run")
+    goes_on = (F.col("line") == F.lag("line").over(chain)) & (F.col("_part") != F.lag("_part").over(chain))
+    joined = border.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(chain))
+    joined = joined.groupBy("_chain", "line").agg(F.min("ord").alias("ord"), F.sum("n").alias("n"))
+    return own.where("NOT _edge").select("ord", "line", "n").unionByName(joined.select("ord", "line", "n"))
 
 
 def uniq_sorted(rows: DataFrame) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions import paths as P
-from siltstone.functions.questions import question_parts, repository_parts
+from siltstone.functions import values as V
+from siltstone.functions.questions import like_symbol, question_parts, repository_parts
 from siltstone.functions.text import line_count
 from siltstone.functions.values import STOP_WORDS
 from siltstone.operators import evaluation as E
 from siltstone.operators import grep as G
+from siltstone.operators import index as I
 from siltstone.operators import judge as J
 from siltstone.operators import listing as L
 from siltstone.operators import metrics as M
@@ -23,6 +25,7 @@ from siltstone.operators import shell as S
 from siltstone.plans import samples
 from siltstone.plans.fixtures import FILES_SQL, REQUESTS_SQL, files, requests, table
 from siltstone.streaming import metrics as K
+from siltstone.sources.storage import spread
 from siltstone.streaming.throttle import throttled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +130,11 @@ def grep_limit(spark, d):
     return G.grep(files(spark, d), "th", limit=200)
 
 
+@query(f"{_LINES} SELECT path, line, substring(text, 1, 400) AS text, (SELECT count(*) FROM lines_v WHERE contains(text, 'icense')) >= 20 AS truncated FROM lines_v WHERE contains(text, 'icense') ORDER BY path, line LIMIT 20")
+def grep_truncated(spark, d):
+    return G.grep_page(files(spark, d), "icense", limit=20)
+
+
 # ---- listing
 
 
@@ -200,11 +208,27 @@ def admission_filter(spark, d):
     return L.admission(files(spark, d), max_bytes=8000)
 
 
-@query()
+def _text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_AGENTS = "WITH a(agent, ref, q) AS (VALUES " + ", ".join(f"({', '.join(map(_text, row))})" for row in samples.AGENTS) + ")"
+_BUCKET = " ".join(f"WHEN regexp_matches(lower(agent), {_text(p)}) THEN '{n}'" for n, p in V.CLIENTS)
+
+
+@query(rf"""{_AGENTS} SELECT agent, CASE WHEN agent IS NULL OR agent = '' THEN 'unknown' {_BUCKET} WHEN lower(agent) LIKE 'mozilla/5%' AND NOT regexp_matches(lower(agent), 'bot|crawler|spider') THEN 'browser'
+        WHEN regexp_matches(lower(agent), 'bot|crawler|spider|scraper') THEN 'other-bot' ELSE 'other' END AS client,
+        CASE WHEN ref IS NULL OR ref = '' THEN 'default' WHEN regexp_matches(ref, '^[0-9a-fA-F]{{40}}$') THEN 'sha' WHEN regexp_matches(ref, '^v?[0-9]+\.[0-9]+') THEN 'tag' ELSE 'branch' END AS ref_kind,
+        CASE WHEN length(p) > 120 THEN substring(p, 1, 117) || '...' ELSE p END AS path FROM (SELECT *, '/o/r' || regexp_replace(q, '([?&])(key|token|secret)=[^&]*', '\1\2=REDACTED', 'gi') AS p FROM a)""")
 def client_buckets(spark, d):
     return samples.agents(spark).select("agent", P.client_bucket(F.col("agent")).alias("client"), P.ref_kind(F.col("ref")).alias("ref_kind"), P.path_bucket(F.lit("/o/r"), F.col("query")).alias("path"))
 
 
+@query(f"SELECT path, CASE WHEN contains('/' || path || '/', '/../') THEN NULL ELSE array_to_string(list_filter(string_split(path, '/'), lambda s: s NOT IN ('', '.')), '/') END AS normal FROM (SELECT concat('/./', path, '//') AS path FROM ({FILES_SQL}))")
+def normal_paths(spark, d):
+    return files(spark, d).select(F.concat(F.lit("/./"), "path", F.lit("//")).alias("path")).select("path", P.normalized(F.col("path")).alias("normal"))
+
+
 @query(f"{_FILES} SELECT path, CASE WHEN path GLOB '*.test.ts' THEN 'tests' WHEN path GLOB '*.md' THEN 'docs' ELSE 'core' END AS role FROM files_v")
 def roles(spark, d):
     return J.roles(files(spark, d))
@@ -303,6 +327,41 @@ def metrics_error_groups(spark, d):
     return M.error_groups(_log(spark, d))
 
 
+@query(_weighted(["bucket"], (0.95,), f", {_ERRORS}", "owner = 'o1' AND repo = 'r1'").replace("own AS (SELECT * FROM", "own AS (SELECT *, time_bucket(INTERVAL 60 MINUTES, ts) AS bucket FROM"))
+def metrics_repo_series(spark, d):
+    return M.repo_series(_log(spark, d), "o1", "r1")
+
+
+@query(f"{_REQUESTS}, {_DAY}, o AS (SELECT * FROM r WHERE owner = 'o1' AND repo = 'r1'), g AS (" + " UNION ALL ".join(f"SELECT '{c}' AS dimension, CASE WHEN {c} = '' THEN '(none)' ELSE coalesce({c}, '(unknown)') END AS value, {_REQ}, {n} AS most FROM o GROUP BY {c}" for c, n in M.DETAIL_LIMITS.items()) + ") SELECT dimension, value, requests FROM g QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY requests DESC, value) <= most")
+def metrics_repo_detail(spark, d):
+    return M.repo_detail(_log(spark, d), "o1", "r1")
+
+
+@query(f"""{_REQUESTS}, {_DAY}, b AS (SELECT weight, CASE WHEN duration_ms < 50 THEN '<50ms' WHEN duration_ms < 100 THEN '<100ms' WHEN duration_ms < 250 THEN '<250ms' WHEN duration_ms < 500 THEN '<500ms' WHEN duration_ms < 1000 THEN '<1000ms'
+        WHEN duration_ms < 2500 THEN '<2500ms' WHEN duration_ms < 5000 THEN '<5000ms' ELSE '5s+' END AS bucket FROM r)
+    SELECT 'by_action' AS part, action AS label, {_REQ} FROM r GROUP BY ALL UNION ALL SELECT 'by_status', status, {_REQ} FROM r GROUP BY ALL UNION ALL SELECT 'by_client', CASE WHEN client = '' THEN 'unknown' ELSE client END, {_REQ} FROM r GROUP BY ALL
+    UNION ALL SELECT 'latency', bucket, {_REQ} FROM b GROUP BY ALL UNION ALL (SELECT 'top_repos', owner || '/' || repo, {_REQ} FROM r WHERE owner NOT IN ('-', '') AND action IN ('tree', 'file', 'grep', 'outline') GROUP BY ALL ORDER BY 3 DESC, 2 LIMIT 50)""")
+def metrics_overview(spark, d):
+    return M.overview_counts(_log(spark, d))
+
+
+@query(f"""{_REQUESTS}, w AS (SELECT client AS key, s AS seconds, m AS most, time_bucket(to_seconds(s), ts) AS window_start FROM requests_v, (VALUES (3600, 3), (86400, 40)) AS l(s, m))
+    SELECT key, seconds, most, window_start, count(*) AS requests FROM w GROUP BY ALL HAVING count(*) > most""")
+def rate_limits(spark, d):
+    return M.rate_limited(requests(spark, d), "client", [(3600, 3), (86400, 40)])
+
+
+@query(f"{_REQUESTS} SELECT owner, repo, max(ts) AS last_access FROM requests_v GROUP BY owner, repo HAVING max(ts) <= (SELECT max(ts) FROM requests_v) - INTERVAL 2 DAYS")
+def evicted_snapshots(spark, d):
+    return M.evicted(requests(spark, d), ["owner", "repo"], days=2)
+
+
+@query("SELECT event_type AS label, count(*) FILTER (WHERE user_id % 2 = 0) AS base, count(*) FILTER (WHERE user_id % 2 = 1) AS treated, count(*) AS total FROM events GROUP BY event_type")
+def call_labels(spark, d):
+    calls = table(spark, d, "events").select(F.col("event_type").alias("label"), F.when(F.col("user_id") % 2 == 0, "base").otherwise("treated").alias("condition"))
+    return E.labels_by_condition(calls, ["base", "treated"])
+
+
 @query(f"{_REQUESTS} SELECT event_id, count(*) OVER (PARTITION BY owner, repo ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM requests_v")
 def throttle_window(spark, d):
     log = requests(spark, d).withColumn("slug", F.concat_ws("/", "owner", "repo"))
@@ -335,15 +394,28 @@ def run_summary(spark, d):
 # ---- retrieval
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_POSTINGS = f"""{_FILES}, tok AS (SELECT path, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+')) AS t FROM files_v),
-    parts AS (SELECT path, t, unnest(regexp_split_to_array(regexp_replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '_+')) AS p FROM tok WHERE regexp_matches(t, '[a-z][A-Z]|_')),
-    term AS (SELECT path, lower(t) AS term FROM tok WHERE length(t) >= 2 AND lower(t) NOT IN ({_STOP})
-             UNION ALL SELECT path, lower(p) FROM parts WHERE length(p) >= 3 AND lower(p) <> lower(t) AND lower(p) NOT IN ({_STOP})),
-    posts AS (SELECT path AS id, term, count(*) AS tf FROM term GROUP BY ALL)"""
+
+
+def _terms_sql(rows: str) -> str:
+    """Postings of ``(id, text)`` rows."""
+    return f"""tok AS (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+')) AS t FROM {rows}),
+    parts AS (SELECT id, t, unnest(regexp_split_to_array(regexp_replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '_+')) AS p FROM tok WHERE regexp_matches(t, '[a-z][A-Z]|_')),
+    term AS (SELECT id, lower(t) AS term FROM tok WHERE length(t) >= 2 AND lower(t) NOT IN ({_STOP})
+             UNION ALL SELECT id, lower(p) FROM parts WHERE length(p) >= 3 AND lower(p) <> lower(t) AND lower(p) NOT IN ({_STOP})),
+    posts AS (SELECT id, term, count(*) AS tf FROM term GROUP BY ALL)"""
+
+
+_POSTINGS = f"{_FILES}, own AS (SELECT path AS id, text FROM files_v), {_terms_sql('own')}"
+_CHUNKS = """c AS (SELECT path, n, unnest(CASE WHEN n <= 60 THEN [1] ELSE range(1, CAST(1 + 30 * ceil((n - 40) / 30) AS BIGINT) + 1, 30) END) AS start FROM
+        (SELECT path, len(string_split(text, chr(10))) AS n FROM files_v WHERE text <> '')),
+    chunks AS (SELECT path, start, CASE WHEN n <= 60 THEN n ELSE least(start + 39, n) END AS "end", CASE WHEN n <= 60 THEN 'file' ELSE 'window' END AS kind FROM c)"""
+_CHUNK_TEXTS = f"""{_FILES}, {_CHUNKS},
+    bodies AS (SELECT doc_id, source, chunks.*, array_to_string(list_slice(string_split(text, chr(10)), start, "end"), chr(10)) AS body FROM chunks JOIN files_v USING (path)),
+    texts AS (SELECT doc_id, source, path, start, "end", kind, concat(path, ':', start) AS id, substring(path || chr(10) || body, 1, 2400) AS text FROM bodies WHERE trim(translate(body, chr(10) || chr(9), '  ')) <> '')"""
 
 
 def _posts(spark, d):
-    return R.postings(files(spark, d), "path", F.col("text"))
+    return R.postings(spread(files(spark, d)), "path", F.col("text"))
 
 
 @query(f"{_POSTINGS} SELECT * FROM posts")
@@ -359,19 +431,58 @@ def document_frequencies(spark, d):
 _QUERY = ["license", "version", "public"]
 
 
+def _chunks(spark, d):
+    own = files(spark, d)
+    return R.chunks(spread(own)).withColumn("id", F.concat_ws(":", "path", "start")), own.select("path", "doc_id", "source")
+
+
+def _index(spark, d):
+    """Path and symbol of a chunk, and its document and source, stand with its postings."""
+
+    def build():
+        own = spread(files(spark, d))
+        # what a query wants back follows from the path; the document's number is in its name
+        number = F.regexp_extract("path", r"/d([0-9]+)\.[a-z.]+$", 1).cast("long")
+        return R.chunks(own).withColumns({"id": F.concat_ws(":", "path", "start"), "doc_id": number, "source": F.substring_index("path", "/", 1)})
+
+    return I.kept_index(spark, f"{d}/documents.parquet", build, ["path", "doc_id", "source"])
+
+
 def _bm25(spark, d):
-    posts = _posts(spark, d)
-    return R.bm25(posts, *R.corpus_statistics(posts), _QUERY)
+    return I.bm25(_index(spark, d), _QUERY, ["path", "doc_id", "source"])
 
 
-_BM25 = f"""{_POSTINGS}, n AS (SELECT count(DISTINCT id) AS n, count(*) / count(DISTINCT id) AS avg FROM posts), len AS (SELECT id, count(*) AS len FROM posts GROUP BY id),
+_BM25 = f"""{_CHUNK_TEXTS}, own AS (SELECT id, concat_ws(' ', translate(path, '/.', '  '), text) AS text FROM texts), {_terms_sql('own')},
+    n AS (SELECT count(DISTINCT id) AS n, count(*) / count(DISTINCT id) AS avg FROM posts), len AS (SELECT id, count(*) AS len FROM posts GROUP BY id),
     df AS (SELECT term, count(*) AS df FROM posts WHERE term IN ('license', 'version', 'public') GROUP BY term),
-    bm AS (SELECT id, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / n.avg))), 6) AS score FROM posts JOIN df USING (term) JOIN len USING (id), n GROUP BY id)"""
+    bm AS (SELECT id, any_value(path) AS path, any_value(doc_id) AS doc_id, any_value(source) AS source, round(sum(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / n.avg))), 6) AS score FROM posts JOIN df USING (term) JOIN len USING (id) JOIN texts USING (id), n GROUP BY id)"""
+
+
+@query(f"{_CHUNK_TEXTS}, own AS (SELECT id, concat_ws(' ', translate(path, '/.', '  '), text) AS text FROM texts), {_terms_sql('own')} SELECT id, term, tf FROM posts WHERE term IN ('license', 'version', 'src1', 'md')")
+def chunk_postings(spark, d):
+    """The kept index, pruned to some terms; path words count."""
+    return _index(spark, d).postings.where(F.col("term").isin("license", "version", "src1", "md")).select("id", "term", "tf")
 
 
 @query(f"{_BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
 def bm25_topk(spark, d):
-    return R.top_k(_bm25(spark, d), 20)
+    return R.top_k(_bm25(spark, d).select("id", "score"), 20)
+
+
+@query(f"""{_BM25}, best AS (SELECT * FROM bm ORDER BY score DESC, id LIMIT 30),
+    s AS (SELECT id, score, round(1 / (1 + exp(2 - 2 * (contains(lower(text), 'apache')::INT + contains(lower(text), 'public')::INT + contains(lower(text), 'license')::INT))), 3) AS relevance FROM best JOIN texts USING (id))
+    SELECT * FROM s ORDER BY relevance DESC, score DESC, id LIMIT 10""")
+def search_reranked(spark, d):
+    """Thirty hits of the index, judged by their texts, cut to ten; only the hits' files are read again."""
+    hits = R.top_k(_bm25(spark, d), 30)
+    own = files(spark, d).join(F.broadcast(hits.select("path").distinct()), "path", "left_semi")  # 30 paths
+    return J.reranked(hits, R.chunks(own).select(F.concat_ws(":", "path", "start").alias("id"), "text"), J.word_scorer("apache public license"), 10)
+
+
+@query("SELECT q, regexp_matches(q, '[a-z][A-Z]|_|[.]|^[A-Z]') AND NOT contains(q, ' ') AS symbol_like FROM (VALUES ('parseConfig'), ('max_retries'), ('how are files evicted'), ('Box'), ('license')) AS v(q)")
+def symbol_like_queries(spark, d):
+    asked = ["parseConfig", "max_retries", "how are files evicted", "Box", "license"]
+    return spark.createDataFrame([(q, like_symbol(q)) for q in asked], "q string, symbol_like boolean")
 
 
 def _vector(spark, d):
@@ -387,18 +498,20 @@ def dense_topk(spark, d):
     return R.top_k(R.dense(table(spark, d, "embeddings"), _vector(spark, d), "vec_id"), 20)
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT v AS q, sqrt(list_dot_product(v, v)) AS m FROM e WHERE id = 0),
+    p AS (SELECT id, v, CASE WHEN list_max(list_transform(v, lambda x: abs(x))) > 0 THEN list_max(list_transform(v, lambda x: abs(x))) / 127 ELSE 1 END AS k FROM e),
+    s AS (SELECT id, round(list_dot_product(list_transform(v, lambda x: floor(x / k + 0.5)), list_transform(q, lambda x: x / m)) * k, 4) AS score FROM p, q)
+    SELECT id, score FROM s ORDER BY score DESC, id LIMIT 20""")
 def dense_quantized_topk(spark, d):
     return R.top_k(R.dense(table(spark, d, "embeddings"), _vector(spark, d), "vec_id", eight_bit=True), 20)
 
 
 def _rrf(spark, d):
-    ids = files(spark, d).select("doc_id", "path")
-    lexical = _bm25(spark, d).join(ids, F.col("id") == F.col("path")).select(F.col("doc_id").alias("id"), "score")
+    lexical = _bm25(spark, d).groupBy(F.col("doc_id").alias("id")).agg(F.max("score").alias("score"))
     return R.fused(R.dense(table(spark, d, "embeddings"), _vector(spark, d), "vec_id"), lexical)
 
 
-_RRF = f"""{_BM25}, {_DENSE}, lx AS (SELECT doc_id AS id, score FROM bm JOIN files_v ON bm.id = path),
+_RRF = f"""{_BM25}, {_DENSE}, lx AS (SELECT doc_id AS id, max(score) AS score FROM bm GROUP BY doc_id),
     ranks AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id) - 1) AS part FROM (SELECT * FROM dn ORDER BY score DESC, id LIMIT 100)
               UNION ALL SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id) - 1) FROM (SELECT * FROM lx WHERE score > 0 ORDER BY score DESC, id LIMIT 100)),
     rrf AS (SELECT id, round(sum(CAST(part AS DOUBLE)), 8) AS score FROM ranks GROUP BY id)"""
@@ -414,11 +527,6 @@ def _scored_chunks(spark, d):
     return cut
 
 
-_CHUNKS = """c AS (SELECT path, n, unnest(CASE WHEN n <= 60 THEN [1] ELSE range(1, CAST(1 + 30 * ceil((n - 40) / 30) AS BIGINT) + 1, 30) END) AS start FROM
-        (SELECT path, len(string_split(text, chr(10))) AS n FROM files_v WHERE text <> '')),
-    chunks AS (SELECT path, start, CASE WHEN n <= 60 THEN n ELSE least(start + 39, n) END AS "end", CASE WHEN n <= 60 THEN 'file' ELSE 'window' END AS kind FROM c)"""
-
-
 @query(f"{_FILES}, {_CHUNKS} SELECT * FROM chunks")
 def chunk_windows(spark, d):
     return R.windows(files(spark, d))
@@ -437,14 +545,23 @@ def docs_diversity(spark, d):
     return R.diverse_docs(R.boosted(docs, []), 2, 20).select("path", "id", F.round("score", 8).alias("score"))
 
 
-@query(f"""{_BM25}, h AS (SELECT id, source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rank FROM bm JOIN files_v ON bm.id = path)
-    SELECT id, source, score FROM h WHERE rank <= 10 ORDER BY rank > 5, score DESC, id LIMIT 10""")
+@query(f"""{_BM25}, h AS (SELECT id, source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rank, CASE WHEN (SELECT count(DISTINCT source) FROM bm) >= 3 THEN 5 ELSE 10 END AS cap FROM bm)
+    SELECT id, source, score FROM h WHERE rank <= 10 ORDER BY rank > cap, score DESC, id LIMIT 10""")
 def cross_repo_topk(spark, d):
-    repos = files(spark, d).select("path", "source")
-    return R.across_repos(_bm25(spark, d).join(repos, F.col("id") == F.col("path")), 10).select("id", "source", "score")
+    return R.across_repos(_bm25(spark, d), 10).select("id", "source", "score")
 
 
-@query()
+@query(f"""{_BM25}, h AS (SELECT id, source, score FROM bm WHERE source IN (SELECT source FROM bm GROUP BY source ORDER BY max(score) DESC, source LIMIT 2)) SELECT * FROM h ORDER BY score DESC, id LIMIT 10""")
+def cross_repo_two(spark, d):
+    """Two repositories have no cap."""
+    hits = _bm25(spark, d)
+    two = hits.groupBy("source").agg(F.max("score").alias("_m")).orderBy(F.desc("_m"), "source").limit(2).select("source")
+    return R.across_repos(hits.join(F.broadcast(two), "source", "left_semi"), 10).select("id", "source", "score")
+
+
+@query(f"""{_FILES}, {_CHUNKS}, s AS (SELECT path, start, concat(path, ':', start) AS id, round(1 / (10 + length(path) * start % 97), 6) AS score FROM chunks),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, id) AS n FROM s) WHERE n = 1 ORDER BY score DESC, id LIMIT 10)
+    SELECT path, start, array_to_string(list_transform(list_slice(string_split(text, chr(10)), start, start + 2), lambda x, i: (start + i - 1)::VARCHAR || ' | ' || x), chr(10)) AS snippet FROM b JOIN files_v USING (path)""")
 def hit_snippets(spark, d):
     hits = R.diverse_code(_scored_chunks(spark, d), 1, 10)
     return R.snippets(hits, files(spark, d), 3).select("path", "start", "snippet")
@@ -460,25 +577,94 @@ def softmax_choice(spark, d):
     return J.choice(table(spark, d, "embeddings").select("vec_id", "label", logit.alias("logit")), ["label"]).select("vec_id", "label", F.round("p", 9).alias("p"))
 
 
-@query()
+def _words_sql(text: str, *words: str) -> str:
+    return "-2 + 2 * (" + " + ".join(f"contains(lower({text}), '{w}')::INT" for w in words) + ")"
+
+
+@query(f"""{_LINES}, l AS (SELECT path, line, (line - 1) // 150 AS w, {_words_sql('text', 'public', 'license', 'version')} AS logit FROM lines_v),
+    i AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY path, w)) AS x FROM l), o AS (SELECT path, w, max(logit) AS logit FROM l GROUP BY ALL), ow AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY path)) AS y FROM o),
+    p AS (SELECT path, line, w, x / sum(x) OVER (PARTITION BY path, w) AS p FROM i), q AS (SELECT path, w, y / sum(y) OVER (PARTITION BY path) AS q FROM ow),
+    s AS (SELECT path, line, w, round(p * q, 6) AS score FROM p JOIN q USING (path, w))
+    SELECT path, line, score FROM s QUALIFY row_number() OVER (PARTITION BY path, w ORDER BY score DESC, line) <= 5""")
 def locate_lines(spark, d):
     return J.locate(files(spark, d), J.word_scorer("public license version"))
 
 
-@query()
+@query(f"{_LINES} SELECT path, line, substring(text, 1, 400) AS text, round(1 / (1 + exp(-({_words_sql('substring(text, 1, 400)', 'apache', 'public', 'license')}))), 3) AS relevance FROM lines_v WHERE contains(text, 'icense')")
 def rerank_matches(spark, d):
     return J.rerank(G.grep(files(spark, d), "icense"), J.word_scorer("apache public license"))
 
 
-@query()
+_DEFINES = r"^\s*([a-z]+\s+){0,3}(function|class|interface|type|enum|struct|trait|impl|def|fn|func|const|let|var|module|package)\b|^\s*[A-Za-z_$][A-Za-z0-9_$]*\s*(:[^=]+)?=([^=]|$)"
+_GREP_STAGE = rf"""g AS (SELECT path, line, tok, pts FROM (SELECT path, line, text, unnest([{{'tok': 'l', 'pts': CASE WHEN contains(text, 'License') THEN 3 END}}, {{'tok': 'i', 'pts': CASE WHEN contains(text, 'Public') THEN CASE WHEN regexp_matches(text, '{_DEFINES}') THEN 2 ELSE 1 END END}},
+        {{'tok': 'w' || line, 'pts': CASE WHEN n >= 3 THEN 2 WHEN n = 2 THEN 1 END}}]) AS u FROM (SELECT *, contains(lower(text), 'version')::INT + contains(lower(text), 'license')::INT + contains(lower(text), 'under')::INT AS n FROM lines_v)), LATERAL (SELECT u.tok AS tok, u.pts AS pts) WHERE pts IS NOT NULL),
+    gf AS (SELECT path, tok, min(line) AS line, arg_min(pts, line) AS pts FROM g GROUP BY ALL),
+    gs AS (SELECT path, CAST(sum(pts) AS BIGINT) AS score, list_slice(list_sort(list(DISTINCT line)), 1, 3) AS lines FROM gf GROUP BY path ORDER BY score DESC, path LIMIT 14)"""
+
+
+def _grep_stage(spark, d):
+    return G.weighted_files(files(spark, d), ["License"], ["Public"], ["version", "license", "under"])
+
+
+@query(f"{_LINES}, {_GREP_STAGE} SELECT path, score, array_to_string(lines, ',') AS lines FROM gs")
+def grep_stage(spark, d):
+    return _grep_stage(spark, d).select("path", "score", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
+
+
+_PATH_STAGE = """ps AS (SELECT path, CASE WHEN contains(lower(parse_filename(path)), 'src1') THEN 2 WHEN contains(lower(path), 'src1') THEN 1 ELSE 0 END + CASE WHEN contains(lower(parse_filename(path)), 'md') THEN 2 WHEN contains(lower(path), 'md') THEN 1 ELSE 0 END AS score FROM files_v),
+    pt AS (SELECT path, score FROM ps WHERE score > 0 ORDER BY score DESC, length(path), path LIMIT 12)"""
+
+
+@query(f"""{_BM25}, lines_v AS (SELECT path, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS text FROM (SELECT path, string_split(text, chr(10)) AS a FROM files_v WHERE text <> '')), {_GREP_STAGE}, {_PATH_STAGE},
+    st AS (SELECT path, max(score) AS score FROM bm GROUP BY path ORDER BY score DESC, path LIMIT 12),
+    u AS (SELECT path, 'path' AS via, 0 AS k, CAST(score AS DOUBLE) AS score FROM pt UNION ALL SELECT path, 'search', 1, score FROM st UNION ALL SELECT path, 'grep', 2, CAST(score AS DOUBLE) FROM gs)
+    SELECT path, string_agg(via, ',' ORDER BY via) AS via, arg_min(score, k) AS score FROM u GROUP BY path""")
 def find_candidates(spark, d):
-    f = files(spark, d)
-    lexical = G.ranked_files(f, {"License": 3, "Public": 2}).select("path", F.col("score").cast("double").alias("score"))
-    paths = J.path_hits(f, ["src1", "md"]).select("path", F.col("score").cast("double").alias("score"))
-    return J.candidates({"grep": lexical, "path": paths, "search": R.top_k(_bm25(spark, d), 12).select(F.col("id").alias("path"), "score")})
+    """Three stages; a path has the score of the first that found it, and the names of all."""
+    score = F.col("score").cast("double").alias("score")
+    paths = J.path_hits(files(spark, d), ["src1", "md"]).select("path", score)
+    best = _bm25(spark, d).groupBy("path").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "path").limit(12)
+    return J.candidates({"path": paths, "search": best, "grep": _grep_stage(spark, d).select("path", score)})
+
+
+def _assembled(spark, d):
+    """Symbols are stood in for by lines that begin with a capital T; their chunks are single lines."""
+    own = files(spark, d)
+    every = L.numbered_lines(own)
+    symbols = every.where(F.col("text").startswith("T") & F.contains("text", F.lit("the"))).select("path", "line", F.col("line").alias("end_line"), F.substring("text", 1, 60).alias("signature"))
+    chunk = _scored_chunks(spark, d).where(F.pmod(F.length("path") + F.col("start"), F.lit(5)) == 0).select("path", "start", "end", "kind", F.lit("chunk").alias("text"))
+    chunk = chunk.unionByName(symbols.select("path", F.col("line").alias("start"), F.col("line").alias("end"), F.lit("symbol").alias("kind"), F.lit("dropped").alias("text")))
+    return J.assembled(symbols, chunk, G.grep(own, "icense").select("path", "line", F.substring("text", 1, 60).alias("text")), per_file=2)
+
+
+_ASSEMBLED = f"""{_LINES}, {_CHUNKS}, sy AS (SELECT path, line, substring(text, 1, 60) AS signature, row_number() OVER (PARTITION BY path ORDER BY line) AS n FROM lines_v WHERE starts_with(text, 'T') AND contains(text, 'the')),
+    m AS (SELECT path, line, substring(text, 1, 60) AS text FROM lines_v WHERE contains(text, 'icense')),
+    u AS (SELECT path, line, line AS "end", 'symbol' AS kind, signature AS text, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.path = sy.path AND m.line = sy.line) THEN 0 ELSE 1 END AS priority FROM sy WHERE n <= 2
+          UNION ALL SELECT path, start, "end", kind, 'chunk', 2 FROM chunks WHERE (length(path) + start) % 5 = 0
+          UNION ALL SELECT path, line, line, 'match', text, 3 FROM m WHERE NOT EXISTS (SELECT 1 FROM sy WHERE m.path = sy.path AND m.line = sy.line)),
+    a AS (SELECT * FROM u ORDER BY priority, path, line, kind LIMIT 255)"""
+
+
+@query(f"{_ASSEMBLED} SELECT * FROM a")
+def assembled_candidates(spark, d):
+    return _assembled(spark, d).drop("ord")
+
+
+@query(f"""{_ASSEMBLED}, l AS (SELECT *, {_words_sql('text', 'public', 'license')} AS logit FROM a), x AS (SELECT *, exp(logit - max(logit) OVER ()) AS e FROM l)
+    SELECT path, line, kind, round(e / sum(e) OVER (), 9) AS p FROM x""")
+def judged_candidates(spark, d):
+    return J.judged(_assembled(spark, d), J.word_scorer("public license")).select("path", "line", "kind", F.round("p", 9).alias("p"))
 
 
 @query()
+def deepened_candidates(spark, d):
+    """Where no candidate is sure, lines of the best files join in; the tests hold it against a plain version."""
+    few = G.grep(files(spark, d), "icense", limit=3).select("path", "line", F.col("line").alias("end"), F.lit("match").alias("kind"), "text")
+    return J.deepened(few, files(spark, d), J.word_scorer("public license version")).select("path", "line", "kind", F.round("p", 6).alias("p"), "read")
+
+
+@query(f"""{_LINES}, s AS (SELECT path, line, round(1 / (1 + exp(-({_words_sql('substring(text, 1, 400)', 'licensed', 'under', 'the', 'apache', 'license')}))), 3) AS support FROM lines_v WHERE contains(text, 'icense'))
+    SELECT *, CASE WHEN support >= 0.8 THEN 'supports' WHEN support >= 0.5 THEN 'partly' ELSE 'unrelated' END AS verdict FROM s""")
 def verify_lines(spark, d):
     return J.verify(G.grep(files(spark, d), "icense"), "licensed under the apache license").select("path", "line", "support", "verdict")
 
@@ -490,7 +676,8 @@ def beam_search(spark, d):
     return J.beam(entries, J.word_scorer("src1 md"), least=0.0)
 
 
-@query()
+@query(f"""{_FILES}, l AS (SELECT path, {_words_sql('text', 'license', 'copyright', 'reserved')} AS a, {_words_sql('text', 'then', 'that', 'with')} AS b FROM files_v)
+    SELECT path, CASE WHEN a > b THEN 'legal' ELSE 'prose' END AS label, round(1 / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS confidence FROM l""")
 def classify_rows(spark, d):
     labels = {"legal": J.word_scorer("license copyright reserved"), "prose": J.word_scorer("then that with")}
     return J.classify(files(spark, d), labels, "path").select("path", "label", F.round("confidence", 6).alias("confidence"))
@@ -498,6 +685,54 @@ def classify_rows(spark, d):
 
 # ---- structure
 
+# what the first pattern of a language's forms makes of a line that begins with it
+_FORMS = r"""CASE WHEN e = 'ts' THEN CASE WHEN regexp_matches(text, '^(export\s+)?(default\s+)?(async\s+)?function\s*\*?\s*[A-Za-z_$]') THEN 'function' WHEN regexp_matches(text, '^(export\s+)?(default\s+)?(abstract\s+)?class\s+[A-Za-z_$]') THEN 'class' END
+        WHEN e = 'py' THEN CASE WHEN regexp_matches(text, '^(async\s+)?def\s+[A-Za-z_]') THEN 'function' WHEN regexp_matches(text, '^class\s+[A-Za-z_]') THEN 'class' END
+        WHEN e = 'go' THEN CASE WHEN regexp_matches(text, '^func\s+[A-Za-z_]') THEN 'function' END END"""
+#: Documents are prose; this makes a line of three words of each a function's head, by the file's language.
+_CODED_SQL = """SELECT path, regexp_extract(path, '[.]([a-z]+)$', 1) AS e, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 <> 1 THEN '    ' || x ELSE
+        (CASE regexp_extract(path, '[.]([a-z]+)$', 1) WHEN 'ts' THEN 'function ' WHEN 'py' THEN 'def ' WHEN 'go' THEN 'func ' ELSE '' END) || 'f' || i || '() {' || CASE WHEN i % 2 = 0 THEN ' }' ELSE '' END END), chr(10)) AS text FROM files_v"""
+
+
+def _coded(spark, d):
+    keyword = F.when(F.col("path").endswith(".ts"), "function ").when(F.col("path").endswith(".py"), "def ").when(F.col("path").endswith(".go"), "func ").otherwise("")
+    line = lambda x, i: F.when(i % 3 != 0, F.concat(F.lit("    "), x)).otherwise(F.concat(keyword, F.lit("f"), (i + 1).cast("string"), F.lit("() {"), F.when(i % 2 == 1, " }").otherwise("")))
+    return files(spark, d).select("path", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+
+
+@query(f"""{_FILES}, coded AS ({_CODED_SQL}), cl AS (SELECT path, e, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS text FROM (SELECT path, e, string_split(text, chr(10)) AS a FROM coded)),
+    k AS (SELECT *, {_FORMS} AS kind FROM cl) SELECT path, kind, regexp_extract(text, '(f[0-9]+)\\(', 1) AS name, line, substring(trim(text), 1, 200) AS signature FROM k WHERE kind IS NOT NULL""".replace("\\\\", "\\"))
+def outline_files(spark, d):
+    """Symbols of the whole table, whose lines are made into code."""
+    return O.outline(_coded(spark, d)).select("path", "kind", "name", "line", "signature")
+
+
+@query(f"""{_FILES}, coded AS ({_CODED_SQL}), cl AS (SELECT path, unnest(range(1, len(a) + 1)) AS line, unnest(a) AS text FROM (SELECT path, string_split(text, chr(10)) AS a FROM coded WHERE e = 'py')),
+    h AS (SELECT *, lead(line) OVER (PARTITION BY path ORDER BY line) AS nxt FROM cl WHERE starts_with(text, 'def ')),
+    b AS (SELECT path, line FROM cl WHERE trim(text) <> '')
+    SELECT h.path, h.line, max(b.line) AS end_line FROM h LEFT JOIN b ON b.path = h.path AND b.line > h.line AND (nxt IS NULL OR b.line < nxt) GROUP BY h.path, h.line HAVING max(b.line) IS NOT NULL""")
+def outline_spans(spark, d):
+    """Spans by indentation of the whole table's Python files."""
+    return O.outline(_coded(spark, d).where(F.col("path").endswith(".py"))).where("end_line > line").select("path", "line", F.col("end_line").cast("long").alias("end_line"))
+
+
+@query(f"""{_FILES}, coded AS ({_CODED_SQL}), first AS (SELECT * FROM coded WHERE path GLOB 'src1*' ORDER BY path LIMIT 20), cl AS (SELECT path, e, unnest(string_split(text, chr(10))) AS text FROM first)
+    SELECT path, CAST(count({_FORMS}) AS INT) AS n_symbols, (SELECT count(*) FROM coded WHERE path GLOB 'src1*') > 20 AS truncated FROM cl GROUP BY path""")
+def tree_outlines(spark, d):
+    return L.tree_with_outlines(_coded(spark, d), O.outline, most=20, glob="src1*").drop("symbols")
+
+
+@query()
+def outline_members(spark, d):
+    return O.members(samples.sources(spark))
+
+
+@query()
+def outline_comments(spark, d):
+    code = samples.sources(spark)
+    return O.leading_comments(code, O.outline(code)).select("path", "name", "line", "comment")
+
+
 
 @query()
 def outline_items(spark, d):
@@ -584,7 +819,35 @@ def shell_pipeline(spark, d):
     return S.cat(files(spark, d)).transform(S.grep, "icense").transform(S.uniq_sorted).orderBy(F.desc("n"), "line").limit(10).transform(S.counted)
 
 
-@query()
+@query(f"{_LINES} SELECT path || ':' || count(*) AS line FROM lines_v WHERE contains(text, 'icense') GROUP BY path")
+def shell_grep_counts(spark, d):
+    return S.grep_paths(files(spark, d), "icense", show="counts")
+
+
+@query(f"{_LINES} SELECT path || ':' || line || ':' || substring(text, 1, 400) AS line FROM lines_v WHERE contains(text, 'icense') AND starts_with(path, 'src1/')")
+def shell_grep_lines(spark, d):
+    return S.grep_paths(files(spark, d), "icense", scope="src1")
+
+
+@query(f"{_FILES} SELECT CASE WHEN contains(r, '/') THEN 'd' ELSE '-' END AS kind, split_part(r, '/', 1) AS name, CAST(sum(strlen(text)) AS BIGINT) AS size FROM (SELECT substring(path, 6) AS r, text FROM files_v WHERE starts_with(path, 'src1/')) GROUP BY ALL")
+def shell_ls_long(spark, d):
+    return S.ls_long(files(spark, d), "src1")
+
+
+@query(f"{_LINES} SELECT path, line, regexp_replace(text, '[Ll]icense', '<\\0>', 'g') AS text, regexp_replace(text, '[Ll]icense', 'x') AS first FROM lines_v WHERE contains(text, 'icense')".replace("\\\\", "\\"))
+def shell_sed_replace(spark, d):
+    rows = G.grep(files(spark, d), "icense").select("path", F.col("line").alias("n"), F.col("text").alias("line"))
+    both = S.sed_replace(rows.withColumn("first", F.col("line")), "[Ll]icense", "<&>").withColumnRenamed("line", "text")
+    return S.sed_replace(both.withColumnRenamed("first", "line"), "[Ll]icense", "x", every=False).select("path", F.col("n").alias("line"), "text", F.col("line").alias("first"))
+
+
+@query("WITH r AS (SELECT event_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY event_id) THEN 1 ELSE 0 END AS s FROM events), g AS (SELECT *, sum(s) OVER (ORDER BY event_id) AS k FROM r) SELECT min(event_id) AS ord, event_type AS line, count(*) AS n FROM g GROUP BY k, event_type")
+def shell_uniq_whole(spark, d):
+    """Runs over one whole table, found range by range."""
+    return S.uniq(table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("event_type").alias("line")))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS ord, 'a b' AS line")
 def shell_echo(spark, d):
     return S.echo(spark, "a", "b")
 
@@ -703,12 +966,13 @@ def stream_sliding(spark, d):
     return K.replayed(K.windowed(K.event_stream(spark, d), "1 hour", "15 minutes"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+    SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
 def stream_session(spark, d):
     return K.replayed(K.sessions(K.event_stream(spark, d)), "append")
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES")
 def stream_late(spark, d):
     """Append mode: a window comes out once the watermark has passed it, later rows for it are dropped."""
     return K.replayed(K.windowed(K.event_stream(spark, d), "1 hour"), "append")
@@ -719,8 +983,26 @@ def stream_throttle(spark, d):
     return K.replayed(throttled(K.event_stream(spark, d), "user_id", seconds=3600, limit=2), "append")
 
 
-@query()
+_SHAPE = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', '" + "A" * 26 + "a" * 26 + "0" * 10 + "')"
+_CODELIKE = f"length(t) >= 3 AND (contains({_SHAPE.format('t')}, 'aA') OR contains(t, '_') OR contains(t, '/') OR regexp_matches({_SHAPE.format('t')}, '\\.a{{1,5}}$|^A[A0]{{2,}}$|^a+0[aA0]*$'))".replace("\\\\", "\\")
+_QUOTED_SQL = "`[^`]{2,200}`|\"[^\"]{2,200}\"|''[^'']{3,200}''"
+_NOISE = ", ".join(_text(w) for w in V.QUESTION_STOP_WORDS)
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, text AS question FROM conversations),
+    r AS (SELECT *, list_transform(regexp_split_to_array(translate(regexp_replace(question, '{_QUOTED_SQL}', ' ', 'g'), {_text(V.QUESTION_SEPARATORS)}, '{" " * len(V.QUESTION_SEPARATORS)}'), ' +'), lambda t: regexp_extract(t, '[A-Za-z0-9_$@./-].*[A-Za-z0-9_$]|[A-Za-z0-9_$]')) AS n FROM q),
+    i AS (SELECT conv_id, turn, p, t, {_CODELIKE} AS coded FROM (SELECT conv_id, turn, unnest(n) AS t, generate_subscripts(n, 1) AS p FROM r)),
+    d AS (SELECT conv_id, turn, coded, CASE WHEN coded THEN t ELSE lower(t) END AS t, min(p) AS p FROM i WHERE coded OR (length(t) >= 4 AND lower(t) NOT IN ({_NOISE}) AND NOT regexp_matches(t, '^[0-9]+$')) GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, coded ORDER BY p) AS rank FROM d),
+    g AS (SELECT conv_id, turn, string_agg(t, ' ' ORDER BY p) FILTER (WHERE coded AND rank <= 8) AS identifiers, string_agg(t, ' ' ORDER BY p) FILTER (WHERE NOT coded AND rank <= 12) AS words FROM k GROUP BY ALL)
+    SELECT conv_id, turn, len(list_filter(regexp_extract_all(question, '{_QUOTED_SQL}'), lambda x: length(trim(substring(x, 2, length(x) - 2))) >= 2)) AS n_literals, coalesce(identifiers, '') AS identifiers, coalesce(words, '') AS words FROM r LEFT JOIN g USING (conv_id, turn)""")
 def questions(spark, d):
+    parts = table(spark, d, "conversations").select("conv_id", "turn", question_parts(F.col("text")).alias("q"))
+    return parts.select("conv_id", "turn", F.size("q.literals").cast("long").alias("n_literals"), F.array_join("q.identifiers", " ").alias("identifiers"), F.array_join("q.words", " ").alias("words"))
+
+
+@query()
+def question_samples(spark, d):
     return samples.asked(spark).select("question", question_parts(F.col("question")).alias("q")).select("question", "q.*")
 
 

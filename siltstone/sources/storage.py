@@ -6,12 +6,14 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (as in local tests) a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}").rstrip("/")
 
 
@@ -32,3 +34,34 @@ def new_folder(spark: SparkSession, name: str, below: str | None = None) -> str:
     store, at = _at(spark, path)
     store.mkdirs(at)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: lineage ends there, and a lost executor costs a reread."""
+    path = new_folder(df.sparkSession, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = _at(spark, path)
+    return store.exists(at)
+
+
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, length and time of change of a file, or of all files of a folder."""
+    store, at = _at(spark, path)
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in store.listStatus(at))
+
+
+def renamed(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a folder; what another run has put there meanwhile stays."""
+    store, at = _at(spark, path)
+    if not exists(spark, to):
+        store.rename(at, _at(spark, to)[1])
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table that is read in fewer tasks than there are cores (few, large row groups) is dealt out before costly work; others stay as they are."""
+    n = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= n else table.repartition(n)

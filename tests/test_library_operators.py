@@ -6,10 +6,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.functions import patterns, text
+from siltstone.functions import embedding, paths, patterns, text
 from siltstone.functions import paths as P
 from siltstone.operators import evaluation, grep, judge, listing, metrics, outline, retrieval, shell
 from siltstone.plans import samples
+from siltstone.sources import snapshots
 
 
 def values(df, *columns):
@@ -139,7 +140,6 @@ def test_snapshot_reader(spark, tmp_path):
 def test_embedding(spark):
     import numpy as np
 
-    from siltstone.functions import embedding
 
     vocabulary = {w: i for i, w in enumerate(["const", "a", "##b", "=", "cafe", "日"])}
     assert embedding.pieces("Const ab= café 日 zzz", vocabulary) == [0, 1, 2, 3, 4, 5]
@@ -260,3 +260,103 @@ def test_diverse_docs_looks_past_long_files(spark):
     rows = [("long.md", f"long.md:{i:04}", i * 40, 10.0 - i / 1000) for i in range(1000)] + [(f"d{i:02}.md", f"d{i:02}.md:1", 1, 1.0 - i / 100) for i in range(30)]
     hits = spark.createDataFrame(rows, "path string, id string, start long, score double")
     assert [r[0] for r in values(retrieval.diverse_docs(hits, 2, 20), "id")] == ["long.md:0000", "long.md:0001"] + [f"d{i:02}.md:1" for i in range(18)]
+
+
+def test_members_and_comments(spark):
+    ts = "/* A box.\n * For things. */\n\nexport class Box {\n  size: number = 3\n  static of<T>(x: T) {\n    if (x) { return x }\n    const y = `{\n    `\n  }\n  /* not a\n  brace { */\n  async open() {\n  }\n}\n\n// Makes one.\nfunction make() { return 1 }\nfunction bare() {\n}\n"
+    py = "# Top.\nclass Tool:\n    def run(self):\n        def inner():\n            pass\n\n    async def stop(self):\n        return 1\n\n\ndef main():\n    pass\n"
+    files = spark.createDataFrame([("a.ts", ts), ("b.py", py), ("c.py", ""), ("d.txt", "class X {")], "path string, text string")
+    items = {(r.path, r.name): (r.line, r.end_line) for r in outline.outline(files).collect()}
+    assert items == {("a.ts", "Box"): (4, 15), ("a.ts", "make"): (18, 18), ("a.ts", "bare"): (19, 20), ("b.py", "Tool"): (2, 8), ("b.py", "main"): (11, 12)}
+    own = sorted((r.path, r.parent, r.kind, r.name, r.line, r.end_line) for r in outline.members(files).where("kind = 'method'").collect())
+    assert own == [("a.ts", "Box", "method", "of", 6, 10), ("a.ts", "Box", "method", "open", 13, 14), ("b.py", "Tool", "method", "inner", 4, 5), ("b.py", "Tool", "method", "run", 3, 5), ("b.py", "Tool", "method", "stop", 7, 8)]
+    assert [(r.name, r.line) for r in outline.members(files).where("kind = 'property'").collect()] == [("size", 5)]
+    comments = {r.name: r.comment for r in outline.leading_comments(files, outline.outline(files)).collect()}
+    assert comments == {"Box": "A box.\nFor things.", "make": "Makes one.", "bare": None, "Tool": "Top.", "main": None}
+
+
+def test_uniq_over_ranges(spark):
+    from itertools import groupby
+
+    data = [(i, "aabbbca"[i * i % 7] if i % 50 else "long") for i in range(400)] + [(1000 + i, "same") for i in range(300)]
+    got = shell.uniq(spark.createDataFrame(data, "ord long, line string").repartition(7))
+    want = [(g[0][0], k, len(g)) for k, g in ((k, list(g)) for k, g in groupby(data, key=lambda x: x[1]))]
+    assert sorted((r.ord, r.line, r.n) for r in got.collect()) == want
+    one = shell.uniq(spark.createDataFrame([(i, "x") for i in range(200)], "ord long, line string")).collect()
+    assert [tuple(r) for r in one] == [(0, "x", 200)]
+
+
+def test_throttle_over_stretches(spark):
+    at = [0, 5, 59, 60, 61, 119, 120, 1190, 1199, 1200, 1201, 1255, 1261]
+    log = spark.createDataFrame([("k", i) for i in at], "key string, s long").select("key", "s", F.timestamp_seconds("s").alias("ts"))
+    for stretch in (1, 3, 20):
+        got = {r.s: (r.in_window, r.throttled) for r in metrics.throttle(log, "key", 60, 3, stretch).collect()}
+        assert got == {t: (n, n > 3) for t in at for n in [sum(t - 60 <= u <= t for u in at)]}
+
+
+def test_paths_and_grading(spark):
+    df = spark.createDataFrame([("/a/./b//../c/",), ("../../x",), ("",), ("a/b/../../..",)], "p string")
+    assert [r[0] for r in df.select(paths.normalized(F.col("p"))).collect()] == ["a/c", "x", "", ""]
+    answers = spark.createDataFrame([("uses foo and a+b", ("all", None, None, ["foo", "a+b"])), ("food a+b", ("all", None, None, ["foo"]))], "answer string, expected struct<type:string,value:string,pattern:string,values:array<string>>")
+    assert [r.passed for r in evaluation.graded(answers).collect()] == [True, False]
+
+
+def test_archives_and_model_files(spark, tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "one.tar.gz", "w:gz") as tar:
+        for name, data in [("top/src/a.ts", b"let a = 1\n"), ("top/node_modules/x.js", b"no"), ("top/logo.png", b"no"), ("top/src/a.ts", b"let a = 2\n"), ("top/empty.md", b"")]:
+            entry = tarfile.TarInfo(name)
+            entry.size = len(data)
+            tar.addfile(entry, io.BytesIO(data))
+    got = {r.path: (r.size, r.lines, r.text) for r in snapshots.read_archives(spark, str(tmp_path)).collect()}
+    assert got == {"src/a.ts": (10, 1, "let a = 2\n"), "empty.md": (0, 0, "")}
+    with pytest.raises(ValueError, match="one.tar.gz"):
+        snapshots.read_archives(spark, str(tmp_path), max_archive=10)
+
+    import numpy as np
+
+    model = embedding.StaticModel.quantized({"a": 0, "##b": 1}, np.array([[1.0, -2.0, 0.5], [0.0, 0.0, 0.0]]))
+    (tmp_path / "m.bin").write_bytes(embedding.model_bytes(model))
+    back = embedding.read_model(spark, str(tmp_path / "m.bin"))
+    assert back.vocabulary == model.vocabulary and (back.weights == model.weights).all() and np.allclose(back.scales, model.scales)
+    (tmp_path / "m.bin").write_bytes(b"else")
+    with pytest.raises(ValueError):
+        embedding.read_model(spark, str(tmp_path / "m.bin"))
+
+
+def test_deepened_candidates(spark):
+    import math
+
+    files = spark.createDataFrame([("a", "public license\nplain\npublic"), ("b", "nothing\nlicense"), ("c", "public license version")], "path string, text string")
+    few = spark.createDataFrame([("a", 2, 2, "match", "plain"), ("b", 1, 1, "match", "nothing")], "path string, line int, end int, kind string, text string")
+    scorer = judge.word_scorer("public license version")
+    got = {(r.path, r.line, r.kind): r.p for r in judge.deepened(few, files, scorer).collect()}
+    logits = {("a", 2, "match"): -2, ("b", 1, "match"): -2, ("a", 1, "located"): 2, ("a", 3, "located"): 0, ("b", 2, "located"): 0}
+    total = sum(math.exp(x) for x in logits.values())
+    assert got.keys() == logits.keys() and all(abs(got[k] - math.exp(x) / total) < 1e-9 for k, x in logits.items())
+    sure = few.where("path = 'a'")
+    assert [(r.p, r.read) for r in judge.deepened(sure, files, scorer).collect()] == [(1.0, True)]
+
+
+def test_index_is_kept_until_the_table_changes(spark, tmp_path):
+    from siltstone.operators import index, retrieval
+
+    files = spark.createDataFrame([("src/parseConfig.ts", "const maxRetries = 3"), ("docs/a.md", "max retries of a thing")], "path string, text string")
+    files.write.parquet(str(tmp_path / "t"))
+    built = []
+
+    def build():
+        built.append(1)
+        return retrieval.chunks(files).withColumn("id", F.concat_ws(":", "path", "start"))
+
+    for _ in range(2):
+        kept = index.kept_index(spark, str(tmp_path / "t"), build, ["path"])
+    assert len(built) == 1 and kept.n_chunks == 2
+    terms = {(r.path, r.term): r.tf for r in kept.postings.collect()}
+    assert terms[("src/parseConfig.ts", "parseconfig")] == 2 and terms[("src/parseConfig.ts", "config")] == 2 and terms[("src/parseConfig.ts", "retries")] == 1
+    assert [r.path for r in index.bm25(kept, ["parse"], ["path"]).collect()] == ["src/parseConfig.ts"]
+    files.limit(1).write.mode("append").parquet(str(tmp_path / "t"))
+    index.kept_index(spark, str(tmp_path / "t"), build, ["path"])
+    assert len(built) == 2
