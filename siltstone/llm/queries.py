@@ -17,6 +17,7 @@ from siltstone.llm.quality_rules import quality_rules
 from siltstone.llm.suffix_dedup import suffix_dedup
 from siltstone.llm.token_counts import token_counts
 from siltstone.llm.url_filter import UrlRule, url_filter
+from siltstone.sources.storage import spread
 
 MAX_TOKENS = 4096
 KEEP_SCORE = 0.3
@@ -28,7 +29,7 @@ ARROW_ROWS = 1000
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in ("documents", "pages") else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
