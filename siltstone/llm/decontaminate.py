@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import kernels
+from siltstone.llm.columns import kept_names, map_in_arrow, quoted, spare
 from siltstone.llm.storage import written
 
 #: Windows that go to the workers at once (about 200 bytes each); more are sent in turn.
@@ -146,57 +147,95 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     consecutive words of an item, or all words of a shorter item. ``n_hit`` counts the words of a row that
     lie inside any occurrence of a window, ``items`` names the items with such windows. A null or empty text
     has no words; an item of null id, null text or no words has no windows; an item given twice counts once.
-    Equal documents are rows of their own. Other columns stay; columns named as a new one are replaced.
+    Equal documents are rows of their own. Other columns stay, whatever their names; columns named as a new one
+    are replaced. Empty tables on either side give no hits.
 
-    The windows sent to the workers at once are bounded by ``windows_a_round``; further ones follow in
-    rounds, between which the rows are kept in the shared folder with what was hit so far.
+    The windows sent to the workers at once are bounded by ``windows_a_round``. Further ones follow in rounds over
+    a numbered copy of the rows; a round keeps only the rows it hits, and these meet the copy at the end.
     """
     spark = docs.sparkSession
     windows = written(item_windows(benchmark, window, item_col, item_text_col), "windows")
     n_rounds = max(1, -(-windows.count() // windows_a_round))
-    names = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "_hit")]
-    out = docs.select(*names, F.lit(None).cast("binary").alias("_hit"), F.array().cast("array<string>").alias("items"))
-    for k in range(n_rounds):
+    names = kept_names(docs, RESULTS)
+    row, text = spare(docs, "row", "text")
+    rows = docs.select(*quoted(names), F.coalesce(quoted([text_col])[0].cast("string"), F.lit("")).alias(text))
+    if n_rounds > 1:
+        rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "leak-rows")
+
+    def prefixes(k: int):
         part = windows.where(F.pmod(F.xxhash64("words"), F.lit(n_rounds)) == k) if n_rounds > 1 else windows
         own = [(np.frombuffer(r["words"], np.uint64), r["items"]) for r in part.collect()]
         wanted: dict[int, np.ndarray] = {}
         for width in {_shingle_width(len(w), shingle) for w, _ in own}:
             wanted[width] = np.unique(np.concatenate([_each_shingle(w, shingle) for w, _ in own if _shingle_width(len(w), shingle) == width]))
-        frequency = shingle_frequencies(docs, text_col, wanted) if wanted else {}
-        out = _marked(out, text_col, spark.sparkContext.broadcast(_prefixes(own, shingle, wanted, frequency)))
-        if k < n_rounds - 1:
-            out = written(out.drop("n_words", "n_hit"), "hits")
-    return out.drop("_hit").select(*names, "n_words", "n_hit", "items")
+        frequency = shingle_frequencies(rows, text, wanted) if wanted else {}
+        return spark.sparkContext.broadcast(_prefixes(own, shingle, wanted, frequency))
+
+    if n_rounds == 1:
+        return _marked(rows, text, prefixes(0)).drop(text)
+    found = None
+    for k in range(n_rounds):
+        own = written(_hits(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), prefixes(k)), "leak-hits")
+        found = own if found is None else found.unionByName(own)
+    own = _merged(found.groupBy("row").agg(F.collect_list("hit").alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
+    out = rows.join(own.select(F.col("row").alias(row), "n_hit", "items"), row, "left")
+    return out.select(*quoted(names), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+RESULTS = ("n_words", "n_hit", "items")
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _marks(column: pa.Array, prefixes: list[tuple[Prefixes, np.ndarray]]) -> Iterator[tuple[np.ndarray, set[str]]]:
+    """For each text which of its words are hit, and the items whose windows occur in it."""
+    data, at = kernels.laid_out(column)
+    for a, b in kernels.blocks(at):
+        _, _, h, first = kernels.words(data[at[a] : at[b]], at[a : b + 1] - at[a], kernels.ALNUM)
+        edge, items = np.zeros(len(h) + 1, np.int64), [set() for _ in range(b - a)]
+        for p, sieve in prefixes:
+            text, start, window = _occurrences(h, first, p, sieve)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + p.words.shape[1], -1)
+            for t, w in np.unique(np.stack([text, window]), axis=1).T.tolist():
+                items[t].update(p.items[w])
+        hit = np.cumsum(edge[:-1]) > 0
+        for i in range(b - a):
+            yield hit[first[i] : first[i + 1]], items[i]
+
+
+def _marked(docs: DataFrame, text: str, sent) -> DataFrame:
+    at_text = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes = [(p, _sieve(p.shingles)) for p in sent.value]
+        for batch in batches:
+            marks = list(_marks(batch.column(at_text), prefixes))
+            columns = [pa.array([len(x) for x, _ in marks], pa.int64()), pa.array([int(x.sum()) for x, _ in marks], pa.int64()), pa.array([sorted(i) for _, i in marks], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+
+    return map_in_arrow(docs, mark, schema)
 
 
-def _marked(docs: DataFrame, text_col: str, sent) -> DataFrame:
-    at_text, at_hit, at_items = (docs.columns.index(c) for c in (text_col, "_hit", "items"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType())])
+def _hits(rows: DataFrame, sent) -> DataFrame:
+    """``(row, hit, items)`` of the rows that are hit: a bit for each word."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = [(p, _sieve(p.shingles)) for p in sent.value]
         for batch in batches:
-            hits, items, n_words = [], [set(x) for x in batch.column(at_items).to_pylist()], []
-            column = batch.column(at_text)
-            data, at = kernels.laid_out(column if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.cast(pa.string()))
-            before = batch.column(at_hit).to_pylist()
-            for a, b in kernels.blocks(at):
-                _, _, h, first = kernels.words(data[at[a] : at[b]], at[a : b + 1] - at[a], kernels.ALNUM)
-                edge = np.zeros(len(h) + 1, np.int64)
-                for p, sieve in prefixes:
-                    text, start, window = _occurrences(h, first, p, sieve)
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + p.words.shape[1], -1)
-                    for t, w in np.unique(np.stack([text, window]), axis=1).T.tolist():
-                        items[a + t].update(p.items[w])
-                hit = np.cumsum(edge[:-1]) > 0
-                for i in range(a, b):
-                    own = hit[first[i - a] : first[i - a + 1]]
-                    hits.append(own | np.frombuffer(before[i], bool) if before[i] else own)
-            columns = list(batch.columns)
-            columns[at_hit] = pa.array([x.tobytes() if x.any() else None for x in hits], pa.binary())
-            columns[at_items] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-            columns += [pa.array([len(x) for x in hits], pa.int64()), pa.array([int(x.sum()) for x in hits], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return docs.mapInArrow(mark, schema)
+            own = [(r, np.packbits(x).tobytes(), sorted(i)) for r, (x, i) in zip(batch.column(0).to_pylist(), _marks(batch.column(1), prefixes), strict=True) if i]
+            row, hit, items = zip(*own, strict=True) if own else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(hit, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["row", "hit", "items"])
+
+    return rows.mapInArrow(mark, "row long, hit binary, items array<string>")
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """``(row, n_hit, items)`` of ``(row, hits, items)``: how many words any of the rounds has hit."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in hits])).sum()) for hits in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], names=["row", "n_hit", "items"])
+
+    return found.mapInArrow(merge, "row long, n_hit long, items array<string>")

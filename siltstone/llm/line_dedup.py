@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm.columns import kept_names, map_in_arrow, quoted, spare
 from siltstone.llm.perfect_hash import Shards, shard_arrays, shard_of
+from siltstone.llm.repeats import dealt
 from siltstone.llm.storage import written
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -71,59 +73,99 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col
     Lines are what ``\\n`` separates (a null or empty text is one empty line). A line's key is the line with
     ASCII white space stripped at both ends and A-Z lower-cased. A key of at least ``min_chars`` code points
     that stands in at least ``min_docs`` rows loses all its lines. Rows of equal id count as rows of their own.
-    The other lines stay as they are, joined by ``\\n``; a null text comes back empty. Other columns stay;
-    one named ``n_lines`` or ``n_dropped`` is replaced. An empty table gives an empty table.
+    The other lines stay as they are, joined by ``\\n``; a null text comes back empty. Other columns stay, whatever
+    their names; one named ``n_lines`` or ``n_dropped`` is replaced. An empty table gives an empty table.
 
     Keys are 128-bit hashes. Those of two rows or more go into shards: a minimal perfect hash on one half,
     behind it the other half as fingerprint and the count. The arrays are sent to the workers if they have
-    at most ``max_broadcast`` bytes; beyond, groups of shards below that bound are sent in turn, and what
-    each group finds is kept with the rows in the shared folder until the last one.
+    at most ``max_broadcast`` bytes. Beyond that, lines are sent to the shards instead (28 bytes a line), in one
+    pass whatever their number; but for the most frequent keys, whose arrays still go to all workers, so that no
+    shard gets more than its share.
     """
     counts = written(line_counts(docs, text_col, min_chars).where(F.col("n") >= min(2, min_docs)), "line-counts")
-    n_shards = max(1, -(-counts.count() // KEYS_A_SHARD))
+    size = counts.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    n_shards = max(1, -(-size["keys"] // KEYS_A_SHARD))
     shards = written(shard_table(counts, n_shards), "line-shards")
-    sizes = shards.select("shard", (F.length("bits") + F.length("rest") + F.length("fingerprints") + F.length("counts")).alias("size"))
-    groups: list[list[int]] = [[]]
-    total = 0
-    for r in sizes.sort("shard").toLocalIterator():
-        if groups[-1] and total + r["size"] > max_broadcast:
-            groups.append([])
-            total = 0
-        groups[-1].append(r["shard"])
-        total += r["size"]
-
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_flags")]
-    out = docs.select(*names).withColumn(text_col, F.col(text_col).cast("string")).withColumn("_flags", F.lit(None).cast("binary"))
-    for i, group in enumerate(groups):
-        rows = [r.asDict() for r in shards.where(F.col("shard").isin(group)).collect()] if group else []
-        out = _probed(out, text_col, min_docs, min_chars, n_shards, rows, last := i == len(groups) - 1)
-        if not last:
-            out = written(out, "line-flags")
-    return out.drop("_flags")
-
-
-def _probed(docs: DataFrame, text_col: str, min_docs: int, min_chars: int, n_shards: int, rows: list[dict], last: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
-    at, flags_at = docs.columns.index(text_col), docs.columns.index("_flags")
-    schema = T.StructType([*docs.schema.fields, *([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] if last else [])])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = Shards(n_shards, sent.value)
+    total = shards.agg(F.coalesce(F.sum(F.length("bits") + F.length("rest") + F.length("fingerprints") + F.length("counts")), F.lit(0))).first()[0]
+    names = kept_names(docs, ("n_lines", "n_dropped"))
+    row, flags = spare(docs, "row", "flags")
+    text = quoted([text_col])[0].cast("string").alias(text_col)
+    rows = docs.select(*[text if c.lower() == text_col.lower() else quoted([c])[0] for c in names])
+    spark = docs.sparkSession
+    if total <= max_broadcast:
+        sent = spark.sparkContext.broadcast((n_shards, [r.asDict() for r in shards.collect()]))
+        return _cut(rows, text_col, None, min_docs, min_chars, sent)
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "line-rows")
+    # at most HOT_KEYS keys have so many rows
+    hot = shard_table(counts.where(F.col("n") >= max(min_docs, size["rows"] // HOT_KEYS)), 1)
+    sent = spark.sparkContext.broadcast((1, [r.asDict() for r in hot.collect()]))
+    asked = _asked(rows.select(F.col(row).alias("row"), F.col(text_col).alias("text")), min_chars, n_shards, sent)
+    found = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(_answers(n_shards, min_docs), "row long, lines binary")
+    found = found.groupBy(F.col("row").alias(row)).agg(F.collect_list("lines").alias(flags))
+    return _cut(rows.join(found, row, "left").drop(row), text_col, flags, min_docs, min_chars, sent)
+
+
+#: Keys with a larger share of all rows than one in so many are looked up by every worker.
+HOT_KEYS = 50_000
+_LINE = np.dtype([("h1", np.uint64), ("h2", np.uint64), ("row", np.int64), ("line", np.int32)])
+
+
+def _asked(rows: DataFrame, min_chars: int, n_shards: int, hot) -> DataFrame:
+    """``(shard, lines)``: blobs of the lines that a shard must tell about."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Shards(*hot.value)
+        for batch in batches:
+            own = [(k, r, i) for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, k in enumerate(_keys(t, min_chars)) if k]
+            lines = np.zeros(len(own), _LINE)
+            lines["h1"], lines["h2"] = _halves([k for k, _, _ in own])
+            lines["row"], lines["line"] = [r for _, r, _ in own], [i for _, _, i in own]
+            lines = lines[known.count(lines["h1"], lines["h2"]) == 0]
+            blobs = dealt(lines, shard_of(lines["h1"], n_shards), 0)
+            yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in blobs], pa.int64()), pa.array([b[2] for b in blobs], pa.binary())], names=["shard", "lines"])
+
+    return rows.mapInArrow(ask, "shard long, lines binary")
+
+
+def _answers(n_shards: int, min_docs: int):
+    def answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        lines = np.frombuffer(b"".join(asked["lines"].to_pylist()), _LINE)
+        if shard.num_rows:
+            lines = lines[Shards(n_shards, shard.to_pylist()).count(lines["h1"], lines["h2"]) >= min_docs]
+        else:
+            lines = lines[:0]
+        lines = lines[np.argsort(lines["row"], kind="stable")]
+        first = np.flatnonzero(np.append(True, lines["row"][1:] != lines["row"][:-1])) if len(lines) else np.zeros(0, np.int64)
+        each = [x.tobytes() for x in np.split(lines["line"], first[1:])] if len(lines) else []
+        return pa.table({"row": pa.array(lines["row"][first], pa.int64()), "lines": pa.array(each, pa.binary())})
+
+    return answer
+
+
+def _cut(rows: DataFrame, text_col: str, flags: str | None, min_docs: int, min_chars: int, sent) -> DataFrame:
+    """The rows without the lines that the sent arrays count ``min_docs`` times, or that ``flags`` has (lists of line numbers)."""
+    at = rows.columns.index(text_col)
+    at_flags = rows.columns.index(flags) if flags else None
+    kept = [f for f in rows.schema.fields if f.name != flags]
+    schema = T.StructType([*kept, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = Shards(*sent.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             keys = [_keys(t, min_chars) for t in texts]
             some = [k for ks in keys for k in ks if k]
             repeated = iter((shards.count(*_halves(some)) >= min_docs).tolist())
             drop = [[bool(k) and next(repeated) for k in ks] for ks in keys]
-            for flags, before in zip(drop, batch.column(flags_at).to_pylist(), strict=True):
-                for i, x in enumerate(before or b""):
-                    flags[i] = flags[i] or bool(x)
+            if at_flags is not None:
+                for own, lists in zip(drop, batch.column(at_flags).to_pylist(), strict=True):
+                    for i in np.frombuffer(b"".join(lists or []), np.int32).tolist():
+                        own[i] = True
             columns = list(batch.columns)
-            if last:
-                columns[at] = pa.array(["\n".join(x for x, d in zip(t.split("\n"), flags, strict=True) if not d) if any(flags) else t for t, flags in zip(texts, drop, strict=True)], pa.string())
-                columns += [pa.array([len(f) for f in drop], pa.int64()), pa.array([sum(f) for f in drop], pa.int64())]
-            else:
-                columns[flags_at] = pa.array([bytes(f) for f in drop], pa.binary())
+            columns[at] = pa.array(["\n".join(x for x, d in zip(t.split("\n"), own, strict=True) if not d) if any(own) else t for t, own in zip(texts, drop, strict=True)], pa.string())
+            if at_flags is not None:
+                del columns[at_flags]
+            columns += [pa.array([len(f) for f in drop], pa.int64()), pa.array([sum(f) for f in drop], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(probe, schema)
+    return map_in_arrow(rows, cut, schema)

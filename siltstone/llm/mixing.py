@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.llm.columns import kept_names, quoted
 from siltstone.llm.storage import written
 
 #: Halvings that one pass over the source table settles, and passes.
@@ -94,8 +95,12 @@ def mixing_weights(docs: DataFrame, target: Target, budget: int | None, source_c
     return out.withColumn("rest", F.col("source_budget") - F.col("passes") * F.col("tokens")).drop("share")
 
 
+RESULTS = ("source", "n_tokens", "weight", "copy", "block", "block_rank", "shuffle_key")
+
+
 def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, id_col: str = "doc_id", source_col: str = "source", tokens_col: str = "n_tokens", seed: int = 1, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``(id, source, n_tokens, weight, copy, block, block_rank, shuffle_key)``: a row for each time a document comes.
+    """``(id, source, n_tokens, weight, copy, block, block_rank, shuffle_key)``: a row for each time a document comes, with
+    the other columns of ``docs`` behind them.
 
     A source's documents are dealt into blocks by a hash of the id. A pass goes over all blocks in an order of
     its own (``copy`` is the pass, ``block_rank`` the block's place in it; within a block ``shuffle_key``
@@ -107,7 +112,9 @@ def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, i
     (or null) tokens are never drawn; rows of a null id all fall into one block. Repeated rows are rows of
     their own. Other columns are left out. An empty table gives an empty table.
     """
-    rows = docs.select(F.col(id_col), F.col(source_col).alias("source"), F.col(tokens_col).cast("long").alias("n_tokens")).where(F.col("n_tokens") > 0)
+    others = kept_names(docs, (id_col, source_col, tokens_col, *RESULTS))
+    more = [F.struct(*quoted(others)).alias("_more")] if others else []
+    rows = docs.select(quoted([id_col])[0], quoted([source_col])[0].alias("source"), quoted([tokens_col])[0].cast("long").alias("n_tokens"), *more).where(F.col("n_tokens") > 0)
     rows = written(rows, "mix-rows")
     plan = written(mixing_weights(rows, target, budget, "source", "n_tokens"), "mix-plan")
     n_blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("tokens") / block_tokens))
@@ -126,6 +133,7 @@ def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, i
     part = dealt.join(last, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b").withColumn("copy", F.col("passes"))
     inner = Window.partitionBy("source", "block").orderBy(key, id_col, "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     border = part.where(~F.col("_whole")).withColumn("_upto", F.col("_from") + F.sum("n_tokens").over(inner)).where(F.col("_upto") <= F.col("rest"))
-    columns = [id_col, "source", "n_tokens", "weight", "copy", "block"]
+    columns = [id_col, "source", "n_tokens", "weight", "copy", "block", *(["_more"] if others else [])]
     drawn = full.select(columns).unionByName(part.where("_whole").select(columns)).unionByName(border.select(columns))
-    return drawn.withColumns({"block_rank": F.xxhash64(F.lit(seed), F.col("block"), F.col("copy")), "shuffle_key": key})
+    drawn = drawn.withColumns({"block_rank": F.xxhash64(F.lit(seed), F.col("block"), F.col("copy")), "shuffle_key": key})
+    return drawn.select(*columns[:6], "block_rank", "shuffle_key", "_more.*") if others else drawn

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import kernels
+from siltstone.llm.columns import kept_names, map_in_arrow, quoted, spare
 
 #: Labelled rows that a model is fitted on, at most; of more, those with the smallest hash of the id.
 MAX_FIT = 6000
+#: Of these only texts with at most so many distinct features teach, so that what the driver holds is bounded (40 KB a text).
+MAX_FEATURES = 10_000
 BUCKETS = 1 << 18
 #: Shapes: letters of either case, digits, and each other character as itself; runs of one shape become one.
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -148,8 +151,14 @@ def _per_block(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield b - a, *features(data[at[a] : at[b]], at[a : b + 1] - at[a])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = MAX_FIT) -> Model:
-    """Fits on at most ``max_fit`` of the labelled documents; ``labels`` has at most one label an id after its smallest is taken."""
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = MAX_FIT, max_features: int = MAX_FEATURES) -> Model:
+    """Fits on at most ``max_fit`` of the labelled documents, of at most ``max_features`` distinct features each.
+
+    Of several labels of an id the smallest counts, of several texts of an id the one with the smallest
+    features, so the model depends on the rows alone and not on their order. Null ids and labels teach nothing;
+    null and empty texts are texts without words. Without labels of both kinds every text gets one score. Other
+    columns aren't read.
+    """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(max_fit)
     texts = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), id_col).select(id_col, "_text", F.col("_label").cast("int"))
@@ -162,25 +171,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in rows], pa.binary())], names=["id", "label", "buckets"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("label", T.IntegerType()), T.StructField("buckets", T.BinaryType())])
-    got = texts.mapInArrow(featured, schema).dropDuplicates(["id"]).collect()  # bounded by max_fit
+    few = texts.mapInArrow(featured, schema).where(F.length("buckets") <= 4 * max_features)
+    got = few.groupBy("id").agg(F.min(F.struct("buckets", "label")).alias("t")).select("id", "t.*").collect()  # bounded by max_fit and max_features
     got.sort(key=lambda r: r["id"])
     return fit([np.frombuffer(r["buckets"], np.int32).astype(np.int64) for r in got], np.array([r["label"] for r in got]))
 
 
 def quality_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with ``score`` (double, 0 to 1; higher: label 1 is likelier); a column of that name is replaced.
+    """Every row of ``docs`` with ``score`` (double, 0 to 1; higher: label 1 is likelier); a column of that name is replaced, all others stay.
 
     Whole texts are scored; a null or empty text gets the score of no words. Rows are independent of each
     other, so ties and repeated rows get equal scores. An empty table gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "score"]
-    rows = docs.select(*names, F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("score", T.DoubleType())])
+    names = kept_names(docs, ["score"])
+    (text,) = spare(docs, "text")
+    rows = docs.select(*quoted(names), quoted([text_col])[0].cast("string").alias(text))
+    schema = T.StructType([*docs.select(*quoted(names)).schema.fields, T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [sent.value.scores(text, bucket, n) for n, text, bucket in _per_block(batch.column(len(names)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(score, schema)
+    return map_in_arrow(rows, score, schema)

@@ -13,6 +13,7 @@ import helpers as H  # noqa: E402
 
 from siltstone.llm import jaccard_join, quality_classifier  # noqa: E402
 from siltstone.llm.components import components  # noqa: E402
+from siltstone.llm.decontaminate import RESULTS as leak_results  # noqa: E402
 from siltstone.llm.decontaminate import decontaminate  # noqa: E402
 from siltstone.llm.jaccard_join import jaccard_components  # noqa: E402
 from siltstone.llm.license_scan import CONFIDENCE, GATE, GATE_PAIR, PHRASE_CONFIDENCE, PHRASES, Signature, license_scan, signatures  # noqa: E402
@@ -69,6 +70,7 @@ def test_decontaminate(spark, a_round):
     got = decontaminate(H.frame(spark, data), benchmark, windows_a_round=a_round)
     assert rows(got, "doc_id", "n_words", "n_hit", "items") == H.leaks(data, items)
     assert got.columns.count("items") == 1 and "lang" in got.columns
+    H.assert_clashing_came_back(decontaminate(H.clashing(H.frame(spark, data), "doc_id", leak_results), benchmark, windows_a_round=a_round), "doc_id", leak_results)
     assert decontaminate(H.frame(spark, []), benchmark).count() == 0
     assert decontaminate(H.frame(spark, data), benchmark.limit(0)).where("n_hit > 0").count() == 0
 
@@ -157,6 +159,9 @@ def test_line_dedup(spark, monkeypatch, bytes_):
     got = line_dedup(H.frame(spark, data), min_docs=3, max_broadcast=bytes_)
     assert rows(got, "doc_id", "n_lines", "n_dropped", "text") == H.line_drop(data, 3)
     assert got.columns.count("n_lines") == 1 and "source" in got.columns
+    H.assert_clashing_came_back(line_dedup(H.clashing(H.frame(spark, data), "doc_id"), min_docs=3, max_broadcast=bytes_), "doc_id")
+    monkeypatch.setattr("siltstone.llm.line_dedup.HOT_KEYS", 4)
+    assert rows(line_dedup(H.frame(spark, data), min_docs=3, max_broadcast=bytes_), "doc_id", "n_lines", "n_dropped", "text") == H.line_drop(data, 3)
     assert line_dedup(H.frame(spark, [])).count() == 0
 
 
@@ -210,6 +215,52 @@ def test_quality_classifier(spark):
     assert quality_classifier.quality_scores(H.frame(spark, []), model).count() == 0
 
 
+def test_classifier_against_plain_versions(spark):
+    """Features as sets of strings, ratios by counting, the descent with dense vectors and a loop over all weights."""
+    texts = [(i, t) for i, t in H.edge_texts() if i < 150]
+    data = texts + [(3, "another text of the id three"), (None, "no id"), (100, texts[0][1])]
+    docs = H.clashing(H.frame(spark, data), "doc_id", ["score"])
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts] + [(4, 1), (7, None), (None, 1)], "doc_id long, quality int")
+    model = quality_classifier.fit_quality(docs, labels)
+    again = quality_classifier.fit_quality(docs.repartition(5), labels.repartition(3))
+    assert (model.weights == again.weights).all() and model.slope == again.slope
+    scored = quality_classifier.quality_scores(docs, model)
+    H.assert_clashing_came_back(scored, "doc_id", ["score"])
+
+    def buckets(t):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        return quality_classifier.features(raw, np.array([0, len(raw)]))[1]
+
+    own = {}
+    for i, t in data:
+        if i is not None and i < 150:
+            own.setdefault(i, []).append(buckets(t).astype(np.int32).tobytes())
+    rows_ = [np.frombuffer(min(own[i]), np.int32).astype(np.int64) for i in sorted(own)]
+    y = np.array([1 if (0 if i == 4 else i % 2) else -1 for i in sorted(own)])
+    keep = [k for k, i in enumerate(sorted(own))]
+    used = sorted({int(b) for r in rows_ for b in r})
+    at = {b: k for k, b in enumerate(used)}
+    dense = np.zeros((len(rows_), len(used)))
+    for k, r in enumerate(rows_):
+        dense[k, [at[int(b)] for b in r]] = 1
+    counts = {c: 1.0 + dense[y == c].sum(axis=0) for c in (-1, 1)}
+    rest = quality_classifier.BUCKETS - len(used)  # features that no text has are smoothed as well
+    ratio = np.log(counts[1] / (counts[1].sum() + rest)) - np.log(counts[-1] / (counts[-1].sum() + rest))
+    got = quality_classifier._ratios(rows_, y)
+    assert np.allclose(got[used], ratio)
+    x = dense * ratio / np.sqrt(dense.sum(axis=1, keepdims=True))
+    w, bias = quality_classifier._descend(rows_, y, got, 1.0, 200)
+    share = {c: len(y) / (2 * (y == c).sum()) for c in (-1, 1)}
+    v = np.zeros(len(used))
+    v[:] = w[used] / np.where(ratio == 0, 1, ratio)
+    loss = lambda u, b: 0.5 * (u @ u + b * b) + sum(share[c] * np.maximum(0, 1 - c * (x[y == c] @ u + b)).sum() for c in (-1, 1))
+    best = loss(v, bias)
+    r = np.random.default_rng(0)
+    assert best < loss(np.zeros(len(used)), 0.0)
+    assert all(best <= 1.001 * loss(v + step * r.standard_normal(len(used)), bias + step * r.standard_normal()) for step in (1e-3, 1e-2, 0.1) for _ in range(100))
+    assert keep and {q.score for q in scored.where("text IS NULL").collect()} == {q.score for q in scored.where("text = ''").collect()}
+
+
 def test_classifier_without_labels(spark):
     model = quality_classifier.fit_quality(H.frame(spark), spark.createDataFrame([], "doc_id long, quality int"))
     assert {round(r.score, 6) for r in quality_classifier.quality_scores(H.frame(spark), model).collect()} == {0.5}
@@ -306,6 +357,72 @@ def test_mix_is_whole_passes_and_a_part(spark, block):
     assert mix(docs.limit(0), target).count() == 0
 
 
+def test_mix_against_brute_force(spark):
+    import math
+
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    long_ = lambda x, seed: xxhash.xxh64_intdigest(int(x).to_bytes(8, "little", signed=True), seed & (2**64 - 1))
+    int_ = lambda x, seed: xxhash.xxh64_intdigest(int(x).to_bytes(4, "little", signed=True), seed & (2**64 - 1))
+    hash_ = lambda lit, *xs: signed(__import__("functools").reduce(lambda h, x: h if x is None else long_(x, h), xs, int_(lit, 42)))
+    data = [(i if i % 13 else None, ["big", "big", "big", "mid", None][i % 5] if i % 40 else "small", 3 + i * 7 % 11) for i in range(400)] + [(5, "big", 0), (6, None, None)]
+    docs = H.clashing(spark.createDataFrame(data, "doc_id long, source string, n_tokens long"), "doc_id")
+    target, block_tokens = Target(entropy=0.97, repeats=2.7), 60
+    got = mix(docs, target, block_tokens=block_tokens)
+    H.assert_clashing_came_back(got, "doc_id")
+
+    rows_ = [(d, s, n) for d, s, n in data if n]
+    tokens = Counter()
+    for _, s, n in rows_:
+        tokens[s] += n
+    budget, most = sum(tokens.values()), max(tokens.values())
+
+    def weights(x):
+        p = {s: (n / most) ** x for s, n in tokens.items()}
+        return {s: v / sum(p.values()) for s, v in p.items()}
+
+    entropy = lambda w: -sum(v * math.log(v) for v in w.values())
+    repeats = lambda w: max(v * budget / tokens[s] for s, v in w.items())
+    x = 1.0
+    if entropy(weights(1.0)) < target.entropy * math.log(len(tokens)):
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if entropy(weights(mid)) >= target.entropy * math.log(len(tokens)) else (lo, mid)
+        x = lo
+    if repeats(weights(x)) > target.repeats:
+        lo, hi = x, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if repeats(weights(mid)) > target.repeats else (lo, mid)
+        x = hi
+    want = Counter()
+    for s, w in weights(x).items():
+        own = [(d, n) for d, t, n in rows_ if t == s]
+        n_blocks = math.ceil(tokens[s] / block_tokens)
+        block = lambda d: hash_(1, d) % n_blocks
+        passes = math.floor(w * budget / tokens[s])
+        rest = w * budget - passes * tokens[s]
+        for copy in range(passes):
+            want.update((d, s, n, copy, block(d)) for d, n in own)
+        used = 0
+        for b in sorted({block(d) for d, _ in own}, key=lambda b: (hash_(1, b, passes), b)):
+            inside = [(d, n) for d, n in own if block(d) == b]
+            size = sum(n for _, n in inside)
+            if used + size <= rest:
+                want.update((d, s, n, passes, b) for d, n in inside)
+            elif used < rest:
+                upto = used
+                for d, n in sorted(inside, key=lambda r: (hash_(2, r[0], passes), (r[0] is not None, r[0] or 0), r[1])):
+                    upto += n
+                    if upto <= rest:
+                        want[(d, s, n, passes, b)] += 1
+            used += size
+    have = Counter((r.doc_id, r.source, r.n_tokens, r.copy, r.block) for r in got.collect())
+    assert have == want
+
+
 def example(parsed):
     """The shortest text that a parsed pattern matches, with the first of its alternatives."""
     out = ""

@@ -2,6 +2,7 @@
 
 import os
 import sys
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,23 @@ def test_near_duplicates_goes_by_rows(spark):
     docs = [(1, a), (1, a), (None, a), (0, c), (2, b), (2, c), (None, d), (None, d), (None, ""), (3, None)]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), DATA)
     assert sorted(map(repr, pairs(got))) == sorted(map(repr, [(1, a), (0, c), (2, b), (None, d), (None, ""), (3, None)]))
+
+
+def test_stages_on_edge_cases(spark):
+    """Nulls, empty and long texts, repeated rows, empty tables and clashing names, in every stage."""
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    rows = H.edge_texts() + [(None, "a text of no id " * 5), (None, None), (3, H.edge_texts()[3][1])]
+    docs = H.clashing(H.frame(spark, rows), "doc_id")
+    for stage in stages[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c} {'-' if r['doc_id'] is None else r['doc_id']}" for c in H.CLASH) and (r["score"], r["n_tokens"]) == (0.5, 4)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert stages[1](spark, docs, DATA).count() == len(rows)
+    near = Counter((r.doc_id, r.text) for r in stages[2](spark, docs, DATA).collect())
+    assert near[(3, rows[3][1])] == 1 and near[(None, None)] == 1 and near[(201, "")] == 1
+    mixed = stages[4](spark, docs.drop("n_tokens"), DATA)
+    texts = {t for _, t in rows}
+    assert mixed.count() > 0 and all(r.text in texts and r.n_tokens == len(H.SPACED.findall(r.text)) for r in mixed.select("text", "n_tokens").collect())
+    assert stages[4](spark, docs.limit(0), DATA).count() == 0
