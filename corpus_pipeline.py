@@ -17,16 +17,37 @@ from siltstone.llm.storage import written
 ORACLE_SQL: str | None = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``text`` beside one struct of all other columns, so that no name of theirs meets one of an operator's."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("kept"), "text")
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, in its order."""
+    return rows.select(*[F.col("text") if c == "text" else F.col("kept")[c].alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality classifier doesn't reject."""
+    """Keeps documents that the quality classifier doesn't reject.
+
+    A row is judged by its text alone: null and empty texts by the score of no words, repeated rows alike, null ids
+    like others. The model is fitted on the labelled rows of ``documents``, whatever ``docs`` are. All columns
+    stay as they are. An empty table stays empty.
+    """
     labels = table(spark, sf_dir, "labels").where(~held_out())
     model = fit_quality(table(spark, sf_dir, "documents"), labels)
-    return quality_scores(docs, model).where(F.col("score") >= KEEP_SCORE).select(docs.columns)
+    return _unpacked(quality_scores(_packed(docs), model).where(F.col("score") >= KEEP_SCORE), docs)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines of ten or more documents out of all of them."""
-    return line_dedup(docs, min_docs=10).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Takes lines of ten or more documents out of all of them.
+
+    Repeated rows count as documents of their own, null ids too. A null text comes back empty; ``n_chars`` follows
+    the text. All rows and all other columns stay.
+    """
+    rows = _unpacked(line_dedup(_packed(docs), min_docs=10), docs)
+    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,23 +55,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A row counts by itself, whatever its id. Of rows repeated whole one stays; of rows that share an id those go
     that are copies of a row before them; a row of null id comes after all others of its group. Rows without
-    words are in no group and stay.
+    words are in no group and stay. All columns stay as they are.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = jaccard_components(rows, n=5, numerator=80, denominator=100, id_col="_row")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("h"), "_row")
-    placed = rows.select("_row", order.alias("_order")).join(groups.select("_row", "component_id"), "_row")
-    first = placed.groupBy("component_id").agg(F.min("_order").alias("_first")).select(F.col("_first")["_row"].alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.xxhash64("text").alias("h"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("kept"), "text", order.alias("order"), F.monotonically_increasing_id().alias("row"))
+    rows = written(packed, "rows")
+    groups = jaccard_components(rows, n=5, numerator=80, denominator=100, id_col="row")
+    placed = rows.select("row", F.struct("order", "row").alias("order")).join(groups.select("row", "component_id"), "row")
+    first = placed.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first")["row"].alias("row"))
+    return _unpacked(rows.join(first, "row", "left_semi"), docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold ten consecutive words of a benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).where("n_hit = 0").select(docs.columns)
+    """Drops documents that hold ten consecutive words of a benchmark item, or all words of a shorter one.
+
+    Null and empty texts hold none and stay; repeated rows and null ids are judged like others. All columns stay
+    as they are.
+    """
+    return _unpacked(decontaminate(_packed(docs), table(spark, sf_dir, "benchmark"), window=10).where("n_hit = 0"), docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time a document comes in the mix of sources."""
+    """A row for each time a document comes in the mix of sources, with its text.
+
+    Rows without words never come; a null source is a source of its own; repeated rows are rows of their own, and
+    rows of null id share a block. Columns of ``docs`` that are named as one of the mix give way.
+    """
     return mix(docs.withColumn("n_tokens", count_words(F.col("text"))), MIX)
 
 
