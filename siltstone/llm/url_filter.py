@@ -122,10 +122,16 @@ def ratio_tables(probabilities: DataFrame) -> DataFrame:
     return blocks.agg(sorted_("b").alias("x")).select(*[F.col("x")[m].alias(m) for m in MODELS])
 
 
-def score(grams_: str, table: str) -> Column:
-    """Mean log-odds over the grams, both columns by name."""
-    at = lambda g: F.get(F.get(F.col(table), F.floor(g / BLOCK).cast("int")), g % BLOCK)
-    return F.aggregate(grams_, F.lit(0.0), lambda s, g: s + at(g)) / F.size(grams_)
+def looked_up(table: str, g: Column) -> Column:
+    return F.get(F.get(F.col(table), F.floor(g / BLOCK).cast("int")), g % BLOCK)
+
+
+def score(grams_: str, ratio) -> Column:
+    """Mean of ``ratio(g)`` over the grams. The column is named once, so that the optimizer can put grams and tables in its place
+    and no row has to hold a table."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    step = lambda s, g: F.struct((s["sum"] + ratio(g)).alias("sum"), (s["n"] + 1).alias("n"))
+    return F.aggregate(grams_, start, step, lambda s: s["sum"] / s["n"])
 
 
 def calibrated_threshold(scored: DataFrame) -> float:
@@ -175,9 +181,9 @@ def url_filter(pages: DataFrame, rules: list[UrlRule], url_col: str = "url") ->
     tables = written(ratio_tables(smoothed(counts)), "url-model")
     # The table is a scalar that the optimizer puts into the expression that reads it, so no row carries it.
     of = {m: tables.select(m).scalar().alias(f"{table_}{m}") for m in MODELS}
-    by_fold = F.when(F.col("fold") == 0, score("grams", f"{table_}0")).otherwise(score("grams", f"{table_}1"))
+    by_fold = score("grams", lambda g: F.when(F.col("fold") == 0, looked_up(f"{table_}0", g)).otherwise(looked_up(f"{table_}1", g)))
     held_out = taught.select("verdict", "fold", "grams", of["0"], of["1"]).select("verdict", by_fold.alias("llr"))
     cut = calibrated_threshold(written(held_out, "url-held-out"))
     scored = ruled.select("*", grams(F.col(judged_)["url"]).alias(grams_), of["all"])
-    scored = scored.select(*quoted(names), judged_, score(grams_, f"{table_}all").alias("llr"))
+    scored = scored.select(*quoted(names), judged_, score(grams_, lambda g: looked_up(f"{table_}all", g)).alias("llr"))
     return scored.select(*out, "llr", F.coalesce(verdict, F.when(F.col("llr") < cut, "block").otherwise("allow")).alias("verdict"))
