@@ -100,6 +100,8 @@ def base_rule() -> Column:
 
 def default_rules(text_col: str = "text") -> list[Rule]:
     """Beyond the base: each catches junk that hardly any prose has. Costs go from a look at the measures to a sort of all words."""
+    # a look for what the costly test needs at least comes before it
+    has = lambda *marks: F.lit(False) if not marks else F.contains(text, F.lit(marks[0])) | has(*marks[1:])
     of_lines = lambda pattern, least, share: _let(lines_with_words(text), lambda ls: (F.size(ls) >= least) & (F.size(F.filter(ls, lambda x: x.rlike(pattern))) * 10 > F.size(ls) * share))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words_ = F.col("n_words")
@@ -109,9 +111,9 @@ def default_rules(text_col: str = "text") -> list[Rule]:
         Rule("duplicate_lines", (F.col("n_dup_lines") >= 3) & (2 * F.col("n_dup_lines") > F.regexp_count(text, F.lit("\n")) + 1)),
         Rule("shouting", F.regexp_count(text, F.lit("!")) * 10 > words_),
         Rule("capitals", F.regexp_count(text, F.lit("[A-Z]")) * 2 > F.col("word_chars")),
-        Rule("bullets", of_lines(r"^[ \t]*[-*•] ", 5, 9)),
-        Rule("ellipses", of_lines(r"(?:\.\.\.|…)[ \t]*$", 5, 5)),
-        Rule("one_word", most_frequent(words(text)) * 5 > words_ * 2),
+        Rule("bullets", has("- ", "* ", "• ") & of_lines(r"^[ \t]*[-*•] ", 5, 9)),
+        Rule("ellipses", has("...", "…") & of_lines(r"(?:\.\.\.|…)[ \t]*$", 5, 5)),
+        Rule("one_word", _let(words(text), lambda w: (F.size(F.array_distinct(w)) * 5 <= words_ * 3 + 5) & (most_frequent(w) * 5 > words_ * 2))),
         Rule("no_letters", F.regexp_count(text, F.lit(r"\p{L}")) * 2 < F.col("word_chars")),
     ]
 
