@@ -133,8 +133,34 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), here)).otherwise(F.array().cast("array<int>"))
 
 
+def needed_literal(pattern: str) -> str:
+    """The longest run of letters, digits and spaces that every match has: outside groups and classes, and not optional."""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        plain = depth == 0 and (c.isalnum() or c == " ") and pattern[i + 1 : i + 2] not in ("?", "*", "{")
+        run = run + c if plain else ""
+        runs.append(run)
+        if c == "|" and depth == 0:
+            return ""
+        if c == "[":
+            i = pattern.index("]", i)
+        elif c == "\\":
+            i += 1
+        depth += (c == "(") - (c == ")")
+        i += 1
+    return max(runs, key=len, default="")
+
+
+def _gate(rule: Signature) -> str:
+    literal = needed_literal(rule.pattern)
+    if len(literal) < 4:
+        return f" {rule.keyword}" if rule.keyword[0] != "l" else rule.keyword
+    return f" {literal}" if rule.pattern.startswith(literal) else literal
+
+
 def _rule_table(rules: list[Signature]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(f" {r.keyword}" if r.keyword[0] != "l" else r.keyword).alias("keyword"), F.lit(rf"(?<= ){r.pattern}(?= )").alias("pattern")) for i, r in enumerate(rules)])
+    return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(_gate(r)).alias("keyword"), F.lit(rf"(?<= ){r.pattern}(?= )").alias("pattern")) for i, r in enumerate(rules)])
 
 
 def detections(texts: DataFrame, rules: list[Signature]) -> DataFrame:
