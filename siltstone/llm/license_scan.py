@@ -65,6 +65,53 @@ _NAMED = [
     ("beerware", r"beer ware licen[sc]e"), ("openssl", r"openssl licen[sc]e"), ("ruby", r"ruby licen[sc]e"), ("postgresql", r"postgresql licen[sc]e"), ("vim", r"vim licen[sc]e"), ("json", r"the software shall be used for good not evil"),
     ("proprietary", r"proprietary and confidential"), ("licensed", r"licen[sc]ed under(?: the)?(?: terms of)?"), ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
 ]
+# Further licenses and clauses, each by a phrase of its own.
+_FURTHER = [
+    ("aal", r"attribution assurance licen[sc]e"), ("abstyles", r"abstyles licen[sc]e"), ("adsl", r"amazon digital services licen[sc]e"), ("afmparse", r"afmparse licen[sc]e"),
+    ("aladdin", r"aladdin free public licen[sc]e"), ("amdplpa", r"amd s? ?plpa map c licen[sc]e"), ("apl", r"adaptive public licen[sc]e"),
+    ("apsl", r"apple public source licen[sc]e"), ("app-s2p", r"app s2p licen[sc]e"), ("arphic", r"arphic public licen[sc]e"), ("bahyph", r"bahyph licen[sc]e"),
+    ("barr", r"barr licen[sc]e"), ("bittorrent", r"bittorrent open source licen[sc]e"), ("blessing", r"may you do good and not evil"), ("blueoak", r"blue oak model licen[sc]e"),
+    ("borceux", r"borceux licen[sc]e"), ("bzip2", r"bzip2 and libbzip2 licen[sc]e"), ("caldera", r"caldera licen[sc]e"), ("catosl", r"computer associates trusted open source licen[sc]e"),
+    ("cdla-permissive", r"community data licen[sc]e agreement permissive"), ("cdla-sharing", r"community data licen[sc]e agreement sharing"), ("cern-ohl", r"cern open hardware licen[sc]e"), ("clartistic", r"clarified artistic licen[sc]e"),
+    ("condor", r"condor public licen[sc]e"), ("cpal", r"common public attribution licen[sc]e"), ("cpol", r"code project open licen[sc]e"), ("crossword", r"crossword licen[sc]e"),
+    ("crystalstacker", r"crystalstacker licen[sc]e"), ("cua-opl", r"cua office public licen[sc]e"), ("cube", r"cube licen[sc]e"), ("curl", r"curl licen[sc]e"),
+    ("d-fsl", r"german free software licen[sc]e"), ("diffmark", r"diffmark licen[sc]e"), ("doc", r"doc software licen[sc]e"), ("dotseqn", r"dotseqn licen[sc]e"),
+    ("dsdp", r"dsdp licen[sc]e"), ("ecl", r"educational community licen[sc]e"), ("efl", r"eiffel forum licen[sc]e"), ("egenix", r"egenix com public licen[sc]e"),
+    ("elastic", r"elastic licen[sc]e"), ("entessa", r"entessa public licen[sc]e"), ("epics", r"epics open licen[sc]e"), ("erlpl", r"erlang public licen[sc]e"),
+    ("eudatagrid", r"eu datagrid software licen[sc]e"), ("eurosym", r"eurosym licen[sc]e"), ("fair", r"fair licen[sc]e"), 
+    ("frameworx", r"frameworx open licen[sc]e"), ("freeimage", r"freeimage public licen[sc]e"), ("ftl", r"freetype project licen[sc]e"), ("giftware", r"giftware licen[sc]e"),
+    ("gl2ps", r"gl2ps licen[sc]e"), ("glide", r"3dfx glide licen[sc]e"), ("glulxe", r"glulxe licen[sc]e"), ("gnuplot", r"gnuplot licen[sc]e"),
+    ("gsoap", r"gsoap public licen[sc]e"), ("haskellreport", r"haskell language report licen[sc]e"), ("hippocratic", r"hippocratic licen[sc]e"), ("hpnd", r"historical permission notice and disclaimer"),
+    ("icu", r"icu licen[sc]e"), ("ijg", r"independent jpeg group licen[sc]e"), ("imagemagick", r"imagemagick licen[sc]e"),
+    ("imlib2", r"imlib2 licen[sc]e"), ("info-zip", r"info zip licen[sc]e"), ("intel", r"intel open source licen[sc]e"),
+    ("interbase", r"interbase public licen[sc]e"), ("ipa", r"ipa font licen[sc]e"), ("jasper", r"jasper licen[sc]e"), ("jpnic", r"japan network information center licen[sc]e"),
+    ("lal", r"(?:licen[sc]e art libre|free art licen[sc]e)"), ("leptonica", r"leptonica licen[sc]e"), ("libpng", r"(?:libpng licen[sc]e|png reference library licen[sc]e)"), ("libtiff", r"libtiff licen[sc]e"),
+    ("liliq-p", r"licen[sc]e libre du qu.bec permissive"), ("linux-openib", r"linux kernel variant of openib org licen[sc]e"), ("lpl", r"lucent public licen[sc]e"), ("makeindex", r"makeindex licen[sc]e"),
+    ("miros", r"miros licen[sc]e"), ("motosoto", r"motosoto licen[sc]e"), ("mpich2", r"mpich2 licen[sc]e"), ("ms-rl", r"microsoft reciprocal licen[sc]e"),
+    ("ms-rsl", r"microsoft reference source licen[sc]e"), ("mtll", r"matrix template library licen[sc]e"), ("mulanpsl", r"mulan permissive software licen[sc]e"), ("multics", r"multics licen[sc]e"),
+    ("naist", r"nara institute of science and technology licen[sc]e"), ("nasa", r"nasa open source licen[sc]e"), ("naumen", r"naumen public licen[sc]e"), ("nbpl", r"net boolean public licen[sc]e"),
+    ("netcdf", r"netcdf licen[sc]e"), ("newsletr", r"newsletr licen[sc]e"), ("ngpl", r"nethack general public licen[sc]e"), ("nlod", r"norwegian licen[sc]e for open government data"),
+    ("nokia", r"nokia open source licen[sc]e"), ("nosl", r"netizen open source licen[sc]e"), ("noweb", r"noweb licen[sc]e"), ("npl", r"netscape public licen[sc]e"),
+    ("nposl", r"non profit open software licen[sc]e"), ("ntp", r"ntp licen[sc]e"), ("nvidia", r"nvidia software licen[sc]e"), ("oclc", r"oclc research public licen[sc]e"),
+    ("ogc", r"ogc software licen[sc]e"), ("ogl-uk", r"open government licen[sc]e"), ("ogtsl", r"open group test suite licen[sc]e"), ("oldap", r"(?:open ldap public licen[sc]e|openldap public licen[sc]e)"),
+    ("openpub", r"open publication licen[sc]e"), ("opl", r"open public licen[sc]e"), ("oset", r"oset public licen[sc]e"), ("parity", r"parity public licen[sc]e"),
+    ("pddl", r"public domain dedication and licen[sc]e"), ("plexus", r"plexus classworlds licen[sc]e"), ("polyform-nc", r"polyform noncommercial licen[sc]e"), ("polyform-sb", r"polyform small business licen[sc]e"),
+    ("qhull", r"qhull licen[sc]e"), ("qpl", r"q public licen[sc]e"), ("rdisc", r"rdisc licen[sc]e"), ("rhecos", r"red hat ecos public licen[sc]e"),
+    ("rpl", r"reciprocal public licen[sc]e"), ("rpsl", r"realnetworks public source licen[sc]e"), ("rsa-md", r"rsa message digest licen[sc]e"), ("rscpl", r"ricoh source code public licen[sc]e"),
+    ("saxpath", r"saxpath licen[sc]e"), ("scea", r"scea shared source licen[sc]e"), ("sendmail", r"sendmail licen[sc]e"), ("sgi-b", r"sgi free software licen[sc]e b"),
+    ("simpl", r"simple public licen[sc]e"), ("sissl", r"sun industry standards source licen[sc]e"), ("sleepycat", r"sleepycat licen[sc]e"), ("smlnj", r"standard ml of new jersey licen[sc]e"),
+    ("snia", r"snia public licen[sc]e"), ("spencer", r"(?:henry spencer licen[sc]e|spencer licen[sc]e)"), ("spl", r"sun public licen[sc]e"), ("sspl", r"server side public licen[sc]e"),
+    ("sugarcrm", r"sugarcrm public licen[sc]e"), ("swl", r"scheme widget library licen[sc]e"), ("tapr-ohl", r"tapr open hardware licen[sc]e"), ("tcl", r"(?:tcl tk licen[sc]e|tcl licen[sc]e)"),
+    ("tmate", r"tmate open source licen[sc]e"), ("torque", r"torque software licen[sc]e"), ("tosl", r"trusster open source licen[sc]e"), ("unicode", r"unicode licen[sc]e agreement"),
+    ("upl", r"universal permissive licen[sc]e"), ("vostrom", r"vostrom public licen[sc]e"), ("vsl", r"vovida software licen[sc]e"), ("w3c", r"w3c software (?:notice and )?licen[sc]e"),
+    ("watcom", r"sybase open watcom public licen[sc]e"), ("wsuipa", r"wsuipa licen[sc]e"), ("xerox", r"xerox licen[sc]e"), ("xfree86", r"xfree86 licen[sc]e"),
+    ("xinetd", r"xinetd licen[sc]e"), ("xnet", r"x net licen[sc]e"), ("xpp", r"indiana university extreme lab software licen[sc]e"), ("ypl", r"yahoo public licen[sc]e"),
+    ("zed", r"zed licen[sc]e"), ("zend", r"zend licen[sc]e"), ("zimbra", r"zimbra public licen[sc]e"),
+    ("gpl-exception-linking", r"special exception .{0,80}? ?permission to link"), ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e"), ("apache-2.0", r"you may not use this file except in compliance with the licen[sc]e"), ("apache-2.0", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e"),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[sc]e"), ("bsl-1.0", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"), ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("ofl", r"this font software is licen[sc]ed under the sil open font licen[sc]e"), ("bsd", r"this list of conditions and the following disclaimer .{0,40}? ?redistributions in binary form"), ("non-commercial", r"(?:licen[sc]ed )?for non ?commercial use only .{0,20}? ?licen[sc]e"),
+]
 _SPDX = "mit isc zlib unlicense wtfpl ncsa 0bsd bsd-1-clause bsd-2-clause bsd-3-clause bsd-4-clause cc0-1.0 bsl-1.0 apache-1.0 apache-1.1 apache-2.0 mpl-1.0 mpl-1.1 mpl-2.0 epl-1.0 epl-2.0 cddl-1.0 cddl-1.1 artistic-1.0 artistic-2.0 ofl-1.1 afl-3.0 osl-3.0 eupl-1.1 eupl-1.2 ms-pl ms-rl psf-2.0 postgresql python-2.0 ruby x11 odbl-1.0 odc-by-1.0 pddl-1.0 upl-1.0 vim w3c zpl-2.1 openssl php-3.01".split()
 
 
@@ -102,6 +149,7 @@ def signatures() -> list[Signature]:
         out.append(Signature(f"cc-{parts}", NAMED, "cc by", rf"cc {parts.replace('-', ' ')}"))
     out += [Signature(x, IDENTIFIER, "spdx", f"spdx licen[sc]e identifier {_words_of(x)}") for x in _SPDX]
     out += [Signature(label, NAMED if label not in ("licensed", "copyright", "all-rights-reserved") else MENTION, _keyword(pattern), pattern) for label, pattern in _NAMED]
+    out += [Signature(label, NAMED, _keyword(pattern), pattern) for label, pattern in _FURTHER]
     return out
 
 
