@@ -33,6 +33,8 @@ COLUMNS = 4096
 COARSE = 256
 #: Rounds in which documents take the smallest label of those they share a prefix n-gram with.
 LABEL_ROUNDS = 3
+#: A key is hot beyond so many rows, and beyond one in so many of all: there can't be more hot keys than that.
+HOT_ROWS, HOT_KEYS = 256, 4096
 BUCKET_BYTES = 32 << 20
 
 
@@ -154,7 +156,8 @@ def _prefixes(batch: pa.RecordBatch, n: int, counts: np.ndarray, numerator: int,
 
 
 def postings(docs: DataFrame, n: int, counts: np.ndarray, numerator: int, denominator: int, expected: int, n_buckets: int) -> DataFrame:
-    """``(h, doc)``: keys of prefix n-gram and size class that different sets share; ``doc`` is the smallest document of a set."""
+    """``(h, doc, hot)``: keys of prefix n-gram and size class that different sets share; ``doc`` is the smallest document
+    of a set. ``hot`` keys have many documents, and there are ``HOT_KEYS`` at most."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def keys(batch: pa.RecordBatch) -> np.ndarray:
@@ -172,10 +175,20 @@ def postings(docs: DataFrame, n: int, counts: np.ndarray, numerator: int, denomi
 
     raw = docs.mapInArrow(shared, "h long, sig long, doc long")
     by_set = written(raw.groupBy("h", "sig").agg(F.min("doc").alias("doc")).select("h", "doc"), "postings")
+    many = max(HOT_ROWS, by_set.count() // HOT_KEYS)
     # Near copies share many keys; of keys with the very same documents (128 bits of their set) one is enough.
     lists = by_set.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("k > 1")
-    one = lists.groupBy("k", "x", "y").agg(F.min("h").alias("h")).select("h")
-    return by_set.join(one, "h").select("h", "doc")
+    lists = written(lists.withColumn("hot", F.col("k") > many), "lists")
+    one = lists.groupBy("k", "x", "y", "hot").agg(F.min("h").alias("h")).select("h", "hot")
+    marked = by_set.join(F.broadcast(lists.where("hot").select("h", "hot")), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    return by_key(marked, one)
+
+
+def by_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` of ``(h, hot, ...)`` beside what ``keys`` of ``(h, hot, ...)`` has once for each key. Hot keys go to every
+    worker, so that their rows stay where they are; the rest meet by ``h``."""
+    cold = rows.where("NOT hot").join(keys.where("NOT hot").drop("hot"), "h")
+    return cold.unionByName(rows.where("hot").join(F.broadcast(keys.where("hot").drop("hot")), "h"))
 
 
 def labelled(shared: DataFrame) -> DataFrame:
@@ -183,8 +196,8 @@ def labelled(shared: DataFrame) -> DataFrame:
     labels = None
     for _ in range(LABEL_ROUNDS):
         own = shared.withColumn("label", F.col("doc")) if labels is None else shared.join(labels, "doc")
-        least = own.groupBy("h").agg(F.min("label").alias("label"))
-        labels = written(shared.join(least, "h").groupBy("doc").agg(F.min("label").alias("label")), "block-labels")
+        least = own.groupBy("h", "hot").agg(F.min("label").alias("label"))
+        labels = written(by_key(shared, least).groupBy("doc").agg(F.min("label").alias("label")), "block-labels")
     return labels
 
 
@@ -356,9 +369,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denomin
 
     # Across blocks, only keys that more than one component and block still share can bring a new link, and only
     # between the documents that share them.
-    placed = shared.join(nodes.select("doc", "block"), "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("h", "doc", "block", F.coalesce("component", "doc").alias("component"))
-    open_ = placed.groupBy("h").agg(F.min("block").alias("b0"), F.max("block").alias("b1"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("b0 <> b1 AND c0 <> c1").select("h")
-    placed = written(placed.join(open_, "h"), "open")
+    placed = shared.join(nodes.select("doc", "block"), "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("h", "hot", "doc", "block", F.coalesce("component", "doc").alias("component"))
+    open_ = placed.groupBy("h", "hot").agg(F.min("block").alias("b0"), F.max("block").alias("b1"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("b0 <> b1 AND c0 <> c1").select("h", "hot")
+    placed = written(by_key(placed, open_), "open")
     left = placed.groupBy("h", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
     right = left.select("h", F.col("block").alias("other"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     # two blocks that hold one component, the same, have nothing left to find
