@@ -35,6 +35,8 @@ COARSE = 256
 LABEL_ROUNDS = 3
 #: A key is hot beyond so many rows, and beyond one in so many of all: there can't be more hot keys than that.
 HOT_ROWS, HOT_KEYS = 256, 4096
+#: Blocks that share a key meet in pairs up to so many; a key of more has tiles of its own.
+MEETING_BLOCKS = 4
 BUCKET_BYTES = 32 << 20
 
 
@@ -327,6 +329,41 @@ def _tile_links(tiles: DataFrame, texts: DataFrame, n: int, numerator: int, deno
     return dealt.withColumn("bucket", F.pmod(F.xxhash64("tile"), F.lit(n_buckets))).groupBy("bucket").applyInArrow(link, "a long, b long")
 
 
+def open_keys(placed: DataFrame) -> DataFrame:
+    """``(h, hot, wide, common, commons, others)`` of keys that can still bring a link between components: the component
+    most frequent among a key's documents, and in how many parts of half a tile its documents and all others go."""
+    half = F.lit(BLOCK_ROWS // 2 or 1)
+    each = placed.groupBy("h", "hot", "block", "component").agg(F.count(F.lit(1)).alias("n"))
+    each = each.groupBy("h", "hot", "component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("places"), F.min("block").alias("b0"), F.max("block").alias("b1"))
+    keys = each.groupBy("h", "hot").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.sum("places").alias("places"), F.min("b0").alias("b0"), F.max("b1").alias("b1"))
+    own = F.col("most")["n"]
+    keys = keys.where((F.col("b0") != F.col("b1")) & (own < F.col("n")))
+    return keys.select("h", "hot", (F.col("places") > MEETING_BLOCKS).alias("wide"), F.col("most")["component"].alias("common"), F.ceil(own / half).alias("commons"), F.ceil((F.col("n") - own) / half).alias("others"))
+
+
+def meeting_blocks(placed: DataFrame) -> DataFrame:
+    """``(tile, doc)``: the documents of two blocks that share keys of few blocks, in one tile for each pair of blocks."""
+    left = placed.groupBy("h", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    right = left.select("h", F.col("block").alias("other"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    # two blocks that hold one component, the same, have nothing left to find
+    meet = left.join(right, "h").where("block < other AND NOT (c0 = c1 AND d0 = d1 AND c0 = d0)")
+    ends = meet.select("h", F.xxhash64("block", "other").alias("tile"), F.explode(F.array("block", "other")).alias("block"))
+    return ends.join(placed.select("h", "block", "doc"), ["h", "block"]).select("tile", "doc").distinct()
+
+
+def key_tiles(placed: DataFrame) -> DataFrame:
+    """``(tile, doc)``: a key's documents outside its most frequent component in parts, each part in a tile with every
+    part of that component, and with every other part of its own kind."""
+    is_common = F.col("component") == F.col("common")
+    part = F.pmod(F.xxhash64("doc"), F.when(is_common, F.col("commons")).otherwise(F.col("others")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_common = lambda other, common: F.xxhash64("h", F.lit(0), other, common)
+    both = F.transform(upto("commons"), lambda j: with_common(part, j))
+    rest = F.transform(F.filter(upto("others"), lambda j: j != part), lambda j: F.xxhash64("h", F.lit(1), F.least(part, j), F.greatest(part, j)))
+    tiles = F.when(is_common, F.transform(upto("others"), lambda i: with_common(i, part))).otherwise(F.concat(both, rest))
+    return placed.select(F.explode(tiles).alias("tile"), "doc")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denominator: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_shingles long, component_id long)`` for every row.
 
@@ -370,14 +407,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denomin
     # Across blocks, only keys that more than one component and block still share can bring a new link, and only
     # between the documents that share them.
     placed = shared.join(nodes.select("doc", "block"), "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("h", "hot", "doc", "block", F.coalesce("component", "doc").alias("component"))
-    open_ = placed.groupBy("h", "hot").agg(F.min("block").alias("b0"), F.max("block").alias("b1"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("b0 <> b1 AND c0 <> c1").select("h", "hot")
+    open_ = written(open_keys(placed), "open-keys")
     placed = written(by_key(placed, open_), "open")
-    left = placed.groupBy("h", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-    right = left.select("h", F.col("block").alias("other"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
-    # two blocks that hold one component, the same, have nothing left to find
-    meet = left.join(right, "h").where("block < other AND NOT (c0 = c1 AND d0 = d1 AND c0 = d0)")
-    ends = meet.select("h", F.xxhash64("block", "other").alias("tile"), F.explode(F.array("block", "other")).alias("block"))
-    tiles = ends.join(placed.select("h", "block", "doc"), ["h", "block"]).select("tile", "doc").distinct()
+    tiles = meeting_blocks(placed.where("NOT wide")).unionByName(key_tiles(placed.where("wide")))
     across = found(tiles, "across")
     final = components(links.unionByName(across)) if across.limit(1).count() else joined
 

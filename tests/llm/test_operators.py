@@ -41,8 +41,10 @@ def test_jaccard(spark, monkeypatch, n, share, block):
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(H.jaccard(data, n, share, 100), key=repr)
 
 
-def test_jaccard_hot_keys(spark, monkeypatch):
+@pytest.mark.parametrize("meeting", [0, 4])
+def test_jaccard_hot_keys(spark, monkeypatch, meeting):
     monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(jaccard_join, "MEETING_BLOCKS", meeting)
     monkeypatch.setattr(jaccard_join, "HOT_ROWS", 3)
     words = [f"w{i}" for i in range(40)]
     near = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(0, 40, 3)]
@@ -54,6 +56,24 @@ def test_jaccard_hot_keys(spark, monkeypatch):
     assert got.where("component_id = 0").count() > 4
 
 
+@pytest.mark.parametrize("size", [2, 8, 512])
+def test_key_tiles_let_all_pairs_of_components_meet(spark, monkeypatch, size):
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", size)
+    data = [(h, h == 1, d, d % 7, 0 if d % 3 else d) for h in (1, 2) for d in range(30)] + [(3, False, d, d % 2, 5) for d in range(9)] + [(4, False, d, 1, d) for d in range(4)]
+    placed = spark.createDataFrame(data, "h long, hot boolean, doc long, block long, component long")
+    keys = jaccard_join.open_keys(placed)
+    assert rows(keys, "h", "wide", "common") == [(1, True, 0), (2, True, 0)]
+    tiles = {}
+    for t, d in jaccard_join.key_tiles(placed.join(keys, ["h", "hot"])).collect():
+        tiles.setdefault(t, []).append(d)
+    assert all(len(t) == len(set(t)) for t in tiles.values())
+    met = {(a, b) for t in tiles.values() for a in t for b in t}
+    component = {d: c for h, _, d, _, c in data if h == 1}
+    assert all((a, b) in met for a in component for b in component if component[a] != component[b])
+    if size == 512:
+        assert len(tiles) == 2
+
+
 def test_jaccard_edges(spark):
     data = [(1, "a b c d"), (1, "p q r s"), (2, "a b c d"), (3, "p q r s"), (None, "a b c d"), (4, None)]
     got = rows(jaccard_components(H.frame(spark, data), n=2, numerator=90), "doc_id", "n_shingles", "component_id")
