@@ -186,11 +186,11 @@ def postings(docs: DataFrame, n: int, counts: np.ndarray, numerator: int, denomi
     return by_key(marked, one)
 
 
-def by_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` of ``(h, hot, ...)`` beside what ``keys`` of ``(h, hot, ...)`` has once for each key. Hot keys go to every
-    worker, so that their rows stay where they are; the rest meet by ``h``."""
-    cold = rows.where("NOT hot").join(keys.where("NOT hot").drop("hot"), "h")
-    return cold.unionByName(rows.where("hot").join(F.broadcast(keys.where("hot").drop("hot")), "h"))
+def by_key(rows: DataFrame, keys: DataFrame, key: list[str] | str = "h") -> DataFrame:
+    """``rows`` of ``(key, hot, ...)`` beside what ``keys`` of ``(key, hot, ...)`` has once for each key. Hot keys go to
+    every worker, so that their rows stay where they are; the rest meet by key."""
+    cold = rows.where("NOT hot").join(keys.where("NOT hot").drop("hot"), key)
+    return cold.unionByName(rows.where("hot").join(F.broadcast(keys.where("hot").drop("hot")), key))
 
 
 def labelled(shared: DataFrame) -> DataFrame:
@@ -378,7 +378,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denomin
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    _, n_bytes = text_size(rows)
+    n_rows, n_bytes = text_size(rows)
     least_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     expected = max(1, n_bytes // 6 * (denominator - numerator) // denominator)
     n_buckets = max(least_buckets, -(-expected * 8 // BUCKET_BYTES))
@@ -415,9 +415,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denomin
 
     members = measured.where("part IS NULL").select("doc", "size", "h1", "h2")
     # equal sets are one node under their smallest document; rows of equal id tie their sets together
-    representative = members.where("size > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"))
-    placed = members.join(representative, ["h1", "h2"], "left").join(final, "node", "left")
-    placed = placed.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "node", "doc").alias("component_id"))
+    of_set = members.where("size > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.count(F.lit(1)).alias("k"))
+    of_set = of_set.withColumn("hot", F.col("k") > max(HOT_ROWS, n_rows // HOT_KEYS)).join(final, "node", "left")
+    of_set = written(of_set.select("h1", "h2", "hot", F.coalesce("component", "node").alias("component")), "sets-placed")
+    marked = members.where("size > 0").join(F.broadcast(of_set.where("hot").select("h1", "h2", "hot")), ["h1", "h2"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    placed = by_key(marked, of_set, ["h1", "h2"]).select("doc", "size", "component").unionByName(members.where("size = 0").select("doc", "size", F.lit(None).cast("long").alias("component")))
+    placed = placed.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
     repeated_ids = members.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1 AND doc IS NOT NULL").select("doc")
     if repeated_ids.limit(1).count():
         placed = _tied(placed, repeated_ids, id_col)

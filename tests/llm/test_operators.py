@@ -48,7 +48,7 @@ def test_jaccard_hot_keys(spark, monkeypatch, meeting):
     monkeypatch.setattr(jaccard_join, "HOT_ROWS", 3)
     words = [f"w{i}" for i in range(40)]
     near = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(0, 40, 3)]
-    data = list(enumerate([*near, *[f"{' '.join(words[:9])} own{i} tail{i} end{i}" for i in range(9)], "a b c d e f g h", "a b c d e f g i"]))
+    data = list(enumerate([*near, *[f"{' '.join(words[:9])} own{i} tail{i} end{i}" for i in range(9)], "a b c d e f g h", "a b c d e f g i", *["many equal rows"] * 5, "", None]))
     hot = spark.createDataFrame([(1, d, True) for d in range(5)] + [(2, d, False) for d in (4, 7)], "h long, doc long, hot boolean")
     assert rows(jaccard_join.by_key(hot, spark.createDataFrame([(1, True, 8), (3, False, 9)], "h long, hot boolean, k int")), "doc", "k") == [(d, 8) for d in range(5)]
     got = jaccard_components(H.frame(spark, data), n=2, numerator=80, denominator=100)
