@@ -110,7 +110,7 @@ def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, i
 
     ``budget`` is in tokens, all tokens of the input if None. A null source is a source of its own; rows of no
     (or null) tokens are never drawn; rows of a null id all fall into one block. Repeated rows are rows of
-    their own. Other columns are left out. An empty table gives an empty table.
+    their own. Other columns come along, but for those named as a result. An empty table gives an empty table.
     """
     others = kept_names(docs, (id_col, source_col, tokens_col, *RESULTS))
     more = [F.struct(*quoted(others)).alias("_more")] if others else []
