@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.decontaminate import decontaminate
+from siltstone.llm.embedding_dedup import near_vectors
+from siltstone.llm.filter_audit import filter_audit, marked, repetitive, short, shouting
+from siltstone.llm.importance import resampled
 from siltstone.llm.line_dedup import line_dedup
 from siltstone.llm.jaccard_join import jaccard_components
 from siltstone.llm.license_scan import license_scan
@@ -92,6 +95,24 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents, MIX)
 
 
+#: Failure conditions by letter; E, the copies, is the audit's own.
+AUDITED = {"A": short(200), "B": repetitive(50), "C": shouting(3), "D": marked("#$%&*|")}
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return filter_audit(documents, labels, AUDITED, copies="E", part_col="lang")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resampled(documents, benchmark, percent=5, min_words=20)
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95, recall=0.99)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
@@ -103,6 +124,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filters": op9_url_filters,
     "op10_source_mixing": op10_source_mixing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -222,4 +246,51 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE r.key IS NULL), '')) AS kept_sha256
         FROM keyed k LEFT JOIN repeated r ON k.key = r.key
         GROUP BY k.doc_id""",
+    "op11_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        f AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+            FROM d),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        c AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+            FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        x(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+        o AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (
+            SELECT filter_order, step, substring(filter_order, step, 1) AS own, substring(filter_order, 1, step - 1) AS earlier
+            FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+        r AS (
+            SELECT part, filter_order, step, own,
+                   CAST(coalesce(sum(n) FILTER (WHERE alive AND NOT failing), 0) AS BIGINT) AS kept,
+                   CAST(coalesce(sum(n) FILTER (WHERE alive AND failing), 0) AS BIGINT) AS removed,
+                   CAST(coalesce(sum(n) FILTER (WHERE NOT alive AND failing), 0) AS BIGINT) AS redundant,
+                   CAST(coalesce(sum(n) FILTER (WHERE fails = own), 0) AS BIGINT) AS unique_fails,
+                   CAST(coalesce(sum(good) FILTER (WHERE alive AND failing), 0) AS BIGINT) AS good_lost,
+                   CAST(coalesce(sum(toxic) FILTER (WHERE alive AND failing), 0) AS BIGINT) AS toxic_lost
+            FROM (SELECT *, translate(fails, earlier, '') = fails AS alive, contains(fails, own) AS failing FROM c, s) GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM r""",
+    "op13_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (
+            SELECT vec_id AS x, vec_id AS y FROM embeddings
+            UNION
+            SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+        n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x) LEFT JOIN n ON x = vec_id""",
 }
