@@ -56,7 +56,8 @@ def _fails(docs: DataFrame, filters: dict[str, Filter], part_col: str, id_col: s
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    found = labels.select(*[c.alias(n) for c, n in zip(quoted([id_col, "quality", "toxic"]), ("id", "quality", "toxic"), strict=True)]).where("id IS NOT NULL")
+    found = labels.select(*[c.alias(n) for c, n in zip(quoted([id_col, "quality", "toxic"]), ("id", "quality", "toxic"), strict=True)])
+    found = found.withColumn("id", F.col("id").try_cast(rows.schema["id"].dataType)).where("id IS NOT NULL")
     each = found.groupBy("id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     return rows.join(each.withColumn("salt", F.lit(0).cast("long")), ["id", "salt"], "left")
 

@@ -90,12 +90,12 @@ def word_crc(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 
 def _planes(x: np.ndarray) -> bytes:
     """All first bytes, then all second ones, ...: most of them are zero, and compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _from_planes(blob: bytes, dtype: type) -> np.ndarray:
     wide = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(wide, -1).T).view(dtype).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(wide, len(blob) // wide).T).view(dtype).reshape(-1)
 
 
 def sparse_rows(data: np.ndarray, at: np.ndarray, longest: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

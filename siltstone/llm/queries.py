@@ -280,6 +280,34 @@ ORACLE_SQL: dict[str, str] = {
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
                CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
         FROM r""",
+    "op12_importance_resampling": rf"""
+        WITH RECURSIVE steps(i, c, k) AS (
+            SELECT i, i, 0 FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+            UNION ALL
+            SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+        texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), text FROM benchmark),
+        split AS (SELECT side, id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM texts),
+        runs AS (
+            SELECT side, id, array_to_string(list_slice(w, i, i + k - 1), ' ') AS f
+            FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM split, (SELECT unnest([1, 2, 3]) AS k))),
+        hashed AS (
+            SELECT f, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(h), 2), lambda p: CAST('0x' || substring(h, p, 2) AS BIGINT))),
+                          lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+            FROM (SELECT DISTINCT f, hex(encode(f)) AS h FROM runs), crc),
+        counts AS (SELECT side, id, bucket, count(*) AS n FROM runs JOIN hashed USING (f) GROUP BY ALL),
+        sums AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM counts GROUP BY bucket),
+        gains AS (
+            SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000)::DOUBLE))) AS BIGINT) AS gain
+            FROM sums),
+        weighed AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM counts JOIN gains USING (bucket) WHERE side = 0 GROUP BY id),
+        scored AS (
+            SELECT id AS doc_id, len(w) >= 20 AS fit, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                   CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substring(sha256('42:' || id), 1, 8) AS BIGINT) + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS score
+            FROM split LEFT JOIN weighed USING (id) WHERE side = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place FROM scored)
+        SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= (SELECT 5 * count(*) // 100 FROM scored WHERE fit) THEN place END AS rank
+        FROM ranked""",
     "op13_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
