@@ -7,21 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltstone.functions.values import FRESHNESS, INGEST_STALE_SECONDS, LONGEST_LITERAL, MOST_IDENTIFIERS, MOST_WORDS, QUESTION_SEPARATORS, QUESTION_STOP_WORDS, QUOTES
+from siltstone.functions import values as V
 
-_QUOTED = "|".join(f"{q}[^{q}]{{{least},{LONGEST_LITERAL}}}{q}" for q, least in QUOTES.items())
-_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
-
-def shape(word: Column) -> Column:
-    """Letters of either case and digits as one of their kind: ``A``, ``a`` and ``0``."""
-    return F.translate(word, _UPPER + _LOWER + _DIGITS, "A" * 26 + "a" * 26 + "0" * 10)
-
-
-def _like_code(word: Column) -> Column:
-    """Written as code is: joined by case, ``_`` or ``/``, a file name, a constant, or letters and then a digit."""
-    s = shape(word)
-    return (F.length(word) >= 3) & (s.contains("aA") | s.contains("_") | s.contains("/") | s.rlike(r"\.a{1,5}$|^A[A0]{2,}$|^a+0[aA0]*$"))
+def written_as_code(token: Column) -> Column:
+    return (F.length(token) >= V.LEAST_CODE) & token.rlike("|".join(V.CODE_SHAPES))
 
 
 def question_parts(question: Column) -> Column:
@@ -30,14 +20,14 @@ def question_parts(question: Column) -> Column:
     What is quoted is a literal, verbatim. The rest is cut at blanks and separators; what is written as code is an
     identifier, what else has four characters or more and says something is a word, in lower case.
     """
-    quoted = F.transform(F.regexp_extract_all(question, F.lit(_QUOTED), 0), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
-    rest = F.translate(F.regexp_replace(question, _QUOTED, " "), QUESTION_SEPARATORS, " " * len(QUESTION_SEPARATORS))
-    names = F.transform(F.split(rest, " +"), lambda t: F.regexp_extract(t, r"[A-Za-z0-9_$@./-].*[A-Za-z0-9_$]|[A-Za-z0-9_$]", 0))
-    says = lambda t: (F.length(t) >= 4) & ~F.lower(t).isin(QUESTION_STOP_WORDS) & ~t.rlike("^[0-9]+$")
+    spans = F.regexp_extract_all(question, F.lit(V.QUOTED_SPAN), 0)
+    literals = F.transform(spans, lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+    tokens = F.transform(F.split(F.regexp_replace(question, V.QUOTED_SPAN, " "), V.TOKEN_SEPARATORS), lambda t: F.regexp_replace(t, V.TOKEN_ENDS, ""))
+    says = lambda t: ~written_as_code(t) & (F.length(t) >= V.LEAST_WORD) & ~F.lower(t).isin(V.QUESTION_STOP_WORDS) & ~t.rlike("^[0-9]+$")
     return F.struct(
-        F.filter(quoted, lambda q: F.length(F.trim(q)) >= 2).alias("literals"),
-        F.slice(F.array_distinct(F.filter(names, _like_code)), 1, MOST_IDENTIFIERS).alias("identifiers"),
-        F.slice(F.array_distinct(F.transform(F.filter(names, lambda t: ~_like_code(t) & says(t)), F.lower)), 1, MOST_WORDS).alias("words"),
+        F.filter(literals, lambda q: F.length(F.trim(q)) >= V.LEAST_LITERAL).alias("literals"),
+        F.slice(F.array_distinct(F.filter(tokens, written_as_code)), 1, V.MOST_IDENTIFIERS).alias("identifiers"),
+        F.slice(F.array_distinct(F.transform(F.filter(tokens, says), F.lower)), 1, V.MOST_WORDS).alias("words"),
     )
 
 
@@ -60,12 +50,12 @@ def repository_parts(path: Column) -> Column:
 def freshness(kind: Column, age_seconds: Column) -> Column:
     """fresh, stale (served while it is renewed) or expired."""
     out = F.lit("expired")
-    for name, (fresh, stale) in FRESHNESS.items():
+    for name, (fresh, stale) in V.FRESHNESS.items():
         out = F.when((kind == name) & (age_seconds <= fresh), "fresh").when((kind == name) & (age_seconds <= fresh + stale), "stale").otherwise(out)
     return out
 
 
 def ingest_state(started_at: Column, finished_at: Column, failed: Column, now: Column) -> Column:
     """not_ingested, ingesting, ready or error; an ingest without an end for three minutes may be tried again."""
-    running = F.unix_timestamp(now) - F.unix_timestamp(started_at) <= INGEST_STALE_SECONDS
+    running = F.unix_timestamp(now) - F.unix_timestamp(started_at) <= V.INGEST_STALE_SECONDS
     return F.when(started_at.isNull(), "not_ingested").when(failed, "error").when(finished_at.isNotNull(), "ready").when(running, "ingesting").otherwise("not_ingested")

@@ -77,9 +77,14 @@ QUESTION_STOP_WORDS = (
     "directory folder dir list listing"
 ).split()
 
-# fixed values: quotes and the least length of what stands in them; separators of words; how many are kept
-QUOTES, LONGEST_LITERAL = {"`": 2, '"': 2, "'": 3}, 200
-QUESTION_SEPARATORS = ",;:()[]{}<>?!\t\n\r\f\v"
+# fixed values: patterns of quoted spans, of what stands between tokens, of what is cut off a token's ends, and of tokens
+# that are written as code (camel case, Pascal case, snake case, file name, path, constant, letters with a digit or capital);
+# the least length of code, of a literal and of a word; how many identifiers and words are kept
+QUOTED_SPAN = r"""`[^`]{2,200}`|"[^"]{2,200}"|'[^']{3,200}'"""
+TOKEN_SEPARATORS = r"[\s,;:()\[\]{}<>?!]+"
+TOKEN_ENDS = r"^[^A-Za-z0-9_$@./-]+|[^A-Za-z0-9_$]+$"
+CODE_SHAPES = [r"[a-z][A-Z]", r"^[A-Z][a-z]+[A-Z]", r"_", r"\.[a-z]{1,5}$", r"/", r"^[A-Z][A-Z0-9_]{2,}$", r"^[a-z]+[A-Z0-9][A-Za-z0-9]*$"]
+LEAST_CODE, LEAST_LITERAL, LEAST_WORD = 3, 2, 4
 MOST_IDENTIFIERS, MOST_WORDS = 8, 12
 
 # fixed values: windows of the rate limits as (seconds, requests), for an address and for all ingests

@@ -983,19 +983,17 @@ def stream_throttle(spark, d):
     return K.replayed(throttled(K.event_stream(spark, d), "user_id", seconds=3600, limit=2), "append")
 
 
-_SHAPE = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789', '" + "A" * 26 + "a" * 26 + "0" * 10 + "')"
-_CODELIKE = f"length(t) >= 3 AND (contains({_SHAPE.format('t')}, 'aA') OR contains(t, '_') OR contains(t, '/') OR regexp_matches({_SHAPE.format('t')}, '\\.a{{1,5}}$|^A[A0]{{2,}}$|^a+0[aA0]*$'))".replace("\\\\", "\\")
-_QUOTED_SQL = "`[^`]{2,200}`|\"[^\"]{2,200}\"|''[^'']{3,200}''"
+_SPAN, _ENDS, _CODE = (x.replace("'", "''") for x in (V.QUOTED_SPAN, V.TOKEN_ENDS, "|".join(V.CODE_SHAPES)))
 _NOISE = ", ".join(_text(w) for w in V.QUESTION_STOP_WORDS)
 
 
 @query(f"""WITH q AS (SELECT conv_id, turn, text AS question FROM conversations),
-    r AS (SELECT *, list_transform(regexp_split_to_array(translate(regexp_replace(question, '{_QUOTED_SQL}', ' ', 'g'), {_text(V.QUESTION_SEPARATORS)}, '{" " * len(V.QUESTION_SEPARATORS)}'), ' +'), lambda t: regexp_extract(t, '[A-Za-z0-9_$@./-].*[A-Za-z0-9_$]|[A-Za-z0-9_$]')) AS n FROM q),
-    i AS (SELECT conv_id, turn, p, t, {_CODELIKE} AS coded FROM (SELECT conv_id, turn, unnest(n) AS t, generate_subscripts(n, 1) AS p FROM r)),
+    r AS (SELECT *, list_transform(regexp_split_to_array(regexp_replace(question, '{_SPAN}', ' ', 'g'), '{V.TOKEN_SEPARATORS}'), lambda t: regexp_replace(t, '{_ENDS}', '', 'g')) AS n FROM q),
+    i AS (SELECT conv_id, turn, p, t, length(t) >= 3 AND regexp_matches(t, '{_CODE}') AS coded FROM (SELECT conv_id, turn, unnest(n) AS t, generate_subscripts(n, 1) AS p FROM r)),
     d AS (SELECT conv_id, turn, coded, CASE WHEN coded THEN t ELSE lower(t) END AS t, min(p) AS p FROM i WHERE coded OR (length(t) >= 4 AND lower(t) NOT IN ({_NOISE}) AND NOT regexp_matches(t, '^[0-9]+$')) GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, coded ORDER BY p) AS rank FROM d),
     g AS (SELECT conv_id, turn, string_agg(t, ' ' ORDER BY p) FILTER (WHERE coded AND rank <= 8) AS identifiers, string_agg(t, ' ' ORDER BY p) FILTER (WHERE NOT coded AND rank <= 12) AS words FROM k GROUP BY ALL)
-    SELECT conv_id, turn, len(list_filter(regexp_extract_all(question, '{_QUOTED_SQL}'), lambda x: length(trim(substring(x, 2, length(x) - 2))) >= 2)) AS n_literals, coalesce(identifiers, '') AS identifiers, coalesce(words, '') AS words FROM r LEFT JOIN g USING (conv_id, turn)""")
+    SELECT conv_id, turn, len(list_filter(regexp_extract_all(question, '{_SPAN}'), lambda x: length(trim(substring(x, 2, length(x) - 2))) >= 2)) AS n_literals, coalesce(identifiers, '') AS identifiers, coalesce(words, '') AS words FROM r LEFT JOIN g USING (conv_id, turn)""")
 def questions(spark, d):
     parts = table(spark, d, "conversations").select("conv_id", "turn", question_parts(F.col("text")).alias("q"))
     return parts.select("conv_id", "turn", F.size("q.literals").cast("long").alias("n_literals"), F.array_join("q.identifiers", " ").alias("identifiers"), F.array_join("q.words", " ").alias("words"))
