@@ -89,20 +89,21 @@ def pieces(text: str, vocabulary: dict[str, int]) -> list[int]:
     return ids[:MAX_PIECES]
 
 
+def text_vector(text: str | None, model: StaticModel) -> np.ndarray:
+    """The mean of the pieces' vectors at length one; a zero vector for a text without pieces."""
+    ids = pieces(text or "", model.vocabulary)
+    v = (model.weights[ids].astype(np.float64) * model.scales[ids, None].astype(np.float64)).sum(axis=0) if ids else np.zeros(model.weights.shape[1])
+    norm = np.sqrt((v * v).sum())
+    return (v / norm if norm else v).astype(np.float32)
+
+
 def embedded(rows: DataFrame, model: StaticModel, text_col: str = "text", out: str = "embedding") -> DataFrame:
-    """Adds the mean of the pieces' vectors at length one; a zero vector for a text without pieces."""
+    """Adds the vector of a text."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = sent.value
         for texts in batches:
-            vectors = []
-            for text in texts:
-                ids = pieces(text or "", m.vocabulary)
-                v = (m.weights[ids] * m.scales[ids, None]).mean(axis=0) if ids else np.zeros(m.weights.shape[1])
-                norm = np.linalg.norm(v)
-                vectors.append((v / norm if norm else v).astype(np.float32))
-            yield pd.Series(vectors)
+            yield pd.Series([text_vector(text, sent.value) for text in texts])
 
     return rows.withColumn(out, embed(F.col(text_col)))

@@ -20,16 +20,17 @@ def _candidates(files: DataFrame, needle: str, regex: bool, word: bool, ignore_c
     return files.where(F.contains(F.lower("text"), F.lit(needle.lower())) if ignore_case else F.contains("text", F.lit(needle)))
 
 
-def grep(files: DataFrame, needle: str, *, regex: bool = False, word: bool = False, ignore_case: bool = False, glob: str | None = None, scope: str | None = None, exclude: tuple[str, ...] = (), context: int = 0, limit: int | None = None) -> DataFrame:
+def grep(files: DataFrame, needle: str, *, regex: bool = False, word: bool = False, ignore_case: bool = False, glob: str | None = None, scope: str | None = None, exclude: tuple[str, ...] = (), context: int = 0, limit: int | None = None, max_text: int | None = MAX_TEXT) -> DataFrame:
     """``(path, line, text)`` of matching lines, and with ``context`` the lines around as ``before, after``.
 
+    Texts are cut to ``max_text`` characters for display; None keeps them whole, for what judges them.
     Order is by path and line. ``limit`` keeps the first matches in that order, as a bounded top-k.
     """
     own = _candidates(scoped(files, glob, scope, exclude), needle, regex, word, ignore_case)
     split = own.select("path", lines(F.col("text")).alias("_all"))
     plain = not (regex or word or ignore_case)
     test = lambda text: F.contains(text, F.lit(needle)) if plain else text.rlike(line_pattern(needle, regex, word, ignore_case))
-    cut = lambda c: F.substring(c, 1, MAX_TEXT)
+    cut = lambda c: F.substring(c, 1, max_text) if max_text else c
     if context:
         # hits are found and cut out within the row, so that no line carries all others along
         n = min(max(context, 0), MAX_CONTEXT)

@@ -10,10 +10,8 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import paths as P
 from siltstone.functions import values as V
-from siltstone.functions.text import cosine, dot, each_term, half_up, line_count, lines, quantized
-
-MAX_CHUNK_CHARS = 2400
-
+from siltstone.functions.text import each_term, half_up, line_count, lines
+from siltstone.operators.vectors import cosines
 
 def windows(files: DataFrame) -> DataFrame:
     """``(path, start, end, kind)``: one chunk up to 60 lines, else 40-line windows every 30 lines."""
@@ -40,7 +38,7 @@ def _window_chunks(files: DataFrame) -> DataFrame:
     cut = files.select("path", lines(F.col("text")).alias("_all")).where(n > 0)
     each = cut.select("path", F.when(whole, "file").otherwise("window").alias("kind"), F.explode(F.transform(starts, window)).alias("w"))
     full = each.where(F.trim(F.translate(F.col("w")["body"], "\n\t", "  ")) != "")
-    return full.select("path", F.col("w")["start"].alias("start"), F.col("w")["end"].alias("end"), "kind", F.lit(None).cast("string").alias("symbol"), F.substring(F.concat_ws("\n", "path", F.col("w")["body"]), 1, MAX_CHUNK_CHARS).alias("text"))
+    return full.select("path", F.col("w")["start"].alias("start"), F.col("w")["end"].alias("end"), "kind", F.lit(None).cast("string").alias("symbol"), F.concat_ws("\n", "path", F.col("w")["body"]).alias("text"))
 
 
 def _regions(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -60,7 +58,7 @@ def chunks(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """Chunks with text. With an outline, each symbol's span is a chunk, and so are the gaps between; what is over 60
     lines is cut into windows, and a file of up to 60 lines without spans is one chunk.
 
-    Blank bodies are dropped; the text begins with the path and is cut to 2400 characters.
+    Blank bodies are dropped; the text begins with the path. It is whole: what a model takes is cut where it is embedded.
     """
     if symbols is None:
         return _window_chunks(files)
@@ -76,7 +74,7 @@ def chunks(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     texts = files.select("path", lines(F.col("text")).alias("_all"))
     body = F.array_join(F.slice("_all", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int")), "\n")
     out = cut.join(texts, "path").withColumn("_body", body).where(F.trim(F.translate("_body", "\n\t", "  ")) != "")
-    return out.select("path", "start", "end", "kind", "symbol", F.substring(F.concat_ws("\n", "path", "symbol", "_body"), 1, MAX_CHUNK_CHARS).alias("text"))
+    return out.select("path", "start", "end", "kind", "symbol", F.concat_ws("\n", "path", "symbol", "_body").alias("text"))
 
 
 def postings(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -91,12 +89,7 @@ def document_frequencies(posts: DataFrame) -> DataFrame:
 
 def dense(rows: DataFrame, query: list[float], id_col: str, vector_col: str = "embedding", eight_bit: bool = False) -> DataFrame:
     """``(id, score)``: cosine by brute force, on eight-bit rows if asked for."""
-    size = math.sqrt(sum(float(x) ** 2 for x in query)) or 1.0
-    q = F.array(*[F.lit(float(x) / size) for x in query])
-    if eight_bit:
-        packed = rows.select(F.col(id_col).alias("id"), quantized(F.col(vector_col)).alias("p"))
-        return packed.select("id", F.round(dot(F.col("p")["q"], q) * F.col("p")["scale"], 4).alias("score"))
-    return rows.select(F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), q), 4).alias("score"))
+    return cosines(rows, query, id_col, vector_col, eight_bit)
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:

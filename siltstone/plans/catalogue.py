@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import paths as P
 from siltstone.functions import values as V
+from siltstone.functions.embedding import text_vector
 from siltstone.functions.questions import like_symbol, question_parts, repository_parts
 from siltstone.functions.text import line_count
 from siltstone.functions.values import STOP_WORDS
@@ -22,10 +23,11 @@ from siltstone.operators import metrics as M
 from siltstone.operators import outline as O
 from siltstone.operators import retrieval as R
 from siltstone.operators import shell as S
+from siltstone.operators import vectors as N
 from siltstone.plans import samples
-from siltstone.plans.fixtures import FILES_SQL, REQUESTS_SQL, files, requests, table
+from siltstone.plans.fixtures import FILES_SQL, REQUESTS_SQL, files, files_of, requests, table
 from siltstone.streaming import metrics as K
-from siltstone.sources.storage import spread
+from siltstone.sources.storage import new_folder, spread
 from siltstone.streaming.throttle import throttled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -411,7 +413,7 @@ _CHUNKS = """c AS (SELECT path, n, unnest(CASE WHEN n <= 60 THEN [1] ELSE range(
     chunks AS (SELECT path, start, CASE WHEN n <= 60 THEN n ELSE least(start + 39, n) END AS "end", CASE WHEN n <= 60 THEN 'file' ELSE 'window' END AS kind FROM c)"""
 _CHUNK_TEXTS = f"""{_FILES}, {_CHUNKS},
     bodies AS (SELECT doc_id, source, chunks.*, array_to_string(list_slice(string_split(text, chr(10)), start, "end"), chr(10)) AS body FROM chunks JOIN files_v USING (path)),
-    texts AS (SELECT doc_id, source, path, start, "end", kind, concat(path, ':', start) AS id, substring(path || chr(10) || body, 1, 2400) AS text FROM bodies WHERE trim(translate(body, chr(10) || chr(9), '  ')) <> '')"""
+    texts AS (SELECT doc_id, source, path, start, "end", kind, concat(path, ':', start) AS id, path || chr(10) || body AS text FROM bodies WHERE trim(translate(body, chr(10) || chr(9), '  ')) <> '')"""
 
 
 def _posts(spark, d):
@@ -436,16 +438,19 @@ def _chunks(spark, d):
     return R.chunks(spread(own)).withColumn("id", F.concat_ws(":", "path", "start")), own.select("path", "doc_id", "source")
 
 
-def _index(spark, d):
+def _index(spark, d, table_path=None, files_at_once=1000, model=None):
     """Path and symbol of a chunk, and its document and source, stand with its postings."""
 
-    def build():
-        own = spread(files(spark, d))
+    def build(rows):
+        own = spread(files_of(rows))
         # what a query wants back follows from the path; the document's number is in its name
         number = F.regexp_extract("path", r"/d([0-9]+)\.[a-z.]+$", 1).cast("long")
         return R.chunks(own).withColumns({"id": F.concat_ws(":", "path", "start"), "doc_id": number, "source": F.substring_index("path", "/", 1)})
 
-    return I.kept_index(spark, f"{d}/documents.parquet", build, ["path", "doc_id", "source"])
+    return I.kept_index(spark, table_path or f"{d}/documents.parquet", build, _KEYS, "chunks of files", files_at_once, model)
+
+
+_KEYS = ["path", "doc_id", "source"]
 
 
 def _bm25(spark, d):
@@ -522,6 +527,51 @@ def rrf_fusion(spark, d):
     return _rrf(spark, d)
 
 
+@query(f"{_BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
+def bm25_segments(spark, d):
+    """The table in three part files, each indexed into a segment of its own: the same scores."""
+    parts = new_folder(spark, "parts")
+    table(spark, d, "documents").repartition(3, F.xxhash64("doc_id")).write.mode("overwrite").parquet(parts)
+    index = _index(spark, d, parts, files_at_once=1)
+    return R.top_k(I.bm25(index, _QUERY, _KEYS).select("id", "score"), 20)
+
+
+_ASKED = ["the license of the work", "and that with this", "de la que elle"]
+_MODEL_SQL = ", ".join(f"('{w}', {[int(x) for x in v]})" for w, v in zip(samples.MODEL_WORDS, samples.small_model().weights, strict=True))
+# a vector is the sum of its words' vectors at length one, of the first 2,400 characters and 512 words that the model has
+_EMBED = f"""model(w, v) AS (VALUES {_MODEL_SQL}), asked(query, text) AS (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(_ASKED))}),
+    given AS (SELECT id, substring(text, 1, 2400) AS text FROM texts UNION ALL SELECT CAST(query AS VARCHAR), text FROM asked),
+    known AS (SELECT id, list_slice(list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '[\\p{{Mn}}\\p{{Cf}}]', '', 'g'), '[\\s\\p{{Z}}\\p{{P}}\\p{{S}}\\x{{4e00}}-\\x{{9fff}}]+'), lambda x: list_contains({samples.MODEL_WORDS}, x)), 1, 512) AS ws FROM given),
+    sums AS (SELECT id, j, CAST(sum(v[j]) AS DOUBLE) AS x FROM (SELECT id, unnest(ws) AS w FROM known) JOIN model USING (w), (SELECT unnest(range(1, {samples.MODEL_WIDTH + 1})) AS j) GROUP BY ALL),
+    unit AS (SELECT id, list_transform(v, lambda x: CAST(CAST(CASE WHEN n > 0 THEN x / n ELSE 0 END AS FLOAT) AS DOUBLE)) AS v FROM (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT id, list(x ORDER BY j) AS v FROM sums GROUP BY id))),
+    packed AS (SELECT t.id, coalesce(list_transform(v, lambda x: floor(x / k + 0.5)), [0.0 for i in range({samples.MODEL_WIDTH})]) AS v, k FROM texts t LEFT JOIN (SELECT *, CASE WHEN list_max(list_transform(v, lambda x: abs(x))) > 0 THEN list_max(list_transform(v, lambda x: abs(x))) / 127 ELSE 1 END AS k FROM unit) u ON t.id = u.id),
+    near AS (SELECT query, p.id, round(coalesce(list_dot_product(p.v, u.v) / sqrt(list_dot_product(u.v, u.v)) * k, 0), 4) AS score FROM packed p, asked JOIN unit u ON u.id = CAST(query AS VARCHAR))""".replace("\\\\", "\\")
+
+
+def _vectors_index(spark, d):
+    return _index(spark, d, model=samples.small_model())
+
+
+def _asked_vectors(texts):
+    return [text_vector(t, samples.small_model()).tolist() for t in texts]
+
+
+@query(f"{_CHUNK_TEXTS}, {_EMBED} SELECT query, id, score FROM near QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10")
+def nearest_chunks(spark, d):
+    """Vectors of the chunks themselves, kept in blocks beside the postings; all questions in one pass."""
+    return N.nearest(_vectors_index(spark, d).vectors, _asked_vectors(_ASKED), 10).select("query", "id", "score")
+
+
+@query(f"""{_BM25}, {_EMBED}, ranks AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id) - 1) AS part FROM (SELECT id, score FROM near WHERE query = 0 ORDER BY score DESC, id LIMIT 100)
+        UNION ALL SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id) - 1) FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 100))
+    SELECT id, round(sum(CAST(part AS DOUBLE)), 8) AS score FROM ranks GROUP BY id""")
+def hybrid_chunks(spark, d):
+    """Words and vectors of the same chunks, fused by rank."""
+    index = _vectors_index(spark, d)
+    vectors = N.nearest(index.vectors, _asked_vectors(_ASKED[:1]), V.RRF_DEPTH).select("id", "score")
+    return R.fused(vectors, I.bm25(index, _QUERY))
+
+
 def _scored_chunks(spark, d):
     cut = R.windows(files(spark, d)).withColumns({"id": F.concat_ws(":", "path", "start"), "score": F.round(1 / (10 + F.pmod(F.length("path") * F.col("start"), F.lit(97))), 6), "symbol": F.lit(None).cast("string")})
     return cut
@@ -590,9 +640,10 @@ def locate_lines(spark, d):
     return J.locate(files(spark, d), J.word_scorer("public license version"))
 
 
-@query(f"{_LINES} SELECT path, line, substring(text, 1, 400) AS text, round(1 / (1 + exp(-({_words_sql('substring(text, 1, 400)', 'apache', 'public', 'license')}))), 3) AS relevance FROM lines_v WHERE contains(text, 'icense')")
+@query(f"{_LINES} SELECT path, line, substring(text, 1, 400) AS text, round(1 / (1 + exp(-({_words_sql('text', 'apache', 'public', 'license')}))), 3) AS relevance FROM lines_v WHERE contains(text, 'icense')")
 def rerank_matches(spark, d):
-    return J.rerank(G.grep(files(spark, d), "icense"), J.word_scorer("apache public license"))
+    ranked = J.rerank(G.grep(files(spark, d), "icense", max_text=None), J.word_scorer("apache public license"))
+    return ranked.withColumn("text", F.substring("text", 1, G.MAX_TEXT))
 
 
 _DEFINES = r"^\s*([a-z]+\s+){0,3}(function|class|interface|type|enum|struct|trait|impl|def|fn|func|const|let|var|module|package)\b|^\s*[A-Za-z_$][A-Za-z0-9_$]*\s*(:[^=]+)?=([^=]|$)"
@@ -663,10 +714,10 @@ def deepened_candidates(spark, d):
     return J.deepened(few, files(spark, d), J.word_scorer("public license version")).select("path", "line", "kind", F.round("p", 6).alias("p"), "read")
 
 
-@query(f"""{_LINES}, s AS (SELECT path, line, round(1 / (1 + exp(-({_words_sql('substring(text, 1, 400)', 'licensed', 'under', 'the', 'apache', 'license')}))), 3) AS support FROM lines_v WHERE contains(text, 'icense'))
+@query(f"""{_LINES}, s AS (SELECT path, line, round(1 / (1 + exp(-({_words_sql('text', 'licensed', 'under', 'the', 'apache', 'license')}))), 3) AS support FROM lines_v WHERE contains(text, 'icense'))
     SELECT *, CASE WHEN support >= 0.8 THEN 'supports' WHEN support >= 0.5 THEN 'partly' ELSE 'unrelated' END AS verdict FROM s""")
 def verify_lines(spark, d):
-    return J.verify(G.grep(files(spark, d), "icense"), "licensed under the apache license").select("path", "line", "support", "verdict")
+    return J.verify(G.grep(files(spark, d), "icense", max_text=None), "licensed under the apache license").select("path", "line", "support", "verdict")
 
 
 @query()

@@ -41,5 +41,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, "documents", FILES_SQL)
 
 
+def files_of(documents: DataFrame) -> DataFrame:
+    """The snapshot of some of the documents."""
+    return documents.sparkSession.sql(FILES_SQL.replace("FROM documents", "FROM {t}"), t=documents)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, "events", REQUESTS_SQL)

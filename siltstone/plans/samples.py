@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.functions.embedding import StaticModel
+
 SOURCES = {
     "src/box.ts": "import { a } from './a'\nimport './side'\n\nexport class Box {\n  // not a brace: {\n  open() {\n    return '}'\n  }\n}\n\nexport function make(n: number) {\n  if (n > 0) {\n    return new Box()\n  }\n  return null\n}\n\nexport const LIMIT = 3\n",
     "lib/tool.py": "import os\nfrom pathlib import Path\n\n\nclass Tool:\n    def run(self):\n        return os.getcwd()\n\n\ndef main():\n    tool = Tool()\n\n    return tool.run()\n",
@@ -32,3 +37,14 @@ QUESTIONS = ["Where is `max_retries = 3` set in parseConfig?", 'which file has "
 
 def asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(q,) for q in QUESTIONS], "question string")
+
+
+#: Words that a small model has vectors for.
+MODEL_WORDS = "en in the of on and to a is be as that er it re was for an with this are by from at or de la que des un elle les pour par dans license version under public work".split()
+MODEL_WIDTH = 8
+
+
+def small_model() -> StaticModel:
+    """A model of whole words whose weights their checksums decide."""
+    weights = [[zlib.crc32(f"{w}:{j}".encode()) % 255 - 127 for j in range(MODEL_WIDTH)] for w in MODEL_WORDS]
+    return StaticModel({w: i for i, w in enumerate(MODEL_WORDS)}, np.ones(len(MODEL_WORDS), np.float32), np.array(weights, np.int8))

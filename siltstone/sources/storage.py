@@ -48,17 +48,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(at)
 
 
-def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
-    """Name, length and time of change of a file, or of all files of a folder."""
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
     store, at = _at(spark, path)
-    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in store.listStatus(at))
+    return sorted(f.getPath().getName() for f in store.listStatus(at)) if store.exists(at) else []
 
 
-def renamed(spark: SparkSession, path: str, to: str) -> None:
-    """Moves a folder; what another run has put there meanwhile stays."""
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, length and time of change (in milliseconds) of a file, or of all data files of a folder."""
     store, at = _at(spark, path)
-    if not exists(spark, to):
-        store.rename(at, _at(spark, to)[1])
+    files = [f for f in store.listStatus(at) if f.isFile() and f.getPath().getName()[0] not in "._"]
+    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
 
 
 def spread(table: DataFrame) -> DataFrame:

@@ -340,23 +340,108 @@ def test_deepened_candidates(spark):
     assert [(r.p, r.read) for r in judge.deepened(sure, files, scorer).collect()] == [(1.0, True)]
 
 
-def test_index_is_kept_until_the_table_changes(spark, tmp_path):
-    from siltstone.operators import index, retrieval
+def _chunked(calls, failing=()):
+    from siltstone.operators import retrieval
 
-    files = spark.createDataFrame([("src/parseConfig.ts", "const maxRetries = 3"), ("docs/a.md", "max retries of a thing")], "path string, text string")
-    files.write.parquet(str(tmp_path / "t"))
-    built = []
+    def build(rows):
+        calls.append(rows.count())
+        if len(calls) in failing:
+            raise RuntimeError("killed")
+        return retrieval.chunks(rows).withColumn("id", F.concat_ws(":", "path", "start"))
+
+    return build
+
+
+def _terms(kept):
+    return sorted((r.id, r.term, r.tf, r.len) for r in kept.postings.collect())
+
+
+def _scores(kept, *terms):
+    from siltstone.operators import index
 
-    def build():
-        built.append(1)
-        return retrieval.chunks(files).withColumn("id", F.concat_ws(":", "path", "start"))
+    return sorted((r.id, r.score) for r in index.bm25(kept, list(terms), ["path"]).collect())
 
+
+def test_index_is_kept_until_the_table_changes(spark, tmp_path):
+    from siltstone.operators import index
+
+    files = spark.createDataFrame([("src/parseConfig.ts", "const maxRetries = 3"), ("docs/a.md", "max retries of a thing")], "path string, text string")
+    table, calls = str(tmp_path / "t"), []
+    files.coalesce(1).write.parquet(table)
     for _ in range(2):
-        kept = index.kept_index(spark, str(tmp_path / "t"), build, ["path"])
-    assert len(built) == 1 and kept.n_chunks == 2
+        kept = index.kept_index(spark, table, _chunked(calls), ["path"])
+    assert calls == [2] and kept.n_chunks == 2
     terms = {(r.path, r.term): r.tf for r in kept.postings.collect()}
     assert terms[("src/parseConfig.ts", "parseconfig")] == 2 and terms[("src/parseConfig.ts", "config")] == 2 and terms[("src/parseConfig.ts", "retries")] == 1
     assert [r.path for r in index.bm25(kept, ["parse"], ["path"]).collect()] == ["src/parseConfig.ts"]
-    files.limit(1).write.mode("append").parquet(str(tmp_path / "t"))
-    index.kept_index(spark, str(tmp_path / "t"), build, ["path"])
-    assert len(built) == 2
+    spark.createDataFrame([("b.py", "parse me")], "path string, text string").coalesce(1).write.mode("append").parquet(table)
+    kept = index.kept_index(spark, table, _chunked(calls), ["path"])
+    assert calls == [2, 1] and kept.segments == ["s000000", "s000001"] and kept.n_chunks == 3
+    # what a build makes is part of the index's name
+    other = index.kept_index(spark, table, lambda rows: _chunked(calls)(rows).withColumn("text", F.lit("same")), ["path"], "other")
+    assert calls == [2, 1, 3] and {r.term for r in other.postings.collect()} >= {"same"} and "parse" not in {r.term for r in other.postings.where("path = 'b.py'").collect()}
+    files.limit(1).coalesce(1).write.mode("overwrite").parquet(table)
+    kept = index.kept_index(spark, table, _chunked(calls), ["path"])
+    assert calls == [2, 1, 3, 1] and kept.n_chunks == 1
+
+
+def test_index_of_long_chunks_and_of_none(spark, tmp_path):
+    from siltstone.operators import index
+
+    none, table = str(tmp_path / "none"), str(tmp_path / "t")
+    empty = spark.createDataFrame([], "path string, text string")
+    empty.write.parquet(none)
+    kept = index.kept_index(spark, none, _chunked([]), ["path"])
+    assert kept.n_chunks == 0 and _scores(kept, "a") == []
+    spark.createDataFrame([("a.py", "word " * 5000 + "lastOne")], "path string, text string").write.parquet(table)
+    kept = index.kept_index(spark, table, _chunked([]), ["path"])
+    assert {r.term: r.tf for r in kept.postings.collect()}["word"] == 5000 and len(_scores(kept, "lastone")) == 1
+
+
+def test_a_killed_build_goes_on_and_segments_merge(spark, tmp_path, monkeypatch):
+    from siltstone.operators import index
+
+    table = str(tmp_path / "t")
+    rows = [(f"src/f{i}.py", f"alpha{i % 3} beta{i % 5} commonWord x{i}") for i in range(12)]
+    for i in range(6):
+        spark.createDataFrame(rows[2 * i : 2 * i + 2], "path string, text string").coalesce(1).write.mode("append").parquet(table)
+    calls = []
+    with pytest.raises(Exception, match="killed"):
+        index.kept_index(spark, table, _chunked(calls, failing={3}), ["path"], files_at_once=1)
+    path = f"{index.index_root(spark, table, ['path'], '')}/1".replace("file:", "")
+    path = path if os.path.exists(path) else path[:-1] + "0"
+    before = {n: os.stat(f"{path}/segments/{n}/postings/_SUCCESS").st_mtime_ns for n in ("s000000", "s000001")}
+    kept = index.kept_index(spark, table, _chunked(calls), ["path"], files_at_once=1)
+    assert calls == [2] * 7 and kept.segments == [f"s{i:06d}" for i in range(6)]
+    assert before == {n: os.stat(f"{path}/segments/{n}/postings/_SUCCESS").st_mtime_ns for n in before}
+    whole = index.kept_index(spark, table, _chunked([]), ["path"], "at once")
+    assert len(whole.segments) == 1 and _terms(whole) == _terms(kept) and (whole.n_chunks, whole.mean_terms) == (kept.n_chunks, kept.mean_terms)
+    assert _scores(kept, "common", "alpha1") == _scores(whole, "common", "alpha1") and len(_scores(kept, "common")) == 12
+    monkeypatch.setattr(index, "MOST_SEGMENTS", 4)
+    index.merge_segments(spark, path, 4)
+    merged = index.read_index(spark, path)
+    assert len(merged.segments) == 3 and sum(n[0] == "m" for n in merged.segments) == 1 and _terms(merged) == _terms(whole)
+    assert index.kept_index(spark, table, _chunked(calls), ["path"], files_at_once=1).segments == merged.segments and len(calls) == 7
+    spark.createDataFrame([("new.py", "alpha1")], "path string, text string").coalesce(1).write.mode("append").parquet(table)
+    again = index.kept_index(spark, table, _chunked(calls), ["path"], files_at_once=1)
+    assert len(again.segments) == 4 and again.n_chunks == 13 and ("new.py:1", "alpha1", 1, 2) in _terms(again)
+
+
+def test_nearest_over_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from siltstone.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
+    r = np.random.default_rng(2)
+    x = np.float32(r.normal(size=(120, 6)))
+    x = np.float32(x / np.linalg.norm(x, axis=1)[:, None])
+    x[5], x[9], x[30] = 0, x[8], x[8]
+    rows = spark.createDataFrame([(f"k{i:03d}", i % 4, [float(c) for c in v]) for i, v in enumerate(x)], "id string, part int, embedding array<float>").repartition(3)
+    queries = r.normal(size=(3, 6)).tolist() + [x[8].tolist(), [0.0] * 6]
+    w, scales = vectors.eight_bits(x.astype(np.float64))
+    scores = np.round((w @ vectors.unit_rows(queries).T) * scales[:, None], 4)
+    want = {(q, f"k{i:03d}", i % 4, float(scores[i, q])) for q in range(5) for i in sorted(range(120), key=lambda i: (-scores[i, q], i))[:9]}
+    blocks = vectors.vector_blocks(rows, ["id", "part"])
+    assert {(a, b, c, d) for a, b, c, d in map(tuple, vectors.nearest(blocks, queries, 9).collect())} == want
+    assert blocks.count() >= 120 // 7 and vectors.nearest(blocks.limit(0), queries, 3).count() == 0
