@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.functions import values as V
 
@@ -21,9 +22,48 @@ def errors_() -> Column:
     return F.coalesce(F.sum(F.when(is_error(), F.col("weight"))), F.lit(0)).cast("long").alias("errors")
 
 
-def quantiles(*shares: float) -> list[Column]:
-    """Exact, interpolated quantiles of the duration over rows repeated by their weight."""
-    return [F.expr(f"percentile(duration_ms, {q}, weight)").alias(f"p{round(q * 100)}") for q in shares]
+#: Bins of the quantiles' histogram: so many to a factor of e in the duration, beyond one millisecond.
+BINS = 4096
+
+
+def same_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins on keys of which null is one like any other; the columns of ``b`` beside its keys come along."""
+    names = {k: f"_{i}_{k}" for i, k in enumerate(keys)}
+    on = F.lit(True)
+    for k, n in names.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return a.join(b.withColumnsRenamed(names), on, how).drop(*names.values())
+
+
+def with_quantiles(groups: DataFrame, log: DataFrame, keys: list[str], *shares: float) -> DataFrame:
+    """``groups`` (a row for each value of ``keys``) with exact, interpolated quantiles of the duration over the rows of
+    ``log`` repeated by their weight, as ``p50`` and so on; null for a group without durations.
+
+    A histogram on a logarithmic scale tells which bin holds each rank; only the values of these bins are put in
+    order, and a bin is a task's share. Equal values are summed before anything is shuffled, and no group is held
+    in a buffer: bins and values are summed up row by row in sorted order.
+    """
+    keys = keys or ["_all"]
+    if keys == ["_all"]:
+        groups, log = groups.withColumn("_all", F.lit(0)), log.withColumn("_all", F.lit(0))
+    v = F.col("duration_ms").cast("double")
+    counts = log.where(v.isNotNull() & (F.col("weight") > 0)).groupBy(*keys, v.alias("_v")).agg(F.sum("weight").alias("_n"))
+    counts = counts.withColumn("_bin", F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * BINS))
+    bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
+    group = Window.partitionBy(*keys)
+    bins = bins.withColumns({"_upto": F.sum("_n").over(group.orderBy("_bin")), "_total": F.sum("_n").over(group)})
+    ranks = F.array(*[F.struct(F.lit(i).alias("share"), F.lit(hi).alias("upper"), (F.ceil if hi else F.floor)(F.lit(q) * (F.col("_total") - 1)).alias("rank")) for i, q in enumerate(shares) for hi in (False, True)])
+    wanted = F.filter(ranks, lambda r: (r["rank"] >= F.col("_upto") - F.col("_n")) & (r["rank"] < F.col("_upto")))
+    bins = bins.withColumn("_wanted", wanted).where(F.size("_wanted") > 0).select(*keys, "_bin", (F.col("_upto") - F.col("_n")).alias("_before"), "_total", "_wanted")
+    inside = same_keys(counts, bins, [*keys, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_v")))
+    found = inside.withColumn("_r", F.explode(F.filter("_wanted", lambda r: (r["rank"] >= F.col("_upto") - F.col("_n")) & (r["rank"] < F.col("_upto")))))
+    at = lambda i, hi: F.max(F.when((F.col("_r")["share"] == i) & (F.col("_r")["upper"] == F.lit(hi)), F.col("_v")))
+    out = []
+    for i, q in enumerate(shares):
+        place, low, high = F.lit(q) * (F.max("_total") - 1), at(i, False), at(i, True)
+        between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
+        out.append(F.when(low == high, low).otherwise(between).alias(f"p{round(q * 100)}"))
+    return same_keys(groups, found.groupBy(*keys).agg(*out), keys, "left").drop("_all")
 
 
 def recent(log: DataFrame, hours: int) -> DataFrame:
@@ -36,23 +76,31 @@ def in_repo(log: DataFrame) -> DataFrame:
     return log.where((F.col("owner") != "-") & (F.col("owner") != "") & F.col("action").isin(V.REPO_ACTIONS))
 
 
-def grouped(log: DataFrame, keys: list[str], *measures: Column, limit: int | None = None) -> DataFrame:
-    """Groups by weight, largest first; ties in key order, so that a limit is well defined."""
+def grouped(log: DataFrame, keys: list[str], *measures: Column, limit: int | None = None, shares: tuple[float, ...] = ()) -> DataFrame:
+    """Groups by weight, largest first; ties in key order, so that a limit is well defined. Quantiles are those of the
+    groups within the limit only."""
     out = log.groupBy(*keys).agg(requests_(), *measures)
-    return out.orderBy(F.desc("requests"), *keys).limit(limit) if limit else out
+    out = out.orderBy(F.desc("requests"), *keys).limit(limit) if limit else out
+    return quantiles(out, log, keys, shares, limit) if shares else out
+
+
+def quantiles(groups: DataFrame, log: DataFrame, keys: list[str], shares: tuple[float, ...], limit: int | None) -> DataFrame:
+    """``with_quantiles``, of rows of the groups alone where these are few."""
+    own = same_keys(log, F.broadcast(groups.select(*keys)), keys) if limit and keys else log
+    return with_quantiles(groups, own, keys, *shares)
 
 
 def top_repos(log: DataFrame, limit: int = 50) -> DataFrame:
-    out = grouped(in_repo(log), ["owner", "repo"], errors_(), *quantiles(0.5, 0.95), limit=min(limit, 200))
+    out = grouped(in_repo(log), ["owner", "repo"], errors_(), limit=min(limit, 200), shares=(0.5, 0.95))
     return out.withColumn("error_rate", F.when(F.col("requests") > 0, F.col("errors") / F.col("requests")).otherwise(0.0))
 
 
 def by_action(log: DataFrame) -> DataFrame:
-    return grouped(log, ["action"], *quantiles(0.5, 0.95, 0.99), limit=50)
+    return grouped(log, ["action"], limit=50, shares=(0.5, 0.95, 0.99))
 
 
 def top_errors(log: DataFrame) -> DataFrame:
-    return grouped(log.where(is_error()), ["status", "action", "owner", "repo"], *quantiles(0.95), limit=30)
+    return grouped(log.where(is_error()), ["status", "action", "owner", "repo"], limit=30, shares=(0.95,))
 
 
 def by_status(log: DataFrame) -> DataFrame:
@@ -62,7 +110,7 @@ def by_status(log: DataFrame) -> DataFrame:
 def totals(log: DataFrame) -> DataFrame:
     zero = lambda c, n: F.coalesce(c, F.lit(0)).cast("long").alias(n)
     edge = F.sum(F.when(F.col("source") == "edge", F.col("weight")))
-    return log.agg(zero(F.sum("weight"), "requests"), errors_(), zero(edge, "edge"), *quantiles(0.5, 0.95, 0.99))
+    return with_quantiles(log.agg(zero(F.sum("weight"), "requests"), errors_(), zero(edge, "edge")), log, [], 0.5, 0.95, 0.99)
 
 
 def unique_repos(log: DataFrame, approximate: bool = False) -> DataFrame:
@@ -72,26 +120,27 @@ def unique_repos(log: DataFrame, approximate: bool = False) -> DataFrame:
 
 def time_series(log: DataFrame, minutes: int) -> DataFrame:
     """Tumbling buckets of whole minutes; 5 for an hour's view, 60 otherwise."""
-    bucket = F.window("ts", f"{minutes} minutes")["start"]
-    return log.groupBy(bucket.alias("bucket")).agg(requests_(), *quantiles(0.95), errors_())
+    own = log.withColumn("bucket", F.window("ts", f"{minutes} minutes")["start"])
+    return with_quantiles(own.groupBy("bucket").agg(requests_(), errors_()), own, ["bucket"], 0.95)
 
 
 def by_client(log: DataFrame) -> DataFrame:
     named = log.withColumn("client", F.when(F.col("client") == "", "unknown").otherwise(F.col("client")))
-    return grouped(named, ["client"], errors_(), *quantiles(0.5, 0.95), F.countDistinct("owner", "repo").alias("unique_repos"), limit=30)
+    return grouped(named, ["client"], errors_(), F.countDistinct("owner", "repo").alias("unique_repos"), limit=30, shares=(0.5, 0.95))
 
 
 def slow_requests(log: DataFrame, limit: int = 20) -> DataFrame:
     slow = F.coalesce(F.sum(F.when(F.col("duration_ms") > V.SLOW_MS, F.col("weight"))), F.lit(0)).cast("long")
     keys = ["action", "owner", "repo", "client"]
-    out = log.groupBy(*keys).agg(slow.alias("slow"), requests_(), *quantiles(0.95, 0.99)).where("slow > 0")
-    return out.orderBy(F.desc("slow"), *keys).limit(limit)
+    out = log.groupBy(*keys).agg(slow.alias("slow"), requests_()).where("slow > 0")
+    return quantiles(out.orderBy(F.desc("slow"), *keys).limit(limit), log, keys, (0.95, 0.99), limit)
 
 
 def recent_failures(log: DataFrame) -> DataFrame:
-    keys = [F.date_trunc("minute", F.col("ts")).alias("minute"), "status", "action", "owner", "repo", "client", "path"]
-    out = log.where(is_error()).groupBy(*keys).agg(requests_(), *quantiles(0.95))
-    return out.orderBy(F.desc("minute"), "status", "action", "owner", "repo", "client", "path").limit(50)
+    keys = ["minute", "status", "action", "owner", "repo", "client", "path"]
+    own = log.where(is_error()).withColumn("minute", F.date_trunc("minute", F.col("ts")))
+    out = own.groupBy(*keys).agg(requests_()).orderBy(F.desc("minute"), *keys[1:]).limit(50)
+    return quantiles(out, own, keys, (0.95,), 50)
 
 
 def ingest_failures(log: DataFrame) -> DataFrame:
@@ -118,7 +167,7 @@ def by_dimension(log: DataFrame) -> DataFrame:
 
 
 def error_groups(log: DataFrame) -> DataFrame:
-    return grouped(log.where(is_error()), ["status", "action"], *quantiles(0.95), limit=25)
+    return grouped(log.where(is_error()), ["status", "action"], limit=25, shares=(0.95,))
 
 
 def of_repo(log: DataFrame, owner: str, repo: str) -> DataFrame:
@@ -151,8 +200,6 @@ def repo_detail(log: DataFrame, owner: str, repo: str) -> DataFrame:
 
     An empty client or kind is ``(none)``, a missing value ``(unknown)``.
     """
-    from pyspark.sql.window import Window
-
     own = by_dimension(of_repo(log, owner, repo))
     named = own.withColumn("value", F.when(F.col("value") == "", "(none)").otherwise(F.coalesce("value", F.lit("(unknown)"))))
     limit = F.create_map(*[F.lit(x) for kv in DETAIL_LIMITS.items() for x in kv])
@@ -167,13 +214,17 @@ def overview(log: DataFrame) -> dict[str, DataFrame]:
 
 
 def overview_counts(log: DataFrame) -> DataFrame:
-    """``(part, label, requests)``: the counted parts of the overview in one table."""
-    label = {"by_action": ["action"], "by_status": ["status"], "by_client": ["client"], "latency": ["bucket"], "top_repos": ["owner", "repo"]}
-    parts, out = overview(log), None
-    for part, keys in label.items():
-        own = parts[part].select(F.lit(part).alias("part"), F.concat_ws("/", *keys).alias("label"), "requests")
-        out = own if out is None else out.unionByName(own)
-    return out
+    """``(part, label, requests)``: the counted parts of the overview, in one pass over the log."""
+    latency = F.lit("5s+")
+    for edge in reversed(V.LATENCY_EDGES):
+        latency = F.when(F.col("duration_ms") < edge, f"<{edge}ms").otherwise(latency)
+    client = F.when(F.col("client") == "", "unknown").otherwise(F.col("client"))
+    repo = F.when(F.col("owner").isin("-", "") | ~F.col("action").isin(V.REPO_ACTIONS), None).otherwise(F.concat_ws("/", "owner", "repo"))
+    parts = {"by_action": (F.col("action"), 50), "by_status": (F.col("status"), 20), "by_client": (client, 30), "latency": (latency, len(V.LATENCY_EDGES) + 1), "top_repos": (repo, 50)}
+    each = F.array(*[F.struct(F.lit(p).alias("part"), c.alias("label"), F.lit(n).alias("most")) for p, (c, n) in parts.items()])
+    counted = log.select(F.explode(each).alias("e"), "weight").where("NOT (e.part = 'top_repos' AND e.label IS NULL)").select("e.*", "weight").groupBy("part", "label", "most").agg(requests_())
+    best = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("requests"), "label"))
+    return counted.withColumn("_n", best).where("_n <= most").select("part", "label", "requests")
 
 
 def throttle(log: DataFrame, key: str, seconds: int = 60, limit: int = 60, stretch: int = 20) -> DataFrame:
@@ -182,8 +233,6 @@ def throttle(log: DataFrame, key: str, seconds: int = 60, limit: int = 60, stret
     A key's time is cut into stretches of ``stretch * seconds``; a row near the end of one goes into the next as
     well, where it only counts. So a key with many rows is many tasks' work.
     """
-    from pyspark.sql.window import Window
-
     width = seconds * stretch
     at, own = F.unix_micros(F.col("ts").cast("timestamp")), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (width * 1_000_000))
     near = F.floor((at + seconds * 1_000_000) / (width * 1_000_000)) > own
