@@ -21,7 +21,7 @@ from siltstone.llm.columns import quoted
 from siltstone.llm.storage import written
 
 #: Bytes of text in a block of the matrix; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Rows that a task ranks, about.
 RANKED_ROWS = 1 << 20
 BLOCK_NAMES = ["ids", "n_words", "offsets", "gaps", "counts"]
@@ -88,14 +88,15 @@ def word_crc(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return out
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """All first bytes, then all second ones, ...: most of them are zero, and compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Small numbers, compressed: all first bytes, then all second ones, ..., most of which are zero."""
+    planes = np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(len(x), 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _from_planes(blob: bytes, dtype: type) -> np.ndarray:
-    wide = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(wide, len(blob) // wide).T).view(dtype).reshape(-1)
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 4 * n, codec="zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(n).astype(np.int64)
 
 
 def sparse_rows(data: np.ndarray, at: np.ndarray, longest: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,8 +134,8 @@ def count_matrix(docs: DataFrame, name: str, longest: int, n_buckets: int, id_co
                         pa.ListArray.from_arrays(whole, batch.column(0).slice(a, b - a)),
                         pa.ListArray.from_arrays(whole, pa.array(n_words, pa.int64())),
                         pa.array([offsets.astype(np.int64).tobytes()], pa.binary()),
-                        pa.array([_planes(gaps.astype(np.uint32))], pa.binary()),
-                        pa.array([_planes(counts.astype(np.uint32))], pa.binary()),
+                        pa.array([_packed(gaps)], pa.binary()),
+                        pa.array([_packed(counts)], pa.binary()),
                     ],
                     names=BLOCK_NAMES,
                 )
@@ -147,7 +148,8 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
     """``(place, offsets, buckets, counts)`` of each block in a batch of ``(.., offsets, gaps, counts)``."""
     for i in range(batch.num_rows):
         offsets, gaps, counts = (batch.column(n)[i].as_py() for n in ("offsets", "gaps", "counts"))
-        offsets, gaps, counts = np.frombuffer(offsets, np.int64), _from_planes(gaps, np.uint32).astype(np.int64), _from_planes(counts, np.uint32).astype(np.int64)
+        offsets = np.frombuffer(offsets, np.int64)
+        gaps, counts = (_unpacked(x, int(offsets[-1])) for x in (gaps, counts))
         size, total = np.diff(offsets), np.cumsum(gaps)
         filled = offsets[:-1][size > 0]
         yield i, offsets, total - np.repeat(total[filled] - gaps[filled], size[size > 0]), counts
