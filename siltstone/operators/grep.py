@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siltstone.functions.patterns import line_pattern
@@ -78,10 +82,35 @@ def cooccurring_words(files: DataFrame, words: list[str], least: int = 2) -> Dat
 
 
 def enclosing_symbols(matches: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Adds to each match the symbol around it that begins last; ``symbols`` has ``path, name, line, end_line``."""
-    spans = symbols.select(F.col("path").alias("_p"), "name", F.col("line").alias("_from"), "end_line")
-    inside = (F.col("path") == F.col("_p")) & (F.col("_from") <= F.col("line")) & (F.col("line") <= F.coalesce("end_line", F.lit(2**31 - 1)))
-    return matches.join(spans, inside, "left").groupBy("path", "line", "text").agg(F.max_by("name", "_from").alias("symbol"))
+    """``(path, line, text, symbol)``: each match with the symbol around it that begins last (of those that begin at one
+    line, the last by name); ``symbols`` has ``path, name, line, end_line``, and one without an end goes on to the file's.
+
+    A sweep over the beginnings and matches of a file in order of lines, with the open symbols on a stack: work in
+    proportion to both, and no more memory than symbols are nested. Matches of null path have none.
+    """
+    kept = T.StructType([matches.schema[c] for c in ("path", "line", "text")])
+    begins = symbols.where(F.col("line").isNotNull()).select("path", F.col("line").cast("long").alias("at"), F.lit(0).alias("kind"), F.coalesce("end_line", F.lit(2**31 - 1)).cast("long").alias("end"), "name", F.lit(None).cast(kept).alias("match"))
+    hits = matches.select("path", F.col("line").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("end"), F.lit(None).cast("string").alias("name"), F.struct("path", "line", "text").alias("match"))
+    events = begins.unionByName(hits).repartition("path").sortWithinPartitions("path", "at", "kind", "name")
+    schema = T.StructType([T.StructField("match", kept), T.StructField("symbol", T.StringType())])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, open_ = None, []
+        for batch in batches:
+            found, at_rows = [], []
+            for i, (path, at, kind, end, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "at", "kind", "end", "name")), strict=True)):
+                if path is None or path != file:
+                    file, open_ = path, []
+                if kind == 0 and path is not None:
+                    open_.append((end, name))
+                elif kind == 1:
+                    while open_ and open_[-1][0] < at:
+                        open_.pop()
+                    at_rows.append(i)
+                    found.append(open_[-1][1] if open_ else None)
+            yield pa.RecordBatch.from_arrays([batch.column("match").take(pa.array(at_rows, pa.int64())), pa.array(found, pa.string())], names=schema.names)
+
+    return events.mapInArrow(sweep, schema).select("match.*", "symbol")
 
 
 #: A line that defines a name: a keyword of some language before it, or an assignment behind it.

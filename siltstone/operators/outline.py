@@ -107,7 +107,7 @@ def _spans(rows: DataFrame) -> DataFrame:
     solid = solid.withColumns({"_prior": F.last("_solid", True).over(file.rowsBetween(Window.unboundedPreceding, -1)), "_end": F.max(F.when(~F.col("blank"), F.col("line"))).over(Window.partitionBy("path"))})
     begins = solid.where(F.col("span").isin("braces", "indent"))
     level = F.when(F.col("span") == "braces", F.col("before")).otherwise(F.col("indent"))
-    begins = begins.select("path", "span", "line", level.alias("level"), F.when(F.col("span") == "braces", F.col("opened")).otherwise(F.col("line") + 1).alias("at"), F.lit(None).cast("int").alias("stop"), "_end")
+    begins = begins.select("path", "span", "line", level.alias("level"), F.when(F.col("span") == "braces", F.col("opened")).otherwise(F.col("line") + 1).alias("at"), F.lit(None).cast("int").alias("stop"), "_end").where(F.col("at").isNotNull())  # nothing opens: no end
     none = F.array().cast("array<int>")
     closed = F.when(F.col("before") + F.col("open") > F.col("after"), F.sequence(F.col("after").cast("int"), (F.col("before") + F.col("open") - 1).cast("int"))).otherwise(none)
     left = F.when(~F.col("blank") & (F.col("_prior")["indent"] >= F.col("indent")), F.sequence(F.col("indent"), F.col("_prior")["indent"])).otherwise(none)

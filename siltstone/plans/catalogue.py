@@ -773,42 +773,82 @@ def tree_outlines(spark, d):
     return L.tree_with_outlines(_coded(spark, d), O.outline, most=20, glob="src1*").drop("symbols")
 
 
-@query()
-def outline_members(spark, d):
-    return O.members(samples.sources(spark))
+_EXTENSION = "CASE doc_id % 12 WHEN 0 THEN 'ts' WHEN 1 THEN 'py' WHEN 2 THEN 'rs' WHEN 3 THEN 'test.ts' WHEN 4 THEN 'go' WHEN 5 THEN 'c' WHEN 6 THEN 'ts' WHEN 7 THEN 'py' WHEN 8 THEN 'txt' WHEN 9 THEN 'swift' WHEN 10 THEN 'go' ELSE 'rs' END"
 
 
-@query()
-def outline_comments(spark, d):
-    code = samples.sources(spark)
-    return O.leading_comments(code, O.outline(code)).select("path", "name", "line", "comment")
+def _code(spark, d):
+    """Every document as a source file of as many lines: code by its extension, with the document's words in comments and
+    strings."""
+    own = files(spark, d).withColumn("_e", F.expr(_EXTENSION))
+    template = F.create_map(*[x for e, lines_ in samples.CODE.items() for x in (F.lit(e), F.array(*map(F.lit, lines_)))])[F.element_at(F.split("_e", "[.]"), -1)]
+    words = lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z ]", ""))
+    line = lambda x, i: F.replace(F.replace(F.coalesce(F.get(template, F.pmod(i, F.lit(6))), F.lit("~")), F.lit("@"), (i + 1).cast("string")), F.lit("~"), words(x))
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("c"), F.col("doc_id").cast("string"), F.lit("."), F.col("_e")))
+    return own.select(path.alias("path"), F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
 
 
+def _rows(*rows):
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else _text(x) for x in row) + ")" for row in rows)
 
-@query()
+
+# what the templates put into each line, without a look at the text: symbols, their ends, and the lines around
+_CODE_SQL = f"""WITH template(e, r, t) AS (VALUES {_rows(*[(e, r, t) for e, ts in samples.CODE.items() for r, t in enumerate(ts)])}), spec(e, r, kind, letter, ends) AS (VALUES {_rows(*samples.CODE_SYMBOLS)}),
+    docs AS (SELECT source || '/' || lang || '/c' || doc_id || '.' || x AS path, list_extract(string_split(x, '.'), -1) AS e, string_split(text, chr(10)) AS a FROM (SELECT *, {_EXTENSION} AS x FROM documents)),
+    rough AS (SELECT path, e, generate_subscripts(a, 1) AS line, trim(regexp_replace(unnest(a), '[^A-Za-z ]', '', 'g')) AS w FROM docs),
+    every AS (SELECT path, rough.e, line, (line - 1) % 6 AS r, w, replace(replace(coalesce(t, '~'), '@', line::VARCHAR), '~', w) AS text FROM rough LEFT JOIN template ON template.e = rough.e AND template.r = (line - 1) % 6),
+    whole AS (SELECT path, max(line) AS m FROM every GROUP BY path),
+    code AS (SELECT path, e, line, r, w, text, n FROM every JOIN (SELECT path, CASE WHEN m = 1 AND text = '' THEN 0 WHEN text = '' THEN m - 1 ELSE m END AS n FROM whole JOIN every USING (path) WHERE line = m) USING (path) WHERE line <= n),
+    sym AS (SELECT path, code.e AS e, code.r AS r, kind, letter || line AS name, line, CASE WHEN ends >= 0 AND line + ends <= n THEN line + ends WHEN ends = -2 AND n > line THEN least(line + 2, n) END AS end_line, substring(trim(text), 1, 200) AS signature, n FROM code JOIN spec ON spec.e = code.e AND spec.r = code.r)"""
+
+
+@query(f"{_CODE_SQL} SELECT path, kind, name, line, end_line, signature FROM sym")
 def outline_items(spark, d):
-    return O.outline(samples.sources(spark))
+    """Symbols of six languages over the whole table."""
+    return O.outline(_code(spark, d)).drop("language")
 
 
-@query()
+@query(f"""{_CODE_SQL}, owner AS (SELECT path, e, name AS parent, line, end_line, n FROM sym WHERE e IN ('ts', 'py') AND end_line IS NOT NULL)
+    SELECT o.path, parent, CASE WHEN off = 1 THEN 'method' ELSE 'property' END AS kind, CASE WHEN off = 1 THEN 'm' ELSE 'p' END || o.line + off AS name, o.line + off AS line,
+        CASE WHEN o.e = 'ts' AND off = 1 THEN o.line + 1 WHEN o.e = 'py' AND o.n > o.line + 1 THEN o.line + 2 END AS end_line, substring(trim(text), 1, 200) AS signature
+    FROM owner o JOIN (VALUES (1), (2)) AS v(off) ON TRUE JOIN code c ON c.path = o.path AND c.line = o.line + off WHERE off = 1 OR o.e = 'ts'""")
+def outline_members(spark, d):
+    return O.members(_code(spark, d))
+
+
+@query(f"{_CODE_SQL} SELECT s.path, s.name, s.line, CASE WHEN s.r = 1 THEN c.w END AS comment FROM sym s JOIN code c ON c.path = s.path AND c.line = s.line - 1")
+def outline_comments(spark, d):
+    code = _code(spark, d)
+    return O.leading_comments(code, O.outline(code)).select("path", "name", "line", "comment")
+
+
+@query(f"{_CODE_SQL}, i AS (SELECT path, line, replace(t, '@', line::VARCHAR) AS import FROM code JOIN (VALUES {_rows(*samples.CODE_IMPORTS.items())}) AS v(e, t) USING (e) WHERE r = 5) SELECT path, array_to_string(list_slice(list(import ORDER BY line), 1, 200), ',') AS imports FROM i GROUP BY path")
 def outline_imports(spark, d):
-    return O.imports(samples.sources(spark))
+    return O.imports(_code(spark, d)).select("path", F.array_join("imports", ",").alias("imports"))
 
 
-@query()
+@query(f"{_CODE_SQL}, p AS (SELECT min(path) AS path FROM sym WHERE line = 8 AND path GLOB '*.ts') SELECT path, name, line, levenshtein(lower(name), 'c999') AS distance FROM sym JOIN p USING (path) ORDER BY distance, name, line LIMIT 5")
 def symbol_lookup(spark, d):
-    return O.symbol_lookup(O.outline(samples.sources(spark)), "src/box.ts", "Bax")
+    """A name that isn't there: the nearest ones of a file."""
+    symbols = O.outline(_code(spark, d))
+    path = symbols.where((F.col("line") == 8) & F.col("path").endswith(".ts")).agg(F.min("path")).first()[0]
+    return O.symbol_lookup(symbols, path, "C999").select("path", "name", "line", "distance")
 
 
-@query()
+@query(f"""{_CODE_SQL} SELECT c.path, c.line, substring(text, 1, 400) AS text, (SELECT arg_max(name, s.line) FROM sym s WHERE s.path = c.path AND c.line BETWEEN s.line AND s.end_line) AS symbol FROM code c WHERE contains(text, 'th')""")
 def enclosing_symbol(spark, d):
-    code = samples.sources(spark)
-    return G.enclosing_symbols(G.grep(code, "return"), O.outline(code))
+    """Matches of the whole table with the symbol around them."""
+    code = _code(spark, d)
+    return G.enclosing_symbols(G.grep(code, "th"), O.outline(code).where(F.col("end_line").isNotNull()))
 
 
-@query()
+@query(f"""{_CODE_SQL}, span AS (SELECT path, line AS start, least(end_line, coalesce(lead(line) OVER (PARTITION BY path ORDER BY line) - 1, end_line)) AS "end", name FROM sym WHERE end_line IS NOT NULL),
+    b AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY path ORDER BY start), 0) + 1 AS from_ FROM span), t AS (SELECT path, max("end") + 1 AS start FROM span GROUP BY path),
+    n AS (SELECT DISTINCT path, n FROM code), bare AS (SELECT path, n, unnest(CASE WHEN n <= 60 THEN [1] ELSE range(1, CAST(1 + 30 * ceil((n - 40) / 30) AS BIGINT) + 1, 30) END) AS start FROM n WHERE path NOT IN (SELECT path FROM span)),
+    region AS (SELECT path, start, "end", 'symbol' AS kind, name AS symbol FROM span UNION ALL SELECT path, from_, start - 1, 'window', NULL FROM b WHERE from_ < start UNION ALL SELECT path, start, n, 'window', NULL FROM t JOIN n USING (path) WHERE start <= n
+        UNION ALL SELECT path, start, CASE WHEN n <= 60 THEN n ELSE least(start + 39, n) END, CASE WHEN n <= 60 THEN 'file' ELSE 'window' END, NULL FROM bare)
+    SELECT path, start, "end", kind, symbol FROM region WHERE EXISTS (SELECT 1 FROM code c WHERE c.path = region.path AND c.line BETWEEN start AND "end" AND trim(c.text) <> '')""")
 def symbol_chunks(spark, d):
-    code = samples.sources(spark)
+    code = _code(spark, d)
     return R.chunks(code, O.outline(code)).select("path", "start", "end", "kind", "symbol")
 
 

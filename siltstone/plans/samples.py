@@ -18,6 +18,20 @@ SOURCES = {
     "app/View.swift": "import UIKit\n\nclass View {\n  func draw() {\n    return\n  }\n}\n",
     "lib/empty.rb": "class Thing\nend\n",
 }
+#: Six lines of code by extension, which code of any length repeats; ``@`` is the line's number, ``~`` words of a document.
+CODE = {
+    "ts": ["// ~", "export class C@ {", "  m@(x) { return '{' } // ~", "  p@: string; // ~", "}", "import { a } from './w@'"],
+    "py": ["# ~", "class C@:", "    def m@(self): # ~", "        return '~'", "", "from mod@ import a"],
+    "go": ["// ~", "type C@ struct {", "    x int // ~", "}", "func F@() { return } // ~", 'import "pkg/w@"'],
+    "rs": ["// ~", "pub struct S@(u8);", "pub fn f@(a: u8) -> u8 {", "    a // ~", "}", "use std::w@;"],
+    "c": ["/* ~ */", "#define M@ 10", "int g@(int x)", "{ // ~", "}", "#include <h@.h>"],
+    "swift": ["// ~", "class K@ {", "  func d@() { return } // ~", "}", "protocol P@ {}", "import W@"],
+}
+#: Symbols of these lines: extension, line, kind, letter of the name, lines to the end (-1: none; -2: as indentation has it).
+CODE_SYMBOLS = [("ts", 1, "class", "C", 3), ("py", 1, "class", "C", -2), ("go", 1, "class", "C", 2), ("go", 4, "function", "F", 0), ("rs", 1, "class", "S", -1), ("rs", 2, "function", "f", 2)]
+CODE_SYMBOLS += [("c", 1, "define", "M", -1), ("c", 2, "function", "g", 2), ("swift", 1, "class", "K", 2), ("swift", 2, "function", "d", 0), ("swift", 4, "interface", "P", 0)]
+#: What the sixth line imports.
+CODE_IMPORTS = {"ts": "./w@", "py": "mod@", "go": "pkg/w@", "rs": "std::w@", "c": "h@.h", "swift": "W@"}
 AGENTS = [
     (None, None, ""), ("curl/8.1", "v1.2", "?key=abc&q=1"), ("Mozilla/5.0 (X11)", "main", "?q=2"), ("Mozilla/5.0 GPTBot/1.0", "0123456789abcdef0123456789abcdef01234567", ""), ("python-requests/2", "1.0.0", "?token=x"),
     ("SomeScraper/1", "feature/x", "?q=" + "z" * 200), ("PerplexityBot", "", ""), ("Something", "v2", ""), ("Googlebot/2.1", "2.5", ""),

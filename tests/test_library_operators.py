@@ -445,3 +445,38 @@ def test_nearest_over_blocks(spark, monkeypatch):
     blocks = vectors.vector_blocks(rows, ["id", "part"])
     assert {(a, b, c, d) for a, b, c, d in map(tuple, vectors.nearest(blocks, queries, 9).collect())} == want
     assert blocks.count() >= 120 // 7 and vectors.nearest(blocks.limit(0), queries, 3).count() == 0
+
+
+def test_enclosing_symbols_of_nested_and_crossing_spans(spark):
+    import random
+
+    r = random.Random(8)
+    symbols = [(f"f{i % 3}", f"s{i:02d}", r.randint(1, 30), None) for i in range(40)]
+    symbols = [(p, n, line, None if r.random() < 0.1 else line + r.randint(0, 12)) for p, n, line, _ in symbols] + [(None, "none", 1, 40)]
+    matches = [(f"f{i % 4}", r.randint(1, 45), f"t{i}") for i in range(120)] + [(None, 3, "x")]
+    got = grep.enclosing_symbols(spark.createDataFrame(matches, "path string, line int, text string"), spark.createDataFrame(symbols, "path string, name string, line int, end_line int"))
+    want = []
+    for path, line, t in matches:
+        around = [(s, n) for p, n, s, e in symbols if path is not None and p == path and s <= line <= (e or 2**31)]
+        want.append((path, line, t, max(around)[1] if around else None))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_quantiles_against_percentile(spark):
+    import random
+
+    r = random.Random(9)
+    rows = [(r.choice(["a", "b", None]), r.choice([0.0, 5.0, -3.0, None, r.expovariate(0.01), 1e12 * r.random()]), r.randint(0, 3)) for _ in range(700)]
+    rows += [("c", 7.5, 4), ("d", None, 1), ("e", 2.0, 0)] + [("hot", 42.0, 1)] * 500 + [("hot", 1.0, 1), ("hot", 99.0, 1)]
+    log = spark.createDataFrame(rows, "k string, duration_ms double, weight long")
+    shares = (0.0, 0.1, 0.5, 0.95, 1.0)
+    exact = [F.expr(f"percentile(duration_ms, {q}, weight)").alias(f"p{round(q * 100)}") for q in shares]
+    for keys in (["k"], []):
+        groups = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        got = metrics.with_quantiles(groups, log, keys, *shares)
+        want = log.where("weight > 0").groupBy(*keys).agg(*exact)
+        names = [*keys, *[f"p{round(q * 100)}" for q in shares]]
+        cell = lambda x: round(x, 6) if isinstance(x, float) else x
+        have = {tuple(map(cell, row)) for row in values(got, *names)}
+        assert have >= {tuple(map(cell, row)) for row in values(want, *names)} and got.count() == groups.count()
+        assert "percentile" not in got._jdf.queryExecution().toString()
