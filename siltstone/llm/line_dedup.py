@@ -19,6 +19,8 @@ from siltstone.llm.storage import written
 
 BLANK = b" \t\n\x0b\x0c\r"
 KEYS_A_SHARD = 1 << 18
+#: Lines that one shard is asked about, about: 28 bytes each, in one Python worker.
+LINES_A_SHARD = 1 << 20
 SHARD_SCHEMA = "shard long, n long, sizes binary, bits binary, rest binary, fingerprints binary, counts binary"
 
 
@@ -80,7 +82,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col
     behind it the other half as fingerprint and the count. The arrays are sent to the workers if they have
     at most ``max_broadcast`` bytes. Beyond that, lines are sent to the shards instead (28 bytes a line), in one
     pass whatever their number; but for the most frequent keys, whose arrays still go to all workers, so that no
-    shard gets more than its share.
+    shard gets more than its share: there are as many shards as both the keys and the lines ask for.
     """
     counts = written(line_counts(docs, text_col, min_chars).where(F.col("n") >= min(2, min_docs)), "line-counts")
     size = counts.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
@@ -96,6 +98,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col
         sent = spark.sparkContext.broadcast((n_shards, [r.asDict() for r in shards.collect()]))
         return _cut(rows, text_col, None, min_docs, min_chars, sent)
     rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "line-rows")
+    whole = F.coalesce(quoted([text_col])[0], F.lit(""))
+    n_lines = rows.agg(F.coalesce(F.sum(1 + F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit("")))), F.lit(0))).first()[0]
+    if (asked_shards := -(-n_lines // LINES_A_SHARD)) > n_shards:
+        n_shards = asked_shards
+        shards = written(shard_table(counts, n_shards), "line-shards")
     # at most HOT_KEYS keys have so many rows
     hot = shard_table(counts.where(F.col("n") >= max(min_docs, size["rows"] // HOT_KEYS)), 1)
     sent = spark.sparkContext.broadcast((1, [r.asDict() for r in hot.collect()]))
