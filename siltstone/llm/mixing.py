@@ -16,6 +16,8 @@ from siltstone.llm.storage import written
 HALVINGS, PASSES = 4, 8
 #: A source is dealt into blocks of about so many tokens, and into so many blocks at most.
 BLOCK_TOKENS, MOST_BLOCKS = 1 << 18, 1 << 16
+#: Rows of the plan that every worker may get.
+SENT_SOURCES = 50_000
 
 
 @dataclass(frozen=True)
@@ -98,6 +100,19 @@ def mixing_weights(docs: DataFrame, target: Target, budget: int | None, source_c
 RESULTS = ("source", "n_tokens", "weight", "copy", "block", "block_rank", "shuffle_key")
 
 
+def _planned(rows: DataFrame, parts: DataFrame, n_sources: int) -> DataFrame:
+    """Rows with their source's part of the plan. The plan goes to every worker; beyond ``SENT_SOURCES`` sources that of the
+    largest ones does, and only rows of the others meet it by source."""
+    on = F.col("source").eqNullSafe(F.col("_s"))
+    if n_sources <= SENT_SOURCES:
+        return rows.join(F.broadcast(parts), on).drop("_s")
+    large = parts.orderBy(F.desc("_n"), "_s").limit(SENT_SOURCES)
+    marked = rows.join(F.broadcast(large), on, "left")
+    known = F.col("_n").isNotNull()
+    rest = marked.where(~known).select(*rows.columns).join(parts, on)
+    return marked.where(known).unionByName(rest).drop("_s")
+
+
 def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, id_col: str = "doc_id", source_col: str = "source", tokens_col: str = "n_tokens", seed: int = 1, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``(id, source, n_tokens, weight, copy, block, block_rank, shuffle_key)``: a row for each time a document comes, with
     the other columns of ``docs`` behind them.
@@ -119,7 +134,7 @@ def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, i
     plan = written(mixing_weights(rows, target, budget, "source", "n_tokens"), "mix-plan")
     n_blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("tokens") / block_tokens))
     parts = plan.select(F.col("source").alias("_s"), "weight", "passes", "rest", n_blocks.alias("_n"))
-    dealt = rows.join(parts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    dealt = _planned(rows, parts, plan.count())
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.col("_n"))).drop("_n")
 
     blocks = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("_tokens"), F.first("passes").alias("_pass"), F.first("rest").alias("_rest"))
