@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import kernels
-from siltstone.llm.components import components
+from siltstone.llm.columns import quoted
+from siltstone.llm.components import components, hot_values, looked_up
+from siltstone.llm.ids import are_numbers, id_numbers, with_numbers
 from siltstone.llm.repeats import repeat_filter
 from siltstone.llm.storage import text_size, written
 
@@ -374,9 +376,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, numerator: int = 80, denomin
 
     Null and empty texts have 0 shingles and link with nothing. Rows of equal id are taken as one document:
     what one links with, all do. A row of null id has its shingles counted and a null component. Other columns
-    are not read. An empty table gives an empty table. Words and shingles are compared by 64-bit hashes.
+    are not read. An empty table gives an empty table. Words and shingles are compared by 64-bit hashes. Ids may be of any
+    type that has an order; those that aren't integers are numbered in that order first.
     """
     spark = docs.sparkSession
+    if not are_numbers(docs, id_col):
+        numbers = id_numbers(docs, id_col)
+        given = docs.select(quoted([id_col])[0].alias("id"), quoted([text_col])[0].alias("text"))
+        found = jaccard_components(with_numbers(given, numbers), n, numerator, denominator, "number", "text")
+        named = found.join(numbers, "number", "left").select("id", "n_shingles", F.col("component_id").alias("number"))
+        placed = looked_up(named, numbers.select("number", F.col("id").alias("component_id")), "number", hot_values(named, "number"))
+        return placed.select(F.col("id").alias(id_col), "n_shingles", "component_id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     n_rows, n_bytes = text_size(rows)
     least_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))

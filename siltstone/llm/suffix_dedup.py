@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import kernels
+from siltstone.llm.columns import quoted
+from siltstone.llm.ids import are_numbers, id_numbers, with_numbers
 from siltstone.llm.repeats import DEALT, RepeatFilter, blob_batch, dealt, read_blobs, repeat_filter
 from siltstone.llm.storage import text_size, written
 
@@ -256,14 +258,17 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     ``start, end``), ``kept`` the remaining bytes; removal can cut a character, so they are binary. Null and
     empty texts and those under ``length`` bytes are kept whole. A null id counts as larger than all others.
     Rows of equal id do not count against each other, whether their texts are equal or not. An empty table
-    gives an empty table; other columns are not read. ``length`` is at least 64.
+    gives an empty table; other columns are not read. ``length`` is at least 64. Ids may be of any type that has an
+    order; those that aren't integers are numbered in that order first.
     """
     if length < 64:
         raise ValueError("length must be at least 64 bytes")
     spark = docs.sparkSession
-    own_id, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    given = docs.select(quoted([id_col])[0].alias("id"), quoted([text_col])[0].alias("text"))
+    given = given.withColumn("number", F.col("id").cast("long")) if are_numbers(docs, id_col) else with_numbers(given, id_numbers(docs, id_col))
+    own_id, text = F.coalesce("number", F.lit(LAST_ID)), F.coalesce(F.col("text").cast("string"), F.lit(""))
     # A number of its own for each row, fixed by the table that it is written to; ids may be null or repeated.
-    texts = docs.select(F.col(id_col).alias("_id"), own_id.alias("_doc"), F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
+    texts = given.select(F.col("id").alias("_id"), own_id.alias("_doc"), F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
     texts = written(texts, "suffix-texts")
     _, n_bytes = text_size(texts, "_text")
     expected = max(1, n_bytes * 2 // (length - GRAM + 2))

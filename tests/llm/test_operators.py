@@ -74,6 +74,43 @@ def test_key_tiles_let_all_pairs_of_components_meet(spark, monkeypatch, size):
         assert len(tiles) == 2
 
 
+def test_ids_of_any_type(spark):
+    data = [(f"k{r[0]:03d}" if r[0] is not None else None, r[1]) for r in H.edge_texts() + [(None, "one")]]
+    docs = spark.createDataFrame(data, "key string, body string")
+    number = {k: i for i, k in enumerate(sorted(d for d, _ in data if d is not None))}
+    name = {i: k for k, i in number.items()}
+    got = jaccard_components(docs, n=3, numerator=90, denominator=100, id_col="key", text_col="body")
+    want = [(name[d], n, name[c]) for d, n, c in H.jaccard([(number[d], t) for d, t in data if d is not None], 3, 90, 100)]
+    assert rows(got.where("key IS NOT NULL"), "key", "n_shingles", "component_id") == sorted(want, key=repr)
+    assert rows(got.where("key IS NULL"), "n_shingles", "component_id") == [(1, None)]
+    removed = suffix_dedup(docs, length=100, id_col="key", text_col="body")
+    plain = suffix_dedup(spark.createDataFrame([(number.get(d), t) for d, t in data], "doc_id long, text string"), length=100)
+    assert rows(removed, "key", "n_removed", "kept") == sorted(((name.get(r.doc_id), r.n_removed, r.kept) for r in plain.collect()), key=repr)
+
+
+def test_components_with_hot_centres(spark, monkeypatch):
+    monkeypatch.setattr("siltstone.llm.components.HOT_ROWS", 5)
+    monkeypatch.setattr("siltstone.llm.components.HOT_VALUES", 10**6)
+    links = [(7, i) for i in range(10, 60)] + [(59, 3), (100, 101), (101, 102), (5, 6)] + [(i, i + 1) for i in range(200, 230)]
+    got = components(spark.createDataFrame(links, "a long, b long"))
+    want = {n: 3 for n in (3, 7, *range(10, 60))} | {n: 100 for n in (100, 101, 102)} | {5: 5, 6: 5} | {n: 200 for n in range(200, 231)}
+    assert {r.node: r.component for r in got.collect()} == want
+
+
+def test_line_shards_are_bounded_by_the_lines_asked(spark, monkeypatch):
+    from siltstone.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "LINES_A_SHARD", 100)
+    asked = []
+    plain = module._asked
+    monkeypatch.setattr(module, "_asked", lambda *args: asked.append(plain(*args)) or asked[-1])
+    data = [(i, "\n".join([f"own line {i} {k}" for k in range(200)] + ["a line of many", f"a line of few {i % 9}"])) for i in range(30)]
+    got = line_dedup(H.frame(spark, data), min_docs=3, max_broadcast=1)
+    assert rows(got, "doc_id", "n_lines", "n_dropped", "text") == H.line_drop(data, 3)
+    sizes = [r.n // 28 for r in asked[0].groupBy("shard").agg(F.sum(F.length("lines")).alias("n")).collect()]
+    assert sum(sizes) >= 6000 and max(sizes) < 200
+
+
 def test_jaccard_edges(spark):
     data = [(1, "a b c d"), (1, "p q r s"), (2, "a b c d"), (3, "p q r s"), (None, "a b c d"), (4, None)]
     got = rows(jaccard_components(H.frame(spark, data), n=2, numerator=90), "doc_id", "n_shingles", "component_id")
@@ -370,6 +407,15 @@ def test_mixing_weights_do_not_depend_on_the_order_of_rows(spark):
     assert plans[0] == plans[1] == plans[2] and len(plans[0]) == 97
 
 
+@pytest.mark.parametrize("sent", [0, 1])
+def test_mix_with_more_sources_than_are_sent(spark, monkeypatch, sent):
+    data = [(i, None if i % 7 == 0 else f"s{i % 4}", 1 + i % 5) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, n_tokens long")
+    want = rows(mix(docs, Target(entropy=0.9, repeats=3.0), block_tokens=8), "doc_id", "source", "copy", "block", "shuffle_key")
+    monkeypatch.setattr("siltstone.llm.mixing.SENT_SOURCES", sent)
+    assert rows(mix(docs, Target(entropy=0.9, repeats=3.0), block_tokens=8), "doc_id", "source", "copy", "block", "shuffle_key") == want
+
+
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_mix_is_whole_passes_and_a_part(spark, block):
     data = [(i, "big" if i < 600 else "small" if i < 650 else None, 5 + i % 7) for i in range(700)] + [(800, "small", 0), (801, "small", None)]
