@@ -28,7 +28,9 @@ from siltstone.plans import samples
 from siltstone.plans.fixtures import FILES_SQL, REQUESTS_SQL, files, files_of, requests, table
 from siltstone.streaming import metrics as K
 from siltstone.sources.storage import new_folder, spread
+from siltstone.streaming.eviction import evictions
 from siltstone.streaming.throttle import throttled
+from siltstone.streaming.timers import with_state_on_disk
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1069,9 +1071,26 @@ def stream_late(spark, d):
     return K.replayed(K.windowed(K.event_stream(spark, d), "1 hour"), "append")
 
 
-@query()
+# a key's requests one after the other; those that the watermark hasn't passed are not decided yet
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events WHERE epoch_us(ts) <= (SELECT epoch_us(max(ts)) FROM events) - 600000000),
+    r(user_id, ts, n, allowed, retry_after, recent) AS (
+        SELECT user_id, ts, n, TRUE, CAST(0 AS DOUBLE), [t] FROM e WHERE n = 1
+        UNION ALL
+        SELECT user_id, ts, n, len(live) < 2, CASE WHEN len(live) < 2 THEN 0 ELSE (live[1] + 3600000000 - t) / 1e6 END, CASE WHEN len(live) < 2 THEN list_append(live, t) ELSE live END
+        FROM (SELECT e.*, list_filter(recent, lambda x: x > e.t - 3600000000) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT user_id, ts, allowed, retry_after FROM r""")
 def stream_throttle(spark, d):
-    return K.replayed(throttled(K.event_stream(spark, d), "user_id", seconds=3600, limit=2), "append")
+    """Requests that the watermark has passed, in order of event time, with state by timers."""
+    run = lambda: K.replayed(throttled(K.event_stream(spark, d), "user_id", seconds=3600, limit=2), "append")
+    return with_state_on_disk(spark, run).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM events)
+    SELECT user_id, ts AS last_access FROM e WHERE (next IS NULL OR next >= ts + INTERVAL 2 DAYS) AND ts + INTERVAL 2 DAYS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+def stream_evictions(spark, d):
+    """What wasn't used for two days, each time, as timers tell."""
+    run = lambda: K.replayed(evictions(K.event_stream(spark, d), "user_id", days=2), "append")
+    return with_state_on_disk(spark, run).withColumn("last_access", F.col("last_access").cast("timestamp_ntz"))
 
 
 _SPAN, _ENDS, _CODE = (x.replace("'", "''") for x in (V.QUOTED_SPAN, V.TOKEN_ENDS, "|".join(V.CODE_SHAPES)))

@@ -1,41 +1,67 @@
-"""A sliding throttle as arbitrary state: at most so many requests of a key in the last seconds."""
+"""A sliding throttle over a stream: at most so many requests of a key in the last seconds."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from siltstone.streaming.timers import in_order
 
-def throttled(requests: DataFrame, key: str, time: str = "ts", seconds: int = 60, limit: int = 60, delay: str = "10 minutes") -> DataFrame:
-    """``(key, ts, allowed, retry_after)`` for each request. A refused request doesn't count.
 
-    State is the times of a key's last allowed requests, ``limit`` at most, and goes once the watermark has
-    left the window. Rows of one batch are taken in order of time.
-    """
+class _Throttle(StatefulProcessor):
+    """Keeps requests until the watermark has passed them, so that they are decided in order of time, in whatever order they
+    came. State is one entry for each millisecond with requests to come, and the last allowed times, ``limit`` at most."""
+
+    def __init__(self, seconds: int, limit: int):
+        self.micros, self.limit = seconds * 1_000_000, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "micros array<long>")
+        self.recent = handle.getValueState("recent", "micros array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for row in rows:
+            due = -(-row.micros // 1000)
+            waiting = self.waiting.getValue((due,)) if self.waiting.containsKey((due,)) else None
+            if waiting is None:
+                self.handle.registerTimer(due)
+            self.waiting.updateValue((due,), ([*(waiting[0] if waiting else []), row.micros],))
+        return iter([])
 
-    def decide(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.waiting.containsKey((due,)):  # the key's last window has gone by
+            recent = [x for x in self.recent.get()[0] if x > due * 1000 - self.micros] if self.recent.exists() else []
+            if not recent:
+                self.recent.clear()
             return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(time)
-        allowed, wait = [], []
-        for t in rows[time].astype("int64") // 1000:
-            micros = int(t)
-            recent = [x for x in recent if x > micros - seconds * 1_000_000]
-            ok = len(recent) < limit
-            allowed.append(ok)
-            wait.append(0.0 if ok else (recent[0] + seconds * 1_000_000 - micros) / 1e6)
-            if ok:
+        recent = list(self.recent.get()[0]) if self.recent.exists() else []
+        for micros in sorted(self.waiting.getValue((due,))[0]):
+            recent = [x for x in recent if x > micros - self.micros]
+            allowed = len(recent) < self.limit
+            wait = 0.0 if allowed else (recent[0] + self.micros - micros) / 1e6
+            if allowed:
                 recent.append(micros)
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(recent[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [k[0]] * len(rows), "ts": rows[time].to_numpy(), "allowed": allowed, "retry_after": wait})
+            yield Row(key=key[0], micros=micros, allowed=allowed, retry_after=wait)
+        self.waiting.removeKey((due,))
+        self.recent.update((recent,))
+        self.handle.registerTimer(-(-(recent[-1] + self.micros) // 1000) + 1)
 
+    def close(self) -> None:
+        pass
+
+
+def throttled(requests: DataFrame, key: str, time: str = "ts", seconds: int = 60, limit: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """``(key, ts, allowed, retry_after)`` for each request that the watermark has passed. A refused request doesn't count.
+
+    Requests of a key are decided by a timer for each millisecond of the event time, one after the other; rows of a key
+    are never held together. ``limit`` is 1 or more. Requests later than ``delay`` are dropped, as by any watermark.
+    """
     kind = requests.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, ts timestamp, allowed boolean, retry_after double"
-    own = requests.withWatermark(time, delay).select(key, time)
-    return own.groupBy(key).applyInPandasWithState(decide, out, "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    own = requests.withWatermark(time, delay).select(F.col(key).alias("key"), F.col(time).alias("ts"), F.unix_micros(time).alias("micros"))
+    out = in_order(own, _Throttle(seconds, limit), f"key {kind}, micros long, allowed boolean, retry_after double")
+    return out.select(F.col("key").alias(key), F.timestamp_micros("micros").alias("ts"), "allowed", "retry_after")
