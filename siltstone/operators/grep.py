@@ -24,11 +24,12 @@ def _candidates(files: DataFrame, needle: str, regex: bool, word: bool, ignore_c
     return files.where(F.contains(F.lower("text"), F.lit(needle.lower())) if ignore_case else F.contains("text", F.lit(needle)))
 
 
-def grep(files: DataFrame, needle: str, *, regex: bool = False, word: bool = False, ignore_case: bool = False, glob: str | None = None, scope: str | None = None, exclude: tuple[str, ...] = (), context: int = 0, limit: int | None = None, max_text: int | None = MAX_TEXT) -> DataFrame:
+def grep(files: DataFrame, needle: str, *, regex: bool = False, word: bool = False, ignore_case: bool = False, glob: str | None = None, scope: str | None = None, exclude: tuple[str, ...] = (), context: int = 0, limit: int | None = None, max_text: int | None = MAX_TEXT, ordered: bool = True) -> DataFrame:
     """``(path, line, text)`` of matching lines, and with ``context`` the lines around as ``before, after``.
 
     Texts are cut to ``max_text`` characters for display; None keeps them whole, for what judges them.
-    Order is by path and line. ``limit`` keeps the first matches in that order, as a bounded top-k.
+    Order is by path and line. ``limit`` keeps the first matches in that order, as a bounded top-k; with ``ordered`` false
+    any matches, and reading ends once there are enough.
     """
     own = _candidates(scoped(files, glob, scope, exclude), needle, regex, word, ignore_case)
     split = own.select("path", lines(F.col("text")).alias("_all"))
@@ -49,7 +50,9 @@ def grep(files: DataFrame, needle: str, *, regex: bool = False, word: bool = Fal
     else:
         each = split.select("path", F.posexplode("_all").alias("pos", "text"))
         found = each.where(test(F.col("text"))).select("path", (F.col("pos") + 1).alias("line"), cut(F.col("text")).alias("text"))
-    return found.orderBy("path", "line").limit(clamped(limit)) if limit is not None else found
+    if limit is None:
+        return found
+    return (found.orderBy("path", "line") if ordered else found).limit(clamped(limit))
 
 
 def clamped(limit: int) -> int:

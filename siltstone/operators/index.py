@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,15 +208,18 @@ def kept_index(spark: SparkSession, table: str, build: Callable[[DataFrame], Dat
     return read_index(spark, path)
 
 
-def bm25(index: LexicalIndex, query: list[str], keys: list[str] | None = None) -> DataFrame:
+def bm25(index: LexicalIndex, query: list[str], keys: list[str] | None = None, only: Column | None = None) -> DataFrame:
     """``(id, *keys, score)`` of chunks with a query term. A chunk's length is its number of distinct terms.
 
-    Only the query's postings are read; their number by term is collected, one row a term.
+    Only the query's postings are read; their number by term is collected, one row a term. ``only`` is a condition on
+    the keys that stand with the postings (a path's prefix, code or documents): chunks outside aren't scored, but a
+    term is as rare as in the whole index.
     """
     hits = index.postings.where(F.col("term").isin(sorted(set(query))))
     idf = F.lit(0.0)
     for r in document_frequencies(hits).collect():
         idf = F.when(F.col("term") == r["term"], math.log(1 + (index.n_chunks - r["df"] + 0.5) / (r["df"] + 0.5))).otherwise(idf)
+    hits = hits if only is None else hits.where(only)
     norm = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / index.mean_terms)
     part = idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("id", *(keys or [])).agg(F.round(F.sum(part), 6).alias("score"))

@@ -171,25 +171,53 @@ def best_candidates(rows: DataFrame, most: int = 255) -> DataFrame:
     return rows.orderBy("priority", "ord").limit(most).orderBy("ord")
 
 
-def beam(entries: DataFrame, scorer: Scorer, width: int = 4, least: float = 0.06, levels: int = 8, keep: int = 10) -> DataFrame:
-    """Files by joint probability down the directory tree, following the best few directories of each level.
+def prefix_table(files: DataFrame) -> DataFrame:
+    """``(parent, name, path, kind, n)``: every entry of every directory, with the number of files in it or below."""
+    parts = F.split("path", "/")
+    entry = lambda i: F.struct(F.array_join(F.slice(parts, 1, i - 1), "/").alias("parent"), F.get(parts, i - 1).alias("name"), F.array_join(F.slice(parts, 1, i), "/").alias("path"), F.when(i == F.size(parts), "file").otherwise("dir").alias("kind"))
+    each = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), entry)).alias("e")).select("e.*")
+    return each.groupBy("parent", "name", "path", "kind").agg(F.count(F.lit(1)).alias("n"))
 
-    ``entries`` has ``parent, name, path, kind``. Depth is bounded, and each level keeps ``width`` rows.
+
+# fixed values: paths that are judged at once, options of a choice, beam: entries taken of a directory, their least
+# probability, directories kept open, levels, and files kept
+SINGLE_PASS, MOST_OPTIONS, BEAM_WIDTH, BEAM_LEAST, BEAM_OPEN, BEAM_LEVELS, PATHS_KEPT = 220, 255, 4, 0.06, 6, 8, 10
+
+
+def beam(entries: DataFrame, scorer: Scorer, width: int = BEAM_WIDTH, least: float = BEAM_LEAST, kept_open: int = BEAM_OPEN, levels: int = BEAM_LEVELS, keep: int = PATHS_KEPT, options: int = MOST_OPTIONS) -> DataFrame:
+    """``(path, joint)``: files by joint probability down the directory tree.
+
+    ``entries`` has ``parent, name, path, kind``. At each level the entries of every open directory are a choice of their own
+    (directories first, ``options`` at most); the best ``width`` of each go on that have at least the probability
+    ``least`` there, and the ``kept_open`` best directories of all stay open. A level is one job, which gives the
+    driver ``width * kept_open`` rows at most; ties go by order of the listing, then by path.
     """
-    scored = choice(entries.withColumn("logit", scorer(F.col("path"))), ["parent"]).select("parent", "path", "kind", "p")
-    open_ = entries.sparkSession.createDataFrame([("", 1.0)], "path string, joint double")
-    found = None
+    spark, open_, leaves = entries.sparkSession, [("", 1.0)], []
     for _ in range(levels):
-        up = open_.select(F.col("path").alias("parent"), F.col("joint").alias("_j"))
-        level = scored.join(F.broadcast(up), "parent").select("path", "kind", (F.col("p") * F.col("_j")).alias("joint"))
-        files = level.where("kind = 'file'").select("path", "joint").orderBy(F.desc("joint"), "path").limit(keep)
-        found = files if found is None else found.unionByName(files).orderBy(F.desc("joint"), "path").limit(keep)
-        dirs = level.where((F.col("kind") == "dir") & (F.col("joint") >= least)).select("path", "joint").orderBy(F.desc("joint"), "path").limit(width)
-        rows = dirs.collect()  # width rows at most
-        if not rows:
+        up = spark.createDataFrame(open_, "parent string, _joint double")
+        own = entries.join(F.broadcast(up), "parent")
+        listed = own.withColumn("_n", F.row_number().over(Window.partitionBy("parent").orderBy("kind", "name"))).where(F.col("_n") <= options)
+        judged_ = choice(listed.withColumn("logit", scorer(F.col("path"))), ["parent"])
+        place = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("p"), "_n"))
+        taken = judged_.withColumn("_r", place).where((F.col("_r") <= width) & (F.col("p") >= least))
+        rows = taken.select("path", "kind", (F.col("_joint") * F.col("p")).alias("joint")).collect()
+        leaves += [(r["path"], r["joint"]) for r in rows if r["kind"] == "file"]
+        open_ = sorted(((r["path"], r["joint"]) for r in rows if r["kind"] == "dir"), key=lambda d: (-d[1], d[0]))[:kept_open]
+        if not open_:
             break
-        open_ = entries.sparkSession.createDataFrame(rows, "path string, joint double")
-    return found
+    best = sorted(leaves, key=lambda f: (-f[1], f[0]))[:keep]
+    return spark.createDataFrame(best, "path string, joint double")
+
+
+def path_stage(files: DataFrame, scorer: Scorer, single_pass: int = SINGLE_PASS, keep: int = PATHS_KEPT) -> DataFrame:
+    """``(path, joint)``: the files whose paths answer best. Up to ``single_pass`` paths are one choice; more are searched by
+    ``beam``. The prefix table tells which, before a path is judged."""
+    table = prefix_table(files)
+    total = table.where("parent = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total > single_pass:
+        return beam(table, scorer, keep=keep)
+    one = files.select("path", F.lit(1).alias("_q"), scorer(F.col("path")).alias("logit"))
+    return choice(one, ["_q"]).select("path", F.col("p").alias("joint")).orderBy(F.desc("joint"), "path").limit(keep)
 
 
 def term_overlap(text: Column, question: list[str]) -> Column:

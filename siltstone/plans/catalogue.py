@@ -529,6 +529,13 @@ def rrf_fusion(spark, d):
     return _rrf(spark, d)
 
 
+@query(f"{_BM25} SELECT id, score FROM bm WHERE starts_with(path, 'src1') AND NOT regexp_matches(path, '[.](md|txt)$') ORDER BY score DESC, id LIMIT 20")
+def bm25_scoped(spark, d):
+    """Code below a prefix only; terms are as rare as everywhere."""
+    only = F.col("path").startswith("src1") & ~P.is_docs(F.col("path"))
+    return R.top_k(I.bm25(_index(spark, d), _QUERY, _KEYS, only).select("id", "score"), 20)
+
+
 @query(f"{_BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
 def bm25_segments(spark, d):
     """The table in three part files, each indexed into a segment of its own: the same scores."""
@@ -722,11 +729,31 @@ def verify_lines(spark, d):
     return J.verify(G.grep(files(spark, d), "icense", max_text=None), "licensed under the apache license").select("path", "line", "support", "verdict")
 
 
-@query()
+def _beam_sql(levels):
+    """The levels one after the other, as many as the paths have."""
+    out = [f"entry AS (SELECT DISTINCT array_to_string(list_slice(s, 1, i - 1), '/') AS parent, s[i] AS name, array_to_string(list_slice(s, 1, i), '/') AS path, CASE WHEN i = len(s) THEN 'file' ELSE 'dir' END AS kind FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT string_split(path, '/') AS s FROM files_v)))",
+        "open0 AS (SELECT '' AS path, CAST(1 AS DOUBLE) AS joint)"]
+    for k in range(1, levels + 1):
+        out.append(f"list{k} AS (SELECT e.*, o.joint, row_number() OVER (PARTITION BY e.parent ORDER BY e.kind, e.name) AS n FROM entry e JOIN open{k - 1} o ON e.parent = o.path)")
+        out.append(f"soft{k} AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY parent)) AS x FROM (SELECT *, {_words_sql('path', 'src1', '.md')} AS logit FROM list{k} WHERE n <= 255))")
+        out.append(f"p{k} AS (SELECT *, x / sum(x) OVER (PARTITION BY parent) AS p FROM soft{k})")
+        out.append(f"take{k} AS (SELECT path, kind, joint * p AS joint FROM p{k} WHERE p >= 0.06 QUALIFY row_number() OVER (PARTITION BY parent ORDER BY p DESC, n) <= 4)")
+        out.append(f"open{k} AS (SELECT path, joint FROM take{k} WHERE kind = 'dir' ORDER BY joint DESC, path LIMIT 6)")
+    leaves = " UNION ALL ".join(f"SELECT path, joint FROM take{k} WHERE kind = 'file'" for k in range(1, levels + 1))
+    return ", ".join([*out, f"beam AS (SELECT path, round(joint, 9) AS joint FROM ({leaves}) ORDER BY {{}}.joint DESC, path LIMIT 10)".replace("{}.", "")])
+
+
+@query(f"{_FILES}, {_beam_sql(4)} SELECT * FROM beam")
 def beam_search(spark, d):
-    found = S.find(files(spark, d))
-    entries = found.select(P.parent(F.col("path")).alias("parent"), F.substring_index("path", "/", -1).alias("name"), "path", F.when(F.col("kind") == "f", "file").otherwise("dir").alias("kind"))
-    return J.beam(entries, J.word_scorer("src1 md"), least=0.0)
+    return J.beam(J.prefix_table(files(spark, d)), J.word_scorer("src1 .md")).withColumn("joint", F.round("joint", 9))
+
+
+@query(f"""{_FILES}, {_beam_sql(4)}, flat AS (SELECT path, exp(logit - max(logit) OVER ()) AS x FROM (SELECT path, {_words_sql('path', 'src1', '.md')} AS logit FROM files_v)),
+    one AS (SELECT path, round(x / sum(x) OVER (), 9) AS joint FROM flat ORDER BY x DESC, path LIMIT 10), total AS (SELECT count(*) AS n FROM files_v)
+    SELECT * FROM one WHERE (SELECT n FROM total) <= 220 UNION ALL SELECT * FROM beam WHERE (SELECT n FROM total) > 220""")
+def path_stage(spark, d):
+    """One choice over a small snapshot's paths, the beam over a large one's."""
+    return J.path_stage(files(spark, d), J.word_scorer("src1 .md")).withColumn("joint", F.round("joint", 9))
 
 
 @query(f"""{_FILES}, l AS (SELECT path, {_words_sql('text', 'license', 'copyright', 'reserved')} AS a, {_words_sql('text', 'then', 'that', 'with')} AS b FROM files_v)

@@ -101,6 +101,20 @@ def as_json_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
+def as_pretty_json(rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+
+
+def as_markdown(rows: DataFrame, title: str = "") -> DataFrame:
+    """``(ord, value)``: a heading, a table's head and a line for each row; marks that would end a cell are escaped. ``ord``
+    puts the head first, rows follow in any order."""
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([|\\\\])", r"\\\\$1"), r"\r?\n", "<br>")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(f"`{c}`") for c in rows.columns]), F.lit(" |"))
+    head = [f"# {title}", ""] * bool(title) + [f"| {' | '.join(rows.columns)} |", "|" + " --- |" * len(rows.columns)]
+    top = rows.sparkSession.createDataFrame(list(enumerate(head)), "ord int, value string")
+    return top.unionByName(rows.select(F.lit(len(head)).alias("ord"), line.alias("value")))
+
+
 def as_text(matches: DataFrame) -> DataFrame:
     """``path:line:text``."""
     return matches.select(F.concat_ws(":", "path", F.col("line").cast("string"), "text").alias("value"))
