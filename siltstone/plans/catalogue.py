@@ -27,6 +27,8 @@ from siltstone.operators import vectors as N
 from siltstone.plans import samples
 from siltstone.plans.fixtures import FILES_SQL, REQUESTS_SQL, files, files_of, requests, table
 from siltstone.streaming import metrics as K
+from siltstone.sources.archives import write_archives
+from siltstone.sources.snapshots import read_archives
 from siltstone.sources.storage import new_folder, spread
 from siltstone.streaming.eviction import evictions
 from siltstone.streaming.throttle import throttled
@@ -212,6 +214,13 @@ def admission_filter(spark, d):
     return L.admission(files(spark, d), max_bytes=8000)
 
 
+@query(f"{_FILES} SELECT path, strlen(text) AS size, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS INT) AS lines, md5(text) AS digest FROM files_v WHERE starts_with(path, 'src1')")
+def archive_files(spark, d):
+    """The snapshot written as archives, and what lies below a prefix streamed out of them."""
+    folder = write_archives(spread(files(spark, d)))
+    return read_archives(spark, folder).where(F.col("path").startswith("src1")).select("path", "size", "lines", F.md5("content").alias("digest"))
+
+
 def _text(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from siltstone.functions.paths import mime, skip_reason
 from siltstone.functions.text import line_count
 from siltstone.functions.values import MAX_FILE_BYTES
+from siltstone.sources.archives import MAX_ARCHIVE_BYTES, archived_files
 
 FILES = "path string, size long, mime string, lines int, content binary"
 REQUESTS = "ts timestamp, action string, source string, status string, owner string, repo string, ref_kind string, client string, path string, duration_ms double, weight long"
@@ -27,39 +28,10 @@ def read_tree(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -
     return admitted.select("path", F.col("length").alias("size"), mime(F.col("path")).alias("mime"), line_count(text).cast("int").alias("lines"), text.alias("text"), "content")
 
 
-MAX_ARCHIVE_BYTES = 250_000_000
-
-
 def read_archives(spark: SparkSession, path: str, max_archive: int = MAX_ARCHIVE_BYTES, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """``(archive, path, size, mime, lines, text, content)`` of the files in ``.tar.gz`` archives below ``path``.
-
-    An archive is unpacked entry by entry in one task; the first segment of its paths goes. One over
-    ``max_archive`` compressed bytes gives an error that names it, before any of it is read. What ingestion
-    leaves out is left out; of entries of one path the last counts.
-    """
-
-    def entries(batches):
-        import io
-        import tarfile
-
-        for batch in batches:
-            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found: dict[str, bytes] = {}
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
-                    for entry in tar:
-                        name = entry.name.partition("/")[2]
-                        if entry.isfile() and name and entry.size <= max_bytes:
-                            found[name] = tar.extractfile(entry).read()
-                for name, data in found.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([archive]), pa.array([name]), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], names=["archive", "path", "size", "content"])
-
-    import pyarrow as pa
-
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tar.gz").load(path)
-    large = raw.where(F.col("length") > max_archive).select("path").limit(1).collect()
-    if large:
-        raise ValueError(f"{large[0]['path']} has more than {max_archive} bytes")
-    each = raw.select("path", "content").mapInArrow(entries, "archive string, path string, size long, content binary")
+    """``(archive, path, size, mime, lines, text, content)`` of the files in ``.tar.gz`` archives below ``path``, without what
+    ingestion leaves out; see ``ArchiveSource``."""
+    each = archived_files(spark, path, max_archive, max_bytes)
     kept = each.where(skip_reason(F.col("path"), F.col("size"), max_bytes).isNull())
     text = F.decode("content", "UTF-8")
     return kept.select("archive", "path", "size", mime(F.col("path")).alias("mime"), line_count(text).cast("int").alias("lines"), text.alias("text"), "content")
@@ -108,7 +80,7 @@ def as_pretty_json(rows: DataFrame) -> DataFrame:
 def as_markdown(rows: DataFrame, title: str = "") -> DataFrame:
     """``(ord, value)``: a heading, a table's head and a line for each row; marks that would end a cell are escaped. ``ord``
     puts the head first, rows follow in any order."""
-    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([|\\\\])", r"\\\\$1"), r"\r?\n", "<br>")
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"([|\\])", r"\\$1"), r"\r?\n", "<br>")
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(f"`{c}`") for c in rows.columns]), F.lit(" |"))
     head = [f"# {title}", ""] * bool(title) + [f"| {' | '.join(rows.columns)} |", "|" + " --- |" * len(rows.columns)]
     top = rows.sparkSession.createDataFrame(list(enumerate(head)), "ord int, value string")

@@ -312,8 +312,8 @@ def test_archives_and_model_files(spark, tmp_path):
             tar.addfile(entry, io.BytesIO(data))
     got = {r.path: (r.size, r.lines, r.text) for r in snapshots.read_archives(spark, str(tmp_path)).collect()}
     assert got == {"src/a.ts": (10, 1, "let a = 2\n"), "empty.md": (0, 0, "")}
-    with pytest.raises(ValueError, match="one.tar.gz"):
-        snapshots.read_archives(spark, str(tmp_path), max_archive=10)
+    with pytest.raises(Exception, match="one.tar.gz has more than 10 bytes"):
+        snapshots.read_archives(spark, str(tmp_path), max_archive=10).count()
 
     import numpy as np
 
@@ -513,3 +513,49 @@ def test_timers_on_a_hot_key_and_rows_out_of_order(spark, tmp_path):
     batch = metrics.evicted(spark.createDataFrame(rows, "k string, ts timestamp"), ["k"], days=1)
     final = gone.groupBy("k").agg(F.max("last_access").alias("ts")).join(spark.createDataFrame(rows, "k string, ts timestamp").groupBy("k").agg(F.max("ts").alias("ts")), ["k", "ts"])
     assert sorted(map(tuple, final.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_archives_are_streamed(spark, tmp_path):
+    import io
+    import tarfile
+
+    from siltstone.sources import archives
+
+    noise = os.urandom(3_000_000)
+    for name, top in (("a", "x"), ("b", "y")):
+        with tarfile.open(tmp_path / f"{name}.tar.gz", "w:gz") as tar:
+            for path, data in ((f"{top}/src/one.py", b"first"), (f"{top}/src/two.py", b"two"), (f"{top}/src/one.py", b"last"), (f"{top}/docs/a.md", b"text\n"), (f"{top}/big.bin", noise)):
+                entry = tarfile.TarInfo(path)
+                entry.size = len(data)
+                tar.addfile(entry, io.BytesIO(data))
+    got = archives.archived_files(spark, str(tmp_path))
+    assert sorted((r.path, bytes(r.content)) for r in got.where("path <> 'big.bin'").collect()) == sorted([("docs/a.md", b"text\n"), ("src/one.py", b"last"), ("src/two.py", b"two")] * 2)
+    below = got.where("path LIKE 'src/%' AND path IN ('src/one.py', 'docs/a.md')").select("archive", "path")
+    assert [r.path for r in below.collect()] == ["src/one.py"] * 2
+    assert "StartsWith" not in below._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]
+
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            data = super().read(size)
+            Counted.n += len(data)
+            return data
+
+    stream = archives._Limited(Counted((tmp_path / "a.tar.gz").read_bytes()), "a.tar.gz", 100_000)
+    with pytest.raises(ValueError, match="a.tar.gz has more than 100000 bytes"), tarfile.open(fileobj=stream, mode="r|gz") as tar:
+        for _ in tar:
+            pass
+    assert Counted.n < 300_000
+    with pytest.raises(Exception, match="has more than 100000 bytes"):
+        archives.archived_files(spark, str(tmp_path), max_archive=100_000).count()
+    files = spark.createDataFrame([(f"p{i}.py", "x" * i) for i in range(20)], "path string, text string").repartition(3)
+    back = archives.archived_files(spark, archives.write_archives(files, str(tmp_path / "written")))
+    assert sorted((r.path, r.size) for r in back.collect()) == sorted((f"p{i}.py", i) for i in range(20))
+
+
+def test_pretty_json_and_markdown(spark):
+    rows = spark.createDataFrame([("a|b", 1), (None, 2)], "name string, n int")
+    assert {r.value for r in snapshots.as_pretty_json(rows).collect()} == {'{\n  "name" : "a|b",\n  "n" : 1\n}', '{\n  "name" : null,\n  "n" : 2\n}'}
+    got = [r.value for r in snapshots.as_markdown(rows, "Report").orderBy("ord", "value").collect()]
+    assert got == ["# Report", "", "| name | n |", "| --- | --- |", "|  | 2 |", "| a\\|b | 1 |"]
