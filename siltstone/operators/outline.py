@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from siltstone.functions.lexer import blanked
 from siltstone.functions.paths import language
 from siltstone.functions.text import lines
 
@@ -63,6 +66,8 @@ IMPORTS = [
 
 #: What isn't code: comments of several lines and of one, strings that may go on over lines and those that may not.
 _NOT_CODE = r"""/\*(?s:.*?)\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*+`"""
+#: Signs of what one pattern can't tell: triple quotes, code in templates, pattern literals, lifetimes.
+_HARD = r""""{3}|'{3}|\$\{|(?:[=(,:;!&|?{}\[+]|\b(?:return|case|typeof))[ \t]*/[^/*\n]|&'|<'"""
 
 
 def bare(text: Column) -> Column:
@@ -71,10 +76,21 @@ def bare(text: Column) -> Column:
     return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.regexp_replace(m, r"[^\n]", ""), F.lit("")))), "")
 
 
+@F.pandas_udf(StringType())
+def _lexed(text: pd.Series, language_: pd.Series) -> pd.Series:
+    return pd.Series([blanked(t, k) if t is not None else None for t, k in zip(text, language_, strict=True)], dtype=object)
+
+
+def code_of(text: Column, language_: Column) -> Column:
+    """``bare()`` of plain texts; only those with constructs that a pattern can't tell go through the lexer."""
+    return F.coalesce(_lexed(F.when(text.rlike(_HARD), text), language_), bare(text))
+
+
 def code_lines(files: DataFrame) -> DataFrame:
     """``(path, language, line, text, code)``: lines from 1, and each without strings and comments, also those that go on over lines."""
-    both = F.arrays_zip(lines(F.col("text")).alias("text"), lines(bare(F.col("text"))).alias("code"))
-    each = files.select("path", language(F.col("path")).alias("language"), F.posexplode(both).alias("pos", "l"))
+    own = files.select("path", "text", language(F.col("path")).alias("language")).withColumn("_code", code_of(F.col("text"), F.col("language")))
+    both = F.arrays_zip(lines(F.col("text")).alias("text"), lines(F.col("_code")).alias("code"))
+    each = own.select("path", "language", F.posexplode(both).alias("pos", "l"))
     return each.where(F.col("l")["text"].isNotNull()).select("path", "language", (F.col("pos") + 1).alias("line"), F.col("l")["text"].alias("text"), F.coalesce(F.col("l")["code"], F.lit("")).alias("code"))
 
 

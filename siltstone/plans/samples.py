@@ -20,10 +20,10 @@ SOURCES = {
 }
 #: Six lines of code by extension, which code of any length repeats; ``@`` is the line's number, ``~`` words of a document.
 CODE = {
-    "ts": ["// ~", "export class C@ {", "  m@(x) { return '{' } // ~", "  p@: string; // ~", "}", "import { a } from './w@'"],
+    "ts": ["// ~", "export class C@ {", "  m@(x) { return `${x ? `}` : '{'}{` } // ~", "  p@ = /[{/'`]\\/\"{/g // ~", "}", "import { a } from './w@'"],
     "py": ["# ~", "class C@:", "    def m@(self): # ~", "        return '~'", "", "from mod@ import a"],
     "go": ["// ~", "type C@ struct {", "    x int // ~", "}", "func F@() { return } // ~", 'import "pkg/w@"'],
-    "rs": ["// ~", "pub struct S@(u8);", "pub fn f@(a: u8) -> u8 {", "    a // ~", "}", "use std::w@;"],
+    "rs": ["// ~", "pub struct S@(u8);", "pub fn f@<'a>(a: &'a u8) -> u8 {", "    a // '{' ~", "}", "use std::w@;"],
     "c": ["/* ~ */", "#define M@ 10", "int g@(int x)", "{ // ~", "}", "#include <h@.h>"],
     "swift": ["// ~", "class K@ {", "  func d@() { return } // ~", "}", "protocol P@ {}", "import W@"],
 }

@@ -1,5 +1,6 @@
 import math
 import os
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -559,3 +560,47 @@ def test_pretty_json_and_markdown(spark):
     assert {r.value for r in snapshots.as_pretty_json(rows).collect()} == {'{\n  "name" : "a|b",\n  "n" : 1\n}', '{\n  "name" : null,\n  "n" : 2\n}'}
     got = [r.value for r in snapshots.as_markdown(rows, "Report").orderBy("ord", "value").collect()]
     assert got == ["# Report", "", "| name | n |", "| --- | --- |", "|  | 2 |", "| a\\|b | 1 |"]
+
+
+@pytest.mark.parametrize(
+    "language,code,want",
+    [
+        ("typescript", "a = `x${f(`}`, {b: '}'})}y{` + 1", "a = f(, {b: }) + 1"),
+        ("typescript", "a = b / c / d // e {", "a = b / c / d "),
+        ("typescript", "x = /[/{]\\/'/g.test(y) /* { \n } */ { }", "x = .test(y) \n { }"),
+        ("typescript", "return /{/; a = (1) / 2; '\\'{' {", "return ; a = (1) / 2;  {"),
+        ("typescript", "`a\n${ {x: 1} }\nb` {", "\n {x: 1} \n {"),
+        ("typescript", "'open { \n}", "\n}"),
+        ("typescript", "/* open {\n{", "\n"),
+        ("python", 'a = """x { \n " { """ + "{" # { \n b // c', "a = \n + \n b // c"),
+        ("python", "a = '''{\n{''' + '#'", "a = \n + "),
+        ("go", "a := `{\n\\` + '{' + \"{\\\"\" {", "a := \n +  +  {"),
+        ("rust", "fn f<'a>(x: &'a str) -> char { '{' } // '", "fn f<'a>(x: &'a str) -> char {  } "),
+        ("c", "#define A '{' \n x = a / b; \"{\"", "#define A  \n x = a / b; "),
+        (None, "", ""),
+    ],
+)
+def test_lexer(language, code, want):
+    from siltstone.functions.lexer import blanked
+
+    assert blanked(code, language).replace("  ", " ") == want.replace("  ", " ")
+    assert blanked(code, language).count("\n") == code.count("\n")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab{}'\"`$/*\\\n#[]= ", max_size=60), st.sampled_from(["typescript", "python", "go", "rust", "c", None]))
+def test_lexer_keeps_lines(code, language):
+    from siltstone.functions.lexer import blanked
+
+    got = blanked(code, language)
+    assert got.count("\n") == code.count("\n") and len(got) <= len(code)
+    plain = re.sub(r"[{}'\"`$/*\\#]", "", code)
+    assert blanked(plain, language) == plain
+
+
+def test_plain_texts_need_no_lexer(spark):
+    from siltstone.functions.lexer import blanked
+
+    texts = ["a = 1 // {\n b { 'x' }", 'c "}" /* \n{ */ d', "x`{\n}` y", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", outline.bare(F.col("t")).alias("b")).collect()
+    assert all(r.b == blanked(r.t, "typescript") for r in got)
