@@ -18,6 +18,7 @@ from siltstone.operators import evaluation as E
 from siltstone.operators import grep as G
 from siltstone.operators import index as I
 from siltstone.operators import judge as J
+from siltstone.operators import line_index as X
 from siltstone.operators import listing as L
 from siltstone.operators import metrics as M
 from siltstone.operators import outline as O
@@ -81,6 +82,10 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- line search
 
 
+def _line_index(spark, d):
+    return X.kept_line_index(spark, f"{d}/documents.parquet", lambda: files(spark, d), "files of documents")
+
+
 @query(f"{_LINES} SELECT path, line, substring(text, 1, 400) AS text FROM lines_v WHERE contains(text, 'icensed')")
 def grep_literal(spark, d):
     return G.grep(files(spark, d), "icensed")
@@ -88,7 +93,8 @@ def grep_literal(spark, d):
 
 @query(f"{_LINES} SELECT path, line, substring(text, 1, 400) AS text FROM lines_v WHERE regexp_matches(text, '[Ll]icensed? under|version [0-9]+')")
 def grep_regex(spark, d):
-    return G.grep(files(spark, d), "[Ll]icensed? under|version [0-9]+", regex=True)
+    """Over the kept line index: only blocks that can hold a match are read."""
+    return X.indexed_grep(spark, _line_index(spark, d), "[Ll]icensed? under|version [0-9]+", regex=True)
 
 
 @query(f"{_LINES} SELECT path, line, substring(text, 1, 400) AS text FROM lines_v WHERE contains(lower(text), 'license')")
@@ -98,7 +104,7 @@ def grep_icase(spark, d):
 
 @query(rf"{_LINES} SELECT path, line, substring(text, 1, 400) AS text FROM lines_v WHERE regexp_matches(text, '\bthe\b')")
 def grep_word(spark, d):
-    return G.grep(files(spark, d), "the", word=True)
+    return X.indexed_grep(spark, _line_index(spark, d), "the", word=True)
 
 
 @query(

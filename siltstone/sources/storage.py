@@ -61,6 +61,20 @@ def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
 
 
+def pointed(spark: SparkSession, pointer: str) -> str | None:
+    """The folder that a pointer names. Two builders may both have written one: either folder is whole, the first by name counts."""
+    if not exists(spark, f"{pointer}/_SUCCESS"):
+        return None
+    return min(r["folder"] for r in spark.read.schema("folder string").parquet(pointer).collect())
+
+
+def point(spark: SparkSession, pointer: str, folder: str) -> str:
+    """Makes a folder that is whole now the pointer's, unless it has one; returns the one that counts."""
+    if pointed(spark, pointer) is None:
+        spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("append").parquet(pointer)
+    return pointed(spark, pointer)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table that is read in fewer tasks than there are cores (few, large row groups) is dealt out before costly work; others stay as they are."""
     n = table.sparkSession.sparkContext.defaultParallelism

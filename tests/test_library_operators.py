@@ -604,3 +604,45 @@ def test_plain_texts_need_no_lexer(spark):
     texts = ["a = 1 // {\n b { 'x' }", 'c "}" /* \n{ */ d', "x`{\n}` y", ""]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", outline.bare(F.col("t")).alias("b")).collect()
     assert all(r.b == blanked(r.t, "typescript") for r in got)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abAB-1 \u017f\u212ak", max_size=25), st.sampled_from(["abA", "a[ab]b|b1+a", "(ab|ba)-", "a?b{2,3}A", "[^a]bA", "ab.*ba", "^abA$", "(a(b|1)b)+", "\\\\babb", "a\\d1", "[a-b1]{3}", "(?:aab)?bba", "kkk", "sab", "a\\p{L}b", "ab("]), st.booleans())
+def test_trigrams_never_exclude_a_match(text_, pattern, ignore_case):
+    from siltstone.functions import trigrams
+
+    condition = trigrams.required(pattern, ignore_case)
+    try:
+        matches = re.search(pattern, text_, re.IGNORECASE if ignore_case else 0) is not None
+    except re.error:
+        assert condition is None
+        return
+    own = trigrams.trigrams(trigrams.folded(text_))
+    assert not matches or trigrams.holds(condition, lambda g: g in own)
+
+
+def test_trigrams_that_patterns_need():
+    from siltstone.functions.trigrams import required
+
+    assert required("abc") == "abc" and required("ab") is None and required("a.c") is None
+    assert required("abcd") == ("and", ["abc", "bcd"])
+    assert required("abc|de") is None and required("abc|xyz") == ("or", ["abc", "xyz"])
+    assert required("[Ll]ic") == "lic" and required("(abc)?xyz") == "xyz" and required("(abc)+xyz") == ("and", ["abc", "xyz"])
+
+
+def test_line_index_reads_candidate_blocks(spark, tmp_path, monkeypatch):
+    from siltstone.operators import line_index
+
+    monkeypatch.setattr(line_index, "BLOCK_FILES", 4)
+    rows = [(f"d{i % 5}/f{i:03d}.txt", f"line {i}\nplain words here\n" + ("Licensed under x{i}\n" if i % 37 == 0 else "") + ("kelvin \u212aey" if i == 50 else "")) for i in range(200)] + [("n", None), ("e", "")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    path = str(tmp_path / "lines")
+    line_index.write_line_index(files, path)
+    own = files.where("text IS NOT NULL")
+    for needle, how in (("[Ll]icensed? under", {"regex": True}), ("under", {"word": True}), ("KEY", {"ignore_case": True}), ("kEY", {"regex": True, "ignore_case": True}), ("licensed", {}), ("a.", {"regex": True}), ("plain", {}), ("nowhere at all", {})):
+        got, want = (sorted(map(tuple, df.collect())) for df in (line_index.indexed_grep(spark, path, needle, **how), grep.grep(own, needle, **how)))
+        assert got == want, (needle, how)
+    some = line_index.candidates(spark, path, "[Ll]icensed? under", regex=True)
+    assert 6 <= some.count() <= 60 and line_index.candidates(spark, path, "plain").count() == 200
+    monkeypatch.setattr(line_index, "MOST_RANGES", 1)
+    assert line_index.candidates(spark, path, "[Ll]icensed? under", regex=True).count() == some.count()
