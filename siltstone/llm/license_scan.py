@@ -17,6 +17,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 IDENTIFIER, NAMED, MENTION = 3, 2, 1
 CONFIDENCE = {IDENTIFIER: 1.0, NAMED: 0.9, MENTION: 0.6}
 PHRASE_CONFIDENCE = 0.5
+#: Rows of one text meet what is known of it in so many places.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,142 @@ _NAMED = [
     ("proprietary", r"proprietary and confidential"), ("licensed", r"licen[sc]ed under(?: the)?(?: terms of)?"), ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
 ]
 # Further licenses and clauses, each by a phrase of its own.
+#: Grants, notices, conditions and headers as licenses word them, with the variants that are in use.
+_CLAUSES = [
+    # MIT and its kin
+    ("mit", r"deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[sc]e and or sell copies"),
+    ("mit", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit-0", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[sc]e and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided"),
+    ("mit-advertising", r"except as contained in this notice the names? of (?:\S+ ){1,8}shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the (?:copyright holders?|authors?)"),
+    ("isc", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("hpnd", r"permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose (?:and without fee|is hereby granted without fee)"),
+    ("ntp", r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted provided that the above copyright notice appears in all copies"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("smlnj", r"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted provided that the above copyright notice appear in all copies and that both the copyright notice and this permission notice and warranty disclaimer"),
+    ("icu", r"provided that the above copyright notice s and this permission notice appear in all copies of the software and that both the above copyright notice s and this permission notice appear in supporting documentation"),
+    ("unicode", r"permission is hereby granted free of charge to any person obtaining a copy of (?:the unicode )?data files and any associated documentation"),
+    ("x11", r"permission is hereby granted free of charge to any person obtaining a copy of this software (?:\S+ ){0,80}?shall not be used in advertising or otherwise to promote the sale"),
+    ("ncsa", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers"),
+    ("ncsa", r"to deal with the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[sc]e"),
+    ("json", r"the software shall be used for good not evil"),
+    ("bsl", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e"),
+    ("bsl", r"the copyright notices in the software and this entire statement including the above licen[sc]e grant this restriction and the following disclaimer must be included in all copies"),
+    ("curl", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided"),
+    ("vim", r"there are no restrictions on distributing unmodified copies of vim except that they must include this licen[sc]e text"),
+    # BSD
+    ("bsd-source", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", r"neither the names? of (?:\S+ ){1,12}nor the names of (?:its|their|the) contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-3-clause", r"the names? of the authors? (?:may|must) not be used to endorse or promote products derived from this software without (?:specific )?prior written permission"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment this product includes software developed by (?:\S+ ){1,20}contributors"),
+    ("bsd-disclaimer", r"this software is provided by the (?:copyright holders?|regents|authors?) and contributors as is and any express or implied warranties"),
+    ("bsd-disclaimer", r"in no event shall (?:the )?(?:copyright (?:owner|holder)s?|regents|authors?) or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd-3-clause-clear", r"no express or implied licen[sc]es to any party s patent rights are granted by this licen[sc]e"),
+    ("bsd-2-clause-patent", r"each copyright holder and contributor hereby grants to those receiving rights under this licen[sc]e a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("bsd-style", r"use of this source code is governed by a bsd style licen[sc]e that can be found in the licen[sc]e file"),
+    ("mit-style", r"use of this source code is governed by an? mit style licen[sc]e that can be found in the licen[sc]e file"),
+    ("bsd-1-clause", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following condition is met"),
+    ("bsd-protection", r"redistribution and use in source and binary forms with or without modification are permitted subject to the limitations"),
+    # Apache
+    ("apache-2.0", r"licen[sc]ed under the apache licen[sc]e version 2 0 the licen[sc]e you may not use this file except in compliance with the licen[sc]e"),
+    ("apache-2.0", r"you may not use this file except in compliance with the licen[sc]e you may obtain a copy of the licen[sc]e at http(?:s)? www apache org licen[sc]es licen[sc]e 2 0"),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis"),
+    ("apache-2.0", r"see the licen[sc]e for the specific language governing permissions and limitations under the licen[sc]e"),
+    ("apache-2.0", r"licen[sc]ed to the apache software foundation asf under one or more contributor licen[sc]e agreements"),
+    ("apache-2.0", r"see the notice file distributed with this work for additional information regarding copyright ownership"),
+    ("apache-2.0", r"grant of patent licen[sc]e subject to the terms and conditions of this licen[sc]e each contributor hereby grants to you"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation"),
+    ("apache-1.1", r"products derived from this software may not be called apache nor may apache appear in their names? without prior written permission"),
+    # GNU
+    ("gpl", r"this (?:program|software|library|package|file|code) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation"),
+    ("gpl-or-later", r"gnu general public licen[sc]e as published by the free software foundation either version [123] of the licen[sc]e or at your option any later version"),
+    ("gpl-only", r"gnu general public licen[sc]e (?:version [123] )?(?:only )?as published by the free software foundation version [123] only"),
+    ("gpl-2.0", r"under the terms of (?:the )?(?:version 2 of the gnu general public licen[sc]e|the gnu general public licen[sc]e version 2)"),
+    ("gpl-3.0", r"under the terms of (?:the )?(?:version 3 of the gnu general public licen[sc]e|the gnu general public licen[sc]e version 3)"),
+    ("gpl-notice", r"you should have received a copy of the gnu general public licen[sc]e along with this (?:program|software|library|package|file)"),
+    ("gpl-warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e for more details"),
+    ("gpl-files", r"this file (?:is part of (?:\S+ ){1,5})?is free software .{0,200}?gnu general public licen[sc]e"),
+    ("lgpl", r"under the terms of the gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation"),
+    ("lgpl-notice", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e along with this (?:program|software|library|package)"),
+    ("lgpl-or-later", r"gnu (?:lesser|library) general public licen[sc]e as published by the free software foundation either version [23](?: [01])? of the licen[sc]e or at your option any later version"),
+    ("agpl", r"under the terms of the gnu affero general public licen[sc]e as published by the free software foundation"),
+    ("agpl-notice", r"you should have received a copy of the gnu affero general public licen[sc]e along with this (?:program|software)"),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
+    ("gpl-classpath-exception", r"as a special exception the copyright holders of this library give you permission to link this library with independent modules"),
+    ("gpl-font-exception", r"as a special exception if you create a document which uses this font .{0,200}?gnu general public licen[sc]e"),
+    ("gpl-bison-exception", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton .{0,200}?licen[sc]e"),
+    ("gpl-autoconf-exception", r"as a special exception the free software foundation gives unlimited permission to copy distribute and modify the configure scripts"),
+    ("gcc-exception", r"under section 7 of gpl version 3 you are granted additional permissions described in the gcc runtime library exception"),
+    ("openssl-exception", r"permission to link the code of (?:portions of )?this program with the openssl library"),
+    ("fsf-unlimited", r"the free software foundation gives unlimited permission to copy and or distribute it with or without modifications as long as this notice is preserved"),
+    ("fsf-all-permissive", r"copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved"),
+    # file-scoped licenses
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[sc]e v(?:ersion)? ?2 0"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1 the licen[sc]e"),
+    ("mpl-tri", r"alternatively the contents of this file may be used under the terms of either the gnu general public licen[sc]e version 2 or later"),
+    ("mpl-rights", r"software distributed under the licen[sc]e is distributed on an as is basis without warranty of any kind either express or implied see the licen[sc]e for the specific language governing rights and limitations"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("epl-2.0", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e (?:v(?:ersion)? ?)?2 0"),
+    ("cddl", r"the contents of this file are subject to the terms of (?:either the gnu general public licen[sc]e .{0,80}?or )?the common development and distribution licen[sc]e"),
+    ("cddl", r"you can obtain a copy of the licen[sc]e at usr src opensolaris licen[sc]e or http www opensolaris org os licensing"),
+    ("cpl", r"this program and the accompanying materials are made available under the terms of the common public licen[sc]e"),
+    ("npl", r"the contents of this file are subject to the netscape public licen[sc]e"),
+    ("apsl", r"this file contains original code and or modifications of original code as defined in and that are subject to the apple public source licen[sc]e"),
+    ("sissl", r"the contents of this file are subject to the sun (?:industry )?standards source licen[sc]e"),
+    ("osl", r"licen[sc]ed under the open software licen[sc]e version [123] 0"),
+    ("afl", r"licen[sc]ed under the academic free licen[sc]e version [123] [012]"),
+    ("eupl", r"licen[sc]ed under the eupl (?:version |v )?1 [012]"),
+    ("cecill", r"this software is governed by the cecill(?: [abc])? licen[sc]e under french law"),
+    ("ms-rl", r"microsoft reciprocal licen[sc]e (?:ms rl )?this licen[sc]e governs use of the accompanying software"),
+    ("ms-pl", r"this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e"),
+    # public domain and waivers
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", r"in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("cc0", r"to the extent possible under law (?:the person who associated cc0 with this work|the authors?|(?:\S+ ){1,8})(?:has|have) (?:waived|dedicated) all copyright and related (?:or|and) neighboring rights"),
+    ("public-domain", r"this (?:file|code|software|work|program) (?:is|has been|was) (?:hereby )?(?:placed|put|released|dedicated) (?:in|into|to) the public domain"),
+    ("public-domain", r"(?:the )?authors? disclaims? (?:all )?copyrights? to this (?:source )?(?:code|software|file)"),
+    ("pddl", r"public domain dedication and licen[sc]e"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document and changing it is allowed as long as the name is changed"),
+    ("wtfpl", r"do what the (?:fuck|f ck|hell) you want to public licen[sc]e"),
+    ("beerware", r"(?:the )?beer ?ware licen[sc]e .{0,200}?you can buy me a beer"),
+    # creative commons
+    ("cc-by", r"this work is licen[sc]ed under (?:a|the) creative commons attribution (?:[1234] 0 )?(?:international|unported|generic) ?licen[sc]e"),
+    ("cc-by-sa", r"this work is licen[sc]ed under (?:a|the) creative commons attribution share ?alike"),
+    ("cc-by-nc", r"this work is licen[sc]ed under (?:a|the) creative commons attribution non ?commercial"),
+    ("cc-by-nd", r"this work is licen[sc]ed under (?:a|the) creative commons attribution no ?deriv(?:ative)?s"),
+    ("cc-text", r"text is available under the creative commons attribution share ?alike licen[sc]e"),
+    ("cc-content", r"except where otherwise noted (?:the )?content (?:on|of|in) this (?:site|page|wiki|document|work) is licen[sc]ed under"),
+    # others
+    ("zlib", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("libpng", r"permission is hereby granted to use copy modify and distribute this source code or portions hereof for any purpose without fee"),
+    ("artistic", r"(?:you may distribute it|you can redistribute it and or modify it) under the same terms as perl itself .{0,120}?licen[sc]e"),
+    ("perl", r"under the terms of either the gnu general public licen[sc]e .{0,120}?or the artistic licen[sc]e"),
+    ("ruby", r"you can redistribute it and or modify it under either the terms of the (?:2 clause bsdl|gpl) .{0,80}?(?:licen[sc]e|conditions below) .{0,200}?copyright"),
+    ("python", r"psf hereby grants licen[sc]ee a nonexclusive royalty free world wide licen[sc]e to reproduce analyze test perform and or display publicly"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit .{0,80}?(?:licen[sc]e|permission|copyright)"),
+    ("ssleay", r"this product includes cryptographic software written by eric young .{0,200}?copyright"),
+    ("ofl", r"this font software is licen[sc]ed under the sil open font licen[sc]e version 1 [01]"),
+    ("ofl", r"permission is hereby granted free of charge to any person obtaining a copy of the font software to use study copy merge embed modify redistribute and sell"),
+    ("bitstream-vera", r"permission is hereby granted free of charge to any person obtaining a copy of the fonts accompanying this licen[sc]e"),
+    ("w3c", r"permission to copy modify and distribute this (?:software and its documentation|work) with or without modification for any purpose and without fee or royalty is hereby granted"),
+    ("ijg", r"permission is hereby granted to use copy modify and distribute this software or portions thereof for any purpose without fee subject to these conditions"),
+    ("sleepycat", r"redistributions in any form must be accompanied by information on how to obtain complete source code for the .{0,60}?software .{0,400}?copyright"),
+    ("odbl", r"this .{0,40}?is made available under the open database licen[sc]e"),
+    ("sspl", r"under the terms of the server side public licen[sc]e version 1"),
+    ("elastic", r"licen[sc]ed under the elastic licen[sc]e (?:version )?2 0 you may not use this file except in compliance"),
+    ("busl", r"use of this software is governed by the business source licen[sc]e"),
+    ("commons-clause", r"the grant of rights under the licen[sc]e will not include and the licen[sc]e does not grant to you the right to sell the software"),
+    ("proprietary", r"unauthori[sz]ed copying of this file via any medium is strictly prohibited proprietary and confidential"),
+    ("proprietary", r"this (?:software|document|file) (?:contains|is) (?:the )?(?:confidential and )?proprietary .{0,60}?confidential"),
+    ("all-rights-reserved", r"copyright (?:c )?(?:\d{4} )+(?:\S+ ){1,8}all rights reserved"),
+    ("oracle", r"oracle proprietary confidential use is subject to licen[sc]e terms"),
+    ("contributor-agreement", r"(?:by submitting|by contributing) .{0,80}?you agree that your contributions? (?:will be|is|are) licen[sc]ed under"),
+    ("dual", r"(?:is|are) dual licen[sc]ed under (?:the )?(?:terms of )?(?:both )?(?:the )?(?:mit|bsd|apache|gpl|lgpl|mpl)"),
+    ("choice", r"licen[sc]ed under either of (?:the )?apache licen[sc]e version 2 0 .{0,120}?or mit licen[sc]e .{0,80}?at your option"),
+]
 _FURTHER = [
     ("aal", r"attribution assurance licen[sc]e"), ("abstyles", r"abstyles licen[sc]e"), ("adsl", r"amazon digital services licen[sc]e"), ("afmparse", r"afmparse licen[sc]e"),
     ("aladdin", r"aladdin free public licen[sc]e"), ("amdplpa", r"amd s? ?plpa map c licen[sc]e"), ("apl", r"adaptive public licen[sc]e"),
@@ -149,12 +287,12 @@ def signatures() -> list[Signature]:
         out.append(Signature(f"cc-{parts}", NAMED, "cc by", rf"cc {parts.replace('-', ' ')}"))
     out += [Signature(x, IDENTIFIER, "spdx", f"spdx licen[sc]e identifier {_words_of(x)}") for x in _SPDX]
     out += [Signature(label, NAMED if label not in ("licensed", "copyright", "all-rights-reserved") else MENTION, _keyword(pattern), pattern) for label, pattern in _NAMED]
-    out += [Signature(label, NAMED, _keyword(pattern), pattern) for label, pattern in _FURTHER]
+    out += [Signature(label, NAMED, _keyword(pattern), pattern) for label, pattern in [*_CLAUSES, *_FURTHER]]
     return out
 
 
 def _keyword(pattern: str) -> str:
-    for word in ("licen", "permission", "redistribution", "clause bsd", "contributors", "cc0", "creative commons", "public domain", "rights reserved", "confidential", "copyright", "not evil"):
+    for word in ("licen", "permission", "redistribution", "clause bsd", "contributors", "cc0", "creative commons", "public domain", "rights reserved", "confidential", "copyright", "not evil", "gnu", "gpl", "apache"):
         if word in pattern.replace("licen[sc]", "licen"):
             return word
     raise ValueError(pattern)
@@ -250,7 +388,7 @@ def license_scan(docs: DataFrame, text_col: str = "text", rules: list[Signature]
     """
     rules = signatures() if rules is None else rules
     names = kept_names(docs, RESULTS)
-    words_, joined_, key_, places_, found_, score_ = spare(docs, "words", "joined", "key", "places", "found", "score")
+    words_, joined_, key_, places_, found_, score_, salt_ = spare(docs, "words", "joined", "key", "places", "found", "score", "salt")
     text = F.coalesce(quoted([text_col])[0].cast("string"), F.lit(""))
     lower = F.lower(text)
     gate = lower.rlike(GATE_PAIR)
@@ -268,7 +406,9 @@ def license_scan(docs: DataFrame, text_col: str = "text", rules: list[Signature]
 
     every = F.flatten(places_)
     own = F.array_compact(F.array(*[F.when(F.size(F.get(places_, F.lit(i))) > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]))
-    out = rows.drop(joined_).join(of_text, key_, "left")
+    # Rows of one text are as many as its copies: what is known of it stands once for each salt, and they are dealt over these.
+    of_text = of_text.withColumn(salt_, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.drop(joined_).withColumn(salt_, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(of_text, [key_, salt_], "left")
     none = F.array().cast("array<string>")
     return out.select(
         *quoted(names),

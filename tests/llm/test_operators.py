@@ -512,7 +512,8 @@ def example(parsed):
         elif name == "ANY":
             out += "x"
         elif name == "IN":
-            out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            kind, value = arg[0]
+            out += ("1" if "DIGIT" in str(value) else "x") if str(kind) == "CATEGORY" else chr(value if str(kind) == "LITERAL" else value[0])
         elif name == "BRANCH":
             out += example(arg[1][0])
         elif name == "SUBPATTERN":
