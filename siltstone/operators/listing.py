@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.functions import paths as P
 from siltstone.functions.patterns import matches_glob, under
@@ -34,12 +35,13 @@ def tree_with_outlines(files: DataFrame, outline, most: int = 500, glob: str | N
     """``(path, n_symbols, symbols, truncated)`` of the first files in path order. ``outline`` makes symbols of files and sees
     only these; one path more is looked for, so ``truncated`` is exact."""
     most = min(max(most, 1), MOST_OUTLINED)
-    first = scoped(files, glob, scope).orderBy("path").limit(most + 1)
-    paths = [r["path"] for r in first.select("path").collect()]  # most + 1 rows
-    own = files.where(F.col("path").isin(paths[:most])) if paths else files.limit(0)
+    first = scoped(files, glob, scope).select("path").orderBy("path").limit(most + 1)
+    listed = first.withColumn("_n", F.row_number().over(Window.orderBy("path")))  # most + 1 rows
+    listed = listed.withColumn("truncated", F.max("_n").over(Window.partitionBy(F.lit(1))) > most).where(F.col("_n") <= most).drop("_n")
+    own = files.join(F.broadcast(listed.select("path")), "path", "left_semi")  # most paths
     named = outline(own).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "kind", "name"))).alias("symbols"))
-    out = own.select("path").join(named, "path", "left").select("path", F.coalesce(F.size("symbols"), F.lit(0)).alias("n_symbols"), "symbols")
-    return out.withColumn("n_symbols", F.greatest("n_symbols", F.lit(0))).withColumn("truncated", F.lit(len(paths) > most)).orderBy("path")
+    out = listed.join(named, "path", "left")
+    return out.select("path", F.greatest(F.coalesce(F.size("symbols"), F.lit(0)), F.lit(0)).alias("n_symbols"), "symbols", "truncated").orderBy("path")
 
 
 def tree_count(files: DataFrame, glob: str | None = None, scope: str | None = None) -> DataFrame:

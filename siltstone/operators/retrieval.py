@@ -156,14 +156,16 @@ def across_repos(hits: DataFrame, k: int, repo: str = "source") -> DataFrame:
     """Best hits over all repositories; with three or more of them each is capped at ``max(2, ceil(k / 2))`` and the overflow comes last."""
     w = Window.partitionBy(repo).orderBy(F.desc("score"), "id")
     ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    several = ranked.select(repo).distinct().limit(3).count() >= 3
-    cap = max(2, math.ceil(k / 2)) if several else k
-    return ranked.withColumn("overflow", F.col("rank") > cap).orderBy("overflow", F.desc("score"), "id").limit(k)
+    # with three repositories or more each has a cap; the number of those with hits comes with the rows, as one row sent to them
+    several = ranked.where("rank = 1").agg((F.count(F.lit(1)) >= 3).alias("_several")).withColumn("_one", F.lit(1))
+    over = ranked.withColumn("_one", F.lit(1)).join(F.broadcast(several), "_one")
+    cap = F.when(F.col("_several"), max(2, math.ceil(k / 2))).otherwise(k)
+    return over.withColumn("overflow", F.col("rank") > cap).drop("_one", "_several").orderBy("overflow", F.desc("score"), "id").limit(k)
 
 
 def snippets(hits: DataFrame, files: DataFrame, n_lines: int = 10) -> DataFrame:
     """Adds the hit's first lines as ``n | line``; files are narrowed to the hits' first."""
-    own = files.join(F.broadcast(hits.select("path").distinct()), "path", "left_semi").select("path", lines(F.col("text")).alias("_all"))
+    own = files.join(hits.select("path").distinct(), "path", "left_semi").select("path", lines(F.col("text")).alias("_all"))
     part = F.slice("_all", F.col("start").cast("int"), n_lines)
     shown = F.transform(part, lambda x, i: F.concat((i + F.col("start")).cast("string"), F.lit(" | "), x))
     return hits.join(own, "path", "left").withColumn("snippet", F.array_join(shown, "\n")).drop("_all")
