@@ -18,10 +18,11 @@ from pyspark.sql import types as T
 
 from siltstone.llm import kernels
 from siltstone.llm.columns import kept_names, map_in_arrow, quoted, spare
+from siltstone.llm.decontaminate_shards import shard_hits
 from siltstone.llm.storage import written
 
-#: Windows that go to the workers at once (about 200 bytes each); more are sent in turn.
-WINDOWS_A_ROUND = 200_000
+#: Windows that every worker may get (about 200 bytes each).
+MOST_SENT = 200_000
 _SIEVE = np.uint64((1 << 22) - 1)
 
 
@@ -140,7 +141,7 @@ def _occurrences(h: np.ndarray, first: np.ndarray, p: Prefixes, sieve: np.ndarra
     return text, start, window
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", windows_a_round: int = WINDOWS_A_ROUND) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", most_sent: int = MOST_SENT) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_hit`` (long) and ``items`` (array of strings, sorted).
 
     Words are runs of ASCII letters, digits and non-ASCII text, A-Z lower-cased. A window is ``window``
@@ -150,36 +151,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     Equal documents are rows of their own. Other columns stay, whatever their names; columns named as a new one
     are replaced. Empty tables on either side give no hits.
 
-    The windows sent to the workers at once are bounded by ``windows_a_round``. Further ones follow in rounds over
-    a numbered copy of the rows; a round keeps only the rows it hits, and these meet the copy at the end.
+    Up to ``most_sent`` windows are sent to the workers. More are dealt into shards, to which the documents' words around
+    their prefix shingles go, in one pass over a numbered copy of the rows; what is hit meets the copy at the end.
     """
     spark = docs.sparkSession
     windows = written(item_windows(benchmark, window, item_col, item_text_col), "windows")
-    n_rounds = max(1, -(-windows.count() // windows_a_round))
     names = kept_names(docs, RESULTS)
     row, text = spare(docs, "row", "text")
     rows = docs.select(*quoted(names), F.coalesce(quoted([text_col])[0].cast("string"), F.lit("")).alias(text))
-    if n_rounds > 1:
+    if windows.count() > most_sent:
         rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "leak-rows")
-
-    def prefixes(k: int):
-        part = windows.where(F.pmod(F.xxhash64("words"), F.lit(n_rounds)) == k) if n_rounds > 1 else windows
-        own = [(np.frombuffer(r["words"], np.uint64), r["items"]) for r in part.collect()]
-        wanted: dict[int, np.ndarray] = {}
-        for width in {_shingle_width(len(w), shingle) for w, _ in own}:
-            wanted[width] = np.unique(np.concatenate([_each_shingle(w, shingle) for w, _ in own if _shingle_width(len(w), shingle) == width]))
-        frequency = shingle_frequencies(rows, text, wanted) if wanted else {}
-        return spark.sparkContext.broadcast(_prefixes(own, shingle, wanted, frequency))
-
-    if n_rounds == 1:
-        return _marked(rows, text, prefixes(0)).drop(text)
-    found = None
-    for k in range(n_rounds):
-        own = written(_hits(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), prefixes(k)), "leak-hits")
-        found = own if found is None else found.unionByName(own)
-    own = _merged(found.groupBy("row").agg(F.collect_list("hit").alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
-    out = rows.join(own.select(F.col("row").alias(row), "n_hit", "items"), row, "left")
-    return out.select(*quoted(names), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        found = shard_hits(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), windows, window, shingle)
+        out = rows.join(found.select(F.col("row").alias(row), "n_hit", "items"), row, "left")
+        return out.select(*quoted(names), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    own = [(np.frombuffer(r["words"], np.uint64), r["items"]) for r in windows.collect()]  # most_sent rows at most
+    wanted: dict[int, np.ndarray] = {}
+    for width in {_shingle_width(len(w), shingle) for w, _ in own}:
+        wanted[width] = np.unique(np.concatenate([_each_shingle(w, shingle) for w, _ in own if _shingle_width(len(w), shingle) == width]))
+    frequency = shingle_frequencies(rows, text, wanted) if wanted else {}
+    return _marked(rows, text, spark.sparkContext.broadcast(_prefixes(own, shingle, wanted, frequency))).drop(text)
 
 
 RESULTS = ("n_words", "n_hit", "items")
@@ -215,27 +205,3 @@ def _marked(docs: DataFrame, text: str, sent) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
     return map_in_arrow(docs, mark, schema)
-
-
-def _hits(rows: DataFrame, sent) -> DataFrame:
-    """``(row, hit, items)`` of the rows that are hit: a bit for each word."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefixes = [(p, _sieve(p.shingles)) for p in sent.value]
-        for batch in batches:
-            own = [(r, np.packbits(x).tobytes(), sorted(i)) for r, (x, i) in zip(batch.column(0).to_pylist(), _marks(batch.column(1), prefixes), strict=True) if i]
-            row, hit, items = zip(*own, strict=True) if own else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(hit, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["row", "hit", "items"])
-
-    return rows.mapInArrow(mark, "row long, hit binary, items array<string>")
-
-
-def _merged(found: DataFrame) -> DataFrame:
-    """``(row, n_hit, items)`` of ``(row, hits, items)``: how many words any of the rounds has hit."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in hits])).sum()) for hits in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], names=["row", "n_hit", "items"])
-
-    return found.mapInArrow(merge, "row long, n_hit long, items array<string>")

@@ -137,10 +137,10 @@ def test_decontaminate(spark, a_round):
     text = {d: t for d, t in data}
     items = [(1, text[3]), (2, text[100]), (2, text[100]), (3, None), (4, ""), (5, "ONE"), (None, text[5]), (6, " ".join(text[208].split(" ")[500:560]))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate(H.frame(spark, data), benchmark, windows_a_round=a_round)
+    got = decontaminate(H.frame(spark, data), benchmark, most_sent=a_round)
     assert rows(got, "doc_id", "n_words", "n_hit", "items") == H.leaks(data, items)
     assert got.columns.count("items") == 1 and "lang" in got.columns
-    H.assert_clashing_came_back(decontaminate(H.clashing(H.frame(spark, data), "doc_id", leak_results), benchmark, windows_a_round=a_round), "doc_id", leak_results)
+    H.assert_clashing_came_back(decontaminate(H.clashing(H.frame(spark, data), "doc_id", leak_results), benchmark, most_sent=a_round), "doc_id", leak_results)
     assert decontaminate(H.frame(spark, []), benchmark).count() == 0
     assert decontaminate(H.frame(spark, data), benchmark.limit(0)).where("n_hit > 0").count() == 0
 
