@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +19,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions import values as V
 from siltstone.functions.embedding import StaticModel, embedded
-from siltstone.functions.text import CAMEL, IDENTIFIER
+from siltstone.functions.text import CAMEL, IDENTIFIER, term_counts
 from siltstone.operators.retrieval import document_frequencies
 from siltstone.operators.vectors import vector_blocks
 from siltstone.sources.storage import children, exists, file_states, is_folder, shared_folder
@@ -49,23 +47,6 @@ class LexicalIndex:
     vectors: DataFrame | None = None
 
 
-_TOKEN, _CAMEL, _COMPOUND = re.compile(IDENTIFIER.encode()), re.compile(CAMEL.encode()), re.compile(rb"[a-z][A-Z]|_")
-_STOP = {w.encode() for w in V.STOP_WORDS}
-
-
-def term_counts(text: str) -> dict[bytes, int]:
-    """How often each term stands in a text. Terms are ASCII, so bytes do; a compound token is cut up once."""
-    data = text.encode()
-    out = {t: n for t, n in Counter(_TOKEN.findall(data.lower())).items() if len(t) >= 2 and t not in _STOP}
-    if _COMPOUND.search(data):
-        for token, n in Counter(t for t in _TOKEN.findall(data) if _COMPOUND.search(t)).items():
-            whole = token.lower()
-            for part in map(bytes.lower, _CAMEL.split(token)):
-                if len(part) >= 3 and part != whole and part not in _STOP:
-                    out[part] = out.get(part, 0) + n
-    return out
-
-
 def counted_terms(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """``(id, *keys, term, tf, len, first)``: within each chunk its tokens are counted, and a compound one is cut up once.
     ``len`` is the number of distinct terms, ``first`` is true for one of them."""

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from siltstone.functions import paths as P
 from siltstone.functions import values as V
-from siltstone.functions.text import each_term, half_up, line_count, lines
+from siltstone.functions.text import half_up, line_count, lines, term_counts
 from siltstone.operators.vectors import cosines
 
 def windows(files: DataFrame) -> DataFrame:
@@ -78,9 +81,18 @@ def chunks(files: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
 
 
 def postings(rows: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """``(id, term, tf)``; texts go over the network once, by id."""
-    own = rows.select(F.col(id_col).alias("id"), text.alias("_t")).repartition("id")
-    return each_term(own, ["id"], "_t").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``(id, term, tf)``: terms are counted where a text is read, and only counts go over the network."""
+    own = rows.select(F.col(id_col).alias("id"), text.cast("string").alias("_t"))
+    schema = T.StructType([own.schema["id"], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [term_counts(text or "") for text in batch.column(1).to_pylist()]
+            at = pa.array([i for i, terms in enumerate(each) for _ in terms], pa.int64())
+            term = pa.array([t for terms in each for t in terms], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), term, pa.array([n for terms in each for n in terms.values()], pa.int64())], names=schema.names)
+
+    return own.mapInArrow(count, schema).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def document_frequencies(posts: DataFrame) -> DataFrame:

@@ -486,6 +486,19 @@ def chunk_postings(spark, d):
     return _index(spark, d).postings.where(F.col("term").isin("license", "version", "src1", "md")).select("id", "term", "tf")
 
 
+def built_index(spark, d):
+    """Builds the index of chunks if it isn't there, and names its segments; likewise those below."""
+    return spark.createDataFrame([(s,) for s in _index(spark, d).segments], "segment string")
+
+
+def built_vector_index(spark, d):
+    return spark.createDataFrame([(s,) for s in _vectors_index(spark, d).segments], "segment string")
+
+
+def built_line_index(spark, d):
+    return spark.createDataFrame([(_line_index(spark, d),)], "folder string")
+
+
 @query(f"{_BM25} SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 20")
 def bm25_topk(spark, d):
     return R.top_k(_bm25(spark, d).select("id", "score"), 20)
