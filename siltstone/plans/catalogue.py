@@ -626,9 +626,19 @@ def boosts_diversity(spark, d):
     return R.diverse_code(R.boosted(code, [], docs_too=False), 2, 50).select("path", "id", F.round("score", 8).alias("score"))
 
 
-@query()
+# hits of a page one after the other, best first; a list of what has stayed goes along
+@query(f"""{_FILES.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_CHUNKS},
+    s AS (SELECT concat('docs/', split_part(path, '/', 2), '/p', CAST(regexp_extract(path, '/d([0-9]+)[.]', 1) AS INT) % 40, '.md') AS path, concat('docs/p', CAST(regexp_extract(path, '/d([0-9]+)[.]', 1) AS INT) % 40, '.md') AS page, concat(path, ':', start) AS id, start // 40 AS region, round(1 / (10 + length(path) * start % 97), 6) * 0.8 AS score FROM chunks WHERE regexp_matches(path, '[.](md|txt)$')),
+    n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, id) AS n FROM s),
+    r(page, n, path, id, score, stays, paths, regions) AS (SELECT page, n, path, id, score, TRUE, [path], [region] FROM n WHERE n = 1 UNION ALL
+        SELECT page, n, path, id, score, ok, CASE WHEN ok THEN list_append(paths, path) ELSE paths END, CASE WHEN ok THEN list_append(regions, region) ELSE regions END
+        FROM (SELECT n.*, r.paths, r.regions, len(list_filter(r.paths, lambda x: x = n.path)) < 2 AND NOT list_contains(r.regions, n.region) AS ok FROM r JOIN n ON n.page = r.page AND n.n = r.n + 1))
+    SELECT path, id, round(score, 8) AS score FROM r WHERE stays ORDER BY r.score DESC, id LIMIT 20""")
 def docs_diversity(spark, d):
+    """Documents as pages in several languages: a region counts once over all translations of its page."""
     docs = _scored_chunks(spark, d).where(P.is_docs(F.col("path")))
+    number = F.regexp_extract("path", "/d([0-9]+)[.]", 1).cast("int") % 40
+    docs = docs.withColumn("path", F.concat(F.lit("docs/"), F.get(F.split("path", "/"), F.lit(1)), F.lit("/p"), number.cast("string"), F.lit(".md")))
     return R.diverse_docs(R.boosted(docs, []), 2, 20).select("path", "id", F.round("score", 8).alias("score"))
 
 
