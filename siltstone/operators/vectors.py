@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -73,13 +73,14 @@ class _Best:
 
     def add(self, q: int, scores: np.ndarray, rows: list[dict]) -> None:
         some = np.flatnonzero(scores >= max(self.least(q), np.partition(scores, -self.k)[-self.k] if len(scores) > self.k else -np.inf))
-        both = self.rows[q] + [(float(scores[i]), rows[i]) for i in some]
+        both = self.rows[q] + [(float(scores[i]), rows[i]) for i in some if scores[i] > -np.inf]
         self.rows[q] = sorted(both, key=lambda r: (-r[0], r[1]["id"]))[: self.k]
 
 
-def nearest(blocks: DataFrame, queries: list[list[float]], k: int, digits: int = 4) -> DataFrame:
+def nearest(blocks: DataFrame, queries: list[list[float]], k: int, digits: int = 4, only: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(query int, *keys, score)``: for each of the queries the ``k`` rows of largest cosine with the eight-bit vectors,
-    which are of length one as stored; ties by ``id``, one of the keys.
+    which are of length one as stored; ties by ``id``, one of the keys. ``only`` is a condition on a row's keys (given as a
+    struct): rows outside aren't ranked.
 
     A task multiplies a block with all queries at once, and passes over blocks whose bound is below what each query has
     already; it gives back ``k`` rows a query, of which the best are taken.
@@ -100,6 +101,9 @@ def nearest(blocks: DataFrame, queries: list[list[float]], k: int, digits: int =
                 if open_:
                     w = np.frombuffer(weights, np.int8).reshape(-1, q.shape[1]).astype(np.float64)
                     scores = np.round((w @ q[open_].T) * np.frombuffer(scales)[:, None], digits)
+                    keep = batch.column("keep")[i].as_py()
+                    if keep is not None:
+                        scores[~np.array([bool(x) for x in keep])] = -np.inf
                     rows = batch.column("rows")[i].as_py()
                     for n, j in enumerate(open_):
                         best.add(j, scores[:, n], rows)
@@ -111,7 +115,8 @@ def nearest(blocks: DataFrame, queries: list[list[float]], k: int, digits: int =
     from pyspark.sql.pandas.types import to_arrow_type
 
     pa_types = [to_arrow_type(f.dataType) for f in kept.fields]
-    each = blocks.select("rows", "weights", "scales", "low", "high").mapInArrow(scan, schema)
+    keep = F.transform("rows", only) if only else F.lit(None).cast("array<boolean>")
+    each = blocks.select("rows", "weights", "scales", "low", "high", keep.alias("keep")).mapInArrow(scan, schema)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return each.withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
 

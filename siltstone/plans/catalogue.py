@@ -599,6 +599,13 @@ def nearest_chunks(spark, d):
     return N.nearest(_vectors_index(spark, d).vectors, _asked_vectors(_ASKED), 10).select("query", "id", "score")
 
 
+@query(f"{_CHUNK_TEXTS}, {_EMBED} SELECT query, id, near.score FROM near JOIN texts USING (id) WHERE starts_with(path, 'src1') AND NOT regexp_matches(path, '[.](md|txt)$') QUALIFY row_number() OVER (PARTITION BY query ORDER BY near.score DESC, id) <= 10")
+def nearest_scoped(spark, d):
+    """Code below a prefix only, ranked within the scan of the blocks."""
+    only = lambda r: r["path"].startswith("src1") & ~P.is_docs(r["path"])
+    return N.nearest(_vectors_index(spark, d).vectors, _asked_vectors(_ASKED), 10, only=only).select("query", "id", "score")
+
+
 @query(f"""{_BM25}, {_EMBED}, ranks AS (SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id) - 1) AS part FROM (SELECT id, score FROM near WHERE query = 0 ORDER BY score DESC, id LIMIT 100)
         UNION ALL SELECT id, 1.0 / (60 + row_number() OVER (ORDER BY score DESC, id) - 1) FROM (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, id LIMIT 100))
     SELECT id, round(sum(CAST(part AS DOUBLE)), 8) AS score FROM ranks GROUP BY id""")

@@ -445,6 +445,9 @@ def test_nearest_over_blocks(spark, monkeypatch):
     want = {(q, f"k{i:03d}", i % 4, float(scores[i, q])) for q in range(5) for i in sorted(range(120), key=lambda i: (-scores[i, q], i))[:9]}
     blocks = vectors.vector_blocks(rows, ["id", "part"])
     assert {(a, b, c, d) for a, b, c, d in map(tuple, vectors.nearest(blocks, queries, 9).collect())} == want
+    some = vectors.nearest(blocks, queries, 4, only=lambda k: k["part"] == 2).collect()
+    inside = {(q, f"k{i:03d}") for q in range(5) for i in sorted(range(2, 120, 4), key=lambda i: (-scores[i, q], i))[:4]}
+    assert {(r["query"], r.id) for r in some} == inside
     assert blocks.count() >= 120 // 7 and vectors.nearest(blocks.limit(0), queries, 3).count() == 0
 
 
