@@ -1,7 +1,9 @@
 import math
 import os
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import embedding, paths, patterns, text
 from siltstone.functions import paths as P
-from siltstone.operators import evaluation, grep, judge, listing, metrics, outline, retrieval, shell
+from siltstone.operators import evaluation, grep, index, judge, listing, metrics, outline, retrieval, shell
 from siltstone.plans import samples
 from siltstone.sources import snapshots
 
@@ -649,3 +651,27 @@ def test_line_index_reads_candidate_blocks(spark, tmp_path, monkeypatch):
     assert 6 <= some.count() <= 60 and line_index.candidates(spark, path, "plain").count() == 200
     monkeypatch.setattr(line_index, "MOST_RANGES", 1)
     assert line_index.candidates(spark, path, "[Ll]icensed? under", regex=True).count() == some.count()
+
+
+def _traced_peak(monkeypatch, rows, build, batch):
+    """Bytes of Python objects at once while the function that ``build`` sends to the workers goes over one Arrow batch."""
+    sent = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema: sent.append(f) or self.sparkSession.createDataFrame([], schema))
+    build()
+    monkeypatch.undo()
+    tracemalloc.start()
+    n = sum(part.num_rows for part in sent[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return n, peak
+
+
+def test_terms_are_counted_in_bounded_memory(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(2000)] + [""] * 3
+    ids = pa.array([str(i) for i in range(len(texts))])
+    files = spark.createDataFrame([], "id string, path string, symbol string, text string")
+    indexed = _traced_peak(monkeypatch, files, lambda: index.counted_terms(files, []), pa.RecordBatch.from_arrays([ids, pa.array(texts)], names=["id", "_t"]))
+    posted = _traced_peak(monkeypatch, files, lambda: retrieval.postings(files, "id", F.col("text")), pa.RecordBatch.from_arrays([ids, pa.array([*texts[:-1], None])], names=["id", "_t"]))
+    assert indexed[0] == posted[0] == 400_000
+    # the whole batch at once takes 40 MB in the index
+    assert indexed[1] < 20 << 20 and posted[1] < 20 << 20
