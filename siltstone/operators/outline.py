@@ -112,7 +112,7 @@ def _measured(files: DataFrame) -> DataFrame:
 
 
 def _spans(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``end_line`` for those that have a ``span``; a window over the lines of a file and, at each level, over what
+    """The ``rows`` that have a name, without their code, with ``end_line`` for those that have a ``span``; a window over the lines of a file and, at each level, over what
     begins and ends there, so the work is in proportion to the lines.
 
     Braces end on the first line from the one that opens them on which the depth is back. Indentation ends on the
@@ -121,20 +121,29 @@ def _spans(rows: DataFrame) -> DataFrame:
     file, back = Window.partitionBy("path").orderBy("line"), Window.partitionBy("path").orderBy(F.desc("line"))
     solid = rows.withColumns({"opened": F.min(F.when(F.col("open") > 0, F.col("line"))).over(back), "_solid": F.when(~F.col("blank"), F.struct("line", "indent"))})
     solid = solid.withColumns({"_prior": F.last("_solid", True).over(file.rowsBetween(Window.unboundedPreceding, -1)), "_end": F.max(F.when(~F.col("blank"), F.col("line"))).over(Window.partitionBy("path"))})
-    begins = solid.where(F.col("span").isin("braces", "indent"))
-    level = F.when(F.col("span") == "braces", F.col("before")).otherwise(F.col("indent"))
-    begins = begins.select("path", "span", "line", level.alias("level"), F.when(F.col("span") == "braces", F.col("opened")).otherwise(F.col("line") + 1).alias("at"), F.lit(None).cast("int").alias("stop"), "_end").where(F.col("at").isNotNull())  # nothing opens: no end
+    braces, indents = F.col("span") == "braces", F.col("span") == "indent"
+    level = F.when(braces, F.col("before")).otherwise(F.col("indent")).cast("int")
+    at = F.when(braces, F.col("opened")).when(indents, F.col("line") + 1)
+    columns = [c for c in rows.columns if c not in ("path", "code")]
+    symbol = F.struct(*columns)
+    nothing = F.lit(None).cast(rows.select(symbol.alias("s")).schema["s"].dataType)
+
+    def event(span: Column, level: Column, at: Column, stop: Column, own: Column) -> Column:
+        return F.struct(span.alias("of"), level.alias("level"), at.cast("int").alias("at"), stop.cast("int").alias("stop"), own.alias("own"))
+
+    # nothing opens: no end
+    begins = F.filter(F.array(event(F.when(at.isNotNull(), F.col("span")), F.when(at.isNotNull(), level), at, F.lit(None), symbol)), lambda e: e["own"]["name"].isNotNull())
     none = F.array().cast("array<int>")
     closed = F.when(F.col("before") + F.col("open") > F.col("after"), F.sequence(F.col("after").cast("int"), (F.col("before") + F.col("open") - 1).cast("int"))).otherwise(none)
     left = F.when(~F.col("blank") & (F.col("_prior")["indent"] >= F.col("indent")), F.sequence(F.col("indent"), F.col("_prior")["indent"])).otherwise(none)
-    braces = solid.select("path", F.lit("braces").alias("span"), "line", F.explode(closed).alias("level"), F.col("line").alias("at"), F.col("line").cast("int").alias("stop"), "_end")
-    indents = solid.select("path", F.lit("indent").alias("span"), "line", F.explode(left).alias("level"), F.col("line").alias("at"), F.col("_prior")["line"].cast("int").alias("stop"), "_end")
-    events = begins.unionByName(braces).unionByName(indents)
+    ends = [F.transform(closed, lambda x: event(F.lit("braces"), x, F.col("line"), F.col("line"), nothing)), F.transform(left, lambda x: event(F.lit("indent"), x, F.col("line"), F.col("_prior")["line"], nothing))]
+    # all of a line at once: a file is read, lexed and sorted by lines in one pass
+    events = solid.select("path", "_end", F.inline(F.concat(begins, *ends)))
     # from the end of the file backwards; of equal places the ends come first, so a line can close what it opens
-    next_ = Window.partitionBy("path", "span", "level").orderBy(F.desc("at"), F.col("stop").isNull())
-    found = events.withColumn("_stop", F.last("stop", True).over(next_)).where(F.col("stop").isNull())
-    ends = found.select("path", "line", F.when(F.col("span") == "braces", F.col("_stop")).otherwise(F.coalesce("_stop", F.when(F.col("_end") > F.col("line"), F.col("_end")))).alias("end_line"))
-    return rows.where(F.col("name").isNotNull()).join(ends, ["path", "line"], "left")
+    next_ = Window.partitionBy("path", "of", "level").orderBy(F.desc("at"), F.col("stop").isNull())
+    found = events.withColumn("_stop", F.last("stop", True).over(next_)).where(F.col("own").isNotNull())
+    end = F.when(F.col("of") == "braces", F.col("_stop")).when(F.col("of") == "indent", F.coalesce("_stop", F.when(F.col("_end") > F.col("own")["line"], F.col("_end"))))
+    return found.select("path", "own.*", end.alias("end_line"))
 
 
 def _signature() -> Column:
@@ -186,9 +195,10 @@ def leading_comments(files: DataFrame, symbols: DataFrame) -> DataFrame:
     file = Window.partitionBy("path").orderBy("line")
     marked = numbered.withColumns({"_c": is_comment, "_block": F.sum((~is_comment).cast("int")).over(file), "_blank": text == ""})
     clean = F.trim(F.regexp_replace(F.regexp_replace(text, r"^(?://+!?|#+|/\*+|\*+/?)", ""), r"\*+/$", ""))
-    blocks = marked.where("_c").groupBy("path", "_block").agg(F.max("line").alias("last"), F.array_join(F.filter(F.sort_array(F.collect_list(F.struct("line", clean.alias("t"))))["t"], lambda t: t != ""), "\n").alias("comment"))
-    next_ = marked.select("path", (F.col("line") - 1).alias("last"), F.col("_blank"))
-    above = blocks.join(next_, ["path", "last"], "left").select("path", "comment", F.explode(F.when(F.col("_blank"), F.array(F.col("last") + 1, F.col("last") + 2)).otherwise(F.array(F.col("last") + 1))).alias("line"))
+    marked = marked.withColumn("_next", F.lead("_blank").over(file))
+    blocks = marked.where("_c").groupBy("path", "_block").agg(F.max(F.struct("line", "_next")).alias("_last"), F.array_join(F.filter(F.sort_array(F.collect_list(F.struct("line", clean.alias("t"))))["t"], lambda t: t != ""), "\n").alias("comment"))
+    last = F.col("_last")["line"]
+    above = blocks.select("path", "comment", F.explode(F.when(F.col("_last")["_next"], F.array(last + 1, last + 2)).otherwise(F.array(last + 1))).alias("line"))
     return symbols.join(above, ["path", "line"], "left").select(*symbols.columns, "comment")
 
 

@@ -675,3 +675,19 @@ def test_terms_are_counted_in_bounded_memory(spark, monkeypatch):
     assert indexed[0] == posted[0] == 400_000
     # the whole batch at once takes 40 MB in the index
     assert indexed[1] < 20 << 20 and posted[1] < 20 << 20
+
+
+def test_outline_reads_files_once(spark, tmp_path):
+    samples.sources(spark).write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    reads = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    symbols = outline.outline(files)
+    assert reads(symbols) == 1 and reads(outline.members(files)) == 2
+    assert reads(outline.leading_comments(files, symbols)) == 2 and reads(retrieval.chunks(files, symbols)) == 3
+
+
+def test_regions_between_symbols(spark):
+    files = spark.createDataFrame([("a.ts", "x\n" * 9), ("b.ts", "x\n" * 3), ("c.ts", "x\n" * 70), ("d.ts", "")], "path string, text string")
+    symbols = spark.createDataFrame([("a.ts", "F", 2, 4), ("a.ts", "G", 4, 6), ("a.ts", "H", 8, None), ("b.ts", "K", 1, 3), ("e.ts", "L", 1, 2)], "path string, name string, line int, end_line int")
+    got = sorted((r.path, r.start, r.end, r.kind, r.symbol) for r in retrieval._regions(files, symbols).collect())
+    assert got == [("a.ts", 1, 1, "window", None), ("a.ts", 2, 3, "symbol", "F"), ("a.ts", 4, 6, "symbol", "G"), ("a.ts", 7, 9, "window", None), ("b.ts", 1, 3, "symbol", "K"), ("c.ts", 1, 70, "window", None)]
