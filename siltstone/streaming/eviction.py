@@ -2,58 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siltstone.functions import values as V
-from siltstone.streaming.timers import in_order
-
-
-class _Idle(StatefulProcessor):
-    """Accesses wait until the watermark has passed them; a timer follows each access by the time to live. State is
-    cleared with the eviction, so that it holds what is live and no more."""
-
-    def __init__(self, ms: int):
-        self.ms = ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long", "micros long")
-        self.last = handle.getValueState("last", "micros long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for row in rows:
-            due = -(-row.micros // 1000)
-            known = self.waiting.getValue((due,))[0] if self.waiting.containsKey((due,)) else None
-            if known is None:
-                # both now: a timer that another one sets may be seen only with the next batch
-                self.handle.registerTimer(due)
-                self.handle.registerTimer(due + self.ms)
-            if known is None or row.micros > known:
-                self.waiting.updateValue((due,), (row.micros,))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        last = self.last.get()[0] if self.last.exists() else None
-        if last is not None and due >= -(-last // 1000) + self.ms:
-            yield Row(key=key[0], micros=last)
-            self.last.clear()
-        if self.waiting.containsKey((due,)):
-            self.last.update(self.waiting.getValue((due,)))
-            self.waiting.removeKey((due,))
-
-    def close(self) -> None:
-        pass
 
 
 def evictions(accesses: DataFrame, key: str, time: str = "ts", days: float = V.EVICT_AFTER_DAYS, delay: str = "10 minutes") -> DataFrame:
     """``(key, last_access)``: a row each time that a snapshot wasn't used for ``days`` up to the watermark. One that is used
-    again later is live again, and may be evicted again. Accesses later than ``delay`` are dropped."""
-    kind = accesses.schema[key].dataType.simpleString()
-    own = accesses.withWatermark(time, delay).select(F.col(key).alias("key"), F.col(time).alias("ts"), F.unix_micros(time).alias("micros"))
-    out = in_order(own, _Idle(round(days * 86_400_000)), f"key {kind}, micros long")
-    return out.select(F.col("key").alias(key), F.timestamp_micros("micros").alias("last_access"))
+    again later is live again, and may be evicted again. State is a row for each session of accesses less than ``days``
+    apart, until the watermark has passed its end. Accesses later than ``delay`` count while their own ``days`` aren't over
+    at the watermark, and are dropped from then on.
+    """
+    # sessions that only touch become one, so they end a microsecond before the time to live does
+    gap = round(days * 86_400_000) * 1000 - 1
+    own = accesses.withWatermark(time, delay).select(F.col(key).alias("key"), F.col(time).alias("ts"))
+    last = own.groupBy("key", F.session_window("ts", f"{gap} microseconds")).agg(F.max(F.unix_micros("ts")).alias("micros"))
+    return last.select(F.col("key").alias(key), F.timestamp_micros("micros").alias("last_access"))
