@@ -2,54 +2,76 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from siltstone.streaming.timers import in_order
 
+#: Requests in an entry of the state.
+CHUNK = 1 << 13
+
 
 class _Throttle(StatefulProcessor):
     """Keeps requests until the watermark has passed them, so that they are decided in order of time, in whatever order they
-    came. State is one entry for each millisecond with requests to come, and the last allowed times, ``limit`` at most."""
+    came. State is the times to come, eight bytes each in chunks, and the last allowed times, ``limit`` at most. It is read
+    and written once for a key and batch, not for each request: one timer, at the first time to come, decides all that the
+    watermark has passed."""
 
     def __init__(self, seconds: int, limit: int):
         self.micros, self.limit = seconds * 1_000_000, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long", "micros array<long>")
+        self.waiting = handle.getListState("waiting", "micros binary")
         self.recent = handle.getValueState("recent", "micros array<long>")
 
+    def _wait(self, times: np.ndarray) -> None:
+        for i in range(0, len(times), CHUNK):
+            self.waiting.appendValue((times[i : i + CHUNK].tobytes(),))
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, chunk = None, []
         for row in rows:
-            due = -(-row.micros // 1000)
-            waiting = self.waiting.getValue((due,)) if self.waiting.containsKey((due,)) else None
-            if waiting is None:
-                self.handle.registerTimer(due)
-            self.waiting.updateValue((due,), ([*(waiting[0] if waiting else []), row.micros],))
+            first = row.micros if first is None else min(first, row.micros)
+            chunk.append(row.micros)
+            if len(chunk) == CHUNK:
+                self._wait(np.array(chunk, np.int64))
+                chunk = []
+        self._wait(np.array(chunk, np.int64))
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.waiting.containsKey((due,)):  # the key's last window has gone by
-            recent = [x for x in self.recent.get()[0] if x > due * 1000 - self.micros] if self.recent.exists() else []
-            if not recent:
-                self.recent.clear()
-            return
-        recent = list(self.recent.get()[0]) if self.recent.exists() else []
-        for micros in sorted(self.waiting.getValue((due,))[0]):
-            recent = [x for x in recent if x > micros - self.micros]
-            allowed = len(recent) < self.limit
-            wait = 0.0 if allowed else (recent[0] + self.micros - micros) / 1e6
-            if allowed:
-                recent.append(micros)
-            yield Row(key=key[0], micros=micros, allowed=allowed, retry_after=wait)
-        self.waiting.removeKey((due,))
-        self.recent.update((recent,))
-        self.handle.registerTimer(-(-(recent[-1] + self.micros) // 1000) + 1)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        times = np.sort(np.concatenate([np.empty(0, np.int64), *(np.frombuffer(c[0], np.int64) for c in self.waiting.get())]))
+        n = int(np.searchsorted(times, passed, "right"))
+        recent = deque(self.recent.get()[0] if self.recent.exists() else ())
+        for i in range(0, n, CHUNK):
+            chunk, verdicts, waits = times[i : min(i + CHUNK, n)].tolist(), [], []
+            for micros in chunk:
+                while recent and recent[0] <= micros - self.micros:
+                    recent.popleft()
+                verdicts.append(len(recent) < self.limit)
+                waits.append(0.0 if verdicts[-1] else (recent[0] + self.micros - micros) / 1e6)
+                if verdicts[-1]:
+                    recent.append(micros)
+            yield Row(key=key[0], micros=chunk, allowed=verdicts, retry_after=waits)
+        if n:
+            self.waiting.clear()
+            self._wait(times[n:])
+        if n < len(times):
+            self.handle.registerTimer(-(-int(times[n]) // 1000))
+        if recent and recent[-1] <= passed - self.micros:  # the key's last window has gone by
+            self.recent.clear()
+        elif n:
+            self.recent.update((list(recent),))
+            self.handle.registerTimer(-(-(recent[-1] + self.micros) // 1000) + 1)
 
     def close(self) -> None:
         pass
@@ -58,10 +80,12 @@ class _Throttle(StatefulProcessor):
 def throttled(requests: DataFrame, key: str, time: str = "ts", seconds: int = 60, limit: int = 60, delay: str = "10 minutes") -> DataFrame:
     """``(key, ts, allowed, retry_after)`` for each request that the watermark has passed. A refused request doesn't count.
 
-    Requests of a key are decided by a timer for each millisecond of the event time, one after the other; rows of a key
-    are never held together. ``limit`` is 1 or more. Requests later than ``delay`` are dropped, as by any watermark.
+    Requests of a key are decided one after the other in order of event time; of a key, only the times that wait for the
+    watermark are held together, eight bytes each. ``limit`` is 1 or more. Requests later than ``delay`` are dropped, as by
+    any watermark.
     """
     kind = requests.schema[key].dataType.simpleString()
     own = requests.withWatermark(time, delay).select(F.col(key).alias("key"), F.col(time).alias("ts"), F.unix_micros(time).alias("micros"))
-    out = in_order(own, _Throttle(seconds, limit), f"key {kind}, micros long, allowed boolean, retry_after double")
-    return out.select(F.col("key").alias(key), F.timestamp_micros("micros").alias("ts"), "allowed", "retry_after")
+    out = in_order(own, _Throttle(seconds, limit), f"key {kind}, micros array<long>, allowed array<boolean>, retry_after array<double>")
+    each = out.select(F.col("key"), F.inline(F.arrays_zip("micros", "allowed", "retry_after")))
+    return each.select(F.col("key").alias(key), F.timestamp_micros("micros").alias("ts"), "allowed", "retry_after")
