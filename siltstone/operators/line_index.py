@@ -14,15 +14,18 @@ from pyspark.sql.window import Window
 
 from siltstone.functions.trigrams import Condition, folded, holds, required
 from siltstone.operators.grep import grep
-from siltstone.sources.storage import file_states, new_folder, point, pointed, shared_folder
+from siltstone.sources.storage import file_states, new_folder, point, pointed, shared_folder, written
 
-FORMAT = 1
+FORMAT = 2
 #: Files of a block; Parquet rows of a block stand together, so that others aren't read.
 BLOCK_FILES = 32
 #: Bits of a filter for each trigram in it, and at most.
 BITS, MOST_BITS = 16, 1 << 22
-#: Ranges of blocks that a query names; beyond that their hull is read, and blocks without candidates are filtered.
-MOST_RANGES = 64
+#: Text that a task sorts, in bytes, so that it is sorted in memory.
+TASK_BYTES = 64 << 20
+#: Ranges of blocks that a query names; beyond that the blocks' numbers go to all workers, at most so many (eight bytes each);
+#: beyond these all texts are read.
+MOST_RANGES, MOST_SENT = 64, 1 << 20
 
 
 def _places(grams: set[str] | list[str], bits: int) -> np.ndarray:
@@ -30,28 +33,48 @@ def _places(grams: set[str] | list[str], bits: int) -> np.ndarray:
     return (h % np.uint64(bits)).astype(np.int64)
 
 
+def _filter(grams: set[str]) -> bytes:
+    bits = min(MOST_BITS, max(64, BITS * len(grams)))
+    filter_ = np.zeros(-(-bits // 8), np.uint8)
+    if grams:
+        place = _places(list(grams), len(filter_) * 8)
+        np.bitwise_or.at(filter_, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+    return filter_.tobytes()
+
+
 def _filters(rows: DataFrame) -> DataFrame:
-    """``(block, filter)``; a text's trigrams do not cross its lines."""
+    """``(block, filter)`` of rows that lie in blocks, as they are read; a text's trigrams do not cross its lines. A block whose
+    rows are read by two tasks has a filter of either's: a match lies within one text, so one of them lets it through."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, grams = None, None
+        done: list[tuple[int, bytes]] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (own := batch.column(0)[i].as_py()) != block:
+                    if grams is not None:
+                        done.append((block, _filter(grams)))
+                    block, grams = own, set()
+                t = folded(batch.column(1)[i].as_py() or "")
+                grams |= {t[j : j + 3] for j in range(len(t) - 2)}
+            yield _of(done)
+            done = []
+        if grams is not None:
+            yield _of([(block, _filter(grams))])
+
+    return rows.select("block", "text").mapInArrow(build, "block long, filter binary")
 
-    def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        grams: set[str] = set()
-        for text in table["text"].to_pylist():
-            t = folded(text or "")
-            grams |= {t[i : i + 3] for i in range(len(t) - 2)}
-        bits = min(MOST_BITS, max(64, BITS * len(grams)))
-        filter_ = np.zeros(-(-bits // 8), np.uint8)
-        if grams:
-            place = _places(list(grams), len(filter_) * 8)
-            np.bitwise_or.at(filter_, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "filter": pa.array([filter_.tobytes()], pa.binary())})
 
-    return rows.groupBy("block").applyInArrow(build, "block long, filter binary")
+def _of(filters: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in filters], pa.int64()), pa.array([f for _, f in filters], pa.binary())], names=["block", "filter"])
 
 
 def write_line_index(files: DataFrame, path: str) -> None:
-    """``files`` (``path, text``) sorted by path in blocks of ``BLOCK_FILES``, and the blocks' filters."""
-    n = files.sparkSession.sparkContext.defaultParallelism
-    number = files.select("path", F.col("text").cast("string")).repartitionByRange(n, "path").sortWithinPartitions("path").withColumn("_n", F.monotonically_increasing_id())
+    """``files`` (``path, text``) sorted by path in blocks of ``BLOCK_FILES``, and the blocks' filters. Texts are shuffled once."""
+    own = files.select("path", F.col("text").cast("string"))
+    n_bytes = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(files.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES))
+    number = own.repartitionByRange(n, "path").sortWithinPartitions("path").withColumn("_n", F.monotonically_increasing_id())
     block = F.shiftright("_n", 33) * (1 << 33) + F.floor(F.col("_n").bitwiseAND((1 << 33) - 1) / BLOCK_FILES)
     number.select(block.alias("block"), "path", "text").write.mode("overwrite").option("parquet.block.size", 1 << 20).parquet(f"{path}/texts")
     kept = files.sparkSession.read.parquet(f"{path}/texts")
@@ -70,7 +93,7 @@ def kept_line_index(spark: SparkSession, table: str, build: Callable[[], DataFra
 
 
 def candidate_blocks(spark: SparkSession, path: str, condition: Condition) -> DataFrame:
-    """``(block)``: blocks whose filter lets the condition hold."""
+    """``(block)``: blocks of which a filter lets the condition hold; one may come twice."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +114,7 @@ def candidate_blocks(spark: SparkSession, path: str, condition: Condition) -> Da
 
 def candidates(spark: SparkSession, path: str, needle: str, regex: bool = False, word: bool = False, ignore_case: bool = False) -> DataFrame:
     """The kept files of blocks that can hold a match. Where these make few ranges, the ranges are conditions that the scan
-    skips row groups by; a block outside is dropped either way."""
+    skips row groups by; a block outside is dropped, or where blocks are too many to name, read like any other."""
     texts = spark.read.parquet(f"{path}/texts")
     condition = required(needle if regex else re.escape(needle), ignore_case)
     if condition is None:
@@ -99,7 +122,7 @@ def candidates(spark: SparkSession, path: str, needle: str, regex: bool = False,
     blocks = candidate_blocks(spark, path, condition)
     # neighbours make a range; one row for each range. Blocks are numbered within the task that wrote them.
     of_task = Window.partitionBy(F.shiftright("block", 33)).orderBy("block")
-    runs = blocks.withColumn("_run", F.col("block") - F.row_number().over(of_task)).groupBy("_run").agg(F.min("block").alias("a"), F.max("block").alias("b"))
+    runs = blocks.withColumn("_run", F.col("block") - F.dense_rank().over(of_task)).groupBy("_run").agg(F.min("block").alias("a"), F.max("block").alias("b"))
     ranges = runs.limit(MOST_RANGES + 1).collect()
     if not ranges:
         return texts.where(F.lit(False)).select("path", "text")
@@ -108,7 +131,10 @@ def candidates(spark: SparkSession, path: str, needle: str, regex: bool = False,
         for r in ranges:
             inside = inside | F.col("block").between(r["a"], r["b"])
         return texts.where(inside).select("path", "text")
-    return texts.join(blocks, "block", "left_semi").select("path", "text")
+    sent = written(blocks, "blocks")
+    if sent.count() > MOST_SENT:
+        return texts.select("path", "text")
+    return texts.join(F.broadcast(sent), "block", "left_semi").select("path", "text")
 
 
 def indexed_grep(spark: SparkSession, path: str, needle: str, *, regex: bool = False, word: bool = False, ignore_case: bool = False, **options) -> DataFrame:
